@@ -30,5 +30,41 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_token_counts)}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.mixing import mix_sources
+
+    got = mix_sources(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), "n_tokens", F.round("weight", 6).alias("weight"), F.round("rate", 6).alias("rate"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("live")
+
+
+def held_out(doc_id):
+    """Documents kept from learning."""
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out(F.col("doc_id"))))
+    got = identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id)}
 ORACLES: dict[str, str] = {}
+
+
+def _oracles() -> None:
+    from foliospark.llm import mixing
+
+    ORACLES["op4_mixing"] = mixing.oracle()
+
+
+_oracles()
