@@ -57,7 +57,19 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id)}
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.pqdedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.maxscore import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op10_topk)}
 ORACLES: dict[str, str] = {}
 
 
@@ -65,6 +77,11 @@ def _oracles() -> None:
     from foliospark.llm import mixing
 
     ORACLES["op4_mixing"] = mixing.oracle()
+    ORACLES["op10_topk"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
 _oracles()
