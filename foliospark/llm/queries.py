@@ -30,6 +30,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.jaccard import link_groups
+
+    return link_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.mixing import mix_sources
 
@@ -69,7 +75,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op10_topk)}
 ORACLES: dict[str, str] = {}
 
 
