@@ -69,13 +69,19 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.maxscore import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op9_repeat_removal, op10_topk)}
 ORACLES: dict[str, str] = {}
 
 
