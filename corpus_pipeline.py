@@ -1,8 +1,63 @@
-"""Corpus pipeline over `documents`; see STAGES."""
+"""Corpus pipeline over `documents`: language, near duplicates, secrets, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+What a stage decides takes effect on what the next one reads.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark.llm.common import stored
+from foliospark.llm.jaccard import link_groups
+from foliospark.llm.langid import identify, learn
+from foliospark.llm.mixing import mix_sources
+from foliospark.llm.packing import pack
+from foliospark.llm.queries import tokenizer_path
+from foliospark.llm.secrets import redact, scan
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what no language model fits; `lang` becomes the predicted language."""
+    found = identify(docs.select(*COLUMNS), learn(docs))
+    return found.where("not rejected").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id; of repeated ids all rows do."""
+    groups = link_groups(docs)
+    gone = stored(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking secrets are masked; examples stay as they are."""
+    found = scan(docs, keep=COLUMNS)
+    masked = found.withColumn("text", redact(F.col("text"), F.col("live")))
+    return masked.withColumn("n_chars", F.when(F.size("live") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token shares by source, language and topic meet their targets."""
+    return mix_sources(docs).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, dealt to training sequences."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs)
+    return docs
