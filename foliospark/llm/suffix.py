@@ -203,11 +203,11 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """
     spark = df.sparkSession
     small_batches(spark)
-    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = partitions_for(total / 2, bucket_bytes, least)
-    doc_buckets = partitions_for(total, 2 * bucket_bytes, least)
+    buckets = partitions_for(total / 2, bucket_bytes, 2 * tasks)
+    doc_buckets = partitions_for(total, 2 * bucket_bytes, tasks)
     before = length - GRAM
 
     def find(batches):
