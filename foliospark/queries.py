@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from foliospark.qs import reasoning, relational, workers  # noqa: F401  (each fills the registry)
+from foliospark.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
