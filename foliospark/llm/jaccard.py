@@ -240,12 +240,12 @@ def link_groups(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", si
 
     Words are runs of bytes other than space, tab, line feed, vertical tab, form feed and carriage return, A-Z in
     lower case; null and empty texts have no shingle and link with nothing; repeated rows and equal texts fall in
-    one group; an empty table gives no rows; other columns are not read. Documents with equal sets are one class
+    one group; rows without id are left out; an empty table gives no rows; other columns are not read. Documents with equal sets are one class
     and only classes are compared. component_id is the smallest id of the group.
     """
     spark = df.sparkSession
     small_batches(spark)
-    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = partitions_for(total, bucket_bytes, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     lists = _postings(docs, buckets, size).groupBy("bucket").applyInArrow(_lengths, "src long, a binary, b binary, c binary")

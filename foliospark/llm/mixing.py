@@ -56,12 +56,13 @@ def mix_sources(df: DataFrame, *, dims: dict[str, Column] | None = None, tokens:
     weight is a cell's raked share over its token share; a document is kept with probability proportional to it,
     scaled so that the most wanted cell is kept at `rate`. The draw is a hash of the id, so a rerun keeps the
     same rows. Null dimension values form a value of their own; documents without text carry no tokens and keep
-    their cell's rate (0 in a cell without tokens); repeated rows are drawn alike; an empty table gives no rows.
+    their cell's rate (0 in a cell without tokens); repeated rows are drawn alike; an empty table gives no rows; columns of
+    df named like an added one are replaced.
     """
     temper, t = temper or TEMPER, F.col(f"`{text}`")
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(t)}
     names = [f"__{d}" for d in dims]
-    rows = df.withColumns({f"__{d}": F.coalesce(c.cast("string"), F.lit("")) for d, c in dims.items()} | {"n_tokens": tokens if tokens is not None else tokens_of(t)})
+    rows = df.drop("weight", "rate").withColumns({f"__{d}": F.coalesce(c.cast("string"), F.lit("")) for d, c in dims.items()} | {"n_tokens": tokens if tokens is not None else tokens_of(t)})
     cells = stored(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     raked = rake(cells, names, {f"__{d}": p for d, p in temper.items()}, {f"__{d}": x for d, x in (targets or {}).items()}, rounds)
     all_ = cells.groupBy().agg(F.sum("tokens").cast("double").alias("__all"))

@@ -64,9 +64,11 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", owner: st
     `least_distinct` of them different, and both letters and digits; other values are examples. Texts are read
     once; the corpus counts run over the few candidates, first by (value, owner, document), so a value that a
     third of all rows hold arrives combined. Null text: no spans. A null owner counts as one owner, a null id as
-    one document; repeated rows each give a row and count once; an empty table gives no rows.
+    one document; repeated rows each give a row and count once; an empty table gives no rows; kept columns named like
+    a result are replaced by it.
     """
-    keep = [id_col] if keep is None else keep
+    made = {*(f"n_{k}" for k, *_ in KINDS), "base_sha256", "spans", "n_live", "n_example", "live"}
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in made]
     # own names, so that no column of the input can clash
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.col(f"`{id_col}`").cast("string").alias("__doc"), F.col(f"`{owner}`").cast("string").alias("__owner"), F.col(f"`{text}`").alias("__text"))
     base = stored(base_spans(rows, "__text").drop("__text").withColumn("__row", F.monotonically_increasing_id()))
