@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from foliospark.derive import base, view
@@ -209,7 +210,7 @@ def u02(spark, sf):
     return base(spark, sf, "orders").selectExpr("o_orderkey", "folio_severity(o_orderkey % 40) AS severity")
 
 
-@udtf(returnType="label string, num string")
+@udtf(returnType=T.StructType([T.StructField("label", T.StringType()), T.StructField("num", T.StringType())]))
 class LineFacts:
     """label and number of one line, as rows."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +82,56 @@ def login_streaks_stream(logins: DataFrame, at: int = 5) -> DataFrame:
     return logins.groupBy("username").applyInPandasWithState(run, "username string, seq long, streak long, alert boolean", "n long", "append", "NoTimeout")
 
 
+def _chain(f: pd.DataFrame, prev: str) -> tuple[list[tuple], str]:
+    out = []
+    for r in f.sort_values("seq").itertuples(index=False):
+        h = hashlib.sha256(f"{prev}{r.seq}|{r.event_type}".encode()).hexdigest()
+        out.append((r.tenant_id, r.seq, prev, h))
+        prev = h
+    return out, prev
+
+
+_CHAIN = "tenant_id string, seq long, prev_hash string, hash string"
+
+
+def audit_chain(events: DataFrame) -> DataFrame:
+    """tenant_id, seq, prev_hash, hash: a chain per tenant, 64 zeros before the first event. Batch twin."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_chain(f, "0" * 64)[0], columns=["tenant_id", "seq", "prev_hash", "hash"])
+
+    return events.groupBy("tenant_id").applyInPandas(run, _CHAIN)
+
+
+def audit_chain_stream(events: DataFrame) -> DataFrame:
+    """The same as a stream; a tenant's last hash is its state."""
+
+    def run(key, frames, state):
+        out, last = _chain(pd.concat(frames), state.get[0] if state.exists else "0" * 64)
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["tenant_id", "seq", "prev_hash", "hash"])
+
+    return events.groupBy("tenant_id").applyInPandasWithState(run, _CHAIN, "last string", "append", "NoTimeout")
+
+
+def expired_grants_stream(grants: DataFrame) -> DataFrame:
+    """grant_id, expired_at once the watermark passes valid_until; each grant once."""
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            out = [(key[0], state.get[0])]
+            state.remove()
+        else:
+            until = max(f["valid_until"].max() for f in frames)
+            state.update((until.to_pydatetime(),))
+            state.setTimeoutTimestamp(int(until.timestamp() * 1000))
+            out = []
+        yield pd.DataFrame(out, columns=["grant_id", "expired_at"])
+
+    g = grants.withWatermark("ts", "0 seconds")
+    return g.groupBy("grant_id").applyInPandasWithState(run, "grant_id long, expired_at timestamp", "until timestamp", "append", "EventTimeTimeout")
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str):
     """Appends new files once; a rerun with the same checkpoint adds nothing."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
