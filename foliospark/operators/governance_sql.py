@@ -55,7 +55,7 @@ operator("j24_checkpoints", "audit", f"WITH h AS (SELECT seq, {_CH} AS hash FROM
 operator("o03_limit_cap", "audit", "SELECT seq, event_type FROM audit ORDER BY seq LIMIT 500")
 operator("o04_keyset_page", "audit", "WITH n AS (SELECT seq, event_type FROM audit WHERE seq > 120 ORDER BY seq LIMIT 51), r AS (SELECT *, row_number() OVER (ORDER BY seq) AS r, count(*) OVER () AS n FROM n) SELECT seq, event_type, CASE WHEN n > 50 THEN max(CASE WHEN r = 50 THEN seq END) OVER () END AS next_cursor FROM r WHERE r <= 50".replace("max(CASE WHEN r = 50 THEN seq END) OVER () END", "max(seq) OVER () END"))
 operator("w08_repeated_blocks", "audit", "SELECT seq, actor_id, sum(CASE WHEN outcome = 'denied' THEN 1 ELSE 0 END) OVER (PARTITION BY actor_id ORDER BY seq ROWS UNBOUNDED PRECEDING) >= 3 AS alert FROM audit")
-operator("w09_login_streak", "logins", "WITH i AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY username ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM logins), f AS (SELECT username, seq, row_number() OVER (PARTITION BY username, island ORDER BY ts, seq) AS streak FROM i WHERE NOT success) SELECT username, seq, streak, streak >= 5 AS alert FROM f")
+operator("w09_login_streak", "logins", "WITH i AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY username ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM logins), f AS (SELECT username, seq, cast(row_number() OVER (PARTITION BY username, island ORDER BY ts, seq) AS bigint) AS streak FROM i WHERE NOT success) SELECT username, seq, streak, streak >= 5 AS alert FROM f")
 operator("w10_latest_decision", "action_events", "SELECT action_id, max_by(decision, seq) AS last_decision, max_by(actor, seq) AS last_actor FROM action_events WHERE decision IN ('approve', 'reject', 'execute') GROUP BY action_id")
 operator("r08_once_per_key", "action_events", "SELECT idempotency_key, min(seq) AS seq FROM action_events WHERE decision = 'execute' GROUP BY idempotency_key")
 operator("g08_review_rules", "action_events", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY seq) AS n FROM action_events WHERE decision IN ('approve', 'reject')) SELECT action_id, seq, CASE WHEN n > 1 THEN 'ALREADY_REVIEWED' WHEN decision = 'reject' AND seq % 2 = 0 THEN 'NOTE_REQUIRED' ELSE 'OK' END AS code FROM r")
@@ -64,7 +64,7 @@ operator("a17_counters", "events", "SELECT user_id % 20 AS name, count_if(event_
 operator("a18_risk_level", "blocks", "SELECT source_id, CASE WHEN bool_or(check_status = 'fail') THEN 'high' WHEN bool_or(check_status = 'warn') THEN 'medium' ELSE 'low' END AS risk FROM blocks GROUP BY source_id")
 operator("a19_record_hash", "sources", "SELECT source_id, SHA('{\"name\":\"' || display_name || '\",\"size\":' || size_bytes || '}') AS content_hash FROM sources")
 operator("a23_governed_aggregate", "orders customer", "WITH v AS (SELECT c_mktsegment AS segment, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey) SELECT segment, count(*) AS n FROM v GROUP BY segment HAVING count(*) > 10 ORDER BY n DESC, segment")
-operator("w01_virtual_pages", "blocks", "WITH d AS (SELECT DISTINCT source_id, page_number FROM blocks) SELECT source_id % 20 AS bundle, source_id, page_number, row_number() OVER (PARTITION BY source_id % 20 ORDER BY source_id, page_number) AS virtual_page, page_number = 1 AS boundary_start FROM d")
+operator("w01_virtual_pages", "blocks", "WITH d AS (SELECT DISTINCT source_id, page_number FROM blocks) SELECT source_id % 20 AS bundle, source_id, page_number, cast(row_number() OVER (PARTITION BY source_id % 20 ORDER BY source_id, page_number) AS bigint) AS virtual_page, page_number = 1 AS boundary_start FROM d")
 operator("w12_question_memory", "conversations", "SELECT conv_id, turn, lag(text, 1) OVER w AS last_question, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS remembered FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 operator("j15_evidence", "blocks sources", "SELECT b.block_id, coalesce(s.display_name, 'unknown') AS filename, b.page_number, coalesce(b.engine, 0.5e0) AS confidence FROM blocks b LEFT JOIN sources s ON b.source_id = s.source_id")
 operator("j16_comparison_finding", "action_events", "WITH c AS (SELECT action_id AS id, array_sort(array(actor, drafter)) AS pair FROM action_events WHERE decision = 'submit'), f AS (SELECT action_id AS id, array_sort(array(drafter, actor)) AS pair FROM action_events WHERE decision = 'approve') SELECT c.id, array_join(c.pair, '|') AS pair, count(f.id) AS findings FROM c LEFT JOIN f ON c.id = f.id AND c.pair = f.pair GROUP BY c.id, c.pair")
@@ -76,12 +76,12 @@ operator("g04_approval_rules", "requests catalog", "SELECT r.request_id, CASE WH
 operator("g09_drafts", "requests", "SELECT request_id, 'Please review ' || resource || '.' || col || ' for ' || user_id || '.' AS body, substr(SHA('draft|' || request_id || '|' || col), 1, 16) AS action_id FROM requests")
 operator("g10_policy_checks", "documents", "SELECT doc_id, NOT regexp_like(lower(coalesce(text, '')), RE'\\b(fraud|false|deceptive|ineligible)\\b') AS banned_ok, NOT regexp_like(coalesce(text, ''), RE'[A-Za-z0-9.+-]+@[A-Za-z0-9-]+[.][A-Za-z]+|[0-9]{6,}') AS pii_ok, length(coalesce(text, '')) <= 4000 AS length_ok FROM documents")
 operator("g11_url_screen", "pages", "WITH u AS (SELECT page_id, lower(regexp_extract(url, RE'^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, RE'^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages) SELECT page_id, host, CASE WHEN scheme NOT IN ('http', 'https') THEN 'SCHEME' WHEN host = '' THEN 'NO_HOST' WHEN regexp_like(host, RE'^(10|127)[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]|^localhost$') THEN 'NON_PUBLIC' WHEN regexp_like(host, RE'(^|[.])example[.]net$') THEN 'DENIED' ELSE 'OK' END AS verdict FROM u")
-operator("r01_alert_dedup", "events", "SELECT event_type, user_id % 10 AS k, date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type NOT IN ('signup', 'error') GROUP BY event_type, user_id % 10, date_trunc('hour', ts)")
-operator("r03_login_alerts", "logins", "WITH i AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY username ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM logins) SELECT username, island, count(*) AS failures FROM i WHERE NOT success GROUP BY username, island HAVING count(*) >= 5")
-operator("r04_window_counters", "events", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
+operator("r01_alert_dedup", "events", "SELECT event_type, user_id % 10 AS k, cast(date_trunc('hour', ts) AS string) AS hour, count(*) AS n FROM events WHERE event_type NOT IN ('signup', 'error') GROUP BY event_type, user_id % 10, date_trunc('hour', ts)")
+operator("r03_login_alerts", "logins", "WITH i AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY username ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM logins) SELECT username, cast(island AS bigint) AS island, count(*) AS failures FROM i WHERE NOT success GROUP BY username, island HAVING count(*) >= 5")
+operator("r04_window_counters", "events", "SELECT cast(date_trunc('hour', ts) AS string) AS hour, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
 operator("r06_expired_grants", "grants", "SELECT grant_id, min(valid_until) AS expired_at FROM grants WHERE valid_until <= 300 GROUP BY grant_id")
 operator("f16_normal_text", "documents", "SELECT doc_id, SHA(lower(trim(regexp_replace_all_ws))) AS h FROM documents".replace("regexp_replace_all_ws", "translate(coalesce(text, ''), chr(10), ' ')"))
-operator("f19_garbage", "documents", "SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS garbage FROM documents")
+operator("f19_garbage", "documents", "SELECT doc_id, cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS bigint) AS garbage FROM documents")
 operator("f21_cell_names", "cells", "SELECT table_id, row, col, chr(cast(65 + col AS int)) || (row + 1) AS name FROM cells")
 operator("f22_file_names", "documents", "SELECT doc_id, CASE WHEN length(n) > 120 THEN substr(n, 1, 120) ELSE n END AS name FROM (SELECT doc_id, translate(substr(coalesce(text, ''), 1, 200), '/:*?<>|,;!$%&#@\"', '________________') AS n FROM documents) q")
 operator("f28_chart_or_figure", "regions spans", "WITH t AS (SELECT r.source_id, r.region_id, STRAGG(s.text BY s.line_no SEP ' ') AS text FROM regions r JOIN spans s ON s.source_id = r.source_id AND s.page_number = r.page_number AND s.line_no div 5 = r.region_id WHERE r.type = 'figure' GROUP BY r.source_id, r.region_id) SELECT source_id, region_id, CASE WHEN length(text) - length(translate(text, '0123456789', '')) >= 4 THEN 'chart' ELSE 'figure' END AS kind FROM t")

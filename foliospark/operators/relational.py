@@ -56,6 +56,7 @@ def duckdb(name: str) -> str:
     sql = _macro(OPERATORS[name][1], "UNROLL", _unroll("unnest"))
     sql = _macro(sql, "DOUBLED", lambda x: f"cast({x} AS double)")
     sql = _macro(sql, "SHA", lambda x: f"sha256({x})")
+    sql = _macro(sql, "count_if", lambda x: f"cast(COUNT_IF_({x}) AS bigint)").replace("COUNT_IF_(", "count_if(")  # else hugeint
     for a, b in _TO_DUCK:
         sql = re.sub(a, b, sql)
     return sql
@@ -88,7 +89,7 @@ operator("j07_same_box", "spans ocr_spans", "WITH a AS (SELECT *, UNROLL(array(f
 operator("j09_nearest_caption", "regions", """WITH f AS (SELECT * FROM regions WHERE type = 'figure'), c AS (SELECT * FROM regions WHERE type = 'caption'),
 p AS (SELECT f.source_id, f.page_number, f.region_id AS figure, c.region_id AS caption, greatest(0, greatest(c.y1 - f.y2, f.y1 - c.y2)) AS gap, least(f.x2, c.x2) - greatest(f.x1, c.x1) AS overlap, c.y2 - c.y1 AS h FROM f JOIN c ON f.source_id = c.source_id AND f.page_number = c.page_number)
 SELECT source_id, page_number, figure, caption, gap FROM (SELECT *, row_number() OVER (PARTITION BY source_id, page_number, figure ORDER BY gap, overlap DESC, caption) AS r FROM p WHERE gap <= 1.5 * h AND overlap > 0) q WHERE r = 1""")
-operator("j18_virtual_page_lookup", "blocks", "WITH v AS (SELECT source_id, page_number, row_number() OVER (PARTITION BY source_id % 20 ORDER BY source_id, page_number) AS virtual_page FROM (SELECT DISTINCT source_id, page_number FROM blocks) d) SELECT b.block_id, v.virtual_page FROM blocks b LEFT JOIN v ON b.source_id = v.source_id AND b.page_number = v.page_number")
+operator("j18_virtual_page_lookup", "blocks", "WITH v AS (SELECT source_id, page_number, cast(row_number() OVER (PARTITION BY source_id % 20 ORDER BY source_id, page_number) AS bigint) AS virtual_page FROM (SELECT DISTINCT source_id, page_number FROM blocks) d) SELECT b.block_id, v.virtual_page FROM blocks b LEFT JOIN v ON b.source_id = v.source_id AND b.page_number = v.page_number")
 operator("a05_consensus_vote", "spans ocr_spans", """WITH t AS (SELECT source_id, page_number, line_no, text, 1.0 * confidence AS w, confidence FROM spans UNION ALL SELECT source_id, page_number, line_no, text, 0.7 * confidence, confidence FROM ocr_spans),
 g AS (SELECT source_id, page_number, line_no, text, sum(w) AS w, count(*) AS n FROM t GROUP BY source_id, page_number, line_no, text), k AS (SELECT source_id, page_number, line_no, max_by(text, struct_pack_w) AS winner, count(*) AS groups, max(w) AS best, sum(w) AS total FROM (SELECT *, w * 10 + CASE WHEN n > 1 THEN 1 ELSE 0 END AS struct_pack_w FROM g) q GROUP BY source_id, page_number, line_no)
 SELECT source_id, page_number, line_no, winner, CASE WHEN groups = 1 THEN 'unanimous' WHEN best > 0.5 * total THEN 'majority' ELSE 'split' END AS agreement FROM k""")
@@ -101,12 +102,12 @@ operator("a13_handwriting", "ocr_spans", "SELECT source_id, page_number, count(*
 operator("a14_layout_class", "regions", """WITH p AS (SELECT source_id, page_number, sum(CASE WHEN type = 'table' THEN (x2 - x1) * (y2 - y1) ELSE 0 END) / nullif(sum((x2 - x1) * (y2 - y1)), 0) AS tables, count_if(type = 'figure') AS figures FROM regions GROUP BY source_id, page_number),
 c AS (SELECT source_id, page_number, count_if(gap > 40) + 1 AS columns FROM (SELECT source_id, page_number, (x1 + x2) / 2 - lag((x1 + x2) / 2) OVER (PARTITION BY source_id, page_number ORDER BY (x1 + x2) / 2) AS gap FROM regions) g GROUP BY source_id, page_number)
 SELECT p.source_id, p.page_number, CASE WHEN tables > 0.5 THEN 'table' WHEN figures > 1 THEN 'form' WHEN columns > 1 THEN 'multi_column' ELSE 'single_column' END AS layout FROM p JOIN c ON p.source_id = c.source_id AND p.page_number = c.page_number""")
-operator("w02_reading_index", "blocks", "SELECT block_id, row_number() OVER (PARTITION BY source_id ORDER BY page_number, y1, x1, line_no) - 1 AS reading_order_index FROM blocks")
+operator("w02_reading_index", "blocks", "SELECT block_id, cast(row_number() OVER (PARTITION BY source_id ORDER BY page_number, y1, x1, line_no) - 1 AS bigint) AS reading_order_index FROM blocks")
 operator("w13_paragraphs", "spans", """WITH g AS (SELECT *, CASE WHEN y1 - lag(y2) OVER (PARTITION BY source_id, page_number ORDER BY y1, line_no) > 1.5 * (y2 - y1) THEN 1 ELSE 0 END AS brk FROM spans), i AS (SELECT *, sum(brk) OVER (PARTITION BY source_id, page_number ORDER BY y1, line_no ROWS UNBOUNDED PRECEDING) AS island FROM g)
 SELECT source_id, page_number, cast(island AS bigint) AS paragraph, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_lines FROM i GROUP BY source_id, page_number, island""")
 operator("w14_rows_of_boxes", "ocr_spans", """WITH g AS (SELECT *, CASE WHEN (y1 + y2) / 2 - lag((y1 + y2) / 2) OVER (PARTITION BY source_id, page_number ORDER BY (y1 + y2) / 2, line_no) >= 0.6 * (y2 - y1) THEN 1 ELSE 0 END AS brk FROM ocr_spans)
 SELECT source_id, line_no, cast(sum(brk) OVER (PARTITION BY source_id, page_number ORDER BY (y1 + y2) / 2, line_no ROWS UNBOUNDED PRECEDING) AS bigint) AS grid_row FROM g""")
-operator("o01_line_order", "ocr_spans", "SELECT source_id, line_no, row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 5, 0), x1, line_no) AS native_pos, row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 10, 0), x1, line_no) AS ocr_pos FROM ocr_spans")
+operator("o01_line_order", "ocr_spans", "SELECT source_id, line_no, cast(row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 5, 0), x1, line_no) AS bigint) AS native_pos, cast(row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 10, 0), x1, line_no) AS bigint) AS ocr_pos FROM ocr_spans")
 operator("o06_order_agreement", "regions", """WITH r AS (SELECT source_id, page_number, region_id, row_number() OVER (PARTITION BY source_id, page_number ORDER BY y1, x1, region_id) AS a, row_number() OVER (PARTITION BY source_id, page_number ORDER BY floor(x2 / 200), y1, region_id) AS b FROM regions)
 SELECT p.source_id, p.page_number, count(*) AS pairs, count_if(p.b > q.b) AS inversions, round(1 - count_if(p.b > q.b) / DOUBLED(count(*)), 8) AS agreement FROM r p JOIN r q ON p.source_id = q.source_id AND p.page_number = q.page_number AND p.a < q.a GROUP BY p.source_id, p.page_number""")
 operator("o07_sidebars", "regions", "SELECT a.source_id, a.page_number, a.region_id FROM regions a LEFT SEMI JOIN regions b ON a.source_id = b.source_id AND a.page_number = b.page_number AND a.x2 - a.x1 < 0.5 * (b.x2 - b.x1) AND abs(a.region_id - b.region_id) <= 2")

@@ -249,12 +249,13 @@ def g02(spark, sf):
     return mine.agg(F.count("*").alias("row_estimate")).select(F.lit("sources").alias("tables"), F.lit(",".join(sorted(asked.columns))).alias("columns"), "row_estimate")
 
 
-@query("g05_grounding", "WITH c AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '\\d+'))) AS n FROM conversations), e AS (SELECT DISTINCT conv_id, turn + 1 AS turn, unnest(regexp_extract_all(coalesce(text, ''), '\\d+')) AS n FROM conversations) SELECT c.conv_id, c.turn, c.n AS ungrounded FROM c ANTI JOIN e ON c.conv_id = e.conv_id AND c.turn = e.turn AND c.n = e.n")
+@query("g05_grounding", "WITH c AS (SELECT substr(source_id, 3) AS claim, unnest(list_distinct(regexp_extract_all(text, '\\d[\\d,]*'))) AS n FROM statements WHERE source_id LIKE 'B-%'), e AS (SELECT substr(source_id, 3) AS claim, unnest(regexp_extract_all(text, '\\d[\\d,]*')) AS n FROM statements WHERE source_id LIKE 'A-%') SELECT DISTINCT c.claim, c.n AS ungrounded FROM c ANTI JOIN e ON c.claim = e.claim AND c.n = e.n", ("statements",))
 def g05(spark, sf):
-    n = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\d+"), F.lit(0)))).alias("n")
-    c = base(spark, sf, "conversations").select("conv_id", "turn", n)
-    e = c.withColumn("turn", F.col("turn") + 1)
-    return c.join(e, ["conv_id", "turn", "n"], "left_anti").withColumnRenamed("n", "ungrounded")
+    """Numbers that source B states and source A, its evidence, does not hold."""
+    n = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d[\d,]*"), F.lit(0)))).alias("n")
+    s = view(spark, sf, "statements").select(F.substring("source_id", 1, 1).alias("side"), F.expr("substr(source_id, 3)").alias("claim"), n).distinct()
+    claims, evidence = s.where("side = 'B'").drop("side"), s.where("side = 'A'").drop("side")
+    return claims.join(evidence, ["claim", "n"], "left_anti").withColumnRenamed("n", "ungrounded")
 
 
 #: state|event -> next state. Fixed values.
