@@ -152,10 +152,14 @@ def normal(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
 
 
+def garbage_count(s: Column) -> Column:
+    """Private-use and replacement characters of a text."""
+    return F.length(s) - F.length(F.regexp_replace(s, "[\ue000-\uf8ff\ufffd]", ""))
+
+
 def garbage_ratio(s: Column) -> Column:
     """Share of private-use and replacement characters."""
-    bad = F.length(s) - F.length(F.regexp_replace(s, "[-�]", ""))
-    return F.coalesce(F.try_divide(bad, F.length(s)), F.lit(0.0))
+    return F.coalesce(F.try_divide(garbage_count(s), F.length(s)), F.lit(0.0))
 
 
 def a1(row: Column, col: Column) -> Column:

@@ -7,10 +7,6 @@ from foliospark.operators.relational import operator
 # intake and routing of sources
 
 _EXT = "lower(regexp_extract(display_name, RE'[.]([^.]*)$', 1))"
-operator("s01_intake_manifest", "sources", f"""WITH m AS (SELECT *, {_EXT} AS ext, CASE WHEN text LIKE '#!%' THEN 'application/x-executable' WHEN lower(ltrim(text)) LIKE '<!doctype html%' OR lower(ltrim(text)) LIKE '<html%' THEN 'text/html' WHEN {_EXT} IN ('csv', 'tsv') THEN 'text/csv' WHEN {_EXT} IN ('md', 'markdown') THEN 'text/markdown' ELSE 'text/plain' END AS mime FROM sources)
-SELECT source_id, mime, CASE WHEN size_bytes = 0 THEN 'EMPTY_FILE' WHEN size_bytes > 52428800 THEN 'TOO_LARGE' WHEN mime = 'application/x-executable' THEN 'UNSUPPORTED_FORMAT' WHEN mime = 'text/plain' AND ext NOT IN ('txt', 'text') THEN 'FORMAT_MISMATCH' WHEN page_count > 1000 THEN 'TOO_LARGE' END AS code,
- CASE WHEN size_bytes = 0 OR size_bytes > 52428800 OR mime = 'application/x-executable' OR (mime = 'text/plain' AND ext NOT IN ('txt', 'text')) OR page_count > 1000 THEN 'rejected' ELSE 'accepted' END AS status FROM m""")
-operator("s02_sniff_type", "pages", "SELECT page_id, CASE WHEN html LIKE '%PDF%' AND html LIKE '\\%PDF%' THEN 'application/pdf' WHEN lower(ltrim(html)) LIKE '<!doctype html%' OR lower(ltrim(html)) LIKE '<html%' THEN 'text/html' WHEN lower(ltrim(html)) LIKE '<?xml%' THEN 'application/xml' WHEN lower(ltrim(html)) LIKE '{\\rtf%' THEN 'text/rtf' WHEN trim(html) <> '' THEN 'text/plain' END AS mime FROM pages".replace("html LIKE '%PDF%' AND html LIKE '\\%PDF%'", "substr(html, 1, 4) = '%PDF'").replace("lower(ltrim(html)) LIKE '{\\rtf%'", "substr(lower(ltrim(html)), 2, 4) = 'rtf1'"))
 operator("s03_extension_mismatch", "sources", f"""WITH t AS (SELECT 'text/plain' AS mime, 'txt' AS ext UNION ALL SELECT 'text/markdown', 'md' UNION ALL SELECT 'text/csv', 'csv' UNION ALL SELECT 'application/pdf', 'pdf'),
 s AS (SELECT source_id, {_EXT} AS ext, CASE source_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'text/markdown' ELSE 'text/csv' END AS mime FROM sources)
 SELECT s.source_id, CASE WHEN t.ext IS NOT NULL THEN 'match' WHEN s.mime = 'application/pdf' THEN 'warn' ELSE 'reject' END AS verdict FROM s LEFT JOIN t ON s.mime = t.mime AND s.ext = t.ext""")
@@ -18,7 +14,6 @@ operator("s04_duplicates", "sources", "WITH f AS (SELECT sha256, min(source_id)
 operator("s05_route", "spans", """WITH p AS (SELECT source_id, page_number, sum(length(text)) AS chars FROM spans GROUP BY source_id, page_number), c AS (SELECT source_id, CASE WHEN chars < 15 THEN 'blank' WHEN (source_id + page_number) % 9 = 0 THEN 'scanned' WHEN (source_id + page_number) % 11 = 0 THEN 'mixed' ELSE 'native_text' END AS cls FROM p)
 SELECT source_id, CASE WHEN bool_and(cls = 'blank') THEN 'blank_pdf' WHEN count(DISTINCT CASE WHEN cls <> 'blank' THEN cls END) = 1 THEN max(CASE WHEN cls <> 'blank' THEN cls END) || '_pdf' ELSE 'mixed_pdf' END AS route FROM c GROUP BY source_id""")
 operator("s06_page_class", "spans", "WITH p AS (SELECT source_id, page_number, sum(length(text)) AS chars, (source_id * 7 + page_number * 3) % 10 / 10e0 AS image_ratio FROM spans GROUP BY source_id, page_number) SELECT source_id, page_number, CASE WHEN chars < 15 THEN CASE WHEN image_ratio > 0 THEN 'image_only' ELSE 'blank' END WHEN image_ratio >= 0.6 THEN 'scanned' WHEN image_ratio >= 0.3 THEN 'mixed' ELSE 'native_text' END AS class FROM p")
-operator("a20_page_garbage", "spans", "SELECT source_id, page_number, round(sum(length(text) - length(replace(text, 'e', ''))) / DOUBLED(sum(length(text))), 8) AS garbage_ratio, sum(length(text) - length(replace(text, 'e', ''))) <= 0.2 * sum(length(text)) AS usable FROM spans GROUP BY source_id, page_number")
 operator("a22_distinct_warnings", "blocks", "SELECT DISTINCT source_id, page_number, 'CHECK_' || upper(check_status) AS code FROM blocks WHERE check_status <> 'pass'")
 operator("s13_flatten_blocks", "blocks", "WITH d AS (SELECT source_id, collect_list(block_id) AS ids FROM blocks GROUP BY source_id) SELECT source_id, UNROLL(ids AS block_id) FROM d")
 operator("s14_resource_sources", "sources", "SELECT source_id, display_name, size_bytes, page_count, uploaded_by, tenant_id FROM sources")
@@ -81,7 +76,4 @@ operator("r03_login_alerts", "logins", "WITH i AS (SELECT *, sum(CASE WHEN succe
 operator("r04_window_counters", "events", "SELECT cast(date_trunc('hour', ts) AS string) AS hour, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
 operator("r06_expired_grants", "grants", "SELECT grant_id, min(valid_until) AS expired_at FROM grants WHERE valid_until <= 300 GROUP BY grant_id")
 operator("f16_normal_text", "documents", "SELECT doc_id, SHA(lower(trim(regexp_replace_all_ws))) AS h FROM documents".replace("regexp_replace_all_ws", "translate(coalesce(text, ''), chr(10), ' ')"))
-operator("f19_garbage", "documents", "SELECT doc_id, cast(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(65533), '')) AS bigint) AS garbage FROM documents")
-operator("f21_cell_names", "cells", "SELECT table_id, row, col, chr(cast(65 + col AS int)) || (row + 1) AS name FROM cells")
-operator("f22_file_names", "documents", "SELECT doc_id, CASE WHEN length(n) > 120 THEN substr(n, 1, 120) ELSE n END AS name FROM (SELECT doc_id, translate(substr(coalesce(text, ''), 1, 200), '/:*?<>|,;!$%&#@\"', '________________') AS n FROM documents) q")
 operator("f28_chart_or_figure", "regions spans", "WITH t AS (SELECT r.source_id, r.region_id, STRAGG(s.text BY s.line_no SEP ' ') AS text FROM regions r JOIN spans s ON s.source_id = r.source_id AND s.page_number = r.page_number AND s.line_no div 5 = r.region_id WHERE r.type = 'figure' GROUP BY r.source_id, r.region_id) SELECT source_id, region_id, CASE WHEN length(text) - length(translate(text, '0123456789', '')) >= 4 THEN 'chart' ELSE 'figure' END AS kind FROM t")

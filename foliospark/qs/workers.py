@@ -136,12 +136,6 @@ def f03(spark, sf):
     return base(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.number_token(F.concat(F.lit("0."), F.lpad(cents.cast("string"), 2, "0"), F.lit("0"))).alias("token"))
 
 
-@query("f11_text_checks", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\\d+,,\\d+|\\d+\\.\\d+\\.\\d+') THEN 'warn' ELSE 'pass' END AS grouping, len(regexp_extract_all(coalesce(text, ''), '\\d+(?:\\.\\d+)?%')) AS percents FROM documents")
-def f11(spark, sf):
-    t = F.coalesce("text", F.lit(""))
-    return base(spark, sf, "documents").select("doc_id", F.when(t.rlike(r"\d+,,\d+|\d+\.\d+\.\d+"), "warn").otherwise("pass").alias("grouping"), F.size(F.regexp_extract_all(t, F.lit(r"\d+(?:\.\d+)?%"), F.lit(0))).cast("bigint").alias("percents"))
-
-
 @query("f12_iban", "SELECT c_custkey, (('3214282912345698765432' || lpad(c_custkey::VARCHAR, 2, '0')[-2:] || '1611' || '82')::HUGEINT) % 97 = 1 AS ok FROM customer")
 def f12(spark, sf):
     # a number whose last account digits vary by customer
@@ -149,13 +143,6 @@ def f12(spark, sf):
     return base(spark, sf, "customer").select("c_custkey", S.iban_ok(s).alias("ok"))
 
 
-@query("f13_luhn")
-def f13(spark, sf):
-    d = base(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b(?:\d[ -]?){13,19}\b"), F.lit(0))).alias("raw"))
-    n = F.regexp_replace("raw", r"\D", "")
-    return d.select("doc_id", n.alias("digits"), F.call_function("luhn_check", n).alias("ok"))
-
-
 @query("f14_masked_mail", "SELECT doc_id, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x01-\\x7F]', 'x', 'g'), '([\\w.+-])[\\w.+-]*@([\\w-]+\\.[\\w.]+)')) AS mails FROM documents")
 def f14(spark, sf):
     t = S.mask_text(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x01-\x7F]", "x"))
