@@ -49,6 +49,11 @@ x AS (
   SELECT t, n + 1, 0, 'Total' FROM n UNION ALL SELECT t, n + 1, 1, cast(CASE WHEN t % 7 = 0 THEN q + 1 ELSE q END AS {str}) FROM n UNION ALL SELECT t, n + 1, 2, {commas_e} FROM n)
 SELECT cast(t AS bigint) AS table_id, cast(1 + r {idiv} 3 AS bigint) AS page_number, cast(r AS bigint) AS row, cast(c AS bigint) AS col, 1 AS row_span, 1 AS col_span, r = 0 AS is_header, v AS raw_text,
   1e0 - ((t + r + c) % 5) / 20e0 AS confidence FROM x"""),
+    # the same tables as they lie on pages: rows counted anew on each, every other table repeats its header row
+    "fragments": (("cells",), """
+SELECT table_id, page_number, row - 3 * (page_number - 1) + CASE WHEN page_number > 1 AND table_id % 2 = 0 THEN 1 ELSE 0 END AS row, col, row_span, col_span, is_header, raw_text FROM cells UNION ALL
+SELECT h.table_id, p.page_number, cast(0 AS bigint), h.col, h.row_span, h.col_span, true, h.raw_text FROM cells h JOIN (SELECT DISTINCT table_id, page_number FROM cells) p ON h.table_id = p.table_id
+WHERE h.row = 0 AND p.page_number > 1 AND h.table_id % 2 = 0"""),
     # document lines with boxes, 40 to a page
     "spans": (("documents",), """
 SELECT doc_id AS source_id, cast(1 + n {idiv} 40 AS bigint) AS page_number, cast(n AS bigint) AS line_no, line AS text, 72e0 AS x1, 100e0 + 16 * (n % 40) AS y1,

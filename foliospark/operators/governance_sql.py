@@ -17,8 +17,6 @@ operator("s06_page_class", "spans", "WITH p AS (SELECT source_id, page_number, s
 operator("a22_distinct_warnings", "blocks", "SELECT DISTINCT source_id, page_number, 'CHECK_' || upper(check_status) AS code FROM blocks WHERE check_status <> 'pass'")
 operator("s13_flatten_blocks", "blocks", "WITH d AS (SELECT source_id, collect_list(block_id) AS ids FROM blocks GROUP BY source_id) SELECT source_id, UNROLL(ids AS block_id) FROM d")
 operator("s14_resource_sources", "sources", "SELECT source_id, display_name, size_bytes, page_count, uploaded_by, tenant_id FROM sources")
-operator("s15_markdown", "blocks", """SELECT source_id, STRAGG(CASE block_type WHEN 'heading' THEN '# ' || text WHEN 'equation' THEN '$$' || text || '$$' WHEN 'table' THEN '| ' || replace(text, '|', '/') || ' |' ELSE text END BY line_no SEP ' // ') AS markdown FROM blocks GROUP BY source_id""")
-operator("s16_export_table", "cells", "SELECT table_id, row, STRAGG('\"' || replace(raw_text, '\"', '\"\"') || '\"' BY col SEP ',') AS csv FROM cells GROUP BY table_id, row")
 operator("s17_export_manifest", "sources", "WITH i AS (SELECT tenant_id, source_id, SHA(cast(source_id AS string) || '|' || display_name || '|' || sha256) AS item_hash FROM sources) SELECT tenant_id, count(*) AS items, SHA(STRAGG(item_hash BY source_id SEP ',')) AS overall_hash FROM i GROUP BY tenant_id")
 operator("s18_export_history", "audit", "SELECT seq, actor_id, object_id FROM audit WHERE event_type = 'view' AND actor_id % 5 = 0 ORDER BY seq DESC")
 
@@ -75,5 +73,4 @@ operator("r01_alert_dedup", "events", "SELECT event_type, user_id % 10 AS k, cas
 operator("r03_login_alerts", "logins", "WITH i AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY username ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM logins) SELECT username, cast(island AS bigint) AS island, count(*) AS failures FROM i WHERE NOT success GROUP BY username, island HAVING count(*) >= 5")
 operator("r04_window_counters", "events", "SELECT cast(date_trunc('hour', ts) AS string) AS hour, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
 operator("r06_expired_grants", "grants", "SELECT grant_id, min(valid_until) AS expired_at FROM grants WHERE valid_until <= 300 GROUP BY grant_id")
-operator("f16_normal_text", "documents", "SELECT doc_id, SHA(lower(trim(regexp_replace_all_ws))) AS h FROM documents".replace("regexp_replace_all_ws", "translate(coalesce(text, ''), chr(10), ' ')"))
 operator("f28_chart_or_figure", "regions spans", "WITH t AS (SELECT r.source_id, r.region_id, STRAGG(s.text BY s.line_no SEP ' ') AS text FROM regions r JOIN spans s ON s.source_id = r.source_id AND s.page_number = r.page_number AND s.line_no div 5 = r.region_id WHERE r.type = 'figure' GROUP BY r.source_id, r.region_id) SELECT source_id, region_id, CASE WHEN length(text) - length(translate(text, '0123456789', '')) >= 4 THEN 'chart' ELSE 'figure' END AS kind FROM t")

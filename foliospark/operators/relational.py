@@ -110,7 +110,9 @@ SELECT source_id, line_no, cast(sum(brk) OVER (PARTITION BY source_id, page_numb
 operator("o01_line_order", "ocr_spans", "SELECT source_id, line_no, cast(row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 5, 0), x1, line_no) AS bigint) AS native_pos, cast(row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 10, 0), x1, line_no) AS bigint) AS ocr_pos FROM ocr_spans")
 operator("o06_order_agreement", "regions", """WITH r AS (SELECT source_id, page_number, region_id, row_number() OVER (PARTITION BY source_id, page_number ORDER BY y1, x1, region_id) AS a, row_number() OVER (PARTITION BY source_id, page_number ORDER BY floor(x2 / 200), y1, region_id) AS b FROM regions)
 SELECT p.source_id, p.page_number, count(*) AS pairs, count_if(p.b > q.b) AS inversions, round(1 - count_if(p.b > q.b) / DOUBLED(count(*)), 8) AS agreement FROM r p JOIN r q ON p.source_id = q.source_id AND p.page_number = q.page_number AND p.a < q.a GROUP BY p.source_id, p.page_number""")
-operator("o07_sidebars", "regions", "SELECT a.source_id, a.page_number, a.region_id FROM regions a LEFT SEMI JOIN regions b ON a.source_id = b.source_id AND a.page_number = b.page_number AND a.x2 - a.x1 < 0.5 * (b.x2 - b.x1) AND abs(a.region_id - b.region_id) <= 2")
+# a narrow region right of a wide one that it overlaps in height; every fifth region is moved to the margin of a page 800 wide
+operator("o07_sidebars", "regions", """WITH r AS (SELECT source_id, page_number, region_id, type, CASE WHEN region_id % 5 = 4 THEN 700e0 ELSE x1 END AS x1, CASE WHEN region_id % 5 = 4 THEN 780e0 ELSE least(x2, 690e0) END AS x2, CASE WHEN region_id % 5 = 4 THEN y1 - 60 ELSE y1 END AS y1, y2 FROM regions WHERE type = 'paragraph' OR type = 'table')
+SELECT a.source_id, a.page_number, a.region_id FROM r a LEFT SEMI JOIN r b ON a.source_id = b.source_id AND a.page_number = b.page_number AND a.x2 - a.x1 < 0.25 * 800 AND 0.25 * 800 < 0.5 * (b.x2 - b.x1) AND a.y1 < b.y2 AND a.y2 > b.y1 AND a.x1 >= b.x2 - 1""")
 
 # scoring
 
@@ -140,7 +142,12 @@ operator("a11_table_confidence", "cells", "SELECT table_id, round(avg(DOUBLED(co
 operator("a21_cell_cap", "cells", "SELECT table_id, row, col, raw_text, total FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row, col) AS r, count(*) OVER (PARTITION BY table_id) AS total FROM cells) q WHERE r <= 6")
 operator("f02_cell_numbers", "cells", f"SELECT table_id, row, col, CASE WHEN raw_text LIKE '%\\%' THEN try_cast(replace(raw_text, '%', '') AS bigint) ELSE {_N} END AS value, CASE WHEN regexp_like(raw_text, RE'^[0-9]+%$') THEN 'percent_strip' WHEN regexp_like(raw_text, RE'^[0-9,]*,[0-9,]*$') THEN 'strip_thousands_separator' WHEN regexp_like(raw_text, RE'^[0-9]+$') THEN 'plain_number' END AS rule FROM cells".replace("LIKE '%\\%'", "LIKE '%!%' ESCAPE '!'"))
 operator("j21_range_overlap", "cells", "WITH r AS (SELECT table_id, row AS r1, col AS c1, row + 1 AS r2, col + 1 AS c2 FROM cells) SELECT a.table_id, a.r1 AS row, a.c1 AS col, count(*) AS overlapping FROM r a JOIN r b ON a.table_id = b.table_id AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 GROUP BY a.table_id, a.r1, a.c1")
-operator("w06_continuation", "cells", """WITH p AS (SELECT table_id, page_number, max(col) + 1 AS n_cols, bool_or(is_header) AS header FROM cells GROUP BY table_id, page_number)
-SELECT table_id, page_number, coalesce(lag(n_cols) OVER (PARTITION BY table_id ORDER BY page_number) = n_cols AND NOT header, false) AS continues FROM p""")
-operator("w07_merge_chain", "cells", """WITH p AS (SELECT table_id, page_number, count(DISTINCT row) AS n_rows, min(row) AS first FROM cells GROUP BY table_id, page_number), o AS (SELECT *, coalesce(sum(n_rows) OVER (PARTITION BY table_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS row_offset, max(page_number) OVER (PARTITION BY table_id) AS last_page FROM p)
-SELECT c.table_id, c.page_number AS source_page, cast(c.row - o.first + o.row_offset AS bigint) AS merged_row, c.col, c.raw_text, 'pages 1-' || o.last_page AS caption FROM cells c JOIN o ON c.table_id = o.table_id AND c.page_number = o.page_number""")
+operator("w06_continuation", "fragments", """WITH p AS (SELECT table_id, page_number, max(col) + 1 AS n_cols, bool_or(is_header) AS header, STRAGG(CASE WHEN is_header THEN raw_text END BY col SEP '|') AS head FROM fragments GROUP BY table_id, page_number)
+SELECT table_id, page_number, coalesce(lag(n_cols) OVER (PARTITION BY table_id ORDER BY page_number) = n_cols AND (NOT header OR lag(head) OVER (PARTITION BY table_id ORDER BY page_number) = head), false) AS continues FROM p""")
+# rows that a fragment repeats from the start of the one before, three at most, fall away
+operator("w07_merge_chain", "fragments", """WITH s AS (SELECT table_id, page_number, row, STRAGG(col || ':' || row_span || ':' || col_span || ':' || raw_text BY col SEP '|') AS sig FROM fragments GROUP BY table_id, page_number, row),
+e AS (SELECT c.table_id, c.page_number, max(CASE WHEN c.row = 0 AND p.sig = c.sig THEN 1 ELSE 0 END) AS e0, max(CASE WHEN c.row = 1 AND p.sig = c.sig THEN 1 ELSE 0 END) AS e1, max(CASE WHEN c.row = 2 AND p.sig = c.sig THEN 1 ELSE 0 END) AS e2
+ FROM (SELECT * FROM s WHERE row < 3) c LEFT JOIN (SELECT table_id, page_number + 1 AS page_number, row, sig FROM s WHERE row < 3) p ON c.table_id = p.table_id AND c.page_number = p.page_number AND c.row = p.row GROUP BY c.table_id, c.page_number),
+n AS (SELECT f.table_id, f.page_number, max(f.row) + 1 AS n_rows, max(e0 + e0 * e1 + e0 * e1 * e2) AS dropped FROM fragments f JOIN e ON f.table_id = e.table_id AND f.page_number = e.page_number GROUP BY f.table_id, f.page_number),
+o AS (SELECT *, coalesce(sum(n_rows - dropped) OVER (PARTITION BY table_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - dropped AS row_offset, min(page_number) OVER (PARTITION BY table_id) AS first_page, max(page_number) OVER (PARTITION BY table_id) AS last_page FROM n)
+SELECT f.table_id, f.page_number AS source_page, f.row AS source_row, cast(f.row + o.row_offset AS bigint) AS merged_row, f.col, f.raw_text, CASE WHEN o.last_page > o.first_page THEN 'Continued across pages ' || o.first_page || '–' || o.last_page END AS caption FROM fragments f JOIN o ON f.table_id = o.table_id AND f.page_number = o.page_number WHERE f.row >= o.dropped""")

@@ -97,3 +97,8 @@ k AS (SELECT doc_id, n, regexp_extract(n, '^(.*)[.][^.]*$', 1) AS stem, regexp_e
 SELECT doc_id, CASE WHEN n = '' THEN 'file' WHEN length(n) <= 120 THEN n WHEN stem <> '' THEN substr(stem, 1, 100) || '.' || substr(ext, 1, 10) ELSE substr(n, 1, 120) END AS name FROM k""")
 def f22(spark, sf):
     return base(spark, sf, "documents").select("doc_id", S.file_name(F.expr(_NAME)).alias("name"))
+
+
+@query("f16_normal_text", "SELECT doc_id, sha256(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')))) AS h FROM documents")
+def f16(spark, sf):
+    return base(spark, sf, "documents").select("doc_id", F.sha2(S.normal(F.coalesce("text", F.lit(""))), 256).alias("h"))

@@ -177,14 +177,6 @@ def r07(spark, sf):
     return base(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("newest"), F.count("*").alias("n"))
 
 
-RENDERERS = {"count": lambda df: df.groupBy("source").agg(F.count("*").alias("n")), "chars": lambda df: df.groupBy("source").agg(F.sum("n_chars").alias("n"))}
-
-
-@query("u01_registry", "SELECT source, count(*) AS n FROM documents GROUP BY source")
-def u01(spark, sf):
-    return base(spark, sf, "documents").transform(RENDERERS["count"])
-
-
 def register_functions(spark) -> None:
     """Scalar functions for SQL users, inlined by the analyser."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION folio_mask_mail(s STRING) RETURNS STRING RETURN regexp_replace(s, r'([\\w.+-])[\\w.+-]*@([\\w-]+\\.[\\w.]+)', '$1***@$2')")
