@@ -47,12 +47,17 @@ def s10h(spark, sf):
     return base(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1)).alias("h1"), F.size(F.regexp_extract_all("html", F.lit("<li[ >]"), F.lit(0))).cast("bigint").alias("items"))
 
 
-@query("s11_text_blocks", """WITH l AS (SELECT doc_id, i, line, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^\\s*([-*•]|\\d+[.)]) ') THEN 'list' WHEN line LIKE '|%' THEN 'table' ELSE 'paragraph' END AS kind
- FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), unnest(a) WITH ORDINALITY AS u(line, i)),
-b AS (SELECT *, sum((kind <> coalesce(p, '') OR kind = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l))
-SELECT doc_id, block::BIGINT AS block, any_value(kind) AS block_type, string_agg(line, chr(10) ORDER BY i) AS text FROM b WHERE kind <> 'blank' GROUP BY doc_id, block""")
+_MD = "CASE doc_id % 3 WHEN 0 THEN '## Head' || chr(10) || '- one' || chr(10) || '2) two' || chr(10) || '| a | b|' || chr(10) || '|---|:---:|' || chr(10) || 'c|d' || chr(10) ELSE '' END || coalesce(text, '')"
+
+
+@query("s11_text_blocks", f"""WITH r AS (SELECT doc_id, i, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, string_split(replace(replace({_MD}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS a FROM documents), unnest(a) WITH ORDINALITY AS u(line, i)),
+l AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN s LIKE '```%' THEN 'code_fence' WHEN regexp_matches(s, '^#{{1,6}}\\s+') THEN 'heading' WHEN s LIKE '%|%' THEN 'table' WHEN regexp_matches(line, '^\\s*(?:[-*•+]\\s+|\\d+[.)]\\s+)') THEN 'list' ELSE 'paragraph' END AS kind
+ FROM r WHERE NOT (s LIKE '%|%' AND regexp_matches(s, '^[|]*\\s*:?-{{3,}}:?\\s*(?:[|]\\s*:?-{{3,}}:?\\s*)*[|]*$'))),
+b AS (SELECT *, sum((kind <> coalesce(p, '') OR kind IN ('heading', 'code_fence'))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l)),
+t AS (SELECT *, CASE kind WHEN 'heading' THEN regexp_replace(s, '^#{{1,6}}\\s+', '') WHEN 'table' THEN trim(regexp_replace(regexp_replace(s, '^[|]+|[|]+$', '', 'g'), '\\s*[|]\\s*', ' | ', 'g')) WHEN 'list' THEN regexp_replace(line, '^\\s*(?:[-*•+]\\s+|\\d+[.)]\\s+)', '• ') ELSE s END AS t FROM b)
+SELECT doc_id, block::BIGINT AS block, any_value(kind) AS block_type, max(CASE WHEN kind = 'heading' THEN length(regexp_extract(s, '^(#+)', 1)) ELSE 0 END)::BIGINT AS level, CASE WHEN any_value(kind) = 'paragraph' THEN string_agg(t, ' ' ORDER BY i) ELSE string_agg(t, chr(10) ORDER BY i) END AS text FROM t WHERE kind <> 'blank' GROUP BY doc_id, block""")
 def s11(spark, sf):
-    return D.text_blocks(base(spark, sf, "documents"))
+    return D.text_blocks(base(spark, sf, "documents").select("doc_id", F.expr(_MD).alias("text")))
 
 
 @query("s12_emails")

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Elements whose text is no content, and elements that end a block. Fixed values.
-SKIPPED = {"script", "style", "nav", "footer", "noscript", "template"}
-BLOCKS = {"p": "paragraph", "li": "list_item", "td": "cell", "th": "cell", "pre": "code", "blockquote": "paragraph", "figcaption": "caption"} | {f"h{i}": "heading" for i in range(1, 7)}
+#: Elements whose text is no content, marks of such regions, elements that form a block, and those without an end. Fixed values.
+SKIPPED = {"script", "style", "nav", "footer", "noscript"}
+MARKS = ("cookie-banner", "cookie-consent", "navbar", "navigation")
+BLOCKS = {"p": "paragraph", "li": "list_item", "pre": "paragraph", "blockquote": "paragraph", "figcaption": "paragraph"} | {f"h{i}": "heading" for i in range(1, 7)}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Blocks(HTMLParser):
@@ -21,26 +23,53 @@ class _Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.open, self.text, self.skip = [], None, [], 0
+        self.out, self.open, self.text = [], None, []
+        self.hidden, self.depth = None, 0  # the element that hides its content, and how many of its kind are open
+        self.rows, self.cell = None, None
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden:
+            self.depth += tag == self.hidden
+            return
         a = dict(attrs)
-        if tag in SKIPPED or "cookie" in (a.get("class") or "") + (a.get("id") or ""):
-            self.skip += 1 if tag not in ("img", "br", "meta", "link", "input", "hr") else 0
-        elif tag == "img" and a.get("alt") and not self.skip:
-            self.out.append(("image", 0, a["alt"]))
-        elif tag in BLOCKS and not self.skip:
+        marks = f"{a.get('class') or ''} {a.get('id') or ''}".lower()
+        if tag in SKIPPED or any(m in marks for m in MARKS):
+            if tag not in VOID:
+                self.hidden, self.depth = tag, 1
+        elif tag == "img":
+            self.out.append(("figure", 0, a.get("alt") or a.get("title") or "Embedded image"))
+        elif tag == "table":
+            self.rows, self.cell = [], None
+        elif self.rows is not None and tag == "tr":
+            self.rows.append([])
+        elif self.rows and tag in ("td", "th"):
+            self.cell = []
+        elif tag in BLOCKS and self.cell is None:
             self.flush()
             self.open = tag
+        elif tag == "br" and self.open:
+            self.text.append(" ")
 
     def handle_endtag(self, tag):
-        if self.skip and (tag in SKIPPED or tag in ("div", "section", "aside")):
-            self.skip -= tag in SKIPPED
+        if self.hidden:
+            self.depth -= tag == self.hidden
+            self.hidden = self.hidden if self.depth else None
+        elif tag in ("td", "th") and self.cell is not None:
+            self.rows[-1].append(" ".join("".join(self.cell).split()))
+            self.cell = None
+        elif tag == "table" and self.rows is not None:
+            if self.rows:
+                self.out.append(("table", 0, "\n".join(" | ".join(r) for r in self.rows)))
+            self.rows, self.cell = None, None
         elif tag == self.open:
             self.flush()
 
     def handle_data(self, data):
-        if self.open and not self.skip:
+        if self.hidden:
+            return
+        if self.cell is not None:
+            self.cell.append(data)
+        elif self.open:
             self.text.append(data)
 
     def flush(self):
@@ -51,7 +80,7 @@ class _Blocks(HTMLParser):
 
 
 def html_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """page_id, seq, block_type, level, text: headings, paragraphs, list items, cells and image texts in order.
+    """page_id, seq, block_type, level, text: headings, paragraphs, list items, tables and image texts in order.
 
     Map-only; null html gives no block."""
 
@@ -95,16 +124,34 @@ def csv_cells(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.select(id_col, "row", F.posexplode(F.split("line", F.concat(F.lit("["), "d", F.lit("]")))).alias("col", "value"))
 
 
-def text_blocks(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Blocks of plain or Markdown text: headings and list runs stand alone, blank lines end paragraphs."""
-    lines = df.select(id_col, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n", "line"))
-    kind = F.when(F.trim("line") == "", "blank").when(F.col("line").rlike("^#{1,6} "), "heading").when(F.col("line").rlike(r"^\s*([-*•]|\d+[.)]) "), "list").when(F.col("line").startswith("|"), "table").otherwise("paragraph")
+#: Lines that are list items, headings, and rules between the head and body of a table. Fixed values.
+ITEM, HEADING, RULE = r"^\s*(?:[-*•+]\s+|\d+[.)]\s+)", r"^#{1,6}\s+", r"^[|]*\s*:?-{3,}:?\s*(?:[|]\s*:?-{3,}:?\s*)*[|]*$"
+
+
+def text_blocks(df: DataFrame, id_col: str = "doc_id", text: str = "text", markdown: bool = True) -> DataFrame:
+    """id, block, block_type, level, text of plain or Markdown text; null and empty texts give no block.
+
+    Blank lines end a block, list runs stay together behind bullets, headings and code fences stand alone, lines
+    with bars form tables without their rules; the lines of a paragraph are joined by blanks.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    lines = df.select(id_col, F.posexplode(F.split(t, "\n")).alias("n", "line")).withColumn("s", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    s, plain = F.col("s"), F.when(F.col("line").rlike(ITEM), "list").otherwise("paragraph")
+    kind = F.when(s == "", "blank")
+    if markdown:
+        lines = lines.where(~(s.contains("|") & s.rlike(RULE)))
+        kind = kind.when(s.startswith("```"), "code_fence").when(s.rlike(HEADING), "heading").when(s.contains("|"), "table")
+    lines = lines.withColumn("kind", kind.otherwise(plain))
+    cells = F.trim(F.regexp_replace(F.regexp_replace(s, "^[|]+|[|]+$", ""), r"\s*[|]\s*", " | "))
+    k = F.col("kind")
+    shown = F.when(k == "heading", F.regexp_replace(s, HEADING, "")).when(k == "table", cells).when(k == "list", F.regexp_replace("line", ITEM, "• ")).otherwise(s)
     w = Window.partitionBy(id_col).orderBy("n")
-    lines = lines.withColumn("kind", kind)
-    new = (F.col("kind") != F.lag("kind", 1, "").over(w)) | (F.col("kind") == "heading")
+    new = (k != F.lag("kind", 1, "").over(w)) | k.isin("heading", "code_fence")
     lines = lines.withColumn("block", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = lines.where("kind <> 'blank'").groupBy(id_col, "block").agg(F.first("kind").alias("block_type"), F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
-    return out.select(id_col, "block", "block_type", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    level = F.when(k == "heading", F.length(F.regexp_extract(s, "^(#+)", 1))).otherwise(0).cast("bigint")
+    out = lines.where("kind <> 'blank'").groupBy(id_col, "block").agg(F.first("kind").alias("block_type"), F.max(level).alias("level"), F.array_sort(F.collect_list(F.struct("n", shown.alias("t")))).alias("l"))
+    body = F.transform("l", lambda x: x["t"])
+    return out.select(id_col, "block", "block_type", "level", F.when(F.col("block_type") == "paragraph", F.array_join(body, " ")).otherwise(F.array_join(body, "\n")).alias("text"))
 
 
 def json_value(raw: Column, path: str, kind: str) -> Column:

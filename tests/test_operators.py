@@ -88,11 +88,23 @@ def test_page_operators_do_not_depend_on_partitions(spark):
 def test_html_and_mail(spark):
     h = "<html><nav><p>menu</p></nav><h2>Head</h2><p>One <b>two</b></p><ul><li>x</li></ul><img alt='pic'><script>p()</script></html>"
     got = D.html_blocks(spark.createDataFrame([(1, h), (2, None)], "page_id long, html string")).orderBy("seq").collect()
-    assert [(r.block_type, r.level, r.text) for r in got] == [("heading", 2, "Head"), ("paragraph", 0, "One two"), ("list_item", 0, "x"), ("image", 0, "pic")]
+    assert [(r.block_type, r.level, r.text) for r in got] == [("heading", 2, "Head"), ("paragraph", 0, "One two"), ("list_item", 0, "x"), ("figure", 0, "pic")]
+    h = "<div class='Cookie-Banner'><div><p>ok?</p></div><p>more</p></div><p>kept</p><table><tr><th>a<td>b</td></tr><tr><td>1 <i>x</i></td></tr></table><p>open"
+    got = D.html_blocks(spark.createDataFrame([(1, h)], "page_id long, html string")).orderBy("seq").collect()
+    assert [(r.block_type, r.text) for r in got] == [("paragraph", "kept"), ("table", "b\n1 x"), ("paragraph", "open")]
     m = D.emails(spark.createDataFrame([("a", "From: x@y.z\nSubject: Hi\n\nBody\n\nMore")], "id string, raw string"), "id", "raw").collect()
     assert [r.kind for r in m] == ["metadata", "body", "body"]
 
 
+def test_text_blocks(spark):
+    t = "# One\r\nfirst\nline\n\n- a\n2) b\n| x | y |\n|---|:---:|\n1|2\n```\ncode"
+    df = spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id long, text string")
+    got = [(r.block_type, r.level, r.text) for r in D.text_blocks(df).orderBy("doc_id", "block").collect()]
+    assert got == [("heading", 1, "One"), ("paragraph", 0, "first line"), ("list", 0, "• a\n• b"), ("table", 0, "x | y\n1 | 2"), ("code_fence", 0, "```"), ("paragraph", 0, "code")]
+    got = [(r.block_type, r.text) for r in D.text_blocks(df, markdown=False).orderBy("doc_id", "block").collect()]
+    assert got[:2] == [("paragraph", "# One first line"), ("list", "• a\n• b")]
+
+
 def test_csv_delimiter(spark):
     got = D.csv_cells(spark.createDataFrame([(1, "a;b;c\n1;2;3\n4;5;6")], "id long, t string"), "id", "t").where("row = 2 and col = 2").collect()
     assert got[0].value == "6"
