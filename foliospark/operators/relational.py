@@ -146,8 +146,8 @@ operator("w06_continuation", "fragments", """WITH p AS (SELECT table_id, page_nu
 SELECT table_id, page_number, coalesce(lag(n_cols) OVER (PARTITION BY table_id ORDER BY page_number) = n_cols AND (NOT header OR lag(head) OVER (PARTITION BY table_id ORDER BY page_number) = head), false) AS continues FROM p""")
 # rows that a fragment repeats from the start of the one before, three at most, fall away
 operator("w07_merge_chain", "fragments", """WITH s AS (SELECT table_id, page_number, row, STRAGG(col || ':' || row_span || ':' || col_span || ':' || raw_text BY col SEP '|') AS sig FROM fragments GROUP BY table_id, page_number, row),
-e AS (SELECT c.table_id, c.page_number, max(CASE WHEN c.row = 0 AND p.sig = c.sig THEN 1 ELSE 0 END) AS e0, max(CASE WHEN c.row = 1 AND p.sig = c.sig THEN 1 ELSE 0 END) AS e1, max(CASE WHEN c.row = 2 AND p.sig = c.sig THEN 1 ELSE 0 END) AS e2
- FROM (SELECT * FROM s WHERE row < 3) c LEFT JOIN (SELECT table_id, page_number + 1 AS page_number, row, sig FROM s WHERE row < 3) p ON c.table_id = p.table_id AND c.page_number = p.page_number AND c.row = p.row GROUP BY c.table_id, c.page_number),
-n AS (SELECT f.table_id, f.page_number, max(f.row) + 1 AS n_rows, max(e0 + e0 * e1 + e0 * e1 * e2) AS dropped FROM fragments f JOIN e ON f.table_id = e.table_id AND f.page_number = e.page_number GROUP BY f.table_id, f.page_number),
+l AS (SELECT *, row < 3 AND sig = lag(sig) OVER (PARTITION BY table_id, row ORDER BY page_number) AND page_number - 1 = lag(page_number) OVER (PARTITION BY table_id, row ORDER BY page_number) AS same FROM s),
+e AS (SELECT table_id, page_number, max(row) + 1 AS n_rows, max(CASE WHEN row = 0 AND same THEN 1 ELSE 0 END) AS e0, max(CASE WHEN row = 1 AND same THEN 1 ELSE 0 END) AS e1, max(CASE WHEN row = 2 AND same THEN 1 ELSE 0 END) AS e2 FROM l GROUP BY table_id, page_number),
+n AS (SELECT table_id, page_number, n_rows, e0 + e0 * e1 + e0 * e1 * e2 AS dropped FROM e),
 o AS (SELECT *, coalesce(sum(n_rows - dropped) OVER (PARTITION BY table_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - dropped AS row_offset, min(page_number) OVER (PARTITION BY table_id) AS first_page, max(page_number) OVER (PARTITION BY table_id) AS last_page FROM n)
 SELECT f.table_id, f.page_number AS source_page, f.row AS source_row, cast(f.row + o.row_offset AS bigint) AS merged_row, f.col, f.raw_text, CASE WHEN o.last_page > o.first_page THEN 'Continued across pages ' || o.first_page || '–' || o.last_page END AS caption FROM fragments f JOIN o ON f.table_id = o.table_id AND f.page_number = o.page_number WHERE f.row >= o.dropped""")
