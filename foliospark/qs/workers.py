@@ -130,6 +130,14 @@ def w04(spark, sf):
     return e.select("tenant_id", head.alias("head"), F.size("e").cast("bigint").alias("n"))
 
 
+@query("w03_chain_verify_all")
+def w03(spark, sf):
+    """Every row of every tenant's chain, some rows tampered with, relinked or taken out after the log was written."""
+    log = J.audit_log(view(spark, sf, "audit").select("tenant_id", "seq", "event_type"))
+    hurt = {"hash": F.when(F.col("seq") % 211 == 5, "tampered").otherwise(F.col("hash")), "prev_hash": F.when(F.col("seq") % 401 == 7, "relinked").otherwise(F.col("prev_hash"))}
+    return J.verify_chain(log.withColumns(hurt).where("seq % 307 <> 11"))
+
+
 @query("r05_audit_chain", "WITH l AS (SELECT tenant_id, max(seq) AS last_seq, count(*) AS n FROM audit GROUP BY tenant_id) SELECT * FROM l", ("audit",))
 def r05(spark, sf):
     return view(spark, sf, "audit").groupBy("tenant_id").agg(F.max("seq").alias("last_seq"), F.count("*").alias("n"))

@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def with_time(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -84,7 +85,7 @@ def login_streaks_stream(logins: DataFrame, at: int = 5) -> DataFrame:
 
 def _chain(f: pd.DataFrame, prev: str) -> tuple[list[tuple], str]:
     out = []
-    for r in f.sort_values("seq").itertuples(index=False):
+    for r in f.sort_values("seq", kind="stable").itertuples(index=False):
         h = hashlib.sha256(f"{prev}{r.seq}|{r.event_type}".encode()).hexdigest()
         out.append((r.tenant_id, r.seq, prev, h))
         prev = h
@@ -103,6 +104,39 @@ def audit_chain(events: DataFrame) -> DataFrame:
     return events.groupBy("tenant_id").applyInPandas(run, _CHAIN)
 
 
+_GENESIS = "0" * 64
+
+
+def audit_log(events: DataFrame) -> DataFrame:
+    """The rows of `audit_chain` as a log stores them: with the event's type and its number n in the tenant's chain, from 1."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("seq", kind="stable")
+        out = pd.DataFrame(_chain(f, _GENESIS)[0], columns=["tenant_id", "seq", "prev_hash", "hash"])
+        return out.assign(n=range(1, len(f) + 1), event_type=f["event_type"].to_numpy())
+
+    return events.groupBy("tenant_id").applyInPandas(run, f"{_CHAIN}, n long, event_type string")
+
+
+def verify_chain(log: DataFrame) -> DataFrame:
+    """tenant_id, seq, gap, broken_link, hash_mismatch, problem (those that hold, or 'ok') for every row of an `audit_log`.
+
+    gap: the row before in the tenant's chain is missing, told by n, as seq runs over all tenants; broken_link: the
+    stored previous hash is not the hash of the last row that is there; hash_mismatch: the row does not give its own hash.
+    Rows cut off at the end of a chain leave no mark in it.
+    """
+    w = Window.partitionBy("tenant_id").orderBy("n", "seq")
+    own = F.sha2(F.concat("prev_hash", F.col("seq").cast("string"), F.lit("|"), F.coalesce("event_type", F.lit("None"))), 256)
+    tests = {
+        "gap": F.col("n") - F.lag("n", 1, 0).over(w) != 1,
+        "broken_link": ~F.col("prev_hash").eqNullSafe(F.lag("hash", 1, _GENESIS).over(w)),
+        "hash_mismatch": ~F.col("hash").eqNullSafe(own),
+    }
+    found = F.array_compact(F.array(*[F.when(F.col(k), k) for k in tests]))
+    problem = F.when(F.size(found) > 0, F.array_join(found, ",")).otherwise("ok")
+    return log.select("tenant_id", "seq", *[c.alias(k) for k, c in tests.items()]).withColumn("problem", problem)
+
+
 def audit_chain_stream(events: DataFrame) -> DataFrame:
     """The same as a stream; a tenant's last hash is its state."""
 
