@@ -73,25 +73,36 @@ def partitions_for(n_bytes: float, each: float, least: int) -> int:
     return int(max(least, -(-n_bytes // each)))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table of longs: (node, component), component the smallest node reachable.
 
-    Each round joins every node to the smallest label among its neighbours and then jumps to that label's own
-    label, so long chains halve. Nothing is collected but the count of changes. Self-loops keep single nodes.
+    Each round hooks every node to its least neighbour, if that is less, follows the pointers to their roots by
+    doubling, and goes on with the graph of roots. A root that stays a root in two rounds has taken in a node, as a
+    neighbour that hooked elsewhere brings it next to a smaller root. So the nodes that still have edges halve in two
+    rounds at least, in whatever order the ids run along a chain. Nothing is collected but whether rows are left.
+    Self-loops keep single nodes.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = stored(pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = stored(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l")))
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("x").alias("y"), F.col("l").alias("m")), "y").groupBy("x").agg(F.min("m").alias("m"))
-        step = labels.join(near, "x").select("x", F.least("l", "m").alias("n"), "l")
-        # a label is itself a node: its smallest label is one hop nearer to the root
-        jump = labels.select(F.col("x").alias("n"), F.col("l").alias("j"))
-        new = stored(step.join(jump, "n").select("x", F.least("n", "j").alias("k"), "l"))
-        changed = new.where("k <> l").limit(1).count()
-        labels = new.select("x", F.col("k").alias("l"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components: labels still change after {most_rounds} rounds")
-    return labels.select(F.col("x").alias("node"), F.col("l").alias("component"))
+    graph, rounds = both.where("x <> y"), []
+    while graph.limit(1).count():
+        up = stored(graph.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("p")))
+        while True:
+            # a pointer leads to a smaller node, so no cycle; a root points to itself
+            jump = up.select(F.col("x").alias("p"), F.col("p").alias("q"))
+            far = stored(up.join(jump, "p").select("x", "p", "q"))
+            up = far.select("x", F.col("q").alias("p"))
+            if not far.where("p <> q").limit(1).count():
+                break
+        rounds.append(up)
+        ends = graph.join(up, "x").select(F.col("p").alias("x"), "y").join(up.select(F.col("x").alias("y"), F.col("p").alias("q")), "y")
+        graph = stored(ends.select("x", F.col("q").alias("y")).where("x <> y").distinct())
+    labels = None
+    for up in reversed(rounds):
+        if labels is not None:
+            up = stored(up.join(labels.select(F.col("x").alias("p"), F.col("p").alias("q")), "p", "left").select("x", F.coalesce("q", "p").alias("p")))
+        labels = up
+    nodes = both.select(F.col("x").alias("node")).distinct()
+    if labels is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(labels, F.col("node") == F.col("x"), "left").select("node", F.coalesce("p", "node").alias("component"))
