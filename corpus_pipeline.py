@@ -41,8 +41,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token shares by source, language and topic meet their targets."""
-    return mix_sources(docs).select(*COLUMNS)
+    """A sample of as many tokens as came in, whose shares by source, language and topic meet their targets; rare cells repeat."""
+    return mix_sources(docs, size=1.0).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

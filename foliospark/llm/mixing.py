@@ -50,11 +50,13 @@ def rake(cells: DataFrame, dims: list[str], temper: dict[str, float], targets: d
 
 def mix_sources(df: DataFrame, *, dims: dict[str, Column] | None = None, tokens: Column | None = None, id_col: str = "doc_id",
                 text: str = "text", temper: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None,
-                rate: float = 1.0, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+                rate: float = 1.0, size: float | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
     """The sampled rows of df with columns __<dimension>, n_tokens, weight and rate.
 
     weight is a cell's raked share over its token share; a document is kept with probability proportional to it,
-    scaled so that the most wanted cell is kept at `rate`. The draw is a hash of the id, so a rerun keeps the
+    scaled so that the most wanted cell is kept at `rate`. So one rare cell can shrink all others; with `size`, the
+    expected sample is that share of all tokens instead, and a document whose rate exceeds 1 is repeated: whole copies,
+    and one more by the draw for the fraction. The draw is a hash of the id, so a rerun keeps the
     same rows. Null dimension values form a value of their own; documents without text carry no tokens and keep
     their cell's rate (0 in a cell without tokens); repeated rows are drawn alike; an empty table gives no rows; columns of
     df named like an added one are replaced.
@@ -67,11 +69,18 @@ def mix_sources(df: DataFrame, *, dims: dict[str, Column] | None = None, tokens:
     raked = rake(cells, names, {f"__{d}": p for d, p in temper.items()}, {f"__{d}": x for d, x in (targets or {}).items()}, rounds)
     all_ = cells.groupBy().agg(F.sum("tokens").cast("double").alias("__all"))
     w = raked.crossJoin(F.broadcast(all_)).withColumn("weight", F.col("share") / (F.col("tokens") / F.col("__all")))
-    most = w.groupBy().agg(F.max("weight").alias("__most"))
-    w = w.crossJoin(F.broadcast(most)).select(*names, "weight", (F.col("weight") / F.col("__most") * F.lit(float(rate))).alias("rate"))
+    if size is None:
+        most = w.groupBy().agg(F.max("weight").alias("__most"))
+        w = w.crossJoin(F.broadcast(most)).select(*names, "weight", (F.col("weight") / F.col("__most") * F.lit(float(rate))).alias("rate"))
+    else:
+        w = w.select(*names, "weight", (F.col("weight") * F.lit(float(size))).alias("rate"))
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return rows.join(stored(w), names).where(draw < F.col("rate"))
+    drawn = rows.join(stored(w), names)
+    if size is None:
+        return drawn.where(draw < F.col("rate"))
+    copies = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(copies, F.lit(1))))).where(F.col("__copy") <= copies).drop("__copy")
 
 
 def oracle() -> str:
