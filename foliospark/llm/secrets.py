@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency; DataFrame functions only.
 
 Base kinds are found by regular expressions; every candidate value is hashed and counted over the whole corpus by
-distinct repositories (documents) and owners (sources). A value that several owners hold is a copied example; a
-value of one owner that looks generated is reported as `live`.
+distinct repositories (documents) and owners (sources). A value that several owners or many documents hold is a copied
+example; a value of one owner and few documents that looks generated is reported as `live`.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ KINDS = (
 )
 LIVE = "live"
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
+_HELD = "array<struct<start:bigint,end:bigint,kind:string,owners:bigint,docs:bigint>>"
 
 
 def _spans(text: Column, whole: Column, value: Column, rank: int) -> Column:
@@ -57,17 +58,18 @@ def _count(kind: str) -> Column:
 
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", owner: str = "source", keep: list[str] | None = None,
-         most_owners: int = 1, least_length: int = 16, least_distinct: int = 8) -> DataFrame:
-    """The columns `keep` with n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example and live (spans).
+         most_owners: int = 1, most_docs: int = 16, least_length: int = 16, least_distinct: int = 8) -> DataFrame:
+    """The columns `keep` with n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, live (spans) and held.
 
-    A value is live when at most `most_owners` owners hold it and it has `least_length` characters,
+    held has every base span with the numbers of owners and of distinct documents that hold its value. A value is live when at most `most_owners`
+    owners and `most_docs` distinct documents hold it and it has `least_length` characters,
     `least_distinct` of them different, and both letters and digits; other values are examples. Texts are read
     once; the corpus counts run over the few candidates, first by (value, owner, document), so a value that a
     third of all rows hold arrives combined. Null text: no spans. A null owner counts as one owner, a null id as
     one document; repeated rows each give a row and count once; an empty table gives no rows; kept columns named like
     a result are replaced by it.
     """
-    made = {*(f"n_{k}" for k, *_ in KINDS), "base_sha256", "spans", "n_live", "n_example", "live"}
+    made = {*(f"n_{k}" for k, *_ in KINDS), "base_sha256", "spans", "n_live", "n_example", "live", "held"}
     keep = [c for c in ([id_col] if keep is None else keep) if c not in made]
     # own names, so that no column of the input can clash
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__keep"), F.col(f"`{id_col}`").cast("string").alias("__doc"), F.col(f"`{owner}`").cast("string").alias("__owner"), F.col(f"`{text}`").alias("__text"))
@@ -80,9 +82,10 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", owner: st
     v = F.col("s.value")
     looks = (F.length(v) >= least_length) & (F.size(F.array_distinct(F.split(v, ""))) >= least_distinct) & v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     live = F.struct((F.col("s.end") - F.length(v)).alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit(LIVE).alias("kind"), F.col("s.end").alias("end"), v.alias("value"))
-    is_live = (F.col("owners") <= most_owners) & looks
+    is_live = (F.col("owners") <= most_owners) & (F.col("docs") <= most_docs) & looks
     judged = each.join(held, "__h").groupBy("__row").agg(
-        F.array_sort(F.collect_set(F.when(is_live, live))).alias("__live"), F.count(F.when(~is_live, 1)).alias("n_example")
+        F.array_sort(F.collect_set(F.when(is_live, live))).alias("__live"), F.count(F.when(~is_live, 1)).alias("n_example"),
+        F.array_sort(F.collect_list(F.struct("s.start", "s.end", "s.kind", "owners", "docs"))).alias("__held"),
     )
     none = F.array().cast(_SPAN)
     out = base.join(judged, "__row", "left").withColumn("__live", F.coalesce("__live", none))
@@ -95,6 +98,7 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text: str = "text", owner: st
         F.size("__live").cast("bigint").alias("n_live"),
         F.coalesce("n_example", F.lit(0)).cast("bigint").alias("n_example"),
         F.col("__live").alias("live"),
+        F.coalesce("__held", F.array().cast(_HELD)).alias("held"),
     )
 
 
