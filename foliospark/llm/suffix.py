@@ -5,7 +5,7 @@ Equal strings hold equal anchors at equal places, so only suffixes at anchors ne
 and only those whose anchor bytes occur twice in the corpus; all others are dropped before any text moves.
 
 The contexts of what remains meet by anchor, bucket by bucket. There their suffixes are sorted: multikey quicksort
-over eight-byte characters to a shallow depth, then blind tries for the groups that still agree. So are the
+over eight-byte characters to a shallow depth, then a pivot partition (in place of blind tries) for the groups that still agree. So are the
 reversed left contexts. Common prefixes of neighbours in both orders tell, for every string through an anchor, in
 which class of equal strings it is; all but the earliest of a class are removed.
 """
@@ -81,7 +81,7 @@ def deep_shallow(rows: np.ndarray, group: np.ndarray, shallow: int = 16) -> tupl
         order, group = _refine(order, group, open_, part.view(">u8").ravel().astype(np.uint64))
         depth += 8
     base = np.full(n, min(depth, width))  # bytes known to agree within a group
-    while len(open_ := _open(group)):  # blind tries: one full comparison a row and level, with the group's first row
+    while len(open_ := _open(group)):  # a pivot partition in place of blind tries: one full comparison a row and level, with the group's first row
         g = group[open_]
         head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         pivot = np.repeat(order[open_[head]], np.diff(np.r_[head, len(g)]))
