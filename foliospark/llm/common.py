@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests), a folder of our own is set."""
+    """The folder all executors share. Only on one machine (tests), where the session names none, one of our own is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_foliospark_shared", None) or tempfile.mkdtemp(prefix="foliospark-")
         spark._foliospark_shared = found
     spark.sparkContext.setCheckpointDir(found)
@@ -23,11 +25,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+
+    The table stays until `discard` or `release`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._foliospark_tables = {*getattr(spark, "_foliospark_tables", ()), path}
+    got = spark.read.schema(df.schema).parquet(path)
+    got._foliospark_path = path
+    return got
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables. Only for those whose every reader has been written itself."""
+    for df in tables:
+        if path := getattr(df, "_foliospark_path", None):
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            spark._foliospark_tables.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that `stored` has left in this session, once the results that read them are written."""
+    for path in list(getattr(spark, "_foliospark_tables", ())):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        spark._foliospark_tables.discard(path)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -84,23 +109,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
     both = stored(pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    graph, rounds = both.where("x <> y"), []
+    graph, last, rounds = both.where("x <> y"), None, []
     while graph.limit(1).count():
-        up = stored(graph.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("p")))
+        up = held = stored(graph.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("p")))
         while True:
             # a pointer leads to a smaller node, so no cycle; a root points to itself
             jump = up.select(F.col("x").alias("p"), F.col("p").alias("q"))
             far = stored(up.join(jump, "p").select("x", "p", "q"))
-            up = far.select("x", F.col("q").alias("p"))
+            discard(held)
+            up, held = far.select("x", F.col("q").alias("p")), far
             if not far.where("p <> q").limit(1).count():
                 break
-        rounds.append(up)
+        rounds.append((up, held))
         ends = graph.join(up, "x").select(F.col("p").alias("x"), "y").join(up.select(F.col("x").alias("y"), F.col("p").alias("q")), "y")
         graph = stored(ends.select("x", F.col("q").alias("y")).where("x <> y").distinct())
+        if last is not None:
+            discard(last)
+        last = graph
     labels = None
-    for up in reversed(rounds):
+    for up, held in reversed(rounds):
         if labels is not None:
             up = stored(up.join(labels.select(F.col("x").alias("p"), F.col("p").alias("q")), "p", "left").select("x", F.coalesce("q", "p").alias("p")))
+            discard(held, *([labels] if hasattr(labels, "_foliospark_path") else []))
         labels = up
     nodes = both.select(F.col("x").alias("node")).distinct()
     if labels is None:

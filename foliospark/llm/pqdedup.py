@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import components, stored
+from foliospark.llm.common import components, mix, stored
 from foliospark.llm.maxscore import finite, matrix
 
 
@@ -37,30 +37,82 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Quantiser:
     """Coarse centres and per-subspace codebooks of residuals, fitted on a bounded sample of unit vectors."""
 
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codes: int, margin: float):
-        self.margin = margin
+    def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codes: int, reach: float):
+        self.reach = reach + 1e-9
         self.centres = kmeans(sample, lists, 8, 1)
+        self.between = np.sqrt(squared(self.centres, self.centres))
         res = sample - self.centres[nearest(sample, self.centres)[0]]
         self.cuts = [s for s in np.array_split(np.arange(sample.shape[1]), subspaces) if len(s)]
         self.books = [kmeans(res[:, s], codes, 6, 2) for s in self.cuts]
 
     def place(self, x: np.ndarray):
-        """(home list, lists to probe, codes, error of the coded vector) of unit vectors."""
+        """(home list, bits of the lists to probe, codes, error of the coded vector) of unit vectors.
+
+        A list is probed when the plane between its centre and the home centre is at most half the reach away."""
         d = squared(x, self.centres)
         home = d.argmin(1)
-        probes = d <= d.min(1)[:, None] + self.margin
+        probes = d - d.min(1)[:, None] <= self.reach * self.between[home] + 1e-9
         res = x - self.centres[home]
         codes = np.stack([nearest(res[:, s], b)[0] for s, b in zip(self.cuts, self.books, strict=True)], 1)
         back = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
-        return home, [np.flatnonzero(p) for p in probes], codes.astype(np.int16), np.linalg.norm(res - back, axis=1)
-
-    def distances(self, queries: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric: per query a table of its residual against each codebook, summed by the members' codes."""
-        res = queries - self.centres[home]
-        out = np.zeros((len(queries), len(codes)))
-        for m, (s, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            out += squared(res[:, s], b)[:, codes[:, m]]
-        return np.sqrt(out)
+        return home, np.packbits(probes, axis=1), codes.astype(np.uint8), np.linalg.norm(res - back, axis=1)
+
+    def search(self, q: _Side, m: _Side, lists: np.ndarray, threshold: float, chunk: int = 1024):
+        """(query, member, whether only this side finds the pair) of all linked pairs, from the lists that queries probe."""
+        found = [[], [], []]
+        for b in np.flatnonzero(lists):
+            mine = np.flatnonzero(m.home == b)
+            asks = np.flatnonzero(q.probes[:, b])
+            if not len(mine) or not len(asks):
+                continue
+            um = m.x[mine]
+            # how far a member lies from the plane between this list and each other one
+            gap = np.maximum(self.between[b], 1e-12)
+            away = (squared(um, self.centres) - squared(um, self.centres[b : b + 1])) / (2 * gap)
+            away[:, self.between[b] <= 1e-12] = 0
+            for at in range(0, len(asks), chunk):
+                k = asks[at : at + chunk]
+                uq, home = q.x[k], q.home[k]
+                near = (squared(uq, self.centres[b : b + 1])[:, 0] - ((uq - self.centres[home]) ** 2).sum(1)) / (2 * gap[home])
+                near[self.between[b][home] <= 1e-12] = 0
+                i, j = np.nonzero(away[:, home].T <= (self.reach + 1e-9 - near)[:, None])
+                i, j = self._near(uq - self.centres[b], i, j, m.codes[mine], self.reach + m.err[mine])
+                if len(i) * 16 > len(k) * len(mine):
+                    cos = (uq @ um.T)[i, j]
+                else:
+                    cos = np.concatenate([(uq[i[s : s + 65536]] * um[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+                ok = (cos >= threshold) & (q.ids[k[i]] != m.ids[mine[j]])
+                i, j = k[i[ok]], mine[j[ok]]
+                found[0].append(i), found[1].append(j), found[2].append(~m.probes[j, q.home[i]])
+        return tuple(np.concatenate(f) if f else np.zeros(0, t) for f, t in zip(found, (np.int64, np.int64, bool), strict=True))
+
+    def _near(self, res: np.ndarray, i: np.ndarray, j: np.ndarray, codes: np.ndarray, most: np.ndarray, step: int = 4):
+        """Of pairs (i, j) those that the asymmetric distance leaves: per query a table of its residual against each
+        codebook, summed over the members' codes; a pair whose sum is too large already goes early."""
+        total, most = np.zeros(len(i)), most * most
+        for first in range(0, len(self.cuts), step):
+            for c in range(first, min(first + step, len(self.cuts))):
+                table = squared(res[:, self.cuts[c]], self.books[c])
+                total += table.ravel()[i * table.shape[1] + codes[j, c]]
+            left = total <= most[j]
+            i, j, total = i[left], j[left], total[left]
+        return i, j
+
+
+class _Side:
+    """The queries or the members of a block as arrays."""
+
+    def __init__(self, t: pa.Table, lists: int):
+        self.ids, self.home, self.err = t["id"].to_numpy(), t["home"].to_numpy(), t["err"].to_numpy()
+        self.x = unit(matrix(t["v"], np.float64))
+        self.codes = np.stack([np.frombuffer(c, np.uint8) for c in t["codes"].to_pylist()]).astype(np.int64)
+        self.probes = np.unpackbits(np.stack([np.frombuffer(p, np.uint8) for p in t["probes"].to_pylist()]), axis=1, count=lists) > 0
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; scaled first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,22 +132,28 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, sample: int = 16384,
-                    most_lists: int = 1024, subspaces: int = 16, codes: int = 128, margin: float = 0.2, block: int = 512) -> DataFrame:
+                    most_lists: int = 1024, subspaces: int = 16, codes: int = 128, members: int = 4096, queries: int = 32768) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector, linked at cosine >= threshold.
 
     Equal vectors form one class and only classes are searched. The quantiser is fitted on about `sample` classes
-    drawn by hash (the documented bound); every class is then indexed in its home list and probes each list whose
-    centre is at most `margin` (squared distance) farther than its nearest. A coded distance rules a member out
-    only if its own coding error cannot explain it, so within the probed lists nothing is lost before the exact
-    cosine. Long lists are split in blocks of `block` members and queries; of the links of a block only counts and
-    a spanning forest leave it, so no group is expanded into pairs. A link found from one side counts for both.
+    drawn by hash, with at most `most_lists` lists (the documented bounds); every class is then indexed in its home
+    list and probes every list it could be linked with first. With r the distance of unit vectors at the threshold: the
+    distances of two linked vectors to the plane between their home centres add up to r at most, so the nearer one
+    lies within r / 2 of it and probes the other's list. No link is lost: neither to the probes, nor to the coded
+    distances, which rule a member out only if its own coding error cannot explain them, before the exact cosine.
+
+    Lists that lie side by side are dealt in groups of about `members` classes (longer lists are split), and classes
+    ask a group once for all lists they probe there, `queries` at a time. Of the links of a block only counts and a
+    spanning forest leave it, so no group of copies is expanded into pairs. A link found from one side counts for both.
+
     Vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different
-    lengths never link; repeated rows are vectors of their own; an empty table gives no rows.
+    lengths never link; rows without an id are left out; repeated rows are vectors of their own; an empty table gives
+    no rows; other columns are not read.
     """
     spark = df.sparkSession
     v = F.col(f"`{vector}`").cast("array<double>")
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), v.alias("v"))
-    good = finite(F.col("v")) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0)
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), v.alias("v")).where("vec_id is not null")
+    good = finite(F.col("v")) & (F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))) > 0)
     classes = stored(rows.where(good).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
     found = None
     for dim, total in sorted(tuple(r) for r in classes.groupBy(F.size("v")).count().collect()):  # lengths: one, as a rule
@@ -104,9 +162,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector: str = "emb
         x = matrix(part.limit(2 * sample).toArrow()["v"], np.float64)
         if not len(x):
             x = matrix(own.select("v").limit(1).toArrow()["v"], np.float64)
-        x = x / np.abs(x).max(1)[:, None]
-        pq = Quantiser(x / np.linalg.norm(x, axis=1)[:, None], min(most_lists, max(1, math.isqrt(total))), min(subspaces, dim), codes, margin)
-        got = _links(own, spark.sparkContext.broadcast(pq), threshold, block)
+        pq = Quantiser(unit(x), min(most_lists, max(1, math.isqrt(total))), min(subspaces, dim), min(codes, 256), math.sqrt(max(0.0, 2 - 2 * threshold)))
+        got = _links(own, spark.sparkContext.broadcast(pq), threshold, members, -(-total // queries))
         found = got if found is None else found.unionByName(got)
     ids = rows.withColumn("ok", F.coalesce(good, F.lit(False)))
     if found is None:
@@ -121,53 +178,67 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector: str = "emb
     return hit.unionByName(miss).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _links(classes: DataFrame, held, threshold: float, block: int) -> DataFrame:
+def _groups(pq: Quantiser, sizes: dict[int, int], members: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per list its group and into how many parts the list is split; lists side by side share a group."""
+    order = np.argsort(pq.centres @ np.linalg.svd(pq.centres - pq.centres.mean(0), full_matrices=False)[2][0])
+    group, parts, g, held = np.zeros(len(order), np.int32), np.ones(len(order), np.int32), 0, 0
+    for b in order.tolist():
+        n = sizes.get(b, 0)
+        if held and held + n > members:
+            g, held = g + 1, 0
+        group[b], parts[b], held = g, max(1, -(-n // members)), held + n
+    return group, parts
+
+
+def _links(classes: DataFrame, held, threshold: float, members: int, turns: int) -> DataFrame:
     """(a, b, links): counts of linked vectors per class (b null), and edges of a spanning forest per block."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
 
     def place(batches):
         for b in batches:
-            x = matrix(b.column("v"), np.float64)
-            x = x / np.abs(x).max(1)[:, None]
-            home, probes, codes, err = held.value.place(x / np.linalg.norm(x, axis=1)[:, None])
-            cols = [b.column("id"), b.column("n"), b.column("v"), pa.array(home, pa.int32()), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array(list(codes), pa.list_(pa.int16())), pa.array(err)]
+            home, probes, codes, err = held.value.place(unit(matrix(b.column("v"), np.float64)))
+            cols = [b.column("id"), b.column("n"), b.column("v"), pa.array(home, pa.int32()), pa.array([p.tobytes() for p in probes], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err)]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "v", "home", "probes", "codes", "err"])
 
-    placed = stored(classes.select("id", "n", "v").mapInArrow(place, "id long, n long, v array<double>, home int, probes array<int>, codes array<smallint>, err double"))
-    asks = placed.select("id", "n", "v", "home", F.explode("probes").alias("list"))
-    members = placed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / block).cast("int").alias("mb"))
-    queries = asks.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("qb"))
-    sizes = stored(members.join(queries, "list"))  # one row a list
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    right = placed.withColumnRenamed("home", "list").join(F.broadcast(sizes), "list").select("list", deal("mb", 1).alias("i"), every("qb").alias("j"), "id", "n", "v", "probes", "codes", "err")
-    left = asks.join(F.broadcast(sizes), "list").select("list", every("mb").alias("i"), deal("qb", 2).alias("j"), *[F.col(c).alias(f"q_{c}") for c in ("id", "n", "v", "home")])
-
-    def run(key, queries: pa.Table, members: pa.Table) -> pa.Table:
+    indexed = "id long, n long, v array<double>, home int, probes binary, codes binary, err double"
+    placed = stored(classes.select("id", "n", "v").mapInArrow(place, indexed))
+    sizes = {r["home"]: r["count"] for r in placed.groupBy("home").count().collect()}  # at most a row a list
+    group, parts = _groups(held.value, sizes, members)
+    most = np.array([parts[group == g].max() for g in range(group.max() + 1)])  # parts of the group's lists
+    salts = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+    def deal(batches):
+        """Each class once a turn as a member of its home list, and once a group and part as a query."""
+        for b in batches:
+            ids, home = b.column("id").to_numpy(), b.column("home").to_numpy()
+            h = [(mix(ids.astype(np.uint64) + s) >> np.uint64(1)).astype(np.int64) for s in salts]
+            k = np.repeat(np.arange(len(ids)), turns)
+            rows = [(group[home[k]], h[0][k] % parts[home[k]], np.tile(np.arange(turns), len(ids)), np.zeros(len(k), bool), k)]
+            asked = np.unpackbits(np.stack([np.frombuffer(p, np.uint8) for p in b.column("probes").to_pylist()]), axis=1, count=len(group)) > 0
+            for g in range(len(most)):
+                k = np.flatnonzero(asked[:, group == g].any(1))
+                for i in range(most[g]):
+                    rows.append((np.full(len(k), g), np.full(len(k), i), h[1][k] % turns, np.ones(len(k), bool), k))
+            g, i, j, q, k = (np.concatenate(c) for c in zip(*rows, strict=True))
+            for a in range(0, len(k), len(ids)):  # as many rows a batch as came in
+                s = slice(a, a + len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(g[s], pa.int32()), pa.array(i[s], pa.int32()), pa.array(j[s], pa.int32()), pa.array(q[s]), *b.take(pa.array(k[s])).columns], names=["g", "i", "j", "q", *b.schema.names])
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         out = ([], [], [])
-        if len(queries) and len(members):
-            q, m = matrix(queries["q_v"], np.float64), matrix(members["v"], np.float64)
-            scaled = lambda x: x / np.abs(x).max(1)[:, None]
-            uq, um = (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(scaled(q)), (lambda x: x / np.linalg.norm(x, axis=1)[:, None])(scaled(m))
-            est = held.value.distances(uq, key[0].as_py(), matrix(members["codes"], np.int64))
-            a, b = np.nonzero(est <= reach + members["err"].to_numpy()[None, :])
-            qi, mi, qn, mn = queries["q_id"].to_numpy(), members["id"].to_numpy(), queries["q_n"].to_numpy(), members["n"].to_numpy()
-            differ = qi[a] != mi[b]
-            a, b = a[differ], b[differ]
-            linked = (uq[a] * um[b]).sum(1) >= threshold
-            a, b = a[linked], b[linked]
-            # a member that does not probe the query's home finds the query nowhere else
-            home, probes = queries["q_home"].to_numpy(), [set(p) for p in members["probes"].to_pylist()]
-            one_way = np.array([home[x] not in probes[y] for x, y in zip(a, b, strict=True)], bool)
+        is_query = t["q"].to_numpy()
+        q, m = t.filter(pa.array(is_query)), t.filter(pa.array(~is_query))
+        if len(q) and len(m):
+            a, b, one_way = held.value.search(*(_Side(x, len(group)) for x in (q, m)), group == key[0].as_py(), threshold)
+            qi, mi, qn, mn = q["id"].to_numpy(), m["id"].to_numpy(), q["n"].to_numpy(), m["n"].to_numpy()
             counts = np.bincount(a, weights=mn[b], minlength=len(qi)), np.bincount(b[one_way], weights=qn[a[one_way]], minlength=len(mi))
             for ids, c in zip((qi, mi), counts, strict=True):
                 k = np.flatnonzero(c)
                 out[0].append(ids[k]), out[1].append(np.full(len(k), -1)), out[2].append(c[k].astype(np.int64))
             nodes, at = np.unique(np.r_[qi[a], mi[b]], return_inverse=True)
             root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
-            out[0].append(nodes), out[1].append(nodes[root]), out[2].append(np.zeros(len(nodes), np.int64))
-        a, b, c = [np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out]
-        return pa.table({"a": a, "b": pa.array(b, mask=b < 0) if not len(b) or b.min() < 0 else pa.array(b), "links": c})
+            free = np.concatenate(out[0]) if out[0] else np.zeros(0, np.int64)
+            return pa.table({"a": np.r_[free, nodes], "b": pa.array(np.r_[free, nodes[root]], mask=np.arange(len(free) + len(nodes)) < len(free)), "links": np.r_[np.concatenate(out[2]), np.zeros(len(nodes), np.int64)]})
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
 
-    key = ("list", "i", "j")
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "a long, b long, links long")
+    dealt = placed.mapInArrow(deal, "g int, i int, j int, q boolean, " + indexed)
+    return dealt.groupBy("g", "i", "j").applyInArrow(run, "a long, b long, links long")

@@ -43,7 +43,7 @@ def tool_messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     of four cases for the call two turns before, and the user's next turn is its result in six of seven."""
     key = F.concat_ws(":", F.lit("tool"), "conv_id", "turn")
     m = conversations.withColumn("h", F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")).withColumn("d", F.md5(F.coalesce("text", F.lit(""))))
-    call = lambda t: F.concat(F.lit("call-"), F.col("conv_id"), F.lit("-"), t)
+    call = lambda t: F.concat(F.lit("call-"), t)
     limit = F.when(F.col("h") % 5 == 0, F.concat(F.lit('"'), F.col("turn"), F.lit('"'))).otherwise(F.col("turn").cast("string"))
     lang = F.when(F.col("h") % 11 == 0, F.lit("")).otherwise(F.lit(',"lang":"en"'))
     args = F.when(F.col("h") % 13 == 0, F.lit('{"text_md5":')).otherwise(F.concat(F.lit('{"text_md5":"'), "d", F.lit('", "limit": '), limit, lang, F.lit("}")))
@@ -51,7 +51,7 @@ def tool_messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", call(F.col("turn")).alias("call_id"), F.element_at(F.array(*[F.lit(t) for t in sorted(TOOLS)]), (1 + F.col("h") % 3).cast("int")).alias("name"),
         args.alias("arguments"), F.when((F.col("h") % 4 != 0) & (F.col("turn") >= 2), F.array(call(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"), "turn",
     )
-    results = m.where("role = 'user' and turn > 0 and h % 7 <> 0").select(call(F.col("turn") - 1).alias("call_id"), "turn", F.col("d").alias("content"))
+    results = m.where("role = 'user' and turn > 0 and h % 7 <> 0").select("conv_id", call(F.col("turn") - 1).alias("call_id"), "turn", F.col("d").alias("content"))
     return calls, results
 
 
@@ -62,13 +62,13 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP2 = """WITH RECURSIVE m AS (SELECT *, ('0x' || substr(md5('tool:' || conv_id || ':' || turn), 1, 8))::BIGINT AS h, md5(coalesce(text, '')) AS d FROM conversations),
-c AS (SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, ['lookup','search','summarise'][1 + h % 3] AS name, h, d,
+c AS (SELECT conv_id, turn, 'call-' || turn AS call_id, ['lookup','search','summarise'][1 + h % 3] AS name, h, d,
   h % 4 <> 0 AND turn >= 2 AS waits FROM m WHERE role = 'assistant'),
 k AS (SELECT c.*, p.turn AS dep FROM c LEFT JOIN c p ON c.waits AND p.conv_id = c.conv_id AND p.turn = c.turn - 2),
 l AS (SELECT conv_id, turn, 0 AS level FROM k WHERE dep IS NULL UNION ALL SELECT k.conv_id, k.turn, l.level + 1 FROM k JOIN l ON k.conv_id = l.conv_id AND k.dep = l.turn),
-r AS (SELECT 'call-' || conv_id || '-' || (turn - 1) AS call_id, d AS content FROM m WHERE role = 'user' AND turn > 0 AND h % 7 <> 0),
-j AS (SELECT k.conv_id, coalesce(k.call_id, r.call_id) AS call_id, k.name, k.turn, l.level, k.h, k.d, k.waits, k.dep, r.content, k.call_id IS NOT NULL AS is_call
-  FROM k JOIN l USING (conv_id, turn) FULL JOIN r ON k.call_id = r.call_id),
+r AS (SELECT conv_id, 'call-' || (turn - 1) AS call_id, d AS content FROM m WHERE role = 'user' AND turn > 0 AND h % 7 <> 0),
+j AS (SELECT coalesce(k.conv_id, r.conv_id) AS conv_id, coalesce(k.call_id, r.call_id) AS call_id, k.name, k.turn, l.level, k.h, k.d, k.waits, k.dep, r.content, k.call_id IS NOT NULL AS is_call
+  FROM k JOIN l USING (conv_id, turn) FULL JOIN r ON k.conv_id = r.conv_id AND k.call_id = r.call_id),
 e AS (SELECT *, list_filter([
   CASE WHEN is_call AND h % 13 = 0 THEN 'invalid_json' END,
   CASE WHEN is_call AND h % 13 <> 0 AND name = 'search' AND h % 11 = 0 THEN 'missing:lang' END,
