@@ -57,47 +57,39 @@ class Quantiser:
         back = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
         return home, np.packbits(probes, axis=1), codes.astype(np.uint8), np.linalg.norm(res - back, axis=1)
 
-    def search(self, q: _Side, m: _Side, lists: np.ndarray, threshold: float, chunk: int = 1024):
-        """(query, member, whether only this side finds the pair) of all linked pairs, from the lists that queries probe."""
+    def search(self, q: _Side, m: _Side, lists: np.ndarray, threshold: float, chunk: int = 512):
+        """(query, member, whether only this side finds the pair) of all linked pairs, from the lists that queries probe.
+
+        Asymmetric distances: |q - c - b|^2 of query q, centre c and coded residual b is |q - c|^2 + |c + b|^2 - |c|^2 less
+        twice the product of q with each subspace's code word. Those products are one table per query; a member's are looked
+        up by its codes and summed. A member stays when its own coding error could explain the distance."""
         found = [[], [], []]
-        for b in np.flatnonzero(lists):
-            mine = np.flatnonzero(m.home == b)
-            asks = np.flatnonzero(q.probes[:, b])
-            if not len(mine) or not len(asks):
-                continue
-            um = m.x[mine]
-            # how far a member lies from the plane between this list and each other one
-            gap = np.maximum(self.between[b], 1e-12)
-            away = (squared(um, self.centres) - squared(um, self.centres[b : b + 1])) / (2 * gap)
-            away[:, self.between[b] <= 1e-12] = 0
-            for at in range(0, len(asks), chunk):
-                k = asks[at : at + chunk]
-                uq, home = q.x[k], q.home[k]
-                near = (squared(uq, self.centres[b : b + 1])[:, 0] - ((uq - self.centres[home]) ** 2).sum(1)) / (2 * gap[home])
-                near[self.between[b][home] <= 1e-12] = 0
-                i, j = np.nonzero(away[:, home].T <= (self.reach + 1e-9 - near)[:, None])
-                i, j = self._near(uq - self.centres[b], i, j, m.codes[mine], self.reach + m.err[mine])
-                if len(i) * 16 > len(k) * len(mine):
-                    cos = (uq @ um.T)[i, j]
+        own = {b: np.flatnonzero(m.home == b) for b in np.flatnonzero(lists)}
+        most = ((self.reach + m.err) ** 2 + 1e-4).astype(np.float32)  # single precision is off by far less
+        back = np.concatenate([w[m.codes[:, c]] for c, w in enumerate(self.books)], 1)
+        fixed = (((self.centres[m.home] + back) ** 2).sum(1) - (self.centres[m.home] ** 2).sum(1)).astype(np.float32)
+        order = np.argsort(q.home, kind="stable")
+        for at in range(0, len(order), chunk):
+            k = order[at : at + chunk]
+            tables = [(-2 * w @ q.x[k][:, s].T).astype(np.float32) for s, w in zip(self.cuts, self.books, strict=True)]
+            for b, mine in own.items():
+                ask = np.flatnonzero(q.probes[k, b])
+                if not len(mine) or not len(ask):
+                    continue
+                total = fixed[mine][:, None] + ((q.x[k[ask]] - self.centres[b]) ** 2).sum(1).astype(np.float32)
+                for c, table in enumerate(tables):
+                    total += table[:, ask][m.codes[mine, c]]
+                j, i = np.nonzero(total <= most[mine][:, None])
+                i, j = k[ask[i]], mine[j]
+                if len(i) * 16 > total.size:
+                    cos = (m.x[mine] @ q.x[k[ask]].T)[total <= most[mine][:, None]]
                 else:
-                    cos = np.concatenate([(uq[i[s : s + 65536]] * um[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)] or [np.zeros(0)])
-                ok = (cos >= threshold) & (q.ids[k[i]] != m.ids[mine[j]])
-                i, j = k[i[ok]], mine[j[ok]]
+                    cos = np.concatenate([(q.x[i[s : s + 65536]] * m.x[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+                ok = (cos >= threshold) & (q.ids[i] != m.ids[j])
+                i, j = i[ok], j[ok]
                 found[0].append(i), found[1].append(j), found[2].append(~m.probes[j, q.home[i]])
         return tuple(np.concatenate(f) if f else np.zeros(0, t) for f, t in zip(found, (np.int64, np.int64, bool), strict=True))
 
-    def _near(self, res: np.ndarray, i: np.ndarray, j: np.ndarray, codes: np.ndarray, most: np.ndarray, step: int = 4):
-        """Of pairs (i, j) those that the asymmetric distance leaves: per query a table of its residual against each
-        codebook, summed over the members' codes; a pair whose sum is too large already goes early."""
-        total, most = np.zeros(len(i)), most * most
-        for first in range(0, len(self.cuts), step):
-            for c in range(first, min(first + step, len(self.cuts))):
-                table = squared(res[:, self.cuts[c]], self.books[c])
-                total += table.ravel()[i * table.shape[1] + codes[j, c]]
-            left = total <= most[j]
-            i, j, total = i[left], j[left], total[left]
-        return i, j
-
 
 class _Side:
     """The queries or the members of a block as arrays."""
@@ -132,7 +124,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, sample: int = 16384,
-                    most_lists: int = 1024, subspaces: int = 16, codes: int = 128, members: int = 4096, queries: int = 32768) -> DataFrame:
+                    most_lists: int = 1024, subspaces: int = 8, codes: int = 128, members: int = 4096, queries: int = 32768) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector, linked at cosine >= threshold.
 
     Equal vectors form one class and only classes are searched. The quantiser is fitted on about `sample` classes
