@@ -129,11 +129,25 @@ class Scorer:
         return sums / np.maximum(size, 1)[:, None], size, letters
 
 
+def tail_bound(own: np.ndarray, rate: float, body: float = 0.9, shape: float = 0.5, least: float = 0.014) -> float:
+    """A value that a share of at most `rate` of such values exceeds.
+
+    A generalised Pareto tail of a stated, heavy shape is laid on what exceeds the quantile `body`. Its scale comes from
+    the median excess (`least` at least, for small samples), which a few mislabelled values do not move.
+    """
+    if not len(own):
+        return np.inf
+    start = np.quantile(own, body)
+    over = own[own > start] - start
+    middle = max(np.median(over) if len(over) else 0.0, least)
+    return float(start + middle * (((1 - body) / rate) ** shape - 1) / (2**shape - 1))
+
+
 class Identifier:
-    """What learn() makes and identify() uses: the scorer, and per language the mean and spread of entropies."""
+    """What learn() makes and identify() uses: the scorer, and per language the entropy from which a text is rejected."""
 
-    def __init__(self, scorer: Scorer, mean: np.ndarray, spread: np.ndarray, slack: float, sure_from: int):
-        self.scorer, self.mean, self.spread, self.slack, self.sure_from = scorer, mean, spread, slack, sure_from
+    def __init__(self, scorer: Scorer, bound: np.ndarray, sure_from: int):
+        self.scorer, self.bound, self.sure_from = scorer, bound, sure_from
 
     def __call__(self, texts: list[str]):
         ce, _, letters = self.scorer.entropies(texts)
@@ -142,28 +156,30 @@ class Identifier:
         best = ce.argmin(1)
         low = ce[np.arange(len(ce)), best]
         score = 1 / np.exp(np.minimum((low[:, None] - ce) * 20, 0)).sum(1)
-        rejected = (letters == 0) | ((letters >= self.sure_from) & (low > self.mean[best] + self.slack * self.spread[best]))
+        rejected = (letters == 0) | ((letters >= self.sure_from) & (low > self.bound[best]))
         none = letters == 0
         pred = ["und" if z else self.scorer.langs[k] for k, z in zip(best, none, strict=True)]
         return pred, np.where(none, 0.0, score), np.where(none, np.nan, low), rejected
 
 
-def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 3000, slack: float = 20.0, sure_from: int = 40) -> Identifier:
+def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 3000, most_langs: int = 256,
+          false_rejection: float = 5e-4, sure_from: int = 40) -> Identifier:
     """An Identifier from labelled rows.
 
-    The models are fitted on a bounded sample: about `per_lang` rows of each language, drawn by a hash of the key
-    (a documented bound, so fitting does not grow with the corpus); a quarter of the sample calibrates the
-    rejection instead. A text is rejected when it has at least `sure_from` letters and its best entropy lies
-    `slack` spreads above what that language's own texts have, or when it has no letter at all.
+    The models are fitted on a bounded sample: about `per_lang` rows of each language, drawn by a hash of the key, of
+    the `most_langs` languages with the most rows (documented bounds, so fitting does not grow with the corpus); a
+    quarter of the sample calibrates the rejection instead. A text is rejected when it has no letter at all, or at
+    least `sure_from` letters and a best entropy that a share of at most `false_rejection` of that language's own
+    texts reaches, by the tail of their held-out entropies (`tail_bound`). Rows with a null text or label teach nothing.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit("langid")), F.lit(1 << 20)).alias("h")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
-        return Identifier(Scorer("", {}), np.zeros(0), np.zeros(0), slack, sure_from)
+        return Identifier(Scorer("", {}), np.zeros(0), sure_from)
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 20)))])
-    sample = rows.where(F.col("h") < F.element_at(bound, F.col("lang")))
+    sample = rows.where(F.col("h") < F.try_element_at(bound, F.col("lang")))
     to_fit, to_set = sample.where("h % 4 <> 0"), sample.where("h % 4 = 0")
 
     def letters(batches):
@@ -201,11 +217,9 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
             use = [i for i, k in enumerate(at) if k >= 0 and n[i] >= sure_from]
             yield pa.RecordBatch.from_arrays([pa.array([at[i] for i in use], pa.int64()), pa.array([float(ce[i, at[i]]) for i in use], pa.float64())], names=["k", "ce"])
 
-    stats = to_set.select("text", "lang").mapInArrow(measured, "k long, ce double").groupBy("k").agg(F.avg("ce").alias("m"), F.stddev_pop("ce").alias("s")).collect()
-    mean, spread = np.full(len(models), np.inf), np.zeros(len(models))
-    for r in stats:
-        mean[r["k"]], spread[r["k"]] = r["m"], max(r["s"] or 0.0, 0.05)
-    return Identifier(scorer, mean, spread, slack, sure_from)
+    # at most a quarter of the bounded sample, two numbers a row
+    held = to_set.select("text", "lang").mapInArrow(measured, "k long, ce double").toPandas()
+    return Identifier(scorer, np.array([tail_bound(held["ce"][held["k"] == k].to_numpy(), false_rejection) for k in range(len(models))]), sure_from)
 
 
 def identify(df: DataFrame, model: Identifier, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
