@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,27 +11,49 @@ from pyspark.sql.window import Window
 from foliospark.llm.common import stored
 
 #: Target share of each value of a dimension: its token share to this power, brought to a sum of one.
-TEMPER = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-ROUNDS = 12
+TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+#: Rounds after which raking stops even if the targets are not met, and rounds between two looks at how far off they are.
+ROUNDS, EVERY = 200, 8
+#: What counts as one token. Held against a byte-level BPE file the count is 0.91 of its tokens with a spread of 4 per
+#: cent by document, and within 5 per cent of that for each language; a quarter of the bytes spreads by 7 and 18.
+PIECE = r"[A-Za-z]{1,3}|\p{L}|\p{N}{1,2}|[^\t-\r \p{L}\p{N}]{1,2}"
+#: Words (or their beginnings) that speak for a topic.
+TOPICS = {
+    "legal": ("license", "copyright", "warrant", "rights", "reserved", "permission", "liab"),
+    "technical": ("token", "password", "secret", "api_key", "http", "function", "return", "import"),
+    "contact": ("email", "e-mail", "phone", "call ", "contact", "address"),
+}
+#: A topic needs one of its words in so many characters.
+STRETCH = 4000
+_WORDS = "(?:^|[^a-z])(" + "|".join(w for ws in TOPICS.values() for w in ws) + ")"
 
 
 def tokens_of(text: Column) -> Column:
-    """Estimated tokens: a quarter of the UTF-8 bytes, rounded up."""
-    return F.floor((F.coalesce(F.octet_length(text), F.lit(0)) + 3) / 4).cast("bigint")
+    """Estimated tokens: a text's pieces (see PIECE), null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(PIECE)), F.lit(0)).cast("bigint")
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic that needs no model."""
+    """The topic with the most words in the text, the first one listed among equals; `general` where they are too few."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(t.contains("icense"), "license").when(F.length(t) < 400, "short").otherwise("prose")
+    found = F.regexp_extract_all(F.lower(t), F.lit(_WORDS), F.lit(1))
+    count = lambda words: F.size(F.filter(found, lambda w: w.isin(*words)))
+    n = {k: count(words) for k, words in TOPICS.items()}
+    best = F.greatest(*n.values())
+    out = F.when((best == 0) | (best * STRETCH < F.length(t)), "general")
+    for k, c in n.items():
+        out = out.when(c == best, k)
+    return out
 
 
-def rake(cells: DataFrame, dims: list[str], temper: dict[str, float], targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, every: int = 4) -> DataFrame:
+def rake(cells: DataFrame, dims: list[str], temper: dict[str, float], targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, every: int = EVERY, tolerance: float = 1e-13) -> DataFrame:
     """cells (dims, tokens) with `share`, raked until each dimension's sums meet its targets.
 
     `targets` may give a table (dimension, target) of shares per dimension, bounded as the dimension's values
     are; else `temper` forms them from the tokens. A round scales the cells to one dimension after another; only
-    the table of cells, never documents, is shuffled.
+    the table of cells, never documents, is shuffled. After every `every` rounds the sums are compared with the targets:
+    raking ends when none is off by more than `tolerance`, or after `rounds` rounds, as cells that are missing can make
+    targets that contradict each other.
     """
     total = cells.groupBy().agg(F.sum("tokens").cast("double").alias("__all"))
     w = cells.crossJoin(F.broadcast(total)).withColumn("share", F.col("tokens") / F.col("__all")).drop("__all")  # total: one row
@@ -39,13 +63,18 @@ def rake(cells: DataFrame, dims: list[str], temper: dict[str, float], targets: d
             sums = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(temper[d]))).alias("__p"))
             t = sums.crossJoin(F.broadcast(sums.groupBy().agg(F.sum("__p").alias("__s")))).select(d, (F.col("__p") / F.col("__s")).alias("target"))
         w = w.join(t.select(F.col(d), F.col("target").alias(f"__t_{d}")), d)
-    for k in range(rounds):
-        if k % every == 0:
-            w = stored(w)
-        for d in dims:
-            now = F.sum("share").over(Window.partitionBy(d))
-            w = w.withColumn("share", F.when(now > 0, F.col("share") * F.col(f"__t_{d}") / now).otherwise(0.0))
-    return stored(w.drop(*[f"__t_{d}" for d in dims]))
+    w = stored(w)
+    for done in range(0, rounds, every):
+        for _ in range(min(every, rounds - done)):
+            for d in dims:
+                now = F.sum("share").over(Window.partitionBy(d))
+                w = w.withColumn("share", F.when(now > 0, F.col("share") * F.col(f"__t_{d}") / now).otherwise(0.0))
+        w = stored(w)
+        off = [w.groupBy(d).agg(F.abs(F.sum("share") - F.first(f"__t_{d}")).alias("off")) for d in dims]
+        worst = reduce(DataFrame.union, [o.select("off") for o in off]).agg(F.max("off")).first()[0]
+        if worst is None or worst <= tolerance:
+            break
+    return w.drop(*[f"__t_{d}" for d in dims])
 
 
 def mix_sources(df: DataFrame, *, dims: dict[str, Column] | None = None, tokens: Column | None = None, id_col: str = "doc_id",
@@ -83,24 +112,26 @@ def mix_sources(df: DataFrame, *, dims: dict[str, Column] | None = None, tokens:
     return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(copies, F.lit(1))))).where(F.col("__copy") <= copies).drop("__copy")
 
 
-def oracle() -> str:
-    """DuckDB SQL of the same sample, its rounds unrolled."""
-    key = {"source": "source", "lang": "lang", "topic": "topic"}
-    ctes = ["""docs AS (SELECT doc_id, coalesce(source,'') AS source, coalesce(lang,'') AS lang,
-  CASE WHEN coalesce(text,'') LIKE '%icense%' THEN 'license' WHEN length(coalesce(text,'')) < 400 THEN 'short' ELSE 'prose' END AS topic,
-  (coalesce(strlen(text),0)+3)//4 AS n_tokens FROM documents)""",
-            "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0)",
+def oracle(rounds: int = 24) -> str:
+    """DuckDB SQL of the same sample, its rounds unrolled: as many as bring the sums to the targets here."""
+    dims = list(TEMPER)
+    count = {k: f"len(list_filter(found, lambda w: w IN ({', '.join(repr(w) for w in ws)})))" for k, ws in TOPICS.items()}
+    topic = f"CASE WHEN greatest({', '.join(f'n_{k}' for k in count)}) * {STRETCH} < n OR greatest({', '.join(f'n_{k}' for k in count)}) = 0 THEN 'general'"
+    for k in count:
+        topic += f" WHEN n_{k} = greatest({', '.join(f'n_{k}' for k in count)}) THEN '{k}'"
+    ctes = [f"f AS (SELECT doc_id, coalesce(source,'') AS source, coalesce(lang,'') AS lang, length(coalesce(text,'')) AS n, regexp_extract_all(lower(coalesce(text,'')), '{_WORDS}', 1) AS found, len(regexp_extract_all(coalesce(text,''), '{PIECE}')) AS n_tokens FROM documents)",
+            f"g AS (SELECT doc_id, source, lang, n, n_tokens, {', '.join(f'{c} AS n_{k}' for k, c in count.items())} FROM f)",
+            f"docs AS MATERIALIZED (SELECT doc_id, source, lang, {topic} END AS topic, n_tokens FROM g)",
+            "cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0)",
             "tot AS (SELECT sum(tokens) AS t FROM cells)"]
-    for d in key:
+    for d in dims:
         ctes.append(f"p_{d} AS (SELECT {d}, pow(sum(tokens), {TEMPER[d]}) AS p FROM cells GROUP BY {d})")
-        ctes.append(f"t_{d} AS (SELECT {d}, p / (SELECT sum(p) FROM p_{d}) AS target FROM p_{d})")
+        ctes.append(f"t_{d} AS MATERIALIZED (SELECT {d}, p / (SELECT sum(p) FROM p_{d}) AS target FROM p_{d})")
     ctes.append("r0 AS (SELECT source, lang, topic, tokens, tokens / (SELECT t FROM tot) AS share FROM cells)")
-    k = 0
-    for _ in range(ROUNDS):
-        for d in key:
-            ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT r.source, r.lang, r.topic, r.tokens, r.share * t.target / sum(r.share) OVER (PARTITION BY r.{d}) AS share FROM r{k} r JOIN t_{d} t ON r.{d} = t.{d})")
-            k += 1
-    ctes.append(f"w AS (SELECT source, lang, topic, share / (tokens / (SELECT t FROM tot)) AS weight FROM r{k})")
+    for k in range(rounds * len(dims)):
+        d = dims[k % len(dims)]
+        ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT r.source, r.lang, r.topic, r.tokens, r.share * t.target / sum(r.share) OVER (PARTITION BY r.{d}) AS share FROM r{k} r JOIN t_{d} t ON r.{d} = t.{d})")
+    ctes.append(f"w AS MATERIALIZED (SELECT source, lang, topic, share / (tokens / (SELECT t FROM tot)) AS weight FROM r{rounds * len(dims)})")
     return "WITH " + ",\n".join(ctes) + """
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(weight / (SELECT max(weight) FROM w), 6) AS rate
 FROM docs JOIN w USING (source, lang, topic)

@@ -29,6 +29,27 @@ def test_encoder_is_the_library(docs):
     assert tokens.Encoder(BPE, lengths_only=True)(texts) == [len(w) for w in want]
 
 
+def test_whole_table_is_the_librarys(spark):
+    """Every document of a real table, and very long texts, id by id; and a library that parts is not passed over."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += [" ".join(texts[:60]), "x" * 200_000, "a b\n" * 60_000, "é ü " * 50_000]
+    want = library(texts)
+    enc = tokens.Encoder(BPE)
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc(texts)] == want
+    assert tokens.Encoder(BPE, lengths_only=True)(texts) == [len(w) for w in want]
+    enc._ids = lambda t: [np.zeros(3, "<u4") for _ in t]
+    with pytest.raises(RuntimeError):
+        enc(["plain words"])
+
+
+def test_clashing_names(spark, docs):
+    """Columns of the input named like results or like what operators add inside."""
+    odd = docs.select("doc_id", "text", "lang", "source", *[F.lit(-1).alias(c) for c in ("start", "length", "offset", "n_shingles", "list", "f1", "spans", "live", "held", "__keep", "__row", "score", "entropy", "rejected", "rate", "weight", "__source", "bucket", "kind", "n_bytes")])
+    for f in (lambda d: packing.pack(d, BPE).drop("sequence_id", "offset"), lambda d: tokencount.count_tokens(d, BPE, keep=["doc_id"]), jaccard.link_groups, secrets.scan, suffix.remove_repeats,
+              lambda d: mixing.mix_sources(d).select("doc_id", "weight", "rate"), lambda d: langid.identify(d, langid.learn(d), keep=["doc_id"])):
+        assert sorted(map(repr, f(odd).collect())) == sorted(map(repr, f(docs.drop("weight")).collect()))
+
+
 def test_cuts_are_safe():
     text = "word   x\n\ny  z'll <|endoftext|> 12   a " * 500
     parts = tokens.pieces(text, 50)
@@ -195,11 +216,24 @@ def test_mixing_meets_targets(docs, none):
     got = mixing.rake(cells, ["__source", "__lang"], {"__source": 0.5, "__lang": 1.0}, rounds=40).toPandas()
     tok = got.groupby("__lang").tokens.sum() / got.tokens.sum()
     assert np.allclose(got.groupby("__lang").share.sum(), tok, atol=1e-6)
+    # raking stops by itself where the sums meet the targets, in every dimension
+    dims = ["__source", "__lang"]
+    done = mixing.rake(cells, dims, {"__source": 0.5, "__lang": 0.7}).toPandas()
+    for d, p in zip(dims, (0.5, 0.7), strict=True):
+        want = (done.groupby(d).tokens.sum().astype(float) ** p).pipe(lambda x: x / x.sum())
+        assert np.allclose(done.groupby(d).share.sum(), want, atol=1e-9)
     kept = mixing.mix_sources(docs.withColumn("rate", F.lit(1)))
     assert {"weight", "rate", "n_tokens"} <= set(kept.columns) and kept.where("rate > 1").count() == 0
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_topics_and_tokens(spark):
+    rows = ["", None, "Licensed under the MIT License", "my token and my phone", "token http phone", "x " * 5000 + "license", "abcd 12345 ü!? ab"]
+    got = [tuple(r) for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(mixing.topic_of(F.col("t")), mixing.tokens_of(F.col("t"))).collect()]
+    assert [g[0] for g in got] == ["general", "general", "legal", "technical", "technical", "general", "general"]
+    assert [g[1] for g in got][-1] == 2 + 3 + 1 + 1 + 1 and got[1][1] == 0
+
+
 def repeats(rows, length=100):
     seen, out = set(), {}
     for i, t in sorted({(r.doc_id, r.text or "") for r in rows}):
