@@ -15,7 +15,9 @@ DATELINE = r"([A-Za-z][A-Za-z0-9 /&()\-]{2,60}?)\s*[:=]\s*(\d{4}-\d{2}-\d{2}|\d{
 SUBJECT = r"(?im)^\s*(name|employee|applicant|company|account holder|customer|borrower)\s*[:\-]\s*(.{2,60})$"
 PERIOD = r"(\d{4}-\d{2}-\d{2})\s*(?:to|-)\s*(\d{4}-\d{2}-\d{2})"
 CELL = r"(?i)^\s*(₹|Rs\.?|INR|USD|EUR|GBP|\$|€|£)?\s*(\(?-?\d[\d,]*(?:\.\d+)?\)?)\s*(k|lakhs?|crores?|million|m)?\s*$"
-NO_SUBJECT = "subject not stated"
+#: What is noted about a fact.
+NO_SUBJECT, RANGED, APPROXIMATE = "names no subject", "holds two bounds, neither is taken", "is called approximate"
+BARE_DOLLAR, NO_DAY = "a dollar sign alone tells no currency", "no such day in the calendar"
 
 
 def heads(lines: DataFrame) -> DataFrame:
@@ -25,57 +27,64 @@ def heads(lines: DataFrame) -> DataFrame:
     return lines.groupBy("case_id", "source_id").agg(F.trim(first(subject)).alias("subject"), first(a).try_cast("date").alias("period_start"), first(b).try_cast("date").alias("period_end"))
 
 
+_GAP = "\u0001"
+
+
+def _groups(column: str, pattern: str, n: int) -> Column:
+    """The n groups of the first match as an array, by one evaluation; an array of one where nothing matches."""
+    return F.split(F.regexp_replace(column, "(?s)^.*?" + pattern + ".*$", _GAP.join(f"${k}" for k in range(1, n + 1))), _GAP, -1)
+
+
+def _once(c: Column) -> Column:
+    """c behind a boundary through which the optimiser copies nothing, so that it is evaluated once a row."""
+    return F.explode(F.array(c))
+
+
 def line_facts(lines: DataFrame) -> DataFrame:
     """At most one number fact a line, and every date fact of it; a line with a date gives no number.
 
-    A range abstains: its value stays null. A percent is not divided. Notes lower the confidence.
+    A range abstains: its value stays null. A percent is not divided. Notes lower the confidence. Each line is matched
+    once and the lines are read twice: for their facts and for what their source is about.
     """
-    g = [F.regexp_extract("text", LINE, i) for i in range(9)]
-    dated = F.col("text").rlike(DATELINE)
-    number = lines.where(~dated & F.col("text").rlike(LINE)).select(
-        "case_id", "source_id", "block_id", "text", "block_confidence", g[1].alias("label"), g[2].alias("approx"), g[3].alias("cur"), g[4].alias("num"), g[5].alias("num2"),
-        g[6].alias("mult"), g[7].alias("pct"), g[8].alias("freq"),
-    )
-    a = S.amount(F.col("num"), F.col("mult"))
-    ranged, pct = F.col("num2") != "", F.col("pct") != ""
-    number = number.where(F.length(F.trim("label")) >= 3).select(
-        "case_id", "source_id", "block_id", "text", "block_confidence", "label",
-        F.when(ranged, F.concat("num", F.lit("-"), "num2")).otherwise(F.col("num")).alias("raw_value"),
-        F.when(~ranged, S.plain(a["value"])).alias("normalized_value"),
-        F.when(ranged, "RANGE_ABSTAIN").when(pct, "PCT_STRIP").otherwise(a["rule"]).alias("rule"),
-        F.when(pct, "percent").alias("unit"), S.currency(F.col("cur")).alias("currency"), S.frequency(F.col("label"), F.col("freq")).alias("frequency"), F.lit(True).alias("has_period"),
-        F.array_compact(F.array(F.when(ranged, "value given as a range; no single value chosen"), F.when(F.col("approx") != "", "value marked approximate"),
-                                F.when(F.col("cur") == "$", "currency symbol '$' is ambiguous; currency left unset"))).alias("notes"),
-    )
+    keys = ["case_id", "source_id", "block_id", "block_confidence"]
+    seen = lines.select(*keys, "text", _once(F.struct(F.col("text").rlike(DATELINE).alias("dated"), _groups("text", LINE, 8).alias("g"))).alias("m"))
+    names = ["label", "approx", "cur", "num", "num2", "mult", "pct", "freq"]
+    number = F.struct(*[F.get("m.g", F.lit(i)).alias(n) for i, n in enumerate(names)], F.lit(False).alias("is_date"))
     hits = F.arrays_zip(F.regexp_extract_all("text", F.lit(DATELINE), F.lit(1)).alias("label"), F.regexp_extract_all("text", F.lit(DATELINE), F.lit(2)).alias("d"))
-    date = lines.where(dated).select("case_id", "source_id", "block_id", "text", "block_confidence", F.explode(hits).alias("h"))
-    iso = S.to_iso(F.col("h.d"))
-    none = F.lit(None).cast("string")
-    date = date.select(
-        "case_id", "source_id", "block_id", "text", "block_confidence", F.col("h.label").alias("label"), F.col("h.d").alias("raw_value"), iso.cast("string").alias("normalized_value"),
-        F.when(F.col("h.d").rlike("^[0-9]{4}-"), "DATE_ISO").otherwise("DATE_DMY").alias("rule"), F.lit("date").alias("unit"), none.alias("currency"), none.alias("frequency"), F.lit(False).alias("has_period"),
-        F.array_compact(F.array(F.when(iso.isNull(), "date is not a valid calendar date"))).alias("notes"),
+    date = F.transform(hits, lambda h: F.struct(h["label"].alias("label"), F.lit("").alias("approx"), F.lit("").alias("cur"), h["d"].alias("num"), *[F.lit("").alias(n) for n in names[4:]], F.lit(True).alias("is_date")))
+    found = F.when(F.col("m.dated"), date).when((F.size("m.g") == 8) & (F.length(F.trim(F.get("m.g", F.lit(0)))) >= 3), F.array(number))
+    rows = seen.select(*keys, F.explode(found).alias("c")).select(*keys, "c.*")
+    a, iso = S.amount(F.col("num"), F.col("mult")), S.to_iso(F.col("num"))
+    is_date, ranged, pct = F.col("is_date"), F.col("num2") != "", F.col("pct") != ""
+    rows = rows.select(
+        *keys, "label",
+        F.when(ranged, F.concat("num", F.lit("-"), "num2")).otherwise(F.col("num")).alias("raw_value"),
+        F.when(is_date, iso.cast("string")).when(~ranged, S.plain(a["value"])).alias("normalized_value"),
+        F.when(is_date, F.when(F.col("num").rlike("^[0-9]{4}-"), "DATE_ISO").otherwise("DATE_DMY")).when(ranged, "RANGE_ABSTAIN").when(pct, "PCT_STRIP").otherwise(a["rule"]).alias("rule"),
+        F.when(is_date, "date").when(pct, "percent").alias("unit"), S.currency(F.col("cur")).alias("currency"), F.when(~is_date, S.frequency(F.col("label"), F.col("freq"))).alias("frequency"), (~is_date).alias("has_period"),
+        F.array_compact(F.array(F.when(ranged, RANGED), F.when(F.col("approx") != "", APPROXIMATE), F.when(F.col("cur") == "$", BARE_DOLLAR), F.when(is_date & iso.isNull(), NO_DAY))).alias("notes"),
     )
-    return _facts(number.unionByName(date).withColumn("qualifier", none), heads(lines))
+    return _facts(rows.withColumn("qualifier", F.lit(None).cast("string")), heads(lines))
 
 
 def table_facts(cells: DataFrame, source: Column) -> DataFrame:
     """Numeric cells of columns right of the label, the column's header as qualifier: label x header x value.
 
-    cells: table_id, row, col, is_header, raw_text, confidence; `source` names the source of a table."""
-    c = cells.withColumn("source_id", source)
-    lab = c.where("col = 0").where(~F.col("raw_text").rlike(r"^[\d,.() \-]*$")).select("table_id", "row", F.col("raw_text").alias("label"))
-    head = c.where("is_header").select("table_id", "col", F.col("raw_text").alias("qualifier"))
-    v = c.where("col > 0 and not is_header").where(F.col("raw_text").rlike(CELL))
-    j = v.join(lab, ["table_id", "row"]).join(head, ["table_id", "col"], "left")
-    sign = F.regexp_extract("raw_text", CELL, 1)
-    a = S.amount(F.regexp_extract("raw_text", CELL, 2), F.regexp_extract("raw_text", CELL, 3))
+    cells: table_id, row, col, is_header, raw_text, confidence; `source` names the source of a table. The cells are read
+    once and dealt by table; label and header come from windows over its rows and columns."""
+    label, head = F.when(F.col("col") == 0, F.col("raw_text")), F.when(F.col("is_header"), F.col("raw_text"))
+    c = cells.withColumn("source_id", source).repartition("table_id")
+    c = c.withColumns({"label": F.max(label).over(Window.partitionBy("table_id", "row")), "qualifier": F.max(head).over(Window.partitionBy("table_id", "col"))})
+    c = c.where("col > 0 and not is_header and label is not null").where(~F.col("label").rlike(r"^[\d,.() \-]*$"))
+    j = c.select("*", _once(_groups("raw_text", CELL, 3)).alias("g")).where(F.size("g") == 3)
+    sign = F.get("g", F.lit(0))
+    a = S.amount(F.get("g", F.lit(1)), F.get("g", F.lit(2)))
     none = F.lit(None).cast("string")
     rows = j.select(
         F.concat(F.lit("case-"), F.col("table_id") % 100).alias("case_id"), "source_id", F.concat_ws("-", "table_id", "row", "col").alias("block_id"),
-        F.concat_ws(" | ", "label", F.coalesce("qualifier", F.lit("")), "raw_text").alias("text"), F.col("confidence").cast("double").alias("block_confidence"), "label", F.col("raw_text").alias("raw_value"),
+        F.col("confidence").cast("double").alias("block_confidence"), "label", F.col("raw_text").alias("raw_value"),
         S.plain(a["value"]).alias("normalized_value"), a["rule"].alias("rule"), none.alias("unit"), S.currency(sign).alias("currency"), none.alias("frequency"), F.lit(True).alias("has_period"),
-        F.array_compact(F.array(F.when(sign == "$", "currency symbol '$' is ambiguous; currency left unset"))).alias("notes"), "qualifier",
+        F.array_compact(F.array(F.when(sign == "$", BARE_DOLLAR))).alias("notes"), "qualifier",
     )
     return _facts(rows, None)
 

@@ -8,6 +8,7 @@ from foliospark.derive import base, view
 from foliospark.functions import scalars as S
 from foliospark.operators import reasoning as R
 from foliospark.registry import query
+from foliospark.tables import written
 
 L = R.LINE.replace("'", "''")
 D = R.DATELINE.replace("'", "''")
@@ -22,26 +23,26 @@ _BASIS = "CASE WHEN lower(label) LIKE '%gross%' THEN 'gross' WHEN regexp_matches
 _FREQ = "CASE WHEN lower(freq) LIKE '%month%' THEN 'monthly' WHEN lower(freq) LIKE '%week%' THEN 'weekly' WHEN freq <> '' THEN 'annual' " + " ".join(f"WHEN lower(label) LIKE '%{k}%' THEN '{v}'" for k, v in S.FREQUENCIES) + " END"
 _CUR = "CASE lower(cur) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.CURRENCIES.items()) + " END"
 #: The fact tables as common table expressions over `statements`.
-FACTS = f"""h AS (SELECT case_id, source_id, trim(arg_min(s, line_no) FILTER (s <> '')) AS subject, try_cast(arg_min(a, line_no) FILTER (a <> '') AS DATE) AS ps, try_cast(arg_min(b, line_no) FILTER (b <> '') AS DATE) AS pe
+FACTS = f"""h AS MATERIALIZED (SELECT case_id, source_id, trim(arg_min(s, line_no) FILTER (s <> '')) AS subject, try_cast(arg_min(a, line_no) FILTER (a <> '') AS DATE) AS ps, try_cast(arg_min(b, line_no) FILTER (b <> '') AS DATE) AS pe
   FROM (SELECT *, regexp_extract(text, '{R.SUBJECT}', 2) AS s, regexp_extract(text, '{R.PERIOD}', 1) AS a, regexp_extract(text, '{R.PERIOD}', 2) AS b FROM statements) GROUP BY ALL),
-g AS (SELECT *, regexp_matches(text, '{D}') AS dated, regexp_extract(text, '{L}', 1) AS label, regexp_extract(text, '{L}', 2) AS approx, regexp_extract(text, '{L}', 3) AS cur, trim(regexp_extract(text, '{L}', 4)) AS t,
+g AS MATERIALIZED (SELECT *, regexp_matches(text, '{D}') AS dated, regexp_extract(text, '{L}', 1) AS label, regexp_extract(text, '{L}', 2) AS approx, regexp_extract(text, '{L}', 3) AS cur, trim(regexp_extract(text, '{L}', 4)) AS t,
   regexp_extract(text, '{L}', 5) AS num2, regexp_extract(text, '{L}', 6) AS mult, regexp_extract(text, '{L}', 7) AS pct, regexp_extract(text, '{L}', 8) AS freq FROM statements),
-n AS (SELECT case_id, source_id, block_id, block_confidence, label, CASE WHEN num2 <> '' THEN t || '-' || num2 ELSE t END AS raw_value, CASE WHEN num2 = '' THEN {_PLAIN.format(_AMOUNT)} END AS normalized_value,
+n AS MATERIALIZED (SELECT case_id, source_id, block_id, block_confidence, label, CASE WHEN num2 <> '' THEN t || '-' || num2 ELSE t END AS raw_value, CASE WHEN num2 = '' THEN {_PLAIN.format(_AMOUNT)} END AS normalized_value,
   CASE WHEN num2 <> '' THEN 'RANGE_ABSTAIN' WHEN pct <> '' THEN 'PCT_STRIP' ELSE {_RULE} END AS rule, CASE WHEN pct <> '' THEN 'percent' END AS unit, {_CUR} AS currency, {_FREQ} AS frequency, true AS hp,
   (num2 <> '')::INT + (approx <> '')::INT + (cur = '$')::INT AS notes FROM g WHERE NOT dated AND regexp_matches(text, '{L}') AND length(trim(label)) >= 3
   UNION ALL SELECT case_id, source_id, block_id, block_confidence, label, d, {_ISO}::VARCHAR, CASE WHEN regexp_matches(d, '^[0-9]{{4}}-') THEN 'DATE_ISO' ELSE 'DATE_DMY' END, 'date', NULL, NULL, false, ({_ISO} IS NULL)::INT
   FROM (SELECT *, regexp_extract(text, '{D}', 1) AS label, regexp_extract(text, '{D}', 2) AS d FROM (SELECT case_id, source_id, block_id, block_confidence, text, dated FROM g) WHERE dated)),
-facts AS (SELECT substr(sha256(n.case_id || '|' || n.source_id || '|' || block_id || '|' || lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) || '|' || raw_value), 1, 16) AS fact_id, n.case_id, n.source_id, block_id,
+facts AS MATERIALIZED (SELECT substr(sha256(n.case_id || '|' || n.source_id || '|' || block_id || '|' || lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) || '|' || raw_value), 1, 16) AS fact_id, n.case_id, n.source_id, block_id,
   coalesce(subject, 'unknown') AS subject, lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) AS metric, raw_value, normalized_value, rule, unit, currency, frequency, CASE WHEN hp THEN ps END AS period_start, CASE WHEN hp THEN pe END AS period_end,
   {_CAT} AS category, {_BASIS} AS basis, notes + (subject IS NULL)::INT AS n_notes, round(block_confidence * CASE WHEN notes + (subject IS NULL)::INT > 0 THEN 0.8 ELSE 1.0 END, 4) AS confidence FROM n LEFT JOIN h USING (case_id, source_id))"""
 PAIRS = FACTS + """,
-v AS (SELECT * FROM facts WHERE normalized_value IS NOT NULL),
-p AS (SELECT a.case_id, a.metric, a AS a, b AS b FROM v a JOIN v b ON a.case_id = b.case_id AND lower(a.subject) = lower(b.subject) AND a.metric = b.metric AND a.source_id < b.source_id),
-k AS (SELECT *, list_filter([CASE WHEN a.currency IS DISTINCT FROM b.currency THEN 'same_currency' END, CASE WHEN a.frequency IS DISTINCT FROM b.frequency THEN 'compatible_frequency' END,
+v AS MATERIALIZED (SELECT * FROM facts WHERE normalized_value IS NOT NULL),
+p AS MATERIALIZED (SELECT a.case_id, a.metric, a AS a, b AS b FROM v a JOIN v b ON a.case_id = b.case_id AND lower(a.subject) = lower(b.subject) AND a.metric = b.metric AND a.source_id < b.source_id),
+k AS MATERIALIZED (SELECT *, list_filter([CASE WHEN a.currency IS DISTINCT FROM b.currency THEN 'same_currency' END, CASE WHEN a.frequency IS DISTINCT FROM b.frequency THEN 'compatible_frequency' END,
   CASE WHEN (a.period_start IS NOT NULL OR b.period_start IS NOT NULL) AND NOT coalesce(abs(date_diff('day', a.period_start, b.period_start)) <= 5 AND abs(date_diff('day', a.period_end, b.period_end)) <= 5, false) THEN 'compatible_period' END,
   CASE WHEN a.basis IS DISTINCT FROM b.basis THEN 'same_basis' END, CASE WHEN a.category IS DISTINCT FROM b.category THEN 'same_category' END], lambda x: x IS NOT NULL) AS failed FROM p),
-d AS (SELECT *, CASE WHEN a.unit = 'date' THEN abs(date_diff('day', try_cast(a.normalized_value AS DATE), try_cast(b.normalized_value AS DATE)))::DECIMAL(38,10) ELSE abs(try_cast(a.normalized_value AS DECIMAL(28,10)) - try_cast(b.normalized_value AS DECIMAL(28,10)))::DECIMAL(38,10) END AS abs_diff FROM k WHERE len(failed) = 0),
-e AS (SELECT *, round(CASE WHEN a.unit = 'date' THEN CASE WHEN abs_diff = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END ELSE coalesce(abs_diff::DOUBLE / nullif(greatest(abs(try_cast(a.normalized_value AS DOUBLE)), abs(try_cast(b.normalized_value AS DOUBLE))), 0) * 100, 0) END, 4) AS pct_diff FROM d)"""
+d AS MATERIALIZED (SELECT *, CASE WHEN a.unit = 'date' THEN abs(date_diff('day', try_cast(a.normalized_value AS DATE), try_cast(b.normalized_value AS DATE)))::DECIMAL(38,10) ELSE abs(try_cast(a.normalized_value AS DECIMAL(28,10)) - try_cast(b.normalized_value AS DECIMAL(28,10)))::DECIMAL(38,10) END AS abs_diff FROM k WHERE len(failed) = 0),
+e AS MATERIALIZED (SELECT *, round(CASE WHEN a.unit = 'date' THEN CASE WHEN abs_diff = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END ELSE coalesce(abs_diff::DOUBLE / nullif(greatest(abs(try_cast(a.normalized_value AS DOUBLE)), abs(try_cast(b.normalized_value AS DOUBLE))), 0) * 100, 0) END, 4) AS pct_diff FROM d)"""
 FACT_COLS = ["fact_id", "case_id", "source_id", "block_id", "subject", "metric", "raw_value", "normalized_value", "rule", "unit", "currency", "frequency", "period_start", "period_end", "category", "basis", "confidence"]
 V = ("statements",)
 
@@ -51,7 +52,8 @@ def facts(spark, sf):
 
 
 def pairs(spark, sf):
-    return R.pairs(facts(spark, sf))
+    """Facts are written once and read for both sides."""
+    return R.pairs(written(facts(spark, sf)))
 
 
 @query("f06_line_facts", f"WITH {FACTS} SELECT {', '.join(FACT_COLS)}, n_notes FROM facts", V)
@@ -71,10 +73,14 @@ def f04(spark, sf):
     return view(spark, sf, "statements").select("block_id", F.regexp_extract("text", R.DATELINE, 2).alias("d")).where("d <> ''").select("block_id", S.to_iso(F.col("d")).cast("string").alias("iso"))
 
 
-@query("f05_dates_in_text", """SELECT source_id, list_sort(list_distinct(list(x.d))) AS dates FROM (SELECT source_id, unnest(regexp_extract_all(text, '\\b\\d{4}-\\d{2}-\\d{2}\\b')) AS d FROM statements) x WHERE try_cast(d AS DATE) IS NOT NULL GROUP BY source_id""", V)
+_DMY = "lpad(regexp_extract({0}, '^\\d+[/.](\\d+)', 1), 2, '0') || '-' || lpad(regexp_extract({0}, '^(\\d+)', 1), 2, '0')"
+
+
+@query("f05_dates_in_text", f"""WITH x AS (SELECT source_id, unnest(list_concat(regexp_extract_all(text, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b'), list_transform(regexp_extract_all(text, '\\b\\d{{1,2}}[/.]\\d{{1,2}}[/.]\\d{{4}}\\b'), lambda d: regexp_extract(d, '(\\d{{4}})$', 1) || '-' || {_DMY.format('d')}))) AS d FROM statements)
+SELECT source_id, list_sort(list_distinct(list(d))) AS dates FROM x WHERE try_cast(d AS DATE) IS NOT NULL GROUP BY source_id""", V)
 def f05(spark, sf):
-    iso = view(spark, sf, "statements").select("source_id", F.explode(S.dates_in(F.regexp_replace("text", r"\d+/\d+/\d+", ""))).alias("d"))
-    return iso.groupBy("source_id").agg(F.array_sort(F.collect_set(F.col("d").cast("string"))).alias("dates"))
+    found = view(spark, sf, "statements").select("source_id", F.explode(S.dates_in(F.col("text"))).alias("d"))
+    return found.groupBy("source_id").agg(F.array_sort(F.collect_set(F.col("d").cast("string"))).alias("dates"))
 
 
 @query("f08_classifiers", f"WITH {FACTS} SELECT block_id, {_CAT} AS category, {_BASIS} AS basis, {_FREQ} AS frequency FROM g WHERE label <> ''", V)
@@ -153,7 +159,7 @@ def o02(spark, sf):
     return facts(spark, sf).select("subject", "metric", "source_id", "fact_id").orderBy("subject", "metric", "source_id", "fact_id")
 
 
-TABLE_FACTS = """x AS (SELECT * FROM cells), lab AS (SELECT table_id, row, raw_text AS label FROM x WHERE col = 0 AND NOT regexp_matches(raw_text, '^[\\d,.() \\-]*$')), hd AS (SELECT table_id, col, raw_text AS q FROM x WHERE is_header),
+TABLE_FACTS = """x AS MATERIALIZED (SELECT * FROM cells), lab AS MATERIALIZED (SELECT table_id, row, raw_text AS label FROM x WHERE col = 0 AND NOT regexp_matches(raw_text, '^[\\d,.() \\-]*$')), hd AS MATERIALIZED (SELECT table_id, col, raw_text AS q FROM x WHERE is_header),
 tf AS (SELECT x.table_id, x.row, x.col, lower(label || ' (' || q || ')') AS metric, raw_text AS raw_value, regexp_replace(cast(cast(replace(raw_text, ',', '') AS DECIMAL(38,10)) AS VARCHAR), '\\.?0+$', '') AS normalized_value, CASE WHEN raw_text LIKE '%,%' THEN 'NUM_THOUSANDS_COMMA' ELSE 'NUM_PLAIN' END AS rule
   FROM x JOIN lab USING (table_id, row) LEFT JOIN hd ON hd.table_id = x.table_id AND hd.col = x.col WHERE x.col > 0 AND NOT is_header AND regexp_full_match(raw_text, '[\\d,]+'))"""
 
@@ -218,11 +224,17 @@ def w11(spark, sf):
     return R.best_link(signal_rows(spark, sf))
 
 
-@query("t02_shared_sets", f"WITH t AS (SELECT doc_id, {_IDS} AS ids FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, list_sort(list_intersect(a.ids, b.ids)) AS shared FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
+def _marked(column, kind):
+    return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("k")))
+
+
+@query("t02_shared_sets", f"WITH t AS (SELECT doc_id, unnest({_IDS}) AS k, 'id' AS kind FROM documents UNION ALL SELECT doc_id, unnest({_DOMS}), 'domain' FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, a.kind, string_agg(a.k, ',' ORDER BY a.k) AS shared FROM t a JOIN t b ON a.k = b.k AND a.kind = b.kind AND a.doc_id < b.doc_id GROUP BY ALL")
 def t02(spark, sf):
-    d = tokens(base(spark, sf, "documents")).select("doc_id", "ids")
-    n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("b"), F.col("ids").alias("o"))
-    return d.join(n, "doc_id").select(F.col("doc_id").alias("a"), "b", F.array_sort(F.array_intersect("ids", "o")).alias("shared"))
+    """The identifiers, and the domains, that two documents share, for every two that share any."""
+    d = tokens(base(spark, sf, "documents"))
+    t = written(d.select("doc_id", F.explode(F.concat(*[_marked(c, kind) for c, kind in (("ids", "id"), ("domains", "domain"))])).alias("t")).select("doc_id", "t.*"))
+    both = t.withColumnRenamed("doc_id", "a").join(t.withColumnRenamed("doc_id", "b"), ["kind", "k"]).where("a < b")
+    return both.groupBy("a", "b", "kind").agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("shared"))
 
 
 _LINKS = """SELECT c_custkey AS seq, 'case-' || c_custkey % 50 AS case_id, 'src-' || c_custkey % 400 AS source_id, substr(sha256('case-' || c_custkey % 50 || '|src-' || c_custkey % 400), 1, 16) AS link_id, CASE c_custkey % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'confirmed' ELSE 'suggested' END AS status, c_custkey % 7 < 2 AS decided FROM customer"""
