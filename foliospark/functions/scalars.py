@@ -162,10 +162,17 @@ def garbage_ratio(s: Column) -> Column:
     return F.coalesce(F.try_divide(garbage_count(s), F.length(s)), F.lit(0.0))
 
 
+def column_name(col: Column) -> Column:
+    """Spreadsheet letters of a zero-based column: A, Z, AA, XFD and on, three letters at most (18,278 columns)."""
+    n = col.cast("bigint")
+    letter = lambda c: F.chr(65 + F.pmod(c, F.lit(26)))
+    two, three = F.floor(n / 26) - 1, F.floor((F.floor(n / 26) - 1) / 26) - 1
+    return F.concat(F.when(n >= 702, letter(three)).otherwise(""), F.when(n >= 26, letter(two)).otherwise(""), letter(n))
+
+
 def a1(row: Column, col: Column) -> Column:
-    """Spreadsheet name of a zero-based cell, up to column ZZ."""
-    letter = lambda c: F.chr(65 + c)
-    return F.concat(F.when(col >= 26, letter((F.floor(col / 26) - 1))).otherwise(""), letter(col % 26), (row + 1).cast("string"))
+    """Spreadsheet name of a zero-based cell."""
+    return F.concat(column_name(col), (row + 1).cast("string"))
 
 
 def a1_col(name: Column) -> Column:

@@ -17,13 +17,14 @@ from foliospark.sources import documents as D
 from foliospark.streaming import jobs as J
 
 
-@query("s07_csv_cells", "SELECT table_id, row, col, raw_text AS value FROM cells WHERE col <> 2", ("cells",))
+@query("s07_csv_cells", "SELECT table_id, row, col, raw_text AS value FROM cells", ("cells",))
 def s07(spark, sf):
-    c = view(spark, sf, "cells").where("col <> 2")
-    lines = c.groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "raw_text"))), lambda x: x["raw_text"]), ";").alias("l"))
+    """Tables written as text (fields that hold a comma, a quote or a line break are quoted) and read again."""
+    v = F.col("raw_text")
+    field = F.when(v.rlike("[,\"\n]"), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    lines = view(spark, sf, "cells").groupBy("table_id", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", field.alias("v")))), lambda x: x["v"]), ",").alias("l"))
     text = lines.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "l"))), lambda x: x["l"]), "\n").alias("text"))
-    got = D.csv_cells(text, "table_id", "text")
-    return got.select("table_id", F.col("row").cast("bigint").alias("row"), F.when(F.col("col") == 2, 3).otherwise(F.col("col")).cast("bigint").alias("col"), "value")
+    return D.csv_cells(text, "table_id", "text").select("table_id", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), "value")
 
 
 @query("s08_json_values", "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
+import hashlib
+import io
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,65 +22,88 @@ BLOCKS = {"p": "paragraph", "li": "list_item", "pre": "paragraph", "blockquote":
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-class _Blocks(HTMLParser):
-    """Ordered (type, level, text) of one page; a small helper, run a page at a time in a task."""
+#: Elements that an opening one of the kind on the left ends, as their own end may be left out. Fixed values.
+ENDS = {"li": ("li", "p"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "table": ("p",), "ul": ("p",), "ol": ("p",), "div": ("p",)} | {k: ("p",) for k in BLOCKS if k != "li"}
 
-    def __init__(self):
+
+class _Events(HTMLParser):
+    """A page as a list of (what, name or text, attributes)."""
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.out, self.open, self.text = [], None, []
-        self.hidden, self.depth = None, 0  # the element that hides its content, and how many of its kind are open
-        self.rows, self.cell = None, None
-
-    def handle_starttag(self, tag, attrs):
-        if self.hidden:
-            self.depth += tag == self.hidden
-            return
-        a = dict(attrs)
-        marks = f"{a.get('class') or ''} {a.get('id') or ''}".lower()
-        if tag in SKIPPED or any(m in marks for m in MARKS):
-            if tag not in VOID:
-                self.hidden, self.depth = tag, 1
-        elif tag == "img":
-            self.out.append(("figure", 0, a.get("alt") or a.get("title") or "Embedded image"))
-        elif tag == "table":
-            self.rows, self.cell = [], None
-        elif self.rows is not None and tag == "tr":
-            self.rows.append([])
-        elif self.rows and tag in ("td", "th"):
-            self.cell = []
-        elif tag in BLOCKS and self.cell is None:
-            self.flush()
-            self.open = tag
-        elif tag == "br" and self.open:
-            self.text.append(" ")
-
-    def handle_endtag(self, tag):
-        if self.hidden:
-            self.depth -= tag == self.hidden
-            self.hidden = self.hidden if self.depth else None
-        elif tag in ("td", "th") and self.cell is not None:
-            self.rows[-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
-        elif tag == "table" and self.rows is not None:
-            if self.rows:
-                self.out.append(("table", 0, "\n".join(" | ".join(r) for r in self.rows)))
-            self.rows, self.cell = None, None
-        elif tag == self.open:
-            self.flush()
-
-    def handle_data(self, data):
-        if self.hidden:
-            return
-        if self.cell is not None:
-            self.cell.append(data)
-        elif self.open:
-            self.text.append(data)
-
-    def flush(self):
-        text = " ".join("".join(self.text).split())
-        if self.open and text:
-            self.out.append((BLOCKS[self.open], int(self.open[1]) if BLOCKS[self.open] == "heading" else 0, text))
-        self.open, self.text = None, []
+        self.seen: list[tuple] = []
+        self.handle_starttag = lambda tag, attrs: self.seen.append(("open", tag, dict(attrs)))
+        self.handle_endtag = lambda tag: self.seen.append(("close", tag, None))
+        self.handle_data = lambda data: self.seen.append(("text", data, None))
+        self.feed(html)
+        self.close()
+
+
+def _is_hidden(tag: str, attrs: dict) -> bool:
+    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
+    return tag in SKIPPED or any(m in named for m in MARKS)
+
+
+def page_blocks(html: str) -> list[tuple[str, int, str]]:
+    """(type, level, text) of one page in order, by one fold over its events with a stack of open elements.
+
+    An element hands on what it holds when it ends: a cell its text to the row, a row its cells to the table, a block
+    and a table their text to the result. A block inside another ends the text before it. Hidden elements hand on nothing.
+    """
+    out: list[tuple[str, int, str]] = []
+    stack: list[dict] = []
+    hidden = 0
+
+    def hand_on(e: dict) -> None:
+        text = " ".join("".join(e["text"]).split())
+        e["text"] = []
+        if e["tag"] in BLOCKS and text:
+            kind = BLOCKS[e["tag"]]
+            out.append((kind, int(e["tag"][1]) if kind == "heading" else 0, text))
+        elif e["tag"] in ("td", "th") or e["tag"] == "tr" and e["held"]:
+            into = next((o for o in reversed(stack) if o["tag"] == ("tr" if e["tag"] != "tr" else "table")), None)
+            if into:
+                into["held"].append(text if e["tag"] != "tr" else " | ".join(e["held"]))
+        elif e["tag"] == "table" and e["held"]:
+            out.append(("table", 0, "\n".join(e["held"])))
+
+    def end(tag: str) -> None:
+        nonlocal hidden
+        if any(e["tag"] == tag for e in stack):
+            while True:
+                e = stack.pop()
+                hidden -= e["hides"]
+                if not hidden and not e["hides"]:
+                    hand_on(e)
+                if e["tag"] == tag:
+                    return
+
+    for what, name, attrs in _Events(html).seen:
+        if what == "close":
+            end(name)
+        elif what == "text":
+            into = None if hidden else next((e for e in reversed(stack) if e["tag"] in BLOCKS or e["tag"] in ("td", "th", "table")), None)
+            if into is not None and into["tag"] != "table":
+                into["text"].append(name)
+        else:
+            for other in ENDS.get(name, ()):
+                if any(e["tag"] == other for e in stack[-3:]) and not (other in ("td", "th", "tr", "li") and stack[-1]["tag"] in ("table", "ul", "ol")):
+                    end(other)
+            hides = _is_hidden(name, attrs)
+            holder = next((e for e in reversed(stack) if e["tag"] in BLOCKS or e["tag"] in ("td", "th")), None)
+            if name in VOID:
+                if not hidden and not hides and name == "img":
+                    out.append(("figure", 0, attrs.get("alt") or attrs.get("title") or "Embedded image"))
+                elif name == "br" and holder:
+                    holder["text"].append(" ")
+                continue
+            if not hidden and not hides and (name in BLOCKS or name == "table") and holder and holder["tag"] in BLOCKS:
+                hand_on(holder)
+            hidden += hides
+            stack.append({"tag": name, "hides": hides, "text": [], "held": []})
+    while stack:
+        end(stack[-1]["tag"])
+    return out
 
 
 def html_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
@@ -88,40 +115,61 @@ def html_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> D
         for f in frames:
             rows = []
             for i, h in zip(f[id_col], f[html], strict=True):
-                p = _Blocks()
-                p.feed(h or "")
-                p.close()
-                p.flush()
-                rows += [(i, k, *b) for k, b in enumerate(p.out)]
+                rows += [(i, k, *b) for k, b in enumerate(page_blocks(h or ""))]
             yield pd.DataFrame(rows, columns=["page_id", "seq", "block_type", "level", "text"])
 
     return df.select(id_col, html).mapInPandas(run, "page_id long, seq long, block_type string, level long, text string")
 
 
+#: Extensions of attachments that become sources of their own. Fixed values.
+SUPPORTED = {"pdf", "png", "jpg", "jpeg", "tif", "tiff", "webp", "txt", "md", "csv", "tsv", "json", "xml", "html", "htm", "docx", "xlsx", "pptx", "eml", "rtf"}
+
+
 def emails(df: DataFrame, id_col: str, raw: str) -> DataFrame:
-    """One metadata row, body rows (plain text before HTML) and attachment rows by name for each message."""
+    """message_id, kind, text, child_id of each message: one metadata row, body rows (plain text before HTML, whose blocks
+    are read as a page's) and attachment rows by name. A supported attachment has a child id, the first 16 hex digits of
+    the SHA-256 of the message's id, its name and its place. A null message has one empty metadata row."""
 
     def run(frames):
         for f in frames:
             rows = []
             for i, r in zip(f[id_col], f[raw], strict=True):
                 m = email.message_from_string(r or "", policy=email.policy.default)
-                rows.append((i, "metadata", f"{m.get('from', '')} | {m.get('subject', '')}"))
+                rows.append((i, "metadata", f"{m.get('from', '')} | {m.get('subject', '')}", None))
                 body = m.get_body(("plain", "html"))
-                rows += [(i, "body", p) for p in (body.get_content().split("\n\n") if body else []) if p.strip()]
-                rows += sorted((i, "attachment", a.get_filename() or "unnamed") for a in m.iter_attachments())
-            yield pd.DataFrame(rows, columns=["message_id", "kind", "text"])
+                text = body.get_content() if body else ""
+                parts = [t for *_, t in page_blocks(text)] if body and body.get_content_type() == "text/html" else text.split("\n\n")
+                rows += [(i, "body", p, None) for p in parts if p.strip()]
+                for k, name in enumerate(sorted(a.get_filename() or "unnamed" for a in m.iter_attachments())):
+                    child = hashlib.sha256(f"{i}|{name}|{k}".encode()).hexdigest()[:16] if name.rpartition(".")[2].lower() in SUPPORTED else None
+                    rows.append((i, "attachment", name, child))
+            yield pd.DataFrame(rows, columns=["message_id", "kind", "text", "child_id"])
+
+    return df.select(F.col(id_col).cast("string").alias(id_col), raw).mapInPandas(run, "message_id string, kind string, text string, child_id string")
+
 
-    return df.select(id_col, raw).mapInPandas(run, "message_id string, kind string, text string")
+DELIMITERS = ",;\t|"
 
 
 def csv_cells(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Long cells of delimited text; the delimiter is the one of `, ; tab |` that the first line holds most."""
-    first = F.substring_index(text, "\n", 1)
-    n = lambda d: F.length(first) - F.length(F.replace(first, F.lit(d), F.lit("")))
-    best = F.greatest(*[F.struct(n(d).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(",;\t|")])
-    rows = df.select(id_col, best["d"].alias("d"), F.posexplode(F.split(text, "\r?\n")).alias("row", "line")).where("line <> ''")
-    return rows.select(id_col, "row", F.posexplode(F.split("line", F.concat(F.lit("["), "d", F.lit("]")))).alias("col", "value"))
+    """id, row, col, value: long cells of delimited text; the delimiter is the one of `, ; tab |` that the first line
+    holds most. Fields may be quoted and then hold delimiters, line breaks and doubled quotes. Rows count the records,
+    blank ones included, but have no cells for them; null and empty texts have none at all."""
+
+    def run(frames):
+        csv.field_size_limit(sys.maxsize)
+        for f in frames:
+            rows = []
+            for i, t in zip(f[id_col], f[text], strict=True):
+                if not t:
+                    continue
+                head = t.split("\n", 1)[0]
+                best = max(DELIMITERS, key=lambda d: (head.count(d), -DELIMITERS.index(d)))
+                rows += [(i, r, c, v) for r, record in enumerate(csv.reader(io.StringIO(t, newline=""), delimiter=best)) for c, v in enumerate(record)]
+            yield pd.DataFrame(rows, columns=[id_col, "row", "col", "value"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, text).mapInPandas(run, f"`{id_col}` {kind}, row int, col int, value string")
 
 
 #: Lines that are list items, headings, and rules between the head and body of a table. Fixed values.

@@ -51,8 +51,8 @@ def test_checksums_and_masks(one):
 def test_display_names_durations(one):
     assert one("double", [0.5, 0.125], lambda v: S.display(v, 0, percent=True))[0] == "50%"
     assert one("double", [1234567.0, -5.0, None], lambda v: S.display(v, 0, thousands=True)) == ["1,234,567", "-5", None]
-    assert one("int", [0, 25, 26, 701], lambda v: S.a1(F.lit(0), v)) == ["A1", "Z1", "AA1", "ZZ1"]
-    assert one("string", ["A1", "AA7", "ZZ1"], S.a1_col) == [0, 26, 701]
+    assert one("int", [0, 25, 26, 701, 702, 1377, 16383], lambda v: S.a1(F.lit(0), v)) == ["A1", "Z1", "AA1", "ZZ1", "AAA1", "AZZ1", "XFD1"]
+    assert one("string", ["A1", "AA7", "ZZ1", "XFD9"], S.a1_col) == [0, 26, 701, 16383]
     assert one("string", ["a/b\\rep?ort.pdf", "", None, "x" * 130 + ".txt"], S.file_name) == ["rep_ort.pdf", "file", "file", "x" * 100 + ".txt"]
     assert one("string", ["3d", "24 h", "2w", "soon", "12"], S.duration_hours) == [72, 24, 336, None, 12]
 

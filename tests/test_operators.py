@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.derive import BASE
 from foliospark.operators import pages, reasoning
-from foliospark.plans.governed import gate, run_governed
+from foliospark.plans.governed import analyse, approve, decide, gate, run_governed
 from foliospark.registry import ORACLES, QUERIES
 from foliospark.sources import documents as D
 from foliospark.streaming import jobs
@@ -92,7 +92,13 @@ def test_html_and_mail(spark):
     assert [(r.block_type, r.level, r.text) for r in got] == [("heading", 2, "Head"), ("paragraph", 0, "One two"), ("list_item", 0, "x"), ("figure", 0, "pic")]
     h = "<div class='Cookie-Banner'><div><p>ok?</p></div><p>more</p></div><p>kept</p><table><tr><th>a<td>b</td></tr><tr><td>1 <i>x</i></td></tr></table><p>open"
     got = D.html_blocks(spark.createDataFrame([(1, h)], "page_id long, html string")).orderBy("seq").collect()
-    assert [(r.block_type, r.text) for r in got] == [("paragraph", "kept"), ("table", "b\n1 x"), ("paragraph", "open")]
+    assert [(r.block_type, r.text) for r in got] == [("paragraph", "kept"), ("table", "a | b\n1 x"), ("paragraph", "open")]
+    h = "<p>one<p>two<ul><li>a<p>b</p>c<li>d</ul><table><tr><td>1<br>2<tr><td>3</table>" + "<div>" * 3000 + "<pre>deep</pre>" + "<nav><p>x</p></nav>tail<blockquote>q <img title='t'> r</blockquote>"
+    got = D.html_blocks(spark.createDataFrame([(1, h)], "page_id long, html string")).orderBy("seq").collect()
+    assert [(r.block_type, r.text) for r in got] == [("paragraph", "one"), ("paragraph", "two"), ("list_item", "a"), ("paragraph", "b"), ("list_item", "c"), ("list_item", "d"), ("table", "1 2\n3"), ("paragraph", "deep"), ("figure", "t"), ("paragraph", "q r")]
+    mime = "From: x@y.z\nSubject: S\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/html\n\n<p>one</p><p>two</p>\n--B\nContent-Disposition: attachment; filename=b.exe\n\nx\n--B\nContent-Disposition: attachment; filename=a.pdf\n\ny\n--B--\n"
+    m = [(r.kind, r.text, r.child_id) for r in D.emails(spark.createDataFrame([("a", mime)], "id string, raw string"), "id", "raw").collect()]
+    assert m == [("metadata", "x@y.z | S", None), ("body", "one", None), ("body", "two", None), ("attachment", "a.pdf", hashlib.sha256(b"a|a.pdf|0").hexdigest()[:16]), ("attachment", "b.exe", None)]
     m = D.emails(spark.createDataFrame([("a", "From: x@y.z\nSubject: Hi\n\nBody\n\nMore")], "id string, raw string"), "id", "raw").collect()
     assert [r.kind for r in m] == ["metadata", "body", "body"]
 
@@ -109,15 +115,22 @@ def test_text_blocks(spark):
 def test_csv_delimiter(spark):
     got = D.csv_cells(spark.createDataFrame([(1, "a;b;c\n1;2;3\n4;5;6")], "id long, t string"), "id", "t").where("row = 2 and col = 2").collect()
     assert got[0].value == "6"
+    got = D.csv_cells(spark.createDataFrame([(1, 'a,b\n"x, ""y""\nz",2\n\n3,'), (2, None), (3, "")], "id long, t string"), "id", "t").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, 'x, "y"\nz'), (1, 1, 1, "2"), (1, 3, 0, "3"), (1, 3, 1, "")]
 
 
 ALLOWED = ["SELECT a FROM t", "select count(*) from t where a > 1", "WITH x AS (SELECT a FROM t) SELECT * FROM x", "SELECT a, count(*) FROM t GROUP BY a HAVING count(*) > 1 ORDER BY a LIMIT 3", "SELECT x.a FROM t x JOIN t y ON x.a = y.a"]
 BLOCKED = ["DROP TABLE t", "SELECT a FROM t; SELECT a FROM t", "SELECT secret FROM t", "SELECT a FROM u", "SELECT a FROM t UNION SELECT a FROM t", "INSERT INTO t VALUES (1)", "SELECT a FROM main.t",
-           "SELECT reflect('java.lang.System', 'exit', '0') FROM t", "SELECT * FROM parquet.`/etc`", "SELECT a FROM t EXCEPT SELECT 1", "SET x=1", "SHOW TABLES", "CREATE VIEW v AS SELECT 1", "nonsense"]
+           "SELECT reflect('java.lang.System', 'exit', '0') FROM t", "SELECT * FROM parquet.`/etc`", "SELECT a FROM t EXCEPT SELECT 1", "SET x=1", "SHOW TABLES", "CREATE VIEW v AS SELECT 1", "nonsense",
+           "SELECT 'hidden_tbl AS (select' AS z, a FROM hidden_tbl", "SELECT a /* hidden_tbl AS (SELECT */ FROM hidden_tbl", "SELECT `reflect`('java.util.UUID','randomUUID') FROM t", "SELECT a FROM t WHERE a IN (SELECT a FROM hidden_tbl)",
+           "WITH hidden_tbl AS (SELECT * FROM hidden_tbl) SELECT * FROM hidden_tbl", "WITH h AS (SELECT a FROM t) SELECT h.a FROM h, hidden_tbl", "SELECT (SELECT max(a) FROM hidden_tbl) FROM t", "SELECT * FROM range(5)", "VALUES (1)", "SELECT explode(array(1)) FROM t", "SELECT 1",
+           "SELECT a FROM global_temp.t", "SELECT a -- x\nFROM t", "SELECT a FROM IDENTIFIER('hidden_tbl')", "SELECT a FROM t, LATERAL (SELECT 1)", "SELECT session_user FROM t"]
 
 
 def test_governed_sql(spark):
     t = {"t": spark.createDataFrame([(1,), (2,)], "a int")}
+    spark.createDataFrame([(9,)], "a int").createOrReplaceTempView("hidden_tbl")
+    spark.createDataFrame([(7,)], "a int").createOrReplaceTempView("t")
     for sql in ALLOWED:
         reason, rows = run_governed(spark, sql, t)
         assert reason is None and rows.count() >= 0, sql
@@ -125,6 +138,23 @@ def test_governed_sql(spark):
         assert run_governed(spark, sql, t)[0] is not None, sql
     assert gate(spark, "SELECT a FROM t", t) is None
     assert run_governed(spark, "SELECT a FROM t", t, cap=1)[1].count() == 1
+    assert [r.a for r in spark.sql("SELECT a FROM t").collect()] == [7]  # the caller's own view is not touched
+
+
+def test_decisions_and_approvals(spark):
+    rows = spark.createDataFrame([(k, "s") for k in range(5)], "a int, s string")
+    t, known, secret = {"t": rows}, {"t": ["a", "s", "locked"]}, {"t": {"s"}}
+    said = lambda sql, **k: decide(spark, sql, t, secret, known, **k)[:2]
+    assert said("SELECT a FROM t") == ("ALLOW", None) and said("SELECT s FROM t") == ("CONFIRM", "sensitive columns") == said("SELECT a FROM t WHERE s = 'x'")
+    assert said("SELECT a FROM t", large=4) == ("CONFIRM", "large scan") and said("SELECT a FROM t LIMIT 3", large=4)[0] == "ALLOW"
+    assert said("SELECT locked FROM t") == ("BLOCK", "column is locked: t.locked") and said("SELECT * FROM t")[0] == "BLOCK" and said("SELECT count(*) FROM t")[0] == "ALLOW"
+    a = analyse(spark, "SELECT x.a AS z FROM t x WHERE x.s > '' ORDER BY z LIMIT 7", t, secret, known)
+    assert (a.tables, a.columns, a.sensitive, a.limit, a.reason) == (["t"], ["t.a", "t.s"], ["t.s"], 7, None)
+    ask = {"user_id": "u", "sql": "SELECT s FROM t", "status": "pending"}
+    assert approve(spark, ask | {"status": "approved"}, "v", "approve", t) == ("CONFLICT", None) and approve(spark, ask, "u", "approve", t) == ("SELF_APPROVAL", None)
+    assert approve(spark, ask, "v", "reject", t)[0] == "REJECTED" and approve(spark, ask, "v", "approve", {"t": rows.drop("s")}, known)[0] == "BLOCKED_FOR_REQUESTER"
+    done = approve(spark, ask, "v", "approve", t, known)
+    assert done[0] == "EXECUTED" and done[1].count() == 5
 
 
 def stream(spark, df, tmp_path, name):
