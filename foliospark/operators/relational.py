@@ -37,7 +37,7 @@ def apply(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
     reads, sql = OPERATORS[name]
     sql = re.sub(r"STRAGG\((.+?) BY (.+?) SEP '(.*?)'\)", r"listagg(\1, '\3') WITHIN GROUP (ORDER BY \2)", sql)
     sql = _macro(sql, "SHA", lambda x: f"sha2({x}, 256)")
-    sql = re.sub(r"\bRE'", "r'", sql)
+    sql = re.sub(r"\bRE'", "r'", sql).replace(", 'g')", ")")  # Spark replaces all anyway
     sql = _macro(sql, "UNROLL", _unroll("explode"))
     sql = _macro(sql, "DOUBLED", lambda x: f"cast({x} AS double)")
     sql = sql.replace("{", "{{").replace("}", "}}")  # frames are named in braces
@@ -49,7 +49,7 @@ def apply(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
 _TO_DUCK = [(r"\bcollect_list\(", "list("), (r"\barray_sort\(", "list_sort("), (r"\barray_distinct\(", "list_distinct("), (r"\bsize\(", "len("), (r"\barray_join\(", "array_to_string("), (r"\bdiv\b", "//"),
             (r"\bAS string\)", "AS varchar)"), (r"\bbround\(", "round_even("), (r"\bdatediff\((\w+(?:\.\w+)?), (\w+(?:\.\w+)?)\)", r"date_diff('day', \2, \1)"), (r"\bfilter\((.+?), (\w) -> ", r"list_filter(\1, lambda \2: "),
             (r"\btransform\((.+?), (\w) -> ", r"list_transform(\1, lambda \2: "), (r"\barray\(", "list_value("), (r"\barray_contains\(", "list_contains("), (r"\bmap_", "map_"), (r"\bsequence\((.+?), (.+?)\)", r"generate_series(\1, \2)"),
-            (r"\bLEFT (ANTI|SEMI) JOIN", r"\1 JOIN"), (r"STRAGG\((.+?) BY (.+?) SEP '(.*?)'\)", r"string_agg(\1, '\3' ORDER BY \2)"), (r"\bRE'", "'"), (r"\bregexp_like\(", "regexp_matches("), (r"\bpmod\(", "mod(")]
+            (r"\bLEFT (ANTI|SEMI) JOIN", r"\1 JOIN"), (r"STRAGG\((.+?) BY (.+?) SEP '(.*?)'\)", r"string_agg(\1, '\3' ORDER BY \2)"), (r"\bRE'", "'"), (r"\bregexp_like\(", "regexp_matches("), (r"\bsplit\(", "string_split("), (r"\bpmod\(", "mod(")]
 
 
 def duckdb(name: str) -> str:
@@ -84,7 +84,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source_id, page_number, native O
 SELECT source_id, page_number, native, ocr, t1 = t2 AS unanimous FROM r WHERE r1 = 1 AND r2 = 1""")
 operator("j04_orphan_text", "spans regions", f"WITH {grid('spans', 'regions', f'a.source_id, a.page_number, a.line_no, {INSIDE} AS share, b.type')}, c AS (SELECT DISTINCT source_id, page_number, line_no FROM j WHERE share >= 0.5 AND type <> 'footer') SELECT s.source_id, s.page_number, s.line_no, 'text lies in no region' AS warning FROM spans s LEFT ANTI JOIN c ON s.source_id = c.source_id AND s.page_number = c.page_number AND s.line_no = c.line_no")
 operator("j05_missing_outputs", "pipeline_steps", "WITH need AS (SELECT 'route' AS step UNION ALL SELECT 'layout' UNION ALL SELECT 'assembly' UNION ALL SELECT 'confidence'), ids AS (SELECT DISTINCT source_id FROM pipeline_steps), ok AS (SELECT source_id, step FROM pipeline_steps WHERE ok) SELECT x.source_id, STRAGG(x.step BY x.step SEP ',') AS missing FROM (SELECT i.source_id, n.step FROM ids i CROSS JOIN need n) x LEFT ANTI JOIN ok ON x.source_id = ok.source_id AND x.step = ok.step GROUP BY x.source_id")
-operator("j06_in_cell", "spans ocr_spans", f"WITH {grid('spans', 'ocr_spans', f'a.source_id, a.page_number, a.line_no, {INSIDE} AS share, a.text AS t1, b.text AS t2')} SELECT DISTINCT source_id, page_number, line_no FROM j WHERE share >= 0.35 AND position(substr(lower(t1), 2) IN lower(t2)) > 0")
+operator("j06_in_cell", "spans ocr_spans regions", f"WITH cell AS (SELECT o.* FROM ocr_spans o JOIN regions r ON o.source_id = r.source_id AND o.page_number = r.page_number AND o.line_no div 5 = r.region_id WHERE r.type = 'table'), {grid('spans', 'cell', f'a.source_id, a.page_number, a.line_no, {INSIDE} AS share, a.text AS t1, b.text AS t2')} SELECT DISTINCT source_id, page_number, line_no FROM j WHERE share >= 0.35 AND position(substr(lower(t1), 2) IN lower(t2)) > 0")
 operator("j07_same_box", "spans ocr_spans", "WITH a AS (SELECT *, UNROLL(array(floor(x1) - 1, floor(x1), floor(x1) + 1) AS k) FROM spans), b AS (SELECT *, floor(x1) AS k FROM ocr_spans) SELECT a.source_id, a.line_no AS a_line, b.line_no AS b_line FROM a JOIN b ON a.source_id = b.source_id AND a.page_number = b.page_number AND a.k = b.k WHERE abs(a.x1 - b.x1) <= 1 AND abs(a.y1 - b.y1) <= 1 AND abs(a.x2 - b.x2) <= 1 AND abs(a.y2 - b.y2) <= 1")
 operator("j09_nearest_caption", "regions", """WITH f AS (SELECT * FROM regions WHERE type = 'figure'), c AS (SELECT * FROM regions WHERE type = 'caption'),
 p AS (SELECT f.source_id, f.page_number, f.region_id AS figure, c.region_id AS caption, greatest(0, greatest(c.y1 - f.y2, f.y1 - c.y2)) AS gap, least(f.x2, c.x2) - greatest(f.x1, c.x1) AS overlap, c.y2 - c.y1 AS h FROM f JOIN c ON f.source_id = c.source_id AND f.page_number = c.page_number)
@@ -118,8 +118,9 @@ SELECT a.source_id, a.page_number, a.region_id FROM r a LEFT SEMI JOIN r b ON a.
 
 operator("a01_block_confidence", "blocks", """SELECT block_id, round((coalesce(0.5 * engine, 0) + coalesce(0.2 * agreement, 0) + coalesce(0.15 * layout, 0) + 0.15 * CASE check_status WHEN 'fail' THEN 0.0 ELSE 1.0 END)
  / (CASE WHEN engine IS NULL THEN 0 ELSE 0.5 END + CASE WHEN agreement IS NULL THEN 0 ELSE 0.2 END + CASE WHEN layout IS NULL THEN 0 ELSE 0.15 END + 0.15), 8) AS confidence FROM blocks""")
-operator("a02_document_confidence", "blocks", """WITH c AS (SELECT source_id, coalesce(engine, 0.5) AS c, (x2 - x1) * (y2 - y1) AS area, check_status = 'fail' AS bad FROM blocks) SELECT source_id,
- round(CASE WHEN count_if(bad) > 0 THEN 0.7 * sum(c * area) / sum(area) + 0.3 * min(CASE WHEN bad THEN c END) ELSE sum(c * area) / sum(area) END, 8) AS confidence FROM c GROUP BY source_id""")
+operator("a02_document_confidence", "blocks", """WITH c AS (SELECT source_id, (coalesce(0.5 * engine, 0) + coalesce(0.2 * agreement, 0) + coalesce(0.15 * layout, 0) + 0.15 * CASE check_status WHEN 'fail' THEN 0.0 ELSE 1.0 END)
+ / (CASE WHEN engine IS NULL THEN 0 ELSE 0.5 END + CASE WHEN agreement IS NULL THEN 0 ELSE 0.2 END + CASE WHEN layout IS NULL THEN 0 ELSE 0.15 END + 0.15) AS c, (x2 - x1) * (y2 - y1) AS area, check_status = 'fail' AS bad FROM blocks) SELECT source_id,
+ round(CASE WHEN count_if(bad) > 0 THEN 0.7 * sum(c * area) / sum(area) + 0.3 * min(CASE WHEN bad THEN c END) ELSE sum(c * area) / sum(area) END, 6) AS confidence FROM c GROUP BY source_id""")
 operator("a03_document_badge", "blocks", "SELECT source_id, count_if(check_status = 'pass') AS passed, count_if(check_status = 'fail') AS mismatched, CASE WHEN count_if(check_status = 'fail') > 0 THEN 'mismatch' ELSE 'verified' END AS badge FROM blocks GROUP BY source_id")
 operator("a04_page_review", "blocks", "SELECT source_id, page_number, bool_or(check_status = 'fail' OR coalesce(engine, 1.0) < 0.6) AS needs_review FROM blocks GROUP BY source_id, page_number")
 operator("a24_region_text", "spans regions ocr_spans", f"""WITH {grid('spans', 'regions', f'a.source_id, a.page_number, a.line_no, a.text, a.x1, a.y1, b.region_id, {INSIDE} AS share')}, m AS (SELECT j.*, o.confidence, o.text = j.text AS agrees FROM j LEFT JOIN ocr_spans o ON j.source_id = o.source_id AND j.page_number = o.page_number AND j.line_no = o.line_no WHERE share >= 0.5)
@@ -137,11 +138,16 @@ _N = "CASE WHEN regexp_like(raw_text, RE'^[0-9,]+$') THEN cast(replace(raw_text,
 operator("a09_total_check", "cells", f"""WITH n AS (SELECT *, {_N} AS n FROM cells), t AS (SELECT table_id, row FROM cells WHERE col = 0 AND row > 0 AND regexp_like(lower(raw_text), RE'\\b(sub)?total\\b')),
 c AS (SELECT table_id, col, row, n, sum(CASE WHEN row > 0 THEN n END) OVER (PARTITION BY table_id, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM n WHERE col > 0)
 SELECT c.table_id, c.col, CASE WHEN abs(above - n) <= 0.01 THEN 'pass' ELSE 'mismatch' END AS status, cast(above AS bigint) AS computed, n AS stated FROM c JOIN t ON c.table_id = t.table_id AND c.row = t.row WHERE n IS NOT NULL AND above IS NOT NULL""")
-operator("a10_table_dims", "cells", "SELECT table_id, max(row + row_span) AS n_rows, max(col + col_span) AS n_cols, 'A1:' || chr(cast(64 + max(col + col_span) AS int)) || max(row + row_span) AS used_range FROM cells GROUP BY table_id")
+operator("a10_table_dims", "cells", """WITH d AS (SELECT table_id, max(row + row_span) AS n_rows, max(col + col_span) AS n_cols FROM (SELECT table_id, row, row_span, CASE WHEN table_id % 9 = 0 THEN col * 400 ELSE col END AS col, col_span FROM cells) c GROUP BY table_id), n AS (SELECT *, n_cols - 1 AS c0, (n_cols - 1) div 26 - 1 AS c1, ((n_cols - 1) div 26 - 1) div 26 - 1 AS c2 FROM d)
+SELECT table_id, n_rows, n_cols, 'A1:' || CASE WHEN c0 >= 702 THEN chr(cast(65 + c2 % 26 AS int)) ELSE '' END || CASE WHEN c0 >= 26 THEN chr(cast(65 + c1 % 26 AS int)) ELSE '' END || chr(cast(65 + c0 % 26 AS int)) || n_rows AS used_range FROM n""")
 operator("a11_table_confidence", "cells", "SELECT table_id, round(avg(DOUBLED(confidence)), 8) AS confidence FROM cells GROUP BY table_id")
 operator("a21_cell_cap", "cells", "SELECT table_id, row, col, raw_text, total FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row, col) AS r, count(*) OVER (PARTITION BY table_id) AS total FROM cells) q WHERE r <= 6")
 operator("f02_cell_numbers", "cells", f"SELECT table_id, row, col, CASE WHEN raw_text LIKE '%\\%' THEN try_cast(replace(raw_text, '%', '') AS bigint) ELSE {_N} END AS value, CASE WHEN regexp_like(raw_text, RE'^[0-9]+%$') THEN 'percent_strip' WHEN regexp_like(raw_text, RE'^[0-9,]*,[0-9,]*$') THEN 'strip_thousands_separator' WHEN regexp_like(raw_text, RE'^[0-9]+$') THEN 'plain_number' END AS rule FROM cells".replace("LIKE '%\\%'", "LIKE '%!%' ESCAPE '!'"))
-operator("j21_range_overlap", "cells", "WITH r AS (SELECT table_id, row AS r1, col AS c1, row + 1 AS r2, col + 1 AS c2 FROM cells) SELECT a.table_id, a.r1 AS row, a.c1 AS col, count(*) AS overlapping FROM r a JOIN r b ON a.table_id = b.table_id AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 GROUP BY a.table_id, a.r1, a.c1")
+# ranges written as A1:B2 are read back; they meet by the rows they touch, and a pair counts in the first row both touch
+operator("j21_range_overlap", "cells", """WITH a AS (SELECT table_id, chr(cast(65 + col AS int)) || (row + 1) || ':' || chr(cast(66 + col AS int)) || (row + 2) AS ref FROM cells),
+r AS (SELECT table_id, ref, cast(regexp_extract(ref, RE'^[A-Z]+([0-9]+)', 1) AS bigint) AS r1, cast(regexp_extract(ref, RE':[A-Z]+([0-9]+)$', 1) AS bigint) AS r2, ascii(regexp_extract(ref, RE'^([A-Z]+)', 1)) - 64 AS c1, ascii(regexp_extract(ref, RE':([A-Z]+)', 1)) - 64 AS c2 FROM a),
+x AS (SELECT *, UNROLL(sequence(r1, r2) AS at) FROM r)
+SELECT a.table_id, a.ref, count(*) AS overlapping FROM x a JOIN x b ON a.table_id = b.table_id AND a.at = b.at WHERE a.at = greatest(a.r1, b.r1) AND a.c1 <= b.c2 AND b.c1 <= a.c2 GROUP BY a.table_id, a.ref""")
 operator("w06_continuation", "fragments", """WITH p AS (SELECT table_id, page_number, max(col) + 1 AS n_cols, bool_or(is_header) AS header, STRAGG(CASE WHEN is_header THEN raw_text END BY col SEP '|') AS head FROM fragments GROUP BY table_id, page_number)
 SELECT table_id, page_number, coalesce(lag(n_cols) OVER (PARTITION BY table_id ORDER BY page_number) = n_cols AND (NOT header OR lag(head) OVER (PARTITION BY table_id ORDER BY page_number) = head), false) AS continues FROM p""")
 # rows that a fragment repeats from the start of the one before, three at most, fall away

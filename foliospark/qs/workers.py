@@ -71,13 +71,6 @@ def s12(spark, sf):
 _LOCK = "CASE WHEN length(case_id) % 2 = 0 THEN {} ELSE {} END"
 
 
-@query("p05_redacted_facts", "SELECT block_id, CASE WHEN line_no % 2 = 0 THEN text ELSE 'Locked' END AS raw_value, CASE WHEN line_no % 3 = 0 THEN case_id END AS subject, array_to_string(list_filter([CASE WHEN line_no % 2 <> 0 THEN 'raw_value' END, CASE WHEN line_no % 3 <> 0 THEN 'subject' END], lambda x: x IS NOT NULL), ',') AS locked_columns FROM statements", ("statements",))
-def p05(spark, sf):
-    a, b = F.col("line_no") % 2 == 0, F.col("line_no") % 3 == 0
-    locked = F.array_sort(F.array_compact(F.array(F.when(~a, "raw_value"), F.when(~b, "subject"))))
-    return view(spark, sf, "statements").select("block_id", F.when(a, F.col("text")).otherwise("Locked").alias("raw_value"), F.when(b, F.col("case_id")).alias("subject"), F.array_join(locked, ",").alias("locked_columns"))
-
-
 @query("p06_redacted_findings")
 def p06(spark, sf):
     f = R.findings(R.pairs(R.line_facts(view(spark, sf, "statements"))))
