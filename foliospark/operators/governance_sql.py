@@ -72,7 +72,6 @@ operator("j27_source_summary", "sources blocks", "WITH b AS (SELECT source_id, c
 operator("g09_drafts", "requests", "SELECT request_id, 'Please review ' || resource || '.' || col || ' for ' || user_id || '.' AS body, substr(SHA('draft|' || request_id || '|' || col), 1, 16) AS action_id FROM requests")
 operator("r03_login_alerts", "logins", "WITH i AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY username ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS island FROM logins) SELECT username, cast(island AS bigint) AS island, count(*) AS failures FROM i WHERE NOT success GROUP BY username, island HAVING count(*) >= 5")
 operator("r04_window_counters", "events", "SELECT cast(date_trunc('hour', ts) AS string) AS hour, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
-operator("r06_expired_grants", "grants", "SELECT grant_id, min(valid_until) AS expired_at FROM grants WHERE valid_until <= 300 GROUP BY grant_id")
 operator("s05_route", "spans", """WITH p AS (SELECT source_id, page_number, sum(length(text)) AS chars, (source_id * 7 + page_number * 3) % 10 / 10e0 AS image_ratio FROM spans GROUP BY source_id, page_number),
 c AS (SELECT source_id, CASE WHEN chars < 15 THEN CASE WHEN image_ratio > 0 THEN 'image_only' ELSE 'blank' END WHEN image_ratio >= 0.6 THEN 'scanned' WHEN image_ratio >= 0.3 THEN 'mixed' ELSE 'native_text' END AS cls FROM p)
 SELECT source_id, CASE WHEN bool_and(cls = 'blank') THEN 'blank_pdf' WHEN count(DISTINCT CASE WHEN cls <> 'blank' THEN cls END) = 1 THEN max(CASE WHEN cls <> 'blank' THEN cls END) || '_pdf' ELSE 'mixed_pdf' END AS route FROM c GROUP BY source_id""")

@@ -138,6 +138,12 @@ _FIND = f"""WITH {PAIRS} SELECT substr(sha256(array_to_string(list_sort([a.fact_
   'Potential discrepancy: ' || metric || ' differs between ' || a.source_id || ' and ' || b.source_id AS title FROM e WHERE pct_diff > 0.5"""
 
 
+def findings_sql(select: str) -> str:
+    """SQL over the rows of the findings query: `SELECT ...` without its FROM."""
+    head, tail = _FIND.split("SELECT substr(sha256(array_to_string(list_sort", 1)
+    return f"{head}{select} FROM (SELECT substr(sha256(array_to_string(list_sort{tail})"
+
+
 @query("findings", _FIND, V)
 def findings(spark, sf):
     """Where do two sources of one case disagree, and how badly?"""

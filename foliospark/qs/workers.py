@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from foliospark.derive import base, view
+from foliospark.functions import nested as N
 from foliospark.functions import scalars as S
-from foliospark.functions.text import similarity
+from foliospark.functions.text import nfkc, similarity
 from foliospark.operators import pages as P
 from foliospark.operators import reasoning as R
-from foliospark.plans.governed import gate, run_governed
+from foliospark.plans.governed import analyse, decide, run_governed
+from foliospark.qs.reasoning import FACTS, findings_sql
 from foliospark.registry import query
 from foliospark.sources import documents as D
 from foliospark.streaming import jobs as J
+from foliospark.tables import shared_dir, written
 
 
 @query("s07_csv_cells", "SELECT table_id, row, col, raw_text AS value FROM cells", ("cells",))
@@ -68,30 +74,47 @@ def s12(spark, sf):
     return D.emails(c.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), raw.alias("raw")), "message_id", "raw")
 
 
-_LOCK = "CASE WHEN length(case_id) % 2 = 0 THEN {} ELSE {} END"
+_SEEN = "length(metric) % 4 <> 0"
 
 
-@query("p06_redacted_findings")
+@query("p06_redacted_findings", findings_sql(f"SELECT finding_id, CASE WHEN {_SEEN} THEN severity ELSE 'hidden' END AS severity, CASE WHEN {_SEEN} THEN title ELSE 'Potential discrepancy' END AS title, CASE WHEN {_SEEN} THEN abs_diff END AS abs_diff, CASE WHEN {_SEEN} THEN pct_diff END AS pct_diff, CASE WHEN {_SEEN} THEN explanations ELSE '' END AS explanations, CASE WHEN length(metric) % 3 <> 0 THEN confidence ELSE 0 END AS confidence"), ("statements",))
 def p06(spark, sf):
-    f = R.findings(R.pairs(R.line_facts(view(spark, sf, "statements"))))
-    seen = F.col("severity") != "high"
-    return f.select("finding_id", "severity", F.when(seen, F.col("title")).otherwise("Potential discrepancy (details locked)").alias("title"), F.when(seen, F.col("abs_diff")).alias("abs_diff"))
+    """What is left of a finding for someone who may not see its title, or not its confidence: by metric, here."""
+    f = R.findings(R.pairs(written(R.line_facts(view(spark, sf, "statements")))))
+    return redacted_findings(f, F.length("metric") % 4 != 0, F.length("metric") % 3 != 0)
+
+
+def redacted_findings(f, title, confidence):
+    """Findings with general words for hidden titles; without a title there are no figures or explanations either."""
+    return f.select("finding_id", F.when(title, F.col("severity")).otherwise("hidden").alias("severity"), F.when(title, F.col("title")).otherwise("Potential discrepancy").alias("title"), F.when(title, F.col("abs_diff")).alias("abs_diff"),
+                    F.when(title, F.col("pct_diff")).alias("pct_diff"), F.when(title, F.col("explanations")).otherwise("").alias("explanations"), F.when(confidence, F.col("confidence")).otherwise(0.0).alias("confidence"))
 
 
 _MASK = "regexp_replace({}, '([\\w.+-])[\\w.+-]*@([\\w-]+\\.[\\w.]+)', '\\1***@\\2', 'g')"
 
 
-@query("p08_deep_mask", f"SELECT doc_id, {_MASK.format(chr(39) + 'mail jane.doe@example.org ' + chr(39) + ' || source')} AS excerpt, source AS other FROM documents")
+def _record(df):
+    """A document as nested data: texts under masked names at several depths, beside evidence and other fields."""
+    mail = F.concat(F.lit("mail jane.doe@example.org "), F.coalesce("source", F.lit("")))
+    fact = F.struct(mail.alias("raw_value"), F.col("lang").alias("metric"), F.struct(mail.alias("excerpt"), F.struct(mail.alias("body"), mail.alias("other")).alias("inner")).alias("detail"), F.array(F.struct(mail.alias("excerpt"))).alias("evidence"))
+    return df.select("doc_id", F.struct(F.array(fact).alias("facts"), mail.alias("text"), F.create_map(F.lit("subject"), mail, F.lit("kept"), mail).alias("more"), F.struct(F.lit(1).alias("page")).alias("location")).alias("data"))
+
+
+_M = "'mail jane.doe@example.org ' || coalesce(source, '')"
+
+
+@query("p08_deep_mask", f"""SELECT doc_id, {_MASK.format(_M)} AS raw_value, {_MASK.format(_M)} AS excerpt, {_MASK.format(_M)} AS body, {_M} AS other, {_MASK.format(_M)} AS evidence, {_MASK.format(_M)} AS text, {_MASK.format(_M)} AS subject, {_M} AS kept FROM documents""")
 def p08(spark, sf):
-    d = base(spark, sf, "documents").select("doc_id", F.struct(F.struct(F.concat(F.lit("mail jane.doe@example.org "), "source").alias("excerpt"), F.col("source").alias("other")).alias("inner")).alias("data"))
-    masked = F.col("data").withField("inner.excerpt", S.mask_text(F.col("data.inner.excerpt")))
-    return d.select("doc_id", masked.alias("data")).select("doc_id", "data.inner.excerpt", "data.inner.other")
+    d = _record(base(spark, sf, "documents"))
+    d = d.select("doc_id", N.map_fields(F.col("data"), d.schema["data"].dataType, N.MASKED, S.mask_text).alias("d"))
+    f = F.get("d.facts", F.lit(0))
+    return d.select("doc_id", f["raw_value"].alias("raw_value"), f["detail"]["excerpt"].alias("excerpt"), f["detail"]["inner"]["body"].alias("body"), f["detail"]["inner"]["other"].alias("other"), F.get(f["evidence"], F.lit(0))["excerpt"].alias("evidence"), F.col("d.text").alias("text"), F.col("d.more")["subject"].alias("subject"), F.col("d.more")["kept"].alias("kept"))
 
 
-@query("p09_strip_evidence", "SELECT doc_id, '{\"value\":\"' || source || '\"}' AS json FROM documents")
+@query("p09_strip_evidence", f"""SELECT doc_id, '{{"facts":[{{"raw_value":"' || {_M} || '","metric":' || coalesce('"' || lang || '"', 'null') || ',"detail":{{"excerpt":"' || {_M} || '","inner":{{"body":"' || {_M} || '","other":"' || {_M} || '"}}}}}}],"text":"' || {_M} || '","more":{{"subject":"' || {_M} || '","kept":"' || {_M} || '"}}}}' AS json FROM documents""")
 def p09(spark, sf):
-    row = F.struct(F.col("source").alias("value"), F.lit("page 1").alias("evidence"), F.struct(F.lit(1).alias("x1")).alias("location"))
-    return base(spark, sf, "documents").select("doc_id", F.to_json(row.dropFields("evidence", "location")).alias("json"))
+    d = _record(base(spark, sf, "documents"))
+    return d.select("doc_id", F.to_json(N.drop_fields(F.col("data"), d.schema["data"].dataType, N.EVIDENCE), {"ignoreNullFields": "false"}).alias("json"))
 
 
 @query("p10_secret_keys", "SELECT seq, '[redacted]' AS api_key, coalesce(props, '') AS props FROM audit", ("audit",))
@@ -124,17 +147,38 @@ def w04(spark, sf):
     return e.select("tenant_id", head.alias("head"), F.size("e").cast("bigint").alias("n"))
 
 
-@query("w03_chain_verify_all")
-def w03(spark, sf):
+_CHAINED = """WITH RECURSIVE n AS (SELECT tenant_id, seq, event_type, row_number() OVER (PARTITION BY tenant_id ORDER BY seq) AS n FROM audit),
+c AS (SELECT tenant_id, seq, event_type, n, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || seq || '|' || event_type) AS hash FROM n WHERE n = 1
+  UNION ALL SELECT n.tenant_id, n.seq, n.event_type, n.n, c.hash, sha256(c.hash || n.seq || '|' || n.event_type) FROM c JOIN n ON n.tenant_id = c.tenant_id AND n.n = c.n + 1)"""
+_VERIFIED = _CHAINED + """,
+t AS (SELECT tenant_id, seq, event_type, n, CASE WHEN seq % 401 = 7 THEN 'relinked' ELSE prev_hash END AS prev_hash, CASE WHEN seq % 211 = 5 THEN 'tampered' ELSE hash END AS hash FROM c WHERE seq % 307 <> 11),
+f AS (SELECT tenant_id, seq, n - lag(n, 1, 0) OVER w <> 1 AS gap, prev_hash <> lag(hash, 1, repeat('0', 64)) OVER w AS broken_link, hash <> sha256(prev_hash || seq || '|' || event_type) AS hash_mismatch FROM t WINDOW w AS (PARTITION BY tenant_id ORDER BY n))
+SELECT tenant_id, seq, gap, broken_link, hash_mismatch, CASE WHEN gap OR broken_link OR hash_mismatch THEN array_to_string(list_filter([CASE WHEN gap THEN 'gap' END, CASE WHEN broken_link THEN 'broken_link' END, CASE WHEN hash_mismatch THEN 'hash_mismatch' END], lambda x: x IS NOT NULL), ',') ELSE 'ok' END AS problem FROM f"""
+
+
+def _verified(spark, sf):
     """Every row of every tenant's chain, some rows tampered with, relinked or taken out after the log was written."""
     log = J.audit_log(view(spark, sf, "audit").select("tenant_id", "seq", "event_type"))
     hurt = {"hash": F.when(F.col("seq") % 211 == 5, "tampered").otherwise(F.col("hash")), "prev_hash": F.when(F.col("seq") % 401 == 7, "relinked").otherwise(F.col("prev_hash"))}
     return J.verify_chain(log.withColumns(hurt).where("seq % 307 <> 11"))
 
 
-@query("r05_audit_chain", "WITH l AS (SELECT tenant_id, max(seq) AS last_seq, count(*) AS n FROM audit GROUP BY tenant_id) SELECT * FROM l", ("audit",))
+query("w03_chain_verify", _VERIFIED, ("audit",))(_verified)
+query("w03_chain_verify_all", _VERIFIED, ("audit",))(_verified)
+
+
+@query("r05_audit_chain", _CHAINED + " SELECT tenant_id, seq, prev_hash, hash FROM c", ("audit",))
 def r05(spark, sf):
-    return view(spark, sf, "audit").groupBy("tenant_id").agg(F.max("seq").alias("last_seq"), F.count("*").alias("n"))
+    """The chain that the stream job appends, from its batch twin."""
+    return J.audit_chain(view(spark, sf, "audit").select("tenant_id", "seq", "event_type"))
+
+
+@query("r06_expired_grants", "SELECT grant_id, valid_until AS expired_at FROM grants WHERE valid_until <= 300", ("grants",))
+def r06(spark, sf):
+    """Each grant whose end has passed, once, however often it is written: the batch twin of the stream with timers."""
+    g = view(spark, sf, "grants")
+    again = g.unionByName(g.where("grant_id % 3 = 0"))
+    return again.groupBy("grant_id").agg(F.max("valid_until").alias("expired_at")).where("expired_at <= 300")
 
 
 @query("f03_number_tokens", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN '0' ELSE regexp_replace(cast(cast(round(l_discount * 100) AS INT) / 100 AS DECIMAL(10,2))::VARCHAR, '0+$', '') END AS token FROM lineitem")
@@ -179,44 +223,85 @@ def r02(spark, sf):
     return J.rate_limit(e)
 
 
-@query("r07_newest_progress", "SELECT user_id, max(ts) AS newest, count(*) AS n FROM events GROUP BY user_id")
+@query("r07_newest_progress", "SELECT user_id, arg_max(event_type, event_id) AS status, max(event_id) AS newest, count(*) AS n FROM events GROUP BY user_id")
 def r07(spark, sf):
-    return base(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("newest"), F.count("*").alias("n"))
+    """Events ingested as a file stream, twice with one checkpoint, which adds nothing; then each user's newest status."""
+    folder = f"{shared_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    schema = base(spark, sf, "events").schema
+    src = f"{folder}/src"
+    base(spark, sf, "events").write.parquet(src)
+    for _ in range(2):
+        J.ingest(spark.readStream.schema(schema).parquet(src), f"{folder}/out", f"{folder}/ck").awaitTermination()
+    got = spark.read.schema(schema).parquet(f"{folder}/out")
+    return got.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.max("event_id").alias("newest"), F.count("*").alias("n"))
 
 
 def register_functions(spark) -> None:
-    """Scalar functions for SQL users, inlined by the analyser."""
+    """Scalar functions for SQL users: SQL functions that the analyser inlines, and the Arrow functions by name."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION folio_mask_mail(s STRING) RETURNS STRING RETURN regexp_replace(s, r'([\\w.+-])[\\w.+-]*@([\\w-]+\\.[\\w.]+)', '$1***@$2')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION folio_severity(p DOUBLE) RETURNS STRING RETURN CASE WHEN p >= 20 THEN 'high' WHEN p >= 5 THEN 'medium' ELSE 'low' END")
-
-
-@query("u02_sql_functions", "SELECT o_orderkey, CASE WHEN o_orderkey % 40 >= 20 THEN 'high' WHEN o_orderkey % 40 >= 5 THEN 'medium' ELSE 'low' END AS severity FROM orders")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION folio_amount(s STRING) RETURNS DECIMAL(38, 10) RETURN
+      CASE WHEN trim(s) LIKE '(%)' OR trim(s) LIKE '-%' THEN -1 ELSE 1 END * try_cast(replace(regexp_replace(trim(s), r'^[()\\-]+|[()\\-]+$', ''), ',', '') AS DECIMAL(38, 10))""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION folio_date(s STRING) RETURNS DATE RETURN CASE WHEN s RLIKE r'^\\d{4}-\\d{2}-\\d{2}$' THEN try_cast(s AS DATE)
+      WHEN s RLIKE r'^\\d{1,2}[/.]\\d{1,2}[/.]\\d{4}$' THEN try_cast(concat_ws('-', split(s, '[/.]')[2], lpad(split(s, '[/.]')[1], 2, '0'), lpad(split(s, '[/.]')[0], 2, '0')) AS DATE) END""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION folio_iban_ok(s STRING) RETURNS BOOLEAN RETURN
+      aggregate(filter(split(concat(substr(s, 5), substr(s, 1, 4)), ''), c -> c <> ''), 0, (a, c) -> (a * CASE WHEN c RLIKE '[0-9]' THEN 10 ELSE 100 END + CASE WHEN c RLIKE '[0-9]' THEN ascii(c) - 48 ELSE ascii(c) - 55 END) % 97) = 1""")
+    spark.udf.register("folio_nfkc", nfkc)
+    spark.udf.register("folio_similarity", similarity)
+
+
+@query("u02_sql_functions", """SELECT o_orderkey, CASE WHEN o_orderkey % 40 >= 20 THEN 'high' WHEN o_orderkey % 40 >= 5 THEN 'medium' ELSE 'low' END AS severity, 'u***@example.org' AS mail, CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END * floor(o_totalprice)::DOUBLE AS amount,
+  try_cast(year(o_orderdate) || '-02-' || (28 + o_orderkey % 3) AS DATE)::VARCHAR AS day, ('3214282912345698765432' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '161182')::HUGEINT % 97 = 1 AS iban_ok, 'A ' || o_orderkey AS name, 100.0::DOUBLE AS same FROM orders""")
 def u02(spark, sf):
     register_functions(spark)
-    return base(spark, sf, "orders").selectExpr("o_orderkey", "folio_severity(o_orderkey % 40) AS severity")
+    money = "concat(CASE WHEN o_orderkey % 2 = 0 THEN '(' ELSE '' END, format_number(floor(o_totalprice), 0), CASE WHEN o_orderkey % 2 = 0 THEN ')' ELSE '' END)"
+    return base(spark, sf, "orders").selectExpr(
+        "o_orderkey", "folio_severity(o_orderkey % 40) AS severity", "folio_mask_mail(concat('user', o_orderkey, '@example.org')) AS mail", f"cast(folio_amount({money}) AS double) AS amount",
+        "cast(folio_date(concat(28 + o_orderkey % 3, '/2/', year(o_orderdate))) AS string) AS day", "folio_iban_ok(concat('GB82WEST12345698765432', lpad(cast(o_orderkey % 100 AS string), 2, '0'))) AS iban_ok",
+        "folio_nfkc(concat('Ａ  ', o_orderkey)) AS name", "folio_similarity(o_orderstatus, o_orderstatus) AS same",
+    )
 
 
-@udtf(returnType=T.StructType([T.StructField("label", T.StringType()), T.StructField("num", T.StringType())]))
+@arrow_udtf(returnType="block_id string, label string, num string, is_date boolean")
 class LineFacts:
-    """label and number of one line, as rows."""
+    """The facts of lines as rows, a batch of lines at a time: block_id and text in, labels and raw values out."""
 
-    def eval(self, text: str):
-        import re
+    def eval(self, lines: pa.RecordBatch):
+        rows = []
+        for block, text in zip(lines.column(0).to_pylist(), lines.column(1).to_pylist(), strict=True):
+            dates = _DATE_LINE.findall(text or "")
+            rows += [(block, label, day, True) for label, day in dates]
+            if not dates and (m := _NUMBER_LINE.search(text or "")) and len(m[1].strip()) >= 3:
+                rows.append((block, m[1], f"{m[4]}-{m[5]}" if m[5] else m[4], False))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.table(dict(zip(("block_id", "label", "num", "is_date"), (pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_()), strict=True)), strict=True)))
 
-        m = re.search(r"([A-Za-z][A-Za-z0-9 /&()\-]{2,60}?)\s*[:=]\s*(?:Rs\.?|INR|USD)?\s*(\d[\d,]*(?:\.\d+)?)\s*$", text or "")
-        if m:
-            yield m[1].strip(), m[2]
 
+_NUMBER_LINE, _DATE_LINE = re.compile(R.LINE, re.ASCII), re.compile(R.DATELINE, re.ASCII)
 
-@query("u03_fact_table_function", "SELECT block_id, trim(regexp_extract(text, '([A-Za-z][A-Za-z0-9 /&()\\-]{2,60}?)\\s*[:=]\\s*(?:Rs\\.?|INR|USD)?\\s*(\\d[\\d,]*(?:\\.\\d+)?)\\s*$', 1)) AS label FROM statements WHERE regexp_matches(text, '([A-Za-z][A-Za-z0-9 /&()\\-]{2,60}?)\\s*[:=]\\s*(?:Rs\\.?|INR|USD)?\\s*(\\d[\\d,]*(?:\\.\\d+)?)\\s*$')", ("statements",))
+
+@query("u03_fact_table_function", f"WITH {FACTS} SELECT block_id, label, raw_value AS num, rule IN ('DATE_ISO', 'DATE_DMY') AS is_date FROM n", ("statements",))
 def u03(spark, sf):
+    """The same rows as the fact query, from a table function that SQL users can call on any lines."""
     spark.udtf.register("line_facts", LineFacts)
-    return spark.sql("SELECT s.block_id, f.label FROM {s} s, LATERAL line_facts(s.text) f", s=view(spark, sf, "statements"))
+    return spark.sql("SELECT * FROM line_facts(TABLE(SELECT block_id, text FROM {s}))", s=view(spark, sf, "statements"))
 
 
-@query("u04_vote", "SELECT event_type, user_id % 50 AS g, arg_max(event_id, value * 1000 + event_id % 1000) AS winner FROM events GROUP BY ALL")
+@query("u04_vote", """WITH t AS (SELECT source_id, page_number, line_no, text, 1.0::DOUBLE * confidence AS w FROM spans UNION ALL SELECT source_id, page_number, line_no, text, 0.7::DOUBLE * confidence FROM ocr_spans),
+g AS (SELECT source_id, page_number, line_no, text, sum(w) AS w, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source_id, page_number, line_no ORDER BY w DESC, text) AS r, count(*) OVER (PARTITION BY source_id, page_number, line_no) AS groups, sum(w) OVER (PARTITION BY source_id, page_number, line_no) AS total FROM g)
+SELECT source_id, page_number, line_no, text AS winner, CASE WHEN groups = 1 THEN 'unanimous' WHEN w > 0.5 * total THEN 'majority' ELSE 'split' END AS agreement FROM r WHERE r = 1""", ("spans", "ocr_spans"))
 def u04(spark, sf):
-    return base(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 50).alias("g")).agg(F.max_by("event_id", F.col("value") * 1000 + F.col("event_id") % 1000).alias("winner"))
+    """The vote over candidate texts as one aggregate: equal texts add up their weights, the heaviest wins, ties by text."""
+    w = {"spans": 1.0, "ocr_spans": 0.7}
+    t = None
+    for name, reliability in w.items():
+        one = view(spark, sf, name).select("source_id", "page_number", "line_no", "text", (F.lit(reliability) * F.col("confidence")).alias("w"))
+        t = one if t is None else t.unionByName(one)
+    g = t.groupBy("source_id", "page_number", "line_no", "text").agg(F.sum("w").alias("w"))
+    best = F.min_by(F.struct("text", "w"), F.struct(-F.col("w"), "text"))
+    v = g.groupBy("source_id", "page_number", "line_no").agg(best.alias("b"), F.count("*").alias("groups"), F.sum("w").alias("total"))
+    agreement = F.when(F.col("groups") == 1, "unanimous").when(F.col("b.w") > 0.5 * F.col("total"), "majority").otherwise("split")
+    return v.select("source_id", "page_number", "line_no", F.col("b.text").alias("winner"), agreement.alias("agreement"))
 
 
 @query("g01_governed_sql", "SELECT source_id, size_bytes FROM sources WHERE tenant_id = 'src3' AND size_bytes > 100 ORDER BY source_id LIMIT 500", ("sources",))
@@ -228,20 +313,113 @@ def g01(spark, sf):
     return rows
 
 
-@query("g02_query_analysis", "SELECT 'sources' AS tables, 'display_name,size_bytes' AS columns, count(*) AS row_estimate FROM sources WHERE tenant_id = 'src3'", ("sources",))
+def _frames(spark, sf):
+    """What users may query: sources, findings (here: differing lines) and facts (here: lines), with all their columns."""
+    s = view(spark, sf, "sources").select("source_id", "display_name", "size_bytes", "uploaded_by")
+    l = view(spark, sf, "statements").select(F.col("block_id").alias("fact_id"), F.col("source_id").alias("metric"), F.col("case_id").alias("subject"), F.col("text").alias("normalized_value"), F.lit("INR").alias("currency"))
+    a = view(spark, sf, "action_events").where("decision = 'reject'").select(F.col("seq").alias("finding_id"), F.col("decision").alias("severity"), F.col("action_id").alias("statement"))
+    return {"sources": s, "facts": l, "findings": a}
+
+
+SENSITIVE = {"sources": {"uploaded_by"}, "facts": {"subject", "normalized_value"}, "findings": {"statement"}}
+#: Statements that users ask, by what they touch.
+ASKED = (
+    "SELECT source_id, size_bytes FROM sources WHERE size_bytes > 100 LIMIT 50", "SELECT source_id FROM sources", "SELECT count(*) AS n FROM facts LIMIT 1", "SELECT f.metric, count(*) AS n FROM facts f GROUP BY f.metric HAVING count(*) > 3 LIMIT 20",
+    "SELECT subject FROM facts LIMIT 5", "SELECT s.uploaded_by FROM sources s JOIN findings f ON s.source_id = f.finding_id LIMIT 9", "SELECT * FROM ledger", "SELECT secret FROM sources", "WITH x AS (SELECT severity FROM findings) SELECT severity, count(*) AS n FROM x GROUP BY severity LIMIT 3",
+)
+_FRAMES = "n AS (SELECT 'sources' AS t, count(*) AS c FROM sources UNION ALL SELECT 'facts', count(*) FROM statements UNION ALL SELECT 'findings', count(*) FROM action_events WHERE decision = 'reject')"
+_WANT = [("sources", "sources.size_bytes,sources.source_id", "", 50), ("sources", "sources.source_id", "", None), ("facts", "", "", 1), ("facts", "facts.metric", "", 20), ("facts", "facts.subject", "facts.subject", 5),
+         ("findings,sources", "findings.finding_id,sources.source_id,sources.uploaded_by", "sources.uploaded_by", 9), None, None, ("findings", "findings.severity", "", 3)]
+_Q = "q(id, tables, columns, sensitive, lim) AS (VALUES " + ", ".join(f"({i}, '{w[0]}', '{w[1]}', '{w[2]}', {w[3] or 'NULL'}::INT)" if w else f"({i}, NULL, NULL, NULL, NULL::INT)" for i, w in enumerate(_WANT)) + ")"
+_DECIDED = f"WITH {_FRAMES}, {_Q}, e AS (SELECT q.*, (SELECT max(c) FROM n WHERE list_contains(string_split(q.tables, ','), n.t)) AS row_estimate FROM q)"
+
+
+def _decisions(spark, sf):
+    """Every asked statement through the gate: (id, decision, reason, tables, columns, sensitive, estimate)."""
+    frames, rows = _frames(spark, sf), []
+    for i, sql in enumerate(ASKED):
+        said, why, a, n = decide(spark, sql, frames, SENSITIVE)
+        rows.append((i, said, why, *([None] * 3 if why and said == "BLOCK" else [",".join(x) for x in (a.tables, a.columns, a.sensitive)]), n))
+    return spark.createDataFrame(rows, "id int, decision string, reason string, tables string, columns string, sensitive string, row_estimate long")
+
+
+@query("g02_query_analysis", _DECIDED + " SELECT id, tables, columns, sensitive, row_estimate FROM e WHERE tables IS NOT NULL", ("sources", "statements", "action_events"))
 def g02(spark, sf):
-    mine = view(spark, sf, "sources").where("tenant_id = 'src3'").select("source_id", "display_name", "size_bytes")
-    asked = mine.select("display_name", "size_bytes")
-    return mine.agg(F.count("*").alias("row_estimate")).select(F.lit("sources").alias("tables"), F.lit(",".join(sorted(asked.columns))).alias("columns"), "row_estimate")
+    return _decisions(spark, sf).where("decision <> 'BLOCK'").select("id", "tables", "columns", "sensitive", "row_estimate")
+
+
+_SAID = "CASE WHEN tables IS NULL THEN 'BLOCK' WHEN sensitive <> '' OR row_estimate > 1000 AND lim IS NULL THEN 'CONFIRM' ELSE 'ALLOW' END"
+
+
+@query("g03_decision", _DECIDED + f" SELECT r.request_id, e.id AS statement, {_SAID} AS decision FROM requests r JOIN e ON r.request_id % {len(ASKED)} = e.id", ("sources", "statements", "action_events", "requests"))
+def g03(spark, sf):
+    """Each request asks one of the statements; all are judged by the gate."""
+    d = F.broadcast(_decisions(spark, sf))  # one row a statement
+    return view(spark, sf, "requests").join(d, F.col("request_id") % len(ASKED) == F.col("id")).select("request_id", F.col("id").alias("statement"), "decision")
+
+
+@query("g04_approval_rules", _DECIDED + f""", r AS (SELECT *, CASE WHEN request_id % 2 = 0 THEN 'approve' ELSE 'reject' END AS said FROM requests)
+SELECT r.request_id, CASE WHEN r.status <> 'pending' THEN 'CONFLICT' WHEN r.approver = r.user_id THEN 'SELF_APPROVAL' WHEN said = 'reject' THEN 'REJECTED' WHEN cast(substr(r.user_id, 5) AS INT) % 3 <> 0 AND e.sensitive <> '' THEN 'BLOCKED_FOR_REQUESTER' ELSE 'EXECUTED' END AS outcome
+FROM r JOIN e ON r.request_id % {len(ASKED)} = e.id WHERE {_SAID} = 'CONFIRM'""", ("sources", "statements", "action_events", "requests"))
+def g04(spark, sf):
+    """Requests that need a second person: rules first, then each statement through the gate again with the columns that
+    the requester may see (every third user: all; others: what is not sensitive), once a statement and kind of user."""
+    frames = _frames(spark, sf)
+    known = {n: df.columns for n, df in frames.items()}
+    plain = {n: df.drop(*SENSITIVE[n]) for n, df in frames.items()}
+    rows = [(i, full, analyse(spark, sql, frames if full else plain, known=known).reason is None) for i, sql in enumerate(ASKED) for full in (True, False)]
+    again = F.broadcast(spark.createDataFrame(rows, "id int, full boolean, open boolean"))  # two rows a statement
+    confirm = F.broadcast(_decisions(spark, sf).where("decision = 'CONFIRM'").select("id"))
+    r = view(spark, sf, "requests").withColumns({"id": (F.col("request_id") % len(ASKED)).cast("int"), "full": F.substring("user_id", 5, 9).cast("int") % 3 == 0, "said": F.when(F.col("request_id") % 2 == 0, "approve").otherwise("reject")})
+    out = F.when(F.col("status") != "pending", "CONFLICT").when(F.col("approver") == F.col("user_id"), "SELF_APPROVAL").when(F.col("said") == "reject", "REJECTED").when(~F.col("open"), "BLOCKED_FOR_REQUESTER").otherwise("EXECUTED")
+    return r.join(confirm, "id").join(again, ["id", "full"]).select("request_id", out.alias("outcome"))
+
+
+@query("a23_governed_aggregate", "WITH v AS (SELECT c_mktsegment AS segment, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey) SELECT segment, count(*) AS n FROM v GROUP BY segment HAVING count(*) > 10 ORDER BY n DESC, segment LIMIT 500")
+def a23(spark, sf):
+    sql = "WITH v AS (SELECT c_mktsegment AS segment, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey) SELECT segment, count(*) AS n FROM v GROUP BY segment HAVING count(*) > 10 ORDER BY n DESC, segment"
+    reason, rows = run_governed(spark, sql, {"orders": base(spark, sf, "orders").select("o_orderkey", "o_custkey"), "customer": base(spark, sf, "customer").select("c_custkey", "c_mktsegment")})
+    if reason:
+        raise ValueError(reason)
+    return rows
+
+
+@query("a19_record_hash", """SELECT source_id, sha256('{"name":' || to_json(display_name || ' "a" ' || chr(92) || ' b' || chr(9) || 'c') || ',"size":' || size_bytes || '}') AS content_hash FROM sources""", ("sources",))
+def a19(spark, sf):
+    """The hash of a record's canonical JSON: keys in order, no spaces, strings escaped. Names hold quotes, backslashes, tabs."""
+    name = F.concat("display_name", F.lit(' "a" ' + chr(92) + " b\tc"))
+    return view(spark, sf, "sources").select("source_id", F.sha2(F.to_json(F.struct(name.alias("name"), F.col("size_bytes").alias("size"))), 256).alias("content_hash"))
+
+
+_CLAIM = "CASE WHEN source_id LIKE 'B-%' THEN text || CASE line_no % 7 WHEN 0 THEN ' on 2031-01-01' WHEN 1 THEN ' \"never said here at all\"' WHEN 2 THEN ' \"Order\"' ELSE '' END ELSE text END"
+_NUM = "(?:^|[^\\w.])(\\d[\\d,]*(?:\\.\\d+)?)"
 
 
-@query("g05_grounding", "WITH c AS (SELECT substr(source_id, 3) AS claim, unnest(list_distinct(regexp_extract_all(text, '\\d[\\d,]*'))) AS n FROM statements WHERE source_id LIKE 'B-%'), e AS (SELECT substr(source_id, 3) AS claim, unnest(regexp_extract_all(text, '\\d[\\d,]*')) AS n FROM statements WHERE source_id LIKE 'A-%') SELECT DISTINCT c.claim, c.n AS ungrounded FROM c ANTI JOIN e ON c.claim = e.claim AND c.n = e.n", ("statements",))
+@query("g05_grounding", f"""WITH s AS (SELECT substr(source_id, 1, 1) AS side, substr(source_id, 3) AS claim, line_no, block_id, {_CLAIM} AS text FROM statements), ev AS (SELECT claim, string_agg(text, chr(10) ORDER BY line_no) AS ctx FROM s WHERE side = 'A' GROUP BY claim),
+en AS (SELECT DISTINCT claim, replace(unnest(regexp_extract_all(text, '{_NUM}', 1)), ',', '') AS n FROM s WHERE side = 'A'),
+t AS (SELECT block_id, claim, 'number' AS kind, replace(unnest(list_distinct(regexp_extract_all(text, '{_NUM}', 1))), ',', '') AS v FROM s WHERE side = 'B' UNION ALL SELECT block_id, claim, 'date', unnest(list_distinct(regexp_extract_all(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}'))) FROM s WHERE side = 'B' UNION ALL SELECT block_id, claim, 'quote', unnest(list_distinct(regexp_extract_all(text, '"([^"]+)"', 1))) FROM s WHERE side = 'B'),
+j AS (SELECT DISTINCT t.block_id, t.kind, t.v, CASE WHEN t.kind = 'number' THEN en.n IS NOT NULL ELSE coalesce(contains(ev.ctx, t.v), false) END AS ok FROM t LEFT JOIN en ON t.claim = en.claim AND t.v = en.n LEFT JOIN ev ON t.claim = ev.claim)
+SELECT block_id, string_agg(CASE WHEN NOT ok THEN kind || ':' || v END, ',' ORDER BY kind, v) AS issues, round(count_if(ok) / count(*)::DOUBLE, 4) AS score, bool_and(ok) AS grounded FROM j GROUP BY block_id""", ("statements",))
 def g05(spark, sf):
-    """Numbers that source B states and source A, its evidence, does not hold."""
-    n = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d[\d,]*"), F.lit(0)))).alias("n")
-    s = view(spark, sf, "statements").select(F.substring("source_id", 1, 1).alias("side"), F.expr("substr(source_id, 3)").alias("claim"), n).distinct()
-    claims, evidence = s.where("side = 'B'").drop("side"), s.where("side = 'A'").drop("side")
-    return claims.join(evidence, ["claim", "n"], "left_anti").withColumnRenamed("n", "ungrounded")
+    """Numbers, dates and quotes that a line of source B states and source A, its evidence, does not hold; with the share that it does."""
+    s = view(spark, sf, "statements").select(F.substring("source_id", 1, 1).alias("side"), F.expr("substr(source_id, 3)").alias("claim"), "line_no", "block_id", F.expr(_CLAIM).alias("text"))
+    return ground(s.where("side = 'B'"), s.where("side = 'A'"))
+
+
+def ground(claims, evidence):
+    """block_id, issues, score, grounded of claim lines against all evidence lines of the same claim. Quotes and dates
+    must stand in the evidence as they are; numbers may be grouped otherwise. One evidence text a claim, not a corpus."""
+    number = lambda c: F.transform(F.regexp_extract_all(c, F.lit(_NUM), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    ctx = evidence.groupBy("claim").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("ctx"))
+    known = evidence.select("claim", F.explode(number("text")).alias("v")).distinct().withColumn("known", F.lit(True))
+    as_rows = lambda kind, c: F.transform(F.array_distinct(c), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+    said = F.concat(as_rows("number", number("text")), as_rows("date", F.regexp_extract_all("text", F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0))), as_rows("quote", F.regexp_extract_all("text", F.lit('"([^"]+)"'), F.lit(1))))
+    t = claims.select("block_id", "claim", F.explode(said).alias("t")).select("block_id", "claim", "t.*").distinct()
+    ok = F.when(F.col("kind") == "number", F.col("known").isNotNull()).otherwise(F.coalesce(F.contains("ctx", "v"), F.lit(False)))
+    j = t.join(known, ["claim", "v"], "left").join(ctx, "claim", "left").withColumn("ok", ok)
+    issue = F.when(~F.col("ok"), F.struct("kind", "v"))
+    bad = F.transform(F.array_sort(F.collect_list(issue)), lambda x: F.concat(x["kind"], F.lit(":"), x["v"]))
+    return j.groupBy("block_id").agg(F.when(F.size(bad) > 0, F.array_join(bad, ",")).alias("issues"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("score"), F.bool_and("ok").alias("grounded"))
 
 
 #: state|event -> next state. Fixed values.
