@@ -208,6 +208,19 @@ def display(v: Column, decimals: int, thousands: bool = False, percent: bool = F
     return F.when(val < 0, F.concat(F.lit("("), s, F.lit(")")) if parens else F.concat(F.lit("-"), s)).otherwise(s)
 
 
+#: Letters of a sheet's date format and of Spark's, longest first. Fixed values.
+DATE_LETTERS = (("yyyy", "yyyy"), ("yy", "yy"), ("mmmm", "MMMM"), ("mmm", "MMM"), ("mm", "MM"), ("dd", "dd"), ("d", "dd"), ("m", "MM"))
+
+
+def display_date(day: Column, sheet_format: str) -> Column:
+    """A date as a sheet shows it: days and months always with two digits, other characters as they are."""
+    out, rest = "", sheet_format.lower()
+    while rest:
+        sheet, spark = next((k for k in DATE_LETTERS if rest.startswith(k[0])), (rest[0], f"'{rest[0]}'" if rest[0].isalpha() else rest[0]))
+        out, rest = out + spark, rest[len(sheet) :]
+    return F.date_format(day, out)
+
+
 def severity(pct: Column, medium: float = 5.0, high: float = 20.0) -> Column:
     return F.when(pct >= high, "high").when(pct >= medium, "medium").otherwise("low")
 

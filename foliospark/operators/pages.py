@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import ratio
+
 #: Which region type wins a conflict. Fixed values.
 PRIORITY = {"table": 5, "figure": 4, "title": 3, "caption": 2, "paragraph": 1, "footer": 0}
 
@@ -58,37 +62,108 @@ def consensus_clusters(spans: DataFrame, iou_at: float = 0.3) -> DataFrame:
     return spans.groupBy("source_id", "page_number").applyInPandas(run, "source_id long, page_number long, extractor string, line_no long, cluster long")
 
 
-def reading_order(regions: DataFrame, gap: float = 8.0) -> DataFrame:
-    """position of each region: a vertical cut first, then a horizontal one, footers last."""
+ANCHORS = ("figure", "table", "chart")
 
-    def cut(rows, axis):
-        lo, hi = ("x1", "x2") if axis else ("y1", "y2")
-        rows = sorted(rows, key=lambda r: (getattr(r, lo), r.region_id))
-        end = getattr(rows[0], hi)
-        for i in range(1, len(rows)):
-            if getattr(rows[i], lo) - end >= gap:
-                return rows[:i], rows[i:]
-            end = max(end, getattr(rows[i], hi))
-        return None
 
-    def order(rows):
+class _Order:
+    """The order of one page's regions, and how sure it is; a small helper, run a page at a time."""
+
+    def __init__(self, rows, width: float, gap_share: float = 0.04):
+        self.width, self.gap, self.doubtful = width, gap_share * width, False
+        by_place = lambda kind: sorted((r for r in rows if r.type == kind), key=lambda r: (r.y1, r.x1, r.region_id))
+        self.body = [r for r in rows if r.type not in ("header", "footer", "caption")]
+        out = self._parts(self.body)
+        for c in by_place("caption"):  # a caption follows the anchor nearest to it, above or below
+            near = [(abs(c.y1 - a.y2) if a.y2 <= c.y1 + 5 else abs(a.y1 - c.y2), k) for k, a in enumerate(out) if a.type in ANCHORS]
+            out.insert(min(near)[1] + 1 if near else len(out), c)
+        self.rows = by_place("header") + out + by_place("footer")
+
+    def _parts(self, rows):
+        """Cuts at the first gap between columns, else between lines, until none is left; by a list, not by recursion."""
         out, todo = [], [rows]
         while todo:
             part = todo.pop()
-            split = len(part) > 1 and (cut(part, True) or cut(part, False))
-            if split:
-                todo += [split[1], split[0]]
+            halves = self._cut(part) if len(part) > 1 else None
+            if halves:
+                todo += halves[::-1]
             else:
                 out += sorted(part, key=lambda r: (r.y1, r.x1, r.region_id))
         return out
 
+    def _cut(self, rows):
+        for lo, hi, least in (("x1", "x2", self.gap), ("y1", "y2", 1.0)):
+            row = sorted(rows, key=lambda r: (getattr(r, lo), r.region_id))
+            reach, widest = getattr(row[0], hi), float("-inf")
+            for k, r in enumerate(row[1:], 1):
+                gap = getattr(r, lo) - reach
+                if gap > least:
+                    self.doubtful |= lo == "x1" and gap < 1.5 * least
+                    return row[:k], row[k:]
+                widest, reach = max(widest, gap), max(reach, getattr(r, hi))
+            self.doubtful |= lo == "x1" and widest > 0.2 * least
+        return None
+
+    def by_columns(self):
+        """The body in another order: columns of like centres from left to right, wide regions as columns of their own."""
+        columns: list[list] = []
+        for r in sorted(self.body, key=lambda r: ((r.x1 + r.x2) / 2, r.region_id)):
+            first = columns[-1][0] if columns else None
+            wide = lambda x: x.x2 - x.x1 > 0.6 * self.width
+            if first is not None and not wide(r) and not wide(first) and abs((r.x1 + r.x2 - first.x1 - first.x2) / 2) < 0.15 * self.width:
+                columns[-1].append(r)
+            else:
+                columns.append([r])
+        return [r for c in columns for r in sorted(c, key=lambda r: (r.y1, r.region_id))]
+
+    def confidence(self) -> float:
+        """One less the share of body pairs that the two orders see differently; 0.7 of that where columns are in doubt."""
+        place = {r.region_id: k for k, r in enumerate(self.by_columns())}
+        seq = [place[r.region_id] for r in self.rows if r.region_id in place]
+        n = len(seq)
+        turned = sum(seq[i] > seq[j] for i in range(n) for j in range(i + 1, n))
+        same = 1.0 if n < 2 else 1 - turned / (n * (n - 1) / 2)
+        return round(same * (0.7 if self.doubtful else 1.0), 4)
+
+
+def reading_order(regions: DataFrame, margin: float = 72.0) -> DataFrame:
+    """position of each region and the confidence of its page: headers first, then the body cut into columns and lines
+    with captions after their anchors, footers last. A page is as wide as its regions and a margin."""
+
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = list(page.itertuples(index=False))
-        body, foot = [r for r in rows if r.type != "footer"], [r for r in rows if r.type == "footer"]
-        done = (order(body) if body else []) + sorted(foot, key=lambda r: (r.y1, r.x1))
-        return pd.DataFrame([(r.source_id, r.page_number, r.region_id, k) for k, r in enumerate(done)], columns=["source_id", "page_number", "region_id", "position"])
+        o = _Order(list(page.itertuples(index=False)), float(page.x2.max()) + margin)
+        sure = o.confidence()
+        return pd.DataFrame([(r.source_id, r.page_number, r.region_id, k, sure) for k, r in enumerate(o.rows)], columns=["source_id", "page_number", "region_id", "position", "confidence"])
+
+    return regions.groupBy("source_id", "page_number").applyInPandas(run, "source_id long, page_number long, region_id long, position long, confidence double")
+
 
-    return regions.groupBy("source_id", "page_number").applyInPandas(run, "source_id long, page_number long, region_id long, position long")
+def vote(texts: list[str], weights: list[float], alike: float = 85.0) -> tuple[int, str, float]:
+    """(winner, agreement, mean similarity) of candidate texts. A text joins the first group whose first text it is
+    `alike`; the heaviest group wins, and in it the heaviest text; equal weights go to the earlier one."""
+    groups: list[list[int]] = []
+    for k, t in enumerate(texts):
+        home = next((g for g in groups if ratio(texts[g[0]], t) >= alike), None)
+        groups.append([k]) if home is None else home.append(k)
+    best = max(groups, key=lambda g: (sum(weights[i] for i in g), -g[0]))
+    share = sum(weights[i] for i in best) / max(sum(weights), 1e-12)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    mean = sum(ratio(texts[i], texts[j]) for i, j in pairs) / len(pairs) / 100 if pairs else 1.0
+    return max(best, key=lambda i: (weights[i], -i)), "unanimous" if len(groups) == 1 else "majority" if share > 0.5 else "split", mean
+
+
+def fuzzy_vote(candidates: DataFrame) -> DataFrame:
+    """winner, agreement and similarity of each line from what all extractors read (source_id, page_number, line_no,
+    extractor, text, weight), a page a group."""
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for line, f in page.sort_values(["line_no", "extractor"]).groupby("line_no"):
+            texts = [" ".join(unicodedata.normalize("NFKC", t or "").split()) for t in f["text"]]
+            k, agreement, mean = vote(texts, [max(w, 1e-6) for w in f["weight"]])
+            rows.append((f["source_id"].iloc[0], f["page_number"].iloc[0], line, f["text"].iloc[k], agreement, round(mean, 6)))
+        return pd.DataFrame(rows, columns=["source_id", "page_number", "line_no", "winner", "agreement", "similarity"])
+
+    return candidates.groupBy("source_id", "page_number").applyInPandas(run, "source_id long, page_number long, line_no long, winner string, agreement string, similarity double")
 
 
 def as_candidates(spans: DataFrame, ocr: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.functions import scalars as S
+from foliospark.functions.text import token_set
+from foliospark.tables import written
 
 #: Patterns of a `label: number` line, a `label: date` line, a subject, a period and a numeric cell. Fixed values.
 LINE = (r"(?i)([A-Za-z][A-Za-z0-9 /&()\-]{2,60}?)\s*[:=\-–]\s*(approx\.?|about|~)?\s*(₹|Rs\.?|INR|USD|EUR|GBP|\$|€|£)?\s*(\(?-?\d[\d,]*(?:\.\d+)?\)?)"
@@ -173,7 +175,7 @@ def signals(texts: DataFrame, weights: dict[str, float] | None = None, days: int
     """a, b, ids, domains, near_dates, confidence: what ties two sources together, by blocking, never all pairs.
 
     texts: source_id, ids array, domains array, dates array. Shared ids and domains meet in equi-joins of exploded
-    tokens; dates meet in buckets of `days` and the two beside them.
+    tokens, which is where pairs come from; dates within `days` of each other only add to a pair.
     """
     w = weights or {"shared_id": 0.45, "date_proximity": 0.1, "same_domain": 0.1}
 
@@ -181,16 +183,33 @@ def signals(texts: DataFrame, weights: dict[str, float] | None = None, days: int
         t = texts.select("source_id", F.explode(F.array_distinct(col)).alias("t"))
         return t.withColumnRenamed("source_id", "a").join(t.withColumnRenamed("source_id", "b"), "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias(f"n_{col}"))
 
-    d = texts.select("source_id", F.explode(F.array_distinct("dates")).alias("d")).withColumn("k", F.floor(F.datediff("d", F.lit("1970-01-01")) / days))
-    near = d.withColumnRenamed("source_id", "a").withColumnRenamed("d", "da").withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
-    near = near.join(d.withColumnRenamed("source_id", "b").withColumnRenamed("d", "db"), "k").where((F.col("a") < F.col("b")) & (F.abs(F.datediff("da", "db")) <= days)).select("a", "b").distinct().withColumn("near", F.lit(1))
     ids, dom = meet("ids"), meet("domains")
-    all_ = ids.join(dom, ["a", "b"], "full_outer").join(near, ["a", "b"], "left")
+    tied = written(ids.join(dom, ["a", "b"], "full_outer"))
+    # dates are compared for pairs that a token ties already, never for all sources of one month
+    d = texts.select("source_id", "dates")
+    near = F.exists("da", lambda x: F.exists("db", lambda y: F.abs(F.datediff(x, y)) <= days))
+    dates = tied.select("a", "b").join(d.select(F.col("source_id").alias("a"), F.col("dates").alias("da")), "a").join(d.select(F.col("source_id").alias("b"), F.col("dates").alias("db")), "b")
+    all_ = tied.join(dates.where(near).select("a", "b", F.lit(1).alias("near")), ["a", "b"], "left")
     part = lambda k, c, most: F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(0)) / most) * w[k]
     conf = F.least(F.lit(1.0), part("shared_id", "n_ids", 2) + part("same_domain", "n_domains", 1) + part("date_proximity", "near", 1))
     return all_.select("a", "b", F.coalesce("n_ids", F.lit(0)).alias("n_ids"), F.coalesce("n_domains", F.lit(0)).alias("n_domains"), F.col("near").isNotNull().alias("near_dates"), F.round(conf, 4).alias("confidence"))
 
 
+def shared_entities(texts: DataFrame, alike: float = 90.0) -> DataFrame:
+    """a, b, n_entities, first: entities of a that some entity of b is alike (token-set ratio), for pairs that share any.
+
+    texts: source_id, entities array. Distinct names meet by their words: two names of several words are compared when
+    they have a word in common, each pair of names once, in Arrow batches; sources then meet by alike names."""
+    e = written(texts.select("source_id", F.explode(F.array_distinct("entities")).alias("x")))
+    names = e.select("x").distinct()
+    words = written(names.select("x", F.explode(F.array_distinct(F.split("x", r"\s+"))).alias("w")))
+    meet = words.join(words.withColumnRenamed("x", "y"), "w").where("x < y").select("x", "y").distinct()
+    near = meet.where(token_set("x", "y") >= alike)
+    like = written(near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(names.select("x", F.col("x").alias("y"))))
+    hits = e.withColumnRenamed("source_id", "a").join(like, "x").join(e.select(F.col("source_id").alias("b"), F.col("x").alias("y")), "y").where("a < b").select("a", "b", "x").distinct()
+    return hits.groupBy("a", "b").agg(F.count("*").alias("n_entities"), F.min("x").alias("first"))
+
+
 def best_link(sig: DataFrame, least: float = 0.3) -> DataFrame:
     """Per new source (b) the earlier one with the greatest unweighted strength, kept from a weighted confidence on."""
     strength = F.col("n_ids") / 2 + F.col("n_domains") + F.when(F.col("near_dates"), 1).otherwise(0)
@@ -203,3 +222,8 @@ def upsert_links(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.unionByName(new)
     w = Window.partitionBy("link_id").orderBy(F.desc("decided"), F.desc("seq"))
     return both.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def keep_status(found: DataFrame, before: DataFrame) -> DataFrame:
+    """found with the status that `before` (finding_id, status) holds for the same finding, else `open`."""
+    return found.join(before, "finding_id", "left").withColumn("status", F.coalesce("status", F.lit("open")))

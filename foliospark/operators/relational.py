@@ -99,9 +99,13 @@ SELECT t.source_id, t.page_number, count(*) AS tiles, count(s.t) AS covered, rou
 operator("a08_document_status", "blocks", "WITH p AS (SELECT source_id, page_number, avg(CASE WHEN engine IS NULL THEN 0e0 ELSE 1e0 END) AS coverage, bool_or(block_type = 'equation' AND engine IS NULL) AS orphan FROM blocks GROUP BY source_id, page_number) SELECT source_id, CASE WHEN min(coverage) >= 0.9 AND NOT bool_or(orphan) THEN 'complete' ELSE 'partial' END AS status, round(avg(coverage), 8) AS coverage FROM p GROUP BY source_id")
 operator("a12_words_to_lines", "spans", "SELECT source_id, page_number, line_no div 3 AS line, STRAGG(text BY line_no SEP ' ') AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(CASE WHEN confidence >= 0 THEN confidence END), 8) AS confidence FROM spans GROUP BY source_id, page_number, line_no div 3")
 operator("a13_handwriting", "ocr_spans", "SELECT source_id, page_number, count(*) >= 3 AND avg(confidence) < 0.45 AS handwriting, round(avg(confidence), 8) AS mean FROM ocr_spans GROUP BY source_id, page_number")
-operator("a14_layout_class", "regions", """WITH p AS (SELECT source_id, page_number, sum(CASE WHEN type = 'table' THEN (x2 - x1) * (y2 - y1) ELSE 0 END) / nullif(sum((x2 - x1) * (y2 - y1)), 0) AS tables, count_if(type = 'figure') AS figures FROM regions GROUP BY source_id, page_number),
-c AS (SELECT source_id, page_number, count_if(gap > 40) + 1 AS columns FROM (SELECT source_id, page_number, (x1 + x2) / 2 - lag((x1 + x2) / 2) OVER (PARTITION BY source_id, page_number ORDER BY (x1 + x2) / 2) AS gap FROM regions) g GROUP BY source_id, page_number)
-SELECT p.source_id, p.page_number, CASE WHEN tables > 0.5 THEN 'table' WHEN figures > 1 THEN 'form' WHEN columns > 1 THEN 'multi_column' ELSE 'single_column' END AS layout FROM p JOIN c ON p.source_id = c.source_id AND p.page_number = c.page_number""")
+# faint captions stand for form fields, which the derived regions do not have
+operator("a14_layout_class", "regions", """WITH k AS (SELECT source_id, page_number, region_id, CASE WHEN type = 'caption' AND confidence < 0.3 THEN 'form_field' ELSE type END AS type, x1, y1, x2, y2 FROM regions), d AS (SELECT source_id, page_number, max(x2) + 72 AS pw, max(y2) + 80 AS ph FROM k GROUP BY source_id, page_number),
+r AS (SELECT k.*, d.pw, d.ph, k.type = 'paragraph' AND k.x2 - k.x1 < 0.65 * d.pw AS body FROM k JOIN d ON k.source_id = d.source_id AND k.page_number = d.page_number),
+c AS (SELECT source_id, page_number, count_if(gap IS NULL OR gap > 0.19 * pw) AS cols, count(*) AS n FROM (SELECT source_id, page_number, pw, (x1 + x2) / 2 - lag((x1 + x2) / 2) OVER (PARTITION BY source_id, page_number ORDER BY (x1 + x2) / 2, region_id) AS gap FROM r WHERE body) g GROUP BY source_id, page_number),
+p AS (SELECT source_id, page_number, max(pw) AS pw, max(ph) AS ph, count(*) AS n, count_if(type = 'form_field') AS fields, sum(CASE WHEN type = 'table' THEN (x2 - x1) * (y2 - y1) ELSE 0 END) / (max(pw) * max(ph)) AS share, count_if(type IN ('paragraph', 'title') AND y2 < ph / 3) AS heads FROM r GROUP BY source_id, page_number)
+SELECT p.source_id, p.page_number, CASE WHEN fields >= 4 THEN 'form' WHEN share >= 0.6 THEN 'spreadsheet_like' WHEN share >= 0.25 AND heads >= 2 THEN 'invoice_like' WHEN pw > ph * 1.3 AND p.n <= 6 THEN 'slide' WHEN coalesce(c.cols, 0) >= 2 AND c.n >= 4 THEN 'multi_column' ELSE 'single_column' END AS layout
+FROM p LEFT JOIN c ON p.source_id = c.source_id AND p.page_number = c.page_number""")
 operator("w02_reading_index", "blocks", "SELECT block_id, cast(row_number() OVER (PARTITION BY source_id ORDER BY page_number, y1, x1, line_no) - 1 AS bigint) AS reading_order_index FROM blocks")
 operator("w13_paragraphs", "spans", """WITH g AS (SELECT *, CASE WHEN y1 - lag(y2) OVER (PARTITION BY source_id, page_number ORDER BY y1, line_no) > 1.5 * (y2 - y1) THEN 1 ELSE 0 END AS brk FROM spans), i AS (SELECT *, sum(brk) OVER (PARTITION BY source_id, page_number ORDER BY y1, line_no ROWS UNBOUNDED PRECEDING) AS island FROM g)
 SELECT source_id, page_number, cast(island AS bigint) AS paragraph, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_lines FROM i GROUP BY source_id, page_number, island""")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from foliospark.derive import base, view
 from foliospark.functions import scalars as S
 from foliospark.functions.checks import text_checks
+from foliospark.functions.text import nfkc
 from foliospark.registry import query
 from foliospark.sources import intake as files
+from foliospark.sources.documents import flatten_blocks
 
 
 def _headed(key: str, text: str) -> str:
@@ -35,6 +37,29 @@ def s02(spark, sf):
     return base(spark, sf, "pages").select("page_id", files.sniff(F.encode(F.expr(_headed("page_id", "html")), "UTF-8"), F.lit("html")).alias("mime"))
 
 
+@query("s03_extension_mismatch", f"""WITH s AS (SELECT source_id, lower(regexp_extract(display_name, '[.]([^.]*)$', 1)) AS ext, {_headed('source_id', 'text')} AS c FROM sources), m AS (SELECT source_id, ext, CASE WHEN c <> '' THEN {_SNIFF} END AS mime FROM s)
+SELECT source_id, mime, CASE WHEN mime IS NULL OR mime = 'application/x-executable' THEN 'unknown' WHEN coalesce(CASE mime WHEN 'application/pdf' THEN ext = 'pdf' WHEN 'text/csv' THEN ext = 'csv' WHEN 'text/markdown' THEN ext = 'md' WHEN 'text/plain' THEN ext = 'txt' ELSE false END, false) THEN 'match' WHEN mime = 'application/pdf' THEN 'warn' ELSE 'reject' END AS verdict FROM m""", ("sources",))
+def s03(spark, sf):
+    """What the bytes say against the name: a strong type outweighs a wrong extension, a weak one is refused with it."""
+    s = view(spark, sf, "sources").select("source_id", files.extension(F.col("display_name")).alias("ext"), F.encode(F.expr(_headed("source_id", "text")), "UTF-8").alias("c"))
+    return s.select("source_id", files.sniff(F.col("c"), F.col("ext")).alias("mime"), "ext").select("source_id", "mime", files.extension_verdict(F.col("mime"), F.col("ext")).alias("verdict"))
+
+
+@query("s13_flatten_blocks", "SELECT source_id, page_number, line_no, text FROM spans", ("spans",))
+def s13(spark, sf):
+    """Documents as nested pages of blocks, flattened to one row a block."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    page = lambda p: F.struct((p + 1).cast("bigint").alias("page_number"), F.transform(F.slice(lines, p * 40 + 1, F.lit(40)), lambda t, k: F.struct((p * 40 + k).cast("bigint").alias("line_no"), t.alias("text"))).alias("blocks"))
+    nested = base(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 40).cast("int")), page).alias("pages"))
+    return flatten_blocks(nested).where("text <> ''")
+
+
+@query("f16_normal", "SELECT p_partkey, lower(trim(regexp_replace(p_name || ' ½ ﬁn  Ａ' , '\\s+', ' ', 'g'))) AS folded, replace(replace(replace(regexp_replace(trim(p_name), '\\s+', ' ', 'g') || ' ½ ﬁn Ａ', '½', '1⁄2'), 'ﬁ', 'fi'), 'Ａ', 'A') AS nfkc FROM part")
+def f16(spark, sf):
+    t = F.concat("p_name", F.lit(" ½ ﬁn  Ａ"))
+    return base(spark, sf, "part").select("p_partkey", S.normal(t).alias("folded"), nfkc(t).alias("nfkc"))
+
+
 def _garbled(key: str) -> str:
     """SQL of both dialects: in one text of seven a letter became a replacement character, in another a private one."""
     return f"CASE {key} % 7 WHEN 1 THEN replace(text, 'e', '\ufffd') WHEN 4 THEN replace(text, 'a', '\ue000') ELSE text END"

@@ -29,12 +29,12 @@ g AS MATERIALIZED (SELECT *, regexp_matches(text, '{D}') AS dated, regexp_extrac
   regexp_extract(text, '{L}', 5) AS num2, regexp_extract(text, '{L}', 6) AS mult, regexp_extract(text, '{L}', 7) AS pct, regexp_extract(text, '{L}', 8) AS freq FROM statements),
 n AS MATERIALIZED (SELECT case_id, source_id, block_id, block_confidence, label, CASE WHEN num2 <> '' THEN t || '-' || num2 ELSE t END AS raw_value, CASE WHEN num2 = '' THEN {_PLAIN.format(_AMOUNT)} END AS normalized_value,
   CASE WHEN num2 <> '' THEN 'RANGE_ABSTAIN' WHEN pct <> '' THEN 'PCT_STRIP' ELSE {_RULE} END AS rule, CASE WHEN pct <> '' THEN 'percent' END AS unit, {_CUR} AS currency, {_FREQ} AS frequency, true AS hp,
-  (num2 <> '')::INT + (approx <> '')::INT + (cur = '$')::INT AS notes FROM g WHERE NOT dated AND regexp_matches(text, '{L}') AND length(trim(label)) >= 3
-  UNION ALL SELECT case_id, source_id, block_id, block_confidence, label, d, {_ISO}::VARCHAR, CASE WHEN regexp_matches(d, '^[0-9]{{4}}-') THEN 'DATE_ISO' ELSE 'DATE_DMY' END, 'date', NULL, NULL, false, ({_ISO} IS NULL)::INT
+  list_filter([CASE WHEN num2 <> '' THEN '{R.RANGED}' END, CASE WHEN approx <> '' THEN '{R.APPROXIMATE}' END, CASE WHEN cur = '$' THEN '{R.BARE_DOLLAR}' END], lambda x: x IS NOT NULL) AS notes FROM g WHERE NOT dated AND regexp_matches(text, '{L}') AND length(trim(label)) >= 3
+  UNION ALL SELECT case_id, source_id, block_id, block_confidence, label, d, {_ISO}::VARCHAR, CASE WHEN regexp_matches(d, '^[0-9]{{4}}-') THEN 'DATE_ISO' ELSE 'DATE_DMY' END, 'date', NULL, NULL, false, CASE WHEN {_ISO} IS NULL THEN ['{R.NO_DAY}'] ELSE [] END
   FROM (SELECT *, regexp_extract(text, '{D}', 1) AS label, regexp_extract(text, '{D}', 2) AS d FROM (SELECT case_id, source_id, block_id, block_confidence, text, dated FROM g) WHERE dated)),
 facts AS MATERIALIZED (SELECT substr(sha256(n.case_id || '|' || n.source_id || '|' || block_id || '|' || lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) || '|' || raw_value), 1, 16) AS fact_id, n.case_id, n.source_id, block_id,
   coalesce(subject, 'unknown') AS subject, lower(regexp_replace(trim(label), '\\s+', ' ', 'g')) AS metric, raw_value, normalized_value, rule, unit, currency, frequency, CASE WHEN hp THEN ps END AS period_start, CASE WHEN hp THEN pe END AS period_end,
-  {_CAT} AS category, {_BASIS} AS basis, notes + (subject IS NULL)::INT AS n_notes, round(block_confidence * CASE WHEN notes + (subject IS NULL)::INT > 0 THEN 0.8 ELSE 1.0 END, 4) AS confidence FROM n LEFT JOIN h USING (case_id, source_id))"""
+  {_CAT} AS category, {_BASIS} AS basis, len(notes) + (subject IS NULL)::INT AS n_notes, CASE WHEN subject IS NULL THEN list_prepend('{R.NO_SUBJECT}', notes) ELSE notes END AS notes, round(block_confidence * CASE WHEN len(notes) + (subject IS NULL)::INT > 0 THEN 0.8 ELSE 1.0 END, 4) AS confidence FROM n LEFT JOIN h USING (case_id, source_id))"""
 PAIRS = FACTS + """,
 v AS MATERIALIZED (SELECT * FROM facts WHERE normalized_value IS NOT NULL),
 p AS MATERIALIZED (SELECT a.case_id, a.metric, a AS a, b AS b FROM v a JOIN v b ON a.case_id = b.case_id AND lower(a.subject) = lower(b.subject) AND a.metric = b.metric AND a.source_id < b.source_id),
@@ -160,6 +160,54 @@ def f25(spark, sf):
     return R.findings(pairs(spark, sf)).select("finding_id", "explanations")
 
 
+@query("s14_resource_facts", f"""WITH {FACTS} SELECT fact_id, metric, subject, normalized_value, currency, array_to_string(notes, '; ') AS ambiguity_notes, '{{"source_id":"' || source_id || '","block_id":"' || block_id || '"}}' AS evidence FROM facts""", V)
+def s14f(spark, sf):
+    """Facts as the table that users query: notes as one text, evidence as JSON."""
+    return facts(spark, sf).select("fact_id", "metric", "subject", "normalized_value", "currency", F.array_join("notes", "; ").alias("ambiguity_notes"), F.to_json(F.struct("source_id", "block_id")).alias("evidence"))
+
+
+@query("s14_resource_findings", findings_sql("""SELECT finding_id, title, severity, confidence, replace(explanations, ',', '; ') AS possible_explanations, '[{"source_id":"' || source_a || '","fact_id":"' || fact_a || '"},{"source_id":"' || source_b || '","fact_id":"' || fact_b || '"}]' AS evidence"""), V)
+def s14d(spark, sf):
+    f = R.findings(pairs(spark, sf))
+    side = lambda k: F.struct(F.col(f"source_{k}").alias("source_id"), F.col(f"fact_{k}").alias("fact_id"))
+    return f.select("finding_id", "title", "severity", "confidence", F.replace("explanations", F.lit(","), F.lit("; ")).alias("possible_explanations"), F.to_json(F.array(side("a"), side("b"))).alias("evidence"))
+
+
+@query("j16_comparison_finding", f"WITH {PAIRS}, c AS (SELECT array_to_string(list_sort([a.fact_id, b.fact_id]), '|') AS pair, len(failed) = 0 AS comparable FROM k), f AS (SELECT array_to_string(list_sort([b.fact_id, a.fact_id]), '|') AS pair, round(pct_diff, 4) AS pct_diff FROM e WHERE pct_diff > 0.5) SELECT c.pair, c.comparable, f.pair IS NOT NULL AS has_finding, f.pct_diff FROM c LEFT JOIN f ON c.pair = f.pair", V)
+def j16(spark, sf):
+    """Every comparison with its finding, if it has one; they meet on the two facts in whatever order."""
+    p = pairs(spark, sf)
+    pair = lambda x, y: F.array_join(F.array_sort(F.array(x, y)), "|").alias("pair")
+    c = R.checked(p).select(pair("a.fact_id", "b.fact_id"), (F.size("failed") == 0).alias("comparable"))
+    f = R.findings(p).select(pair("fact_b", "fact_a"), "pct_diff", F.lit(True).alias("found"))
+    return c.join(f, "pair", "left").select("pair", "comparable", F.col("found").isNotNull().alias("has_finding"), "pct_diff")
+
+
+@query("j25_case_rollup", f"""WITH {PAIRS}, s AS (SELECT case_id, count(DISTINCT source_id) AS sources, count(*) AS lines FROM statements GROUP BY case_id), l AS (SELECT 'case-' || c_custkey AS case_id, count(*) AS links FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1),
+ff AS (SELECT case_id, count(*) AS facts FROM facts GROUP BY case_id), cc AS (SELECT case_id, count(*) AS comparisons FROM k GROUP BY case_id), dd AS (SELECT case_id, count(*) AS findings, max(CASE WHEN pct_diff >= 20 THEN 3 WHEN pct_diff >= 5 THEN 2 ELSE 1 END) AS worst FROM e WHERE pct_diff > 0.5 GROUP BY case_id)
+SELECT s.case_id, s.sources, s.lines, coalesce(links, 0) AS links, coalesce(facts, 0) AS facts, coalesce(comparisons, 0) AS comparisons, coalesce(findings, 0) AS findings, CASE worst WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS worst FROM s LEFT JOIN l USING (case_id) LEFT JOIN ff USING (case_id) LEFT JOIN cc USING (case_id) LEFT JOIN dd USING (case_id)""", V)
+def j25(spark, sf):
+    """A case at one look: each leg is aggregated by case before they meet."""
+    lines = view(spark, sf, "statements")
+    fs = written(facts(spark, sf))
+    p = R.pairs(fs)
+    n = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
+    s = lines.groupBy("case_id").agg(F.count_distinct("source_id").alias("sources"), F.count("*").alias("lines"))
+    l = n(base(spark, sf, "customer").where("c_custkey % 7 <> 0").select(F.concat(F.lit("case-"), F.col("c_custkey")).alias("case_id")), "links")
+    rank = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
+    d = R.findings(p).groupBy("case_id").agg(F.count("*").alias("findings"), F.max(rank).alias("w"))
+    out = s.join(l, "case_id", "left").join(n(fs, "facts"), "case_id", "left").join(n(p, "comparisons"), "case_id", "left").join(d, "case_id", "left")
+    return out.select("case_id", "sources", "lines", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "facts", "comparisons", "findings")], F.when(F.col("w") == 3, "high").when(F.col("w") == 2, "medium").when(F.col("w") == 1, "low").alias("worst"))
+
+
+@query("j26_finding_status", findings_sql("SELECT finding_id, CASE WHEN finding_id < '4' THEN 'dismissed' WHEN finding_id < '8' THEN 'acknowledged' ELSE 'open' END AS status"), V)
+def j26f(spark, sf):
+    """Findings computed anew keep the status that a review gave the same ones before."""
+    f = written(R.findings(pairs(spark, sf)).select("finding_id"))
+    before = f.where("finding_id < '8'").select("finding_id", F.when(F.col("finding_id") < "4", "dismissed").otherwise("acknowledged").alias("status"))
+    return R.keep_status(f, before)
+
+
 @query("o02_fact_order", f"WITH {FACTS} SELECT subject, metric, source_id, fact_id FROM facts ORDER BY 1, 2, 3, 4", V)
 def o02(spark, sf):
     return facts(spark, sf).select("subject", "metric", "source_id", "fact_id").orderBy("subject", "metric", "source_id", "fact_id")

@@ -12,11 +12,12 @@ from pyspark.sql.functions import arrow_udtf
 from foliospark.derive import base, view
 from foliospark.functions import nested as N
 from foliospark.functions import scalars as S
-from foliospark.functions.text import nfkc, similarity
+from foliospark.functions.text import nfkc, partial, similarity, token_set
 from foliospark.operators import pages as P
 from foliospark.operators import reasoning as R
+from foliospark.operators.review import TRANSITIONS, fold_actions
 from foliospark.plans.governed import analyse, decide, run_governed
-from foliospark.qs.reasoning import FACTS, findings_sql
+from foliospark.qs.reasoning import ENTITY, FACTS, findings_sql
 from foliospark.registry import query
 from foliospark.sources import documents as D
 from foliospark.streaming import jobs as J
@@ -134,6 +135,18 @@ def j03(spark, sf):
     return P.consensus_clusters(P.as_candidates(view(spark, sf, "spans"), view(spark, sf, "ocr_spans")))
 
 
+@query("a05_fuzzy_vote")
+def a05(spark, sf):
+    parts = [view(spark, sf, n).select("source_id", "page_number", "line_no", F.lit(n).alias("extractor"), "text", (F.lit(w) * F.col("confidence")).alias("weight")) for n, w in (("spans", 1.0), ("ocr_spans", 0.7))]
+    return P.fuzzy_vote(parts[0].unionByName(parts[1]))
+
+
+@query("j13_shared_entities")
+def j13(spark, sf):
+    d = base(spark, sf, "documents")
+    return R.shared_entities(d.select(F.col("doc_id").alias("source_id"), F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ENTITY), F.lit(1))).alias("entities")))
+
+
 @query("o05_reading_order")
 def o05(spark, sf):
     return P.reading_order(view(spark, sf, "regions"))
@@ -207,14 +220,20 @@ def f15(spark, sf):
 
 @query("f17_similarity")
 def f17(spark, sf):
+    """Ratio, token-set and partial ratio of the two readings of each line."""
     a, b = view(spark, sf, "spans"), view(spark, sf, "ocr_spans").withColumnRenamed("text", "other")
     j = a.join(b.select("source_id", "line_no", "other"), ["source_id", "line_no"])
-    return j.select("source_id", "line_no", F.round(similarity("text", "other"), 4).alias("ratio"))
+    return j.select("source_id", "line_no", F.round(similarity("text", "other"), 4).alias("ratio"), F.round(token_set("text", "other"), 4).alias("token_set"), F.round(partial("text", "other"), 4).alias("partial"))
 
 
-@query("f20_display", "SELECT l_orderkey, l_linenumber, format('{:,}', cast(floor(l_extendedprice) AS BIGINT)) AS price, cast(round(l_discount * 100) AS INT) || '%' AS disc FROM lineitem")
+@query("f20_display", """SELECT l_orderkey, l_linenumber, format('{:,}', cast(floor(l_extendedprice) AS BIGINT)) AS price, cast(round(l_discount * 100) AS INT) || '%' AS disc, CASE WHEN l_linenumber % 2 = 0 THEN '(' ELSE '' END || '$' || format('{:,}', cast(floor(l_quantity) AS BIGINT)) || CASE WHEN l_linenumber % 2 = 0 THEN ')' ELSE '' END AS money,
+  strftime(l_shipdate, '%d/%m/%Y') AS dmy, strftime(l_shipdate, '%d-%b-%y') AS dby, strftime(l_shipdate, '%Y-%m-%d') AS ymd FROM lineitem""")
 def f20(spark, sf):
-    return base(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.display(F.floor("l_extendedprice"), 0, thousands=True).alias("price"), S.display(F.round(F.col("l_discount") * 100) / 100, 0, percent=True).alias("disc"))
+    q = F.floor("l_quantity") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
+    money = F.when(q < 0, F.concat(F.lit("("), S.display(-q, 0, thousands=True, symbol="$"), F.lit(")"))).otherwise(S.display(q, 0, thousands=True, symbol="$"))
+    day = lambda f: S.display_date(F.col("l_shipdate"), f)
+    return base(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.display(F.floor("l_extendedprice"), 0, thousands=True).alias("price"), S.display(F.round(F.col("l_discount") * 100) / 100, 0, percent=True).alias("disc"), money.alias("money"),
+                                              day("dd/mm/yyyy").alias("dmy"), day("d-mmm-yy").alias("dby"), day("yyyy-mm-dd").alias("ymd"))
 
 
 @query("r02_rate_limit")
@@ -422,15 +441,18 @@ def ground(claims, evidence):
     return j.groupBy("block_id").agg(F.when(F.size(bad) > 0, F.array_join(bad, ",")).alias("issues"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("score"), F.bool_and("ok").alias("grounded"))
 
 
-#: state|event -> next state. Fixed values.
-TRANSITIONS = {"draft|submit": "in_review", "in_review|approve": "approved", "in_review|reject": "rejected", "approved|execute": "executed", "approved|save_edit": "in_review", "in_review|save_edit": "in_review", "rejected|submit": "in_review"}
-_T = "CASE h || '|' || x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TRANSITIONS.items()) + " ELSE h END"
+_T = "CASE h.state || '|' || e.decision " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TRANSITIONS.items()) + " END"
+_OK = f"""coalesce({_T} IS NOT NULL AND CASE WHEN e.decision IN ('approve', 'reject') THEN e.actor <> e.drafter WHEN e.decision = 'execute' THEN h.approved_hash = e.content_hash AND epoch(e.ts::TIMESTAMP)::BIGINT - epoch(h.approved_at::TIMESTAMP)::BIGINT <= 604800
+  ELSE e.actor = e.drafter OR e.actor = 'user0' END, false)"""
 
 
-@query("g07_state_machine", f"WITH l AS (SELECT action_id, list(CASE WHEN decision = 'approve' AND actor = drafter THEN 'self' ELSE decision END ORDER BY seq) AS e FROM action_events GROUP BY action_id) SELECT action_id, list_reduce(e, lambda h, x: {_T}, 'draft') AS state FROM l", ("action_events",))
+@query("g07_state_machine", f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY seq) AS n FROM action_events),
+h AS (SELECT DISTINCT action_id, idempotency_key, 0::BIGINT AS n, 'draft' AS state, NULL::VARCHAR AS approved_hash, NULL::TIMESTAMP AS approved_at, NULL::BIGINT AS executed, 0 AS refused FROM action_events
+  UNION ALL SELECT h.action_id, h.idempotency_key, e.n, CASE WHEN x.ok AND x.changed THEN 'in_review' WHEN x.ok THEN x.nxt ELSE h.state END, CASE WHEN x.ok AND e.decision = 'approve' THEN e.content_hash WHEN x.ok AND x.changed THEN NULL ELSE h.approved_hash END,
+   CASE WHEN x.ok AND e.decision = 'approve' THEN e.ts::TIMESTAMP WHEN x.ok AND x.changed THEN NULL ELSE h.approved_at END, CASE WHEN x.ok AND e.decision = 'execute' THEN e.seq ELSE h.executed END, h.refused + CASE WHEN x.ok THEN 0 ELSE 1 END
+  FROM h JOIN e ON e.action_id = h.action_id AND e.n = h.n + 1, LATERAL (SELECT {_OK} AS ok, {_T} AS nxt, coalesce(e.decision = 'save_edit' AND h.state = 'approved' AND h.approved_hash <> e.content_hash, false) AS changed) x),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY action_id ORDER BY n DESC) AS r FROM h) WHERE r = 1), f AS (SELECT *, min(executed) OVER (PARTITION BY idempotency_key) AS first FROM l)
+SELECT action_id, CASE WHEN executed IS NOT NULL AND executed <> first THEN 'approved' ELSE state END AS state, refused::BIGINT AS refused, coalesce(executed = first, false) AS ran FROM f""", ("action_events",))
 def g07(spark, sf):
-    """The log of each action is folded; an invalid event, or an approval by the drafter, does not move the state."""
-    ev = F.when((F.col("decision") == "approve") & (F.col("actor") == F.col("drafter")), "self").otherwise(F.col("decision"))
-    t = F.create_map(*[F.lit(x) for kv in TRANSITIONS.items() for x in kv])
-    l = view(spark, sf, "action_events").groupBy("action_id").agg(F.array_sort(F.collect_list(F.struct("seq", ev.alias("e")))).alias("l"))
-    return l.select("action_id", F.aggregate("l", F.lit("draft"), lambda h, x: F.coalesce(F.try_element_at(t, F.concat(h, F.lit("|"), x["e"])), h)).alias("state"))
+    """The log of each action folded: separation of duties, approval bound to the content, expiry, one execution a key."""
+    return fold_actions(view(spark, sf, "action_events"))

@@ -204,3 +204,11 @@ def text_blocks(df: DataFrame, id_col: str = "doc_id", text: str = "text", markd
 
 def json_value(raw: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(F.try_parse_json(raw), path, kind)
+
+
+def flatten_blocks(documents: DataFrame) -> DataFrame:
+    """One row a block of documents whose column `pages` is array<struct<page_number, blocks array<struct>>>: the other
+    columns, page_number and the fields of the block. Without a shuffle; null or empty pages give no row."""
+    keys = [c for c in documents.columns if c != "pages"]
+    pages = documents.select(*keys, F.explode("pages").alias("p"))
+    return pages.select(*keys, "p.page_number", F.explode("p.blocks").alias("b")).select(*keys, "page_number", "b.*")

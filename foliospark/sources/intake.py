@@ -86,3 +86,10 @@ def manifest(df: DataFrame, content: str = "content", name: str = "display_name"
     out = df.withColumn("detected_mime", known).withColumn("code", code)
     warning = F.when(F.col("code").isNull() & wrong, "FILE_EXTENSION_MISMATCH")
     return out.withColumn("status", F.when(F.col("code").isNull(), "accepted").otherwise("rejected")).withColumn("warning", warning)
+
+
+def extension_verdict(mime: Column, ext: Column) -> Column:
+    """match, warn (a strong type under another name), reject (a weak one), or unknown where the bytes tell no type."""
+    fits = F.create_map(*[F.lit(x) for m, e in EXTENSIONS.items() for x in (m, e)])
+    known = F.split(F.coalesce(F.try_element_at(fits, mime), F.lit("")), " ")
+    return F.when(mime.isNull() | (mime == "application/x-executable"), "unknown").when((ext != "") & F.array_contains(known, ext), "match").when(mime.isin(*STRONG), "warn").otherwise("reject")

@@ -67,3 +67,7 @@ def test_python_text(one):
     assert X.ratio("abcd", "abxd") == 75.0 and X.ratio("", "") == 100.0
     assert X.token_set_ratio("acme corp", "corp acme ltd") == 100.0
     assert X.lcs("nematode", "empty") == 3
+    assert X.partial_ratio("corp", "acme corporation") == 100.0 and X.partial_ratio("", "x") == 0.0
+    for a, b in (("abcdef", "xxabdefyy"), ("kitten", "sitting"), ("aaaa", "b"), ("night", "nacht")):
+        s, l = sorted((a, b), key=len)
+        assert X.partial_ratio(a, b) == max(X.ratio(s, l[max(0, k) : k + len(s)]) for k in range(1 - len(s), len(l)))
