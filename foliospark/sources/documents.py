@@ -26,6 +26,10 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ENDS = {"li": ("li", "p"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "table": ("p",), "ul": ("p",), "ol": ("p",), "div": ("p",)} | {k: ("p",) for k in BLOCKS if k != "li"}
 
 
+#: Elements whose inside ends nothing outside. Fixed values.
+WALLS = {"table", "ul", "ol", "div", "article", "section", "main", "body"}
+
+
 class _Events(HTMLParser):
     """A page as a list of (what, name or text, attributes)."""
 
@@ -87,7 +91,8 @@ def page_blocks(html: str) -> list[tuple[str, int, str]]:
                 into["text"].append(name)
         else:
             for other in ENDS.get(name, ()):
-                if any(e["tag"] == other for e in stack[-3:]) and not (other in ("td", "th", "tr", "li") and stack[-1]["tag"] in ("table", "ul", "ol")):
+                inner = next((e["tag"] for e in reversed(stack) if e["tag"] == other or e["tag"] in WALLS and e["tag"] != other), None)
+                if inner == other:
                     end(other)
             hides = _is_hidden(name, attrs)
             holder = next((e for e in reversed(stack) if e["tag"] in BLOCKS or e["tag"] in ("td", "th")), None)
@@ -125,6 +130,12 @@ def html_blocks(df: DataFrame, id_col: str = "page_id", html: str = "html") -> D
 SUPPORTED = {"pdf", "png", "jpg", "jpeg", "tif", "tiff", "webp", "txt", "md", "csv", "tsv", "json", "xml", "html", "htm", "docx", "xlsx", "pptx", "eml", "rtf"}
 
 
+def _text(part) -> str:
+    """A text part as it stands; without a charset of its own it is text already and is not decoded again."""
+    plain = part.get_content_charset() is None and (part.get("content-transfer-encoding") or "7bit").lower() in ("7bit", "8bit")
+    return part.get_payload() if plain and isinstance(part.get_payload(), str) else part.get_content()
+
+
 def emails(df: DataFrame, id_col: str, raw: str) -> DataFrame:
     """message_id, kind, text, child_id of each message: one metadata row, body rows (plain text before HTML, whose blocks
     are read as a page's) and attachment rows by name. A supported attachment has a child id, the first 16 hex digits of
@@ -137,7 +148,7 @@ def emails(df: DataFrame, id_col: str, raw: str) -> DataFrame:
                 m = email.message_from_string(r or "", policy=email.policy.default)
                 rows.append((i, "metadata", f"{m.get('from', '')} | {m.get('subject', '')}", None))
                 body = m.get_body(("plain", "html"))
-                text = body.get_content() if body else ""
+                text = _text(body) if body else ""
                 parts = [t for *_, t in page_blocks(text)] if body and body.get_content_type() == "text/html" else text.split("\n\n")
                 rows += [(i, "body", p, None) for p in parts if p.strip()]
                 for k, name in enumerate(sorted(a.get_filename() or "unnamed" for a in m.iter_attachments())):
