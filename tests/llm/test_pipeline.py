@@ -69,15 +69,13 @@ def test_mixing_draws_by_the_raked_rates(stages):
     cell = lambda r: (r.source or "", r.lang or "", topic(r.text or ""))
 
     def topic(t):
-        hits = re.findall(mixing._WORDS, t.lower())
-        n = {k: sum(h in ws for h in hits) for k, ws in mixing.TOPICS.items()}
+        n = {k: sum(t.lower().count(w) for w in ws) for k, ws in mixing.TOPICS.items()}
         best = max(n.values())
         return "general" if best == 0 or best * mixing.STRETCH < len(t) else next(k for k, c in n.items() if c == best)
 
     def count(t):
-        import regex
-
-        return len(regex.findall(mixing.PIECE, t))
+        whole = 50 * len(t) + 98 * (len(t.encode()) - len(t)) - 75 * t.count(" ")
+        return max(whole // 100, (len(t) + 3) // 4)
 
     tokens = {}
     for r in before:
