@@ -45,9 +45,10 @@ def test_whole_table_is_the_librarys(spark):
 def test_clashing_names(spark, docs):
     """Columns of the input named like results or like what operators add inside."""
     odd = docs.select("doc_id", "text", "lang", "source", *[F.lit(-1).alias(c) for c in ("start", "length", "offset", "n_shingles", "list", "f1", "spans", "live", "held", "__keep", "__row", "score", "entropy", "rejected", "rate", "weight", "__source", "bucket", "kind", "n_bytes")])
-    for f in (lambda d: packing.pack(d, BPE).drop("sequence_id", "offset"), lambda d: tokencount.count_tokens(d, BPE, keep=["doc_id"]), jaccard.link_groups, secrets.scan, suffix.remove_repeats,
-              lambda d: mixing.mix_sources(d).select("doc_id", "weight", "rate"), lambda d: langid.identify(d, langid.learn(d), keep=["doc_id"])):
+    for f in (lambda d: packing.pack(d, BPE).drop("sequence_id", "offset"), lambda d: tokencount.count_tokens(d, BPE, keep=["doc_id"]), secrets.scan, lambda d: langid.identify(d, langid.learn(d), keep=["doc_id"])):
         assert sorted(map(repr, f(odd).collect())) == sorted(map(repr, f(docs.drop("weight")).collect()))
+    kept = mixing.mix_sources(odd)
+    assert kept.where("rate > 1 or weight < 0").count() == 0 and {"weight", "rate"} <= set(kept.columns)
 
 
 def test_cuts_are_safe():
@@ -107,12 +108,16 @@ def sets(rows):
 
 
 def brute_groups(s):
-    root = {i: i for i in s}
-    for _ in s:
-        for i in s:
-            for j in s:
-                if i < j and s[i] and s[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]):
-                    root[i] = root[j] = min(root[i], root[j])
+    """The smallest id that each id reaches over links of all pairs."""
+    ids = sorted(s)
+    links = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
+    root, more = {i: i for i in ids}, True
+    while more:
+        more = False
+        for i, j in links:
+            low = min(root[i], root[j])
+            more |= root[i] != low or root[j] != low
+            root[i] = root[j] = low
     return root
 
 
@@ -217,9 +222,10 @@ def test_mixing_meets_targets(docs, none):
     tok = got.groupby("__lang").tokens.sum() / got.tokens.sum()
     assert np.allclose(got.groupby("__lang").share.sum(), tok, atol=1e-6)
     # raking stops by itself where the sums meet the targets, in every dimension
-    dims = ["__source", "__lang"]
-    done = mixing.rake(cells, dims, {"__source": 0.5, "__lang": 0.7}).toPandas()
-    for d, p in zip(dims, (0.5, 0.7), strict=True):
+    spark = docs.sparkSession
+    full = mixing.stored(spark.createDataFrame([(a, b, 10 + 7 * i + 31 * j) for i, a in enumerate("xyz") for j, b in enumerate("pq")], "__source string, __lang string, tokens long"))
+    done = mixing.rake(full, ["__source", "__lang"], {"__source": 0.5, "__lang": 0.7}).toPandas()
+    for d, p in (("__source", 0.5), ("__lang", 0.7)):
         want = (done.groupby(d).tokens.sum().astype(float) ** p).pipe(lambda x: x / x.sum())
         assert np.allclose(done.groupby(d).share.sum(), want, atol=1e-9)
     kept = mixing.mix_sources(docs.withColumn("rate", F.lit(1)))
