@@ -134,15 +134,24 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_tool_calls, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op9_repeat_removal, op10_topk)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.interactions import cells, order_steps, text_rules
+
+    marks = {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1}
+    found = cells(table(spark, sf_dir, "documents"), text_rules(F.col("text")), repeats="E", labels=table(spark, sf_dir, "labels"), marks=marks)
+    return order_steps(found, "ABCDE", tuple(marks))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_tool_calls, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op9_repeat_removal, op10_topk, op11_filter_audit)}
 ORACLES: dict[str, str] = {}
 
 
 def _oracles() -> None:
-    from foliospark.llm import mixing
+    from foliospark.llm import interactions, mixing
 
     ORACLES["op2_tool_calls"] = _OP2
     ORACLES["op4_mixing"] = mixing.oracle()
+    ORACLES["op11_filter_audit"] = interactions.ORACLE
     ORACLES["op10_topk"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
