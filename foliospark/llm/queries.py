@@ -142,7 +142,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_steps(found, "ABCDE", tuple(marks))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_tool_calls, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op9_repeat_removal, op10_topk, op11_filter_audit)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_tool_calls, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op9_repeat_removal, op10_topk, op11_filter_audit, op12_token_alignment)}
 ORACLES: dict[str, str] = {}
 
 
