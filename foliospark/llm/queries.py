@@ -148,7 +148,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_tool_calls, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op9_repeat_removal, op10_topk, op11_filter_audit, op12_token_alignment)}
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_tool_calls, op3_ngram_jaccard, op4_mixing, op5_token_counts, op6_secret_scan, op7_language_id, op8_embedding_dedup, op9_repeat_removal, op10_topk, op11_filter_audit, op12_token_alignment, op13_sharding)}
 ORACLES: dict[str, str] = {}
 
 
