@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from foliospark.llm.common import mix, runs_by_bytes, small_batches
+from foliospark.llm.common import discard, mix, runs_by_bytes, small_batches, stored
 
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
@@ -162,25 +163,38 @@ class Identifier:
         return pred, np.where(none, 0.0, score), np.where(none, np.nan, low), rejected
 
 
-def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 3000, most_langs: int = 256,
-          false_rejection: float = 5e-4, sure_from: int = 40) -> Identifier:
+def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 3000, most_rows: int = 200_000, least_rows: int = 20,
+          most_langs: int | None = None, clear: float = 0.25, false_rejection: float = 5e-4, sure_from: int = 40) -> Identifier:
     """An Identifier from labelled rows.
 
-    The models are fitted on a bounded sample: about `per_lang` rows of each language, drawn by a hash of the key, of
-    the `most_langs` languages with the most rows (documented bounds, so fitting does not grow with the corpus); a
-    quarter of the sample calibrates the rejection instead. A text is rejected when it has no letter at all, or at
-    least `sure_from` letters and a best entropy that a share of at most `false_rejection` of that language's own
-    texts reaches, by the tail of their held-out entropies (`tail_bound`). Rows with a null text or label teach nothing.
+    Fitting and calibration see a bounded sample: about `per_lang` rows of each label, drawn by a hash of the key, and
+    `most_rows` in all, fewer of each where there are very many labels (labels that would then hold less than
+    `least_rows` rows are not learned, nor are those after the `most_langs` most frequent ones, if that is given). The
+    sample is written once; what leaves it are counts of at most CLASSES ** ORDER n-grams a label and a few numbers a row.
+
+    Labels may be wrong. The sample is cut in two halves and each half is scored by models of the other. A row goes when
+    another language fits it better by `clear` nats a character, or when its entropy lies further above the median of its label than hardly any row
+    does (`tail_bound` of all labels together, each about its own median); wrong rows that are alike can still hold each other. What stays is fitted anew, half by half for
+    calibration and as a whole for use.
+
+    A text is rejected when it has no letter at all, or at least `sure_from` letters and a best entropy beyond its
+    language's bound: the median of the language, plus the excess that a share of at most `false_rejection` of all
+    calibrating texts reaches, pooled over languages, so neither a few wrong labels nor a small language can move it far,
+    plus a third of the way from there to what texts of one language score under the models of the others. A language with
+    less than `least_rows` calibrating rows takes the greatest median of the others; where no language has as many, only texts
+    without letters are rejected. Rows with a null text or label teach nothing.
     """
     spark = labelled.sparkSession
     small_batches(spark)
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit("langid")), F.lit(1 << 20)).alias("h")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-    if not counts:
+    learned = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(most_rows // least_rows, most_langs or most_rows))
+    each = F.least(F.lit(per_lang), F.lit(most_rows) / F.count("*").over(Window.partitionBy()))  # over the learned labels alone
+    share = stored(learned.select("lang", (F.least(F.lit(1.0), each / F.col("n")) * (1 << 20)).cast("long").alias("below")))
+    if not share.limit(1).count():
         return Identifier(Scorer("", {}), np.zeros(0), sure_from)
-    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 20)))])
-    sample = rows.where(F.col("h") < F.try_element_at(bound, F.col("lang")))
-    to_fit, to_set = sample.where("h % 4 <> 0"), sample.where("h % 4 = 0")
+    # most_rows // least_rows labels at most
+    drawn = rows.join(F.broadcast(share), "lang").where("h < below").select("text", "lang", (F.col("h") % 2).alias("half"), F.monotonically_increasing_id().alias("row"))
+    sample = stored(drawn)
 
     def letters(batches):
         for b in batches:
@@ -191,35 +205,72 @@ def learn(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["p", "n"])
 
-    many = to_fit.select("text").mapInArrow(letters, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").collect()
+    many = sample.select("text").mapInArrow(letters, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").collect()
     alphabet = "".join([c for r in many if (c := chr(r["p"])).isalpha()][: CLASSES - 2])
 
-    def counted(batches):
-        table = class_table(alphabet)
-        for b in batches:
-            langs = np.array(b.column(1).to_pylist())
-            texts = b.column(0).to_pylist()
-            for l in sorted(set(langs)):
-                own = [t for t, k in zip(texts, langs, strict=True) if k == l]
-                for x, y in runs_by_bytes([len(t) for t in own], 1 << 21):
-                    code, n = np.unique(grams(own[x:y], table)[0], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([str(l)] * len(code)), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
-
-    # at most CLASSES ** ORDER rows a language, and in fact what the bounded sample holds
-    got = to_fit.select("text", "lang").mapInArrow(counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    models = {l: KneserNey(g["code"].to_numpy(), g["n"].to_numpy()) for l, g in sorted(got.groupby("lang")) if len(g)}
-    scorer = Scorer(alphabet, models)
-
-    def measured(batches):
-        for b in batches:
-            ce, _, n = scorer.entropies(b.column(0).to_pylist())
-            at = [scorer.langs.index(l) if l in scorer.langs else -1 for l in b.column(1).to_pylist()]
-            use = [i for i, k in enumerate(at) if k >= 0 and n[i] >= sure_from]
-            yield pa.RecordBatch.from_arrays([pa.array([at[i] for i in use], pa.int64()), pa.array([float(ce[i, at[i]]) for i in use], pa.float64())], names=["k", "ce"])
-
-    # at most a quarter of the bounded sample, two numbers a row
-    held = to_set.select("text", "lang").mapInArrow(measured, "k long, ce double").toPandas()
-    return Identifier(scorer, np.array([tail_bound(held["ce"][held["k"] == k].to_numpy(), false_rejection) for k in range(len(models))]), sure_from)
+    def fitted(gone: np.ndarray) -> list[Scorer]:
+        """Models of the half 1, of the half 0 and of both, without the rows `gone` (sorted)."""
+        held = spark.sparkContext.broadcast(gone)  # some of the sample's row numbers
+
+        def counted(batches):
+            table = class_table(alphabet)
+            for b in batches:
+                keep = ~np.isin(b.column(3).to_numpy(), held.value)
+                groups: dict = {}
+                for t, l, h, k in zip(*(b.column(i).to_pylist() for i in range(3)), keep, strict=True):
+                    if k:
+                        groups.setdefault((l, h), []).append(t)
+                for (l, h), own in sorted(groups.items()):
+                    for x, y in runs_by_bytes([len(t) for t in own], 1 << 21):
+                        code, n = np.unique(grams(own[x:y], table)[0], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([str(l)] * len(code)), pa.array([h] * len(code), pa.int64()), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "half", "code", "n"])
+
+        got = sample.mapInArrow(counted, "lang string, half long, code long, n long").groupBy("lang", "half", "code").agg(F.sum("n").alias("n")).toPandas()
+        out = []
+        for part in (got[got["half"] == 1], got[got["half"] == 0], got.groupby(["lang", "code"], as_index=False)["n"].sum()):
+            out.append(Scorer(alphabet, {l: KneserNey(g["code"].to_numpy(), g["n"].to_numpy()) for l, g in sorted(part.groupby("lang")) if len(g)}))
+        return out
+
+    def scored(models: list[Scorer], gone: np.ndarray):
+        """Of each row left with enough letters, under the other half's models: (row, label, entropy by language)."""
+        both, held = spark.sparkContext.broadcast(models[:2]), spark.sparkContext.broadcast(gone)
+
+        def measured(batches):
+            for b in batches:
+                texts, labels, halves, number = (b.column(i).to_pylist() for i in range(4))
+                left = ~np.isin(np.array(number), held.value)
+                for h, m in enumerate(both.value):
+                    own = [i for i, x in enumerate(halves) if x == h and left[i] and labels[i] in m.langs]
+                    ce, _, n = m.entropies([texts[i] for i in own]) if own else (np.zeros((0, 1)), None, np.zeros(0))
+                    use = [k for k in range(len(own)) if n[k] >= sure_from]
+                    at = np.array([m.langs.index(labels[own[k]]) for k in use], int)
+                    mine = ce[use, at] if use else np.zeros(0)
+                    rest = ce[use].copy() if use else np.zeros((0, 1))
+                    rest[np.arange(len(use)), at] = np.inf
+                    other = rest.argmin(1) if len(use) else np.zeros(0, int)
+                    cols = [pa.array([number[own[k]] for k in use], pa.int64()), pa.array([labels[own[k]] for k in use], pa.string()), pa.array(mine, pa.float64()), pa.array([m.langs[k] for k in other], pa.string()), pa.array(rest[np.arange(len(use)), other], pa.float64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["row", "lang", "own", "next", "other"])
+
+        return sample.mapInArrow(measured, "row long, lang string, own double, next string, other double").toPandas()  # a few numbers a row of the sample
+
+    none = np.zeros(0, np.int64)
+    first = scored(fitted(none), none)
+    beyond = first["own"] - first.groupby("lang")["own"].transform("median")
+    wrong = (first["other"] < first["own"] - clear) | (beyond > tail_bound(beyond.to_numpy(), false_rejection, body=0.75))
+    gone = np.sort(first["row"][wrong].to_numpy())
+    models = fitted(gone)
+    clean = scored(models, gone)
+    discard(sample, share)
+    many = clean.groupby("lang")["own"].agg(["median", "size"])
+    centre = many["median"][many["size"] >= least_rows].to_dict()
+    if not centre:
+        return Identifier(models[2], np.full(len(models[2].langs), np.inf), sure_from)
+    known = clean[clean["lang"].isin(centre)]
+    reach = tail_bound((known["own"] - known["lang"].map(centre)).to_numpy(), false_rejection)
+    foreign = known[known["next"].isin(centre)]
+    if len(foreign):
+        reach += max(0.0, float(np.quantile(foreign["other"] - foreign["next"].map(centre), 0.01)) - reach) / 3
+    return Identifier(models[2], np.array([centre.get(l, max(centre.values())) + reach for l in models[2].langs]), sure_from)
 
 
 def identify(df: DataFrame, model: Identifier, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
