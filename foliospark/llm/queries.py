@@ -89,10 +89,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_groups(table(spark, sf_dir, "documents"))
 
 
+#: op4 samples this share of all tokens.
+MIX_SIZE = 0.5
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.llm.mixing import mix_sources
 
-    got = mix_sources(table(spark, sf_dir, "documents"))
+    got = mix_sources(table(spark, sf_dir, "documents"), size=MIX_SIZE)
     return got.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), "n_tokens", F.round("weight", 6).alias("weight"), F.round("rate", 6).alias("rate"))
 
 
@@ -162,7 +166,7 @@ def _oracles() -> None:
     from foliospark.llm import interactions, mixing
 
     ORACLES["op2_tool_calls"] = _OP2
-    ORACLES["op4_mixing"] = mixing.oracle()
+    ORACLES["op4_mixing"] = mixing.oracle(MIX_SIZE)
     ORACLES["op11_filter_audit"] = interactions.ORACLE
     ORACLES["op10_topk"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
