@@ -355,9 +355,9 @@ _DECIDED = f"WITH {_FRAMES}, {_Q}, e AS (SELECT q.*, (SELECT max(c) FROM n WHERE
 
 def _decisions(spark, sf):
     """Every asked statement through the gate: (id, decision, reason, tables, columns, sensitive, estimate)."""
-    frames, rows = _frames(spark, sf), []
+    frames, rows, counts = _frames(spark, sf), [], {}
     for i, sql in enumerate(ASKED):
-        said, why, a, n = decide(spark, sql, frames, SENSITIVE)
+        said, why, a, n = decide(spark, sql, frames, SENSITIVE, counts=counts)
         rows.append((i, said, why, *([None] * 3 if why and said == "BLOCK" else [",".join(x) for x in (a.tables, a.columns, a.sensitive)]), n))
     return spark.createDataFrame(rows, "id int, decision string, reason string, tables string, columns string, sensitive string, row_estimate long")
 

@@ -141,6 +141,46 @@ def test_governed_sql(spark):
     assert [r.a for r in spark.sql("SELECT a FROM t").collect()] == [7]  # the caller's own view is not touched
 
 
+SCOPED = [
+    "SELECT x.s FROM (WITH hidden_tbl AS (SELECT id FROM t) SELECT id FROM hidden_tbl) q JOIN hidden_tbl x ON true JOIN t ON true",
+    "SELECT id FROM t WHERE id IN (WITH hidden_tbl AS (SELECT id FROM t) SELECT id FROM hidden_tbl) AND EXISTS (SELECT s FROM hidden_tbl)",
+    "SELECT IDENTIFIER('reflect')('java.util.UUID','randomUUID') FROM t", "SELECT IDENTIFIER('current_user')() FROM t",
+    "WITH a AS (SELECT s FROM b), b AS (SELECT id FROM t) SELECT * FROM a", "WITH RECURSIVE r AS (SELECT id FROM t UNION ALL SELECT id + 1 FROM r) SELECT id FROM r",
+    "SELECT (WITH hidden_tbl AS (SELECT id FROM t) SELECT max(id) FROM hidden_tbl) FROM hidden_tbl JOIN t ON true", "SELECT s FROM hidden_stored", "WITH x AS (SELECT s FROM hidden_stored) SELECT s FROM x JOIN t ON true",
+    "SELECT id FROM t WHERE EXISTS (SELECT 1 FROM hidden_stored)", "SELECT transform(array(1), x -> x) FROM t", "SELECT current_user FROM t", "SELECT id FROM t ORDER BY (SELECT max(s) FROM hidden_tbl)", "SELECT id FROM t HAVING max((SELECT max(s) FROM hidden_tbl)) > ''",
+    "SELECT count(*) FILTER (WHERE id IN (SELECT id FROM hidden_tbl)) FROM t", "SELECT named_struct('a', id) FROM t", "SELECT :x FROM t", "SELECT id FROM parquet.`/root/testdata/sf0.001/region.parquet`", "SELECT id FROM spark_catalog.default.hidden_stored",
+]
+NESTED = [
+    ("WITH hidden_tbl AS (SELECT id FROM t) SELECT id FROM hidden_tbl", ["t.id"]), ("WITH t AS (SELECT id FROM t) SELECT id FROM t", ["t.id"]), ("WITH a AS (SELECT id FROM t), b AS (SELECT id FROM a) SELECT b.id FROM b JOIN a ON a.id = b.id", ["t.id"]),
+    ("SELECT q.id FROM (WITH c AS (SELECT id FROM t) SELECT id FROM c) q JOIN t ON q.id = t.id", ["t.id"]), ("SELECT id FROM t x WHERE EXISTS (SELECT 1 FROM t y WHERE y.note = x.note)", ["t.id", "t.note"]), ("SELECT count(*) AS n FROM t", []),
+    ("SELECT id, rank() OVER (PARTITION BY note ORDER BY id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM t".replace("rank()", "sum(id)"), ["t.id", "t.note"]), ("SELECT CASE WHEN id BETWEEN 1 AND 2 THEN 'a' || note ELSE trim(note) END AS z FROM t WHERE note LIKE 'n%' AND id NOT IN (7, 8)", ["t.id", "t.note"]),
+]
+
+
+def test_scopes_of_governed_sql(spark):
+    """A name of a common table expression counts only where it is in scope; what the catalog stores stays closed."""
+    t = {"t": spark.createDataFrame([(1, "n"), (2, "m")], "id int, note string")}
+    spark.createDataFrame([(1, "SECRET")], "id int, s string").createOrReplaceTempView("hidden_tbl")
+    spark.sql("DROP TABLE IF EXISTS hidden_stored")
+    spark.createDataFrame([(1, "SECRET")], "id int, s string").write.mode("overwrite").saveAsTable("hidden_stored")
+    try:
+        for sql in SCOPED:
+            reason, rows = run_governed(spark, sql, t)
+            assert reason is not None and rows is None, sql
+        for sql, columns in NESTED:
+            a = analyse(spark, sql, t)
+            assert (a.reason, a.columns) == (None, columns), (sql, a)
+            assert a.rows.count() > 0
+    finally:
+        spark.sql("DROP TABLE hidden_stored")
+    both = {"t": t["t"], "u": spark.createDataFrame([(1, 5)], "id int, n int")}
+    known = {"t": ["id", "note", "pay"], "u": ["id", "n"]}
+    say = lambda sql: analyse(spark, sql, both, None, known).reason
+    assert say("SELECT u.* FROM t JOIN u ON t.id = u.id") is None and say("SELECT t.* FROM t JOIN u ON t.id = u.id") == say("SELECT * FROM t") == "* on t, which has locked columns"
+    assert say("SELECT x.pay FROM t x") == say("SELECT id FROM u WHERE n > (SELECT max(pay) FROM t)") == "column is locked: t.pay" and say("SELECT id AS pay FROM t ORDER BY pay") is None
+    assert say("SELECT nothing FROM t") == "unknown column: nothing" and say("WITH c AS (SELECT id FROM t) SELECT * FROM c") is None
+
+
 def test_decisions_and_approvals(spark):
     rows = spark.createDataFrame([(k, "s") for k in range(5)], "a int, s string")
     t, known, secret = {"t": rows}, {"t": ["a", "s", "locked"]}, {"t": {"s"}}
