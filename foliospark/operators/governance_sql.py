@@ -33,7 +33,6 @@ operator("p05_redacted_facts", "statements grants catalog", f"""WITH {_VIS}, v A
   STRAGG(CASE WHEN NOT visible THEN col END BY col SEP ',') AS locked FROM vis WHERE resource = 'facts' GROUP BY user_id)
 SELECT s.block_id, v.user_id, CASE WHEN value_ok THEN text ELSE '' END AS raw_value, CASE WHEN subject_ok THEN case_id ELSE 'Hidden content' END AS subject, CASE WHEN metric_ok THEN 'line ' || line_no ELSE 'Hidden content' END AS metric, CASE WHEN currency_ok THEN 'INR' END AS currency, coalesce(locked, '') AS locked_columns
 FROM statements s JOIN v ON v.user_id = 'user' || 4 * (line_no % 15)""")
-operator("j22_active_grants", "grants", "WITH a AS (SELECT *, array(100, 300, 900) AS times FROM grants), t AS (SELECT grant_id, user_id, resource, col, valid_until, UNROLL(times AS as_of) FROM a) SELECT as_of, user_id, resource, count_if(valid_until > as_of) AS active, count_if(valid_until <= as_of) AS expired, coalesce(STRAGG(CASE WHEN valid_until > as_of THEN col || '#' || grant_id END BY grant_id SEP ','), '') AS active_columns FROM t GROUP BY as_of, user_id, resource")
 operator("t03_requested_minus_visible", "requests grants catalog", f"WITH {_VIS}, a AS (SELECT DISTINCT user_id, resource, col FROM requests), k AS (SELECT resource, col, true AS known FROM catalog) SELECT a.user_id, a.resource, a.col, k.known IS NULL AS is_unknown FROM a LEFT JOIN k ON a.resource = k.resource AND a.col = k.col LEFT ANTI JOIN (SELECT * FROM vis WHERE visible) v ON a.user_id = v.user_id AND a.resource = v.resource AND a.col = v.col")
 _HOURS = "CASE WHEN regexp_like(duration, RE'^[0-9]+ ?(h)?$') THEN cast(regexp_extract(duration, RE'^([0-9]+)', 1) AS int) WHEN regexp_like(duration, RE'^[0-9]+ ?d(ays)?$') THEN 24 * cast(regexp_extract(duration, RE'^([0-9]+)', 1) AS int) WHEN regexp_like(duration, RE'^[0-9]+w$') THEN 168 * cast(regexp_extract(duration, RE'^([0-9]+)', 1) AS int) END"
 # rules in order; an approval sets an end in hours from now, 48 h before to 720 h after

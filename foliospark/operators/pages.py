@@ -1,127 +1,201 @@
-"""Order-dependent operators on the boxes of one page; a page bounds the group."""
+"""Order-dependent operators on the boxes of a page.
 
-from __future__ import annotations
+Which boxes meet, how alike texts are and what they weigh is computed by joins and aggregates; only the choice that depends
+on earlier choices runs over the arrays of one page, which bounds the group.
+"""
 
-import unicodedata
+from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliospark.functions.text import ratio
+from foliospark.functions.text import nfkc, similarity
 
 #: Which region type wins a conflict. Fixed values.
 PRIORITY = {"table": 5, "figure": 4, "title": 3, "caption": 2, "paragraph": 1, "footer": 0}
+PAGE = ("source_id", "page_number")
+#: Height of the rows of the grid in which boxes meet.
+GRID = 64
+
 
+def meeting(boxes: DataFrame, height: int = GRID) -> DataFrame:
+    """(page, a, b, both, area_a, area_b): pairs of boxes of a page that overlap, a the one with the smaller `rank`.
 
-def _areas(a, b):
-    w, h = max(0.0, min(a.x2, b.x2) - max(a.x1, b.x1)), max(0.0, min(a.y2, b.y2) - max(a.y1, b.y1))
-    one, two = (a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)
-    return w * h, one, two
+    boxes: page, rank, box, group; boxes of one group do not meet. They meet in an equi-join on page and grid row, a pair in
+    the first row that both touch, so a page of many lines does not pair them all."""
+    row = lambda c: F.floor(F.col(c) / height).cast("long")
+    cells = boxes.withColumn("first", row("y1")).withColumn("g", F.explode(F.sequence("first", F.greatest("first", row("y2")))))
+    a, b = cells.alias("a"), cells.alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*PAGE, "g")]
+    w = F.least("a.x2", "b.x2") - F.greatest("a.x1", "b.x1")
+    h = F.least("a.y2", "b.y2") - F.greatest("a.y1", "b.y1")
+    area = lambda s: (F.col(f"{s}.x2") - F.col(f"{s}.x1")) * (F.col(f"{s}.y2") - F.col(f"{s}.y1"))
+    pairs = a.join(b, on).where((F.col("a.rank") < F.col("b.rank")) & (F.col("a.g") == F.greatest("a.first", "b.first")) & ~F.coalesce(F.col("a.group") == F.col("b.group"), F.lit(False)) & (w > 0) & (h > 0))
+    return pairs.select(*[F.col(f"a.{c}").alias(c) for c in PAGE], F.col("a.rank").alias("a"), F.col("b.rank").alias("b"), (w * h).alias("both"), area("a").alias("area_a"), area("b").alias("area_b"))
 
 
-def iou(a, b) -> float:
-    both, one, two = _areas(a, b)
-    return both / (one + two - both) if one + two > both else 0.0
+def _with_neighbours(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each box with what earlier boxes it touches: `before` (array of ranks) and `how` (array of values), by rank."""
+    of = edges.groupBy(*PAGE, F.col("b").alias("rank")).agg(F.array_sort(F.collect_list(F.struct("a", "v"))).alias("e"))
+    return ranked.join(of, [*PAGE, "rank"], "left").withColumns({"before": F.coalesce(F.col("e.a"), F.array().cast("array<int>")), "how": F.coalesce(F.col("e.v"), F.array().cast("array<double>"))}).drop("e")
 
 
 def merge_regions(regions: DataFrame, iou_at: float = 0.6, inside_at: float = 0.9) -> DataFrame:
     """Regions that survive: by priority, then confidence, each drops later ones that overlap or lie inside it."""
+    order = Window.partitionBy(*PAGE).orderBy(F.desc(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("type")), F.lit(0))), F.desc("confidence"), "region_id")
+    ranked = regions.withColumn("rank", F.row_number().over(order) - 1)
+    met = meeting(ranked.withColumn("group", F.lit(None).cast("string")))
+    columns = regions.columns
+    drops = met.where((F.col("both") >= iou_at * (F.col("area_a") + F.col("area_b") - F.col("both"))) | (F.col("both") >= inside_at * F.greatest("area_b", F.lit(1e-9))))
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(page.itertuples(index=False), key=lambda r: (-PRIORITY.get(r.type, 0), -r.confidence, r.region_id))
-        kept = []
-        for r in rows:
-            if all(iou(r, k) < iou_at and _areas(r, k)[0] < inside_at * max(1e-9, _areas(r, k)[1]) for k in kept):
-                kept.append(r)
-        return pd.DataFrame(kept, columns=page.columns)
+        page = page.sort_values("rank")
+        alive = np.ones(len(page), bool)
+        for k, before in enumerate(page["before"]):
+            alive[k] = not alive[np.asarray(before, int)].any()
+        return page.loc[alive, columns]
 
-    return regions.groupBy("source_id", "page_number").applyInPandas(run, regions.schema)
+    return _with_neighbours(ranked, drops.withColumn("v", F.lit(1.0))).groupBy(*PAGE).applyInPandas(run, regions.schema)
 
 
 def consensus_clusters(spans: DataFrame, iou_at: float = 0.3) -> DataFrame:
-    """cluster per span of any extractor: most reliable first, one item an extractor and cluster, best IoU wins.
+    """cluster per span of any extractor: most reliable first, one item an extractor and cluster, best IoU with any member wins.
 
-    spans: source_id, page_number, line_no, extractor, reliability, box."""
+    spans: source_id, page_number, line_no, extractor, reliability, box. Of clusters that fit equally well the older one
+    wins; an item that fits none opens its own."""
+    ranked = spans.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("reliability"), "y1", "x1", "line_no", "extractor")) - 1)
+    met = meeting(ranked.withColumn("group", F.col("extractor")))
+    near = met.withColumn("v", F.col("both") / (F.col("area_a") + F.col("area_b") - F.col("both"))).where(F.col("v") >= iou_at)
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(page.itertuples(index=False), key=lambda r: (-r.reliability, r.y1, r.x1, r.line_no))
-        clusters: list[list] = []
-        at = {}
-        for r in rows:
-            near = [(iou(r, c[0]), -k) for k, c in enumerate(clusters) if all(m.extractor != r.extractor for m in c) and abs(c[0].y1 - r.y1) < 64]
-            best = max(near, default=(0, 0))
-            if best[0] >= iou_at:
-                clusters[-best[1]].append(r)
-                at[r.extractor, r.line_no] = -best[1]
+        page = page.sort_values("rank")
+        names, kind = np.unique(page["extractor"], return_inverse=True)
+        home = np.full(len(page), -1)
+        holds = np.zeros((len(page), len(names)), bool)  # which extractors a cluster has
+        n = 0
+        for k, (before, how) in enumerate(zip(page["before"], page["how"], strict=True)):
+            at = home[np.asarray(before, int)]
+            free = ~holds[at, kind[k]]
+            if free.any():
+                at, how = at[free], np.asarray(how)[free]
+                home[k] = at[how == how.max()].min()
             else:
-                at[r.extractor, r.line_no] = len(clusters)
-                clusters.append([r])
-        return pd.DataFrame([(page.source_id.iloc[0], page.page_number.iloc[0], e, n, k) for (e, n), k in at.items()], columns=["source_id", "page_number", "extractor", "line_no", "cluster"])
+                home[k], n = n, n + 1
+            holds[home[k], kind[k]] = True
+        return page.assign(cluster=home)[[*PAGE, "extractor", "line_no", "cluster"]]
+
+    return _with_neighbours(ranked, near).groupBy(*PAGE).applyInPandas(run, "source_id long, page_number long, extractor string, line_no long, cluster long")
+
 
-    return spans.groupBy("source_id", "page_number").applyInPandas(run, "source_id long, page_number long, extractor string, line_no long, cluster long")
+def inversions(seq: np.ndarray) -> int:
+    """How many pairs stand in the wrong order, counted while runs of doubling length are merged."""
+    seq, count, width = np.array(seq), 0, 1
+    while width < len(seq):
+        for a in range(0, len(seq) - width, 2 * width):
+            left, right = seq[a : a + width], seq[a + width : a + 2 * width]
+            count += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            seq[a : a + len(left) + len(right)] = np.sort(seq[a : a + 2 * width], kind="stable")
+        width *= 2
+    return count
 
 
 ANCHORS = ("figure", "table", "chart")
 
 
-class _Order:
-    """The order of one page's regions, and how sure it is; a small helper, run a page at a time."""
-
-    def __init__(self, rows, width: float, gap_share: float = 0.04):
-        self.width, self.gap, self.doubtful = width, gap_share * width, False
-        by_place = lambda kind: sorted((r for r in rows if r.type == kind), key=lambda r: (r.y1, r.x1, r.region_id))
-        self.body = [r for r in rows if r.type not in ("header", "footer", "caption")]
-        out = self._parts(self.body)
-        for c in by_place("caption"):  # a caption follows the anchor nearest to it, above or below
-            near = [(abs(c.y1 - a.y2) if a.y2 <= c.y1 + 5 else abs(a.y1 - c.y2), k) for k, a in enumerate(out) if a.type in ANCHORS]
-            out.insert(min(near)[1] + 1 if near else len(out), c)
-        self.rows = by_place("header") + out + by_place("footer")
-
-    def _parts(self, rows):
-        """Cuts at the first gap between columns, else between lines, until none is left; by a list, not by recursion."""
-        out, todo = [], [rows]
-        while todo:
-            part = todo.pop()
-            halves = self._cut(part) if len(part) > 1 else None
-            if halves:
-                todo += halves[::-1]
+class PageOrder:
+    """Boxes of one page as arrays, sorted by top, left and id; `first` and `second` are two orders of them."""
+
+    def __init__(self, page: pd.DataFrame, width: float, gap_share: float = 0.04):
+        page = page.sort_values(["y1", "x1", "region_id"]).reset_index(drop=True)
+        self.page, self.width, self.doubtful = page, width, False
+        self.lo, self.hi = page[["x1", "y1"]].to_numpy(float), page[["x2", "y2"]].to_numpy(float)
+        self.gap = (gap_share * width, 1.0)
+        kind = page["type"].to_numpy()
+        head, foot, caption = (np.flatnonzero(kind == k) for k in ("header", "footer", "caption"))
+        self.body = np.flatnonzero(~np.isin(kind, ["header", "footer", "caption"]))
+        self.first = np.concatenate([head, self._captioned(self._cut(self.body), caption, np.isin(kind, ANCHORS)), foot]).astype(int)
+        self.second = self._like_first(np.concatenate([head, self._columns(), foot]).astype(int), set(caption.tolist()))
+
+    def _gaps(self, boxes: np.ndarray, axis: int):
+        """The boxes along an axis, and the room between each and all that come before it."""
+        along = boxes[np.lexsort((self.page["region_id"].to_numpy()[boxes], self.lo[boxes, axis]))]
+        return along, self.lo[along[1:], axis] - np.maximum.accumulate(self.hi[along, axis])[:-1]
+
+    def _cut(self, boxes: np.ndarray) -> np.ndarray:
+        """All columns of a part at once; a part without columns at its first line gap, its rest being looked at anew."""
+        done, parts = [], [boxes]
+        while parts:
+            part = parts.pop()
+            if len(part) < 2:
+                done.append(part)
+                continue
+            along, gaps = self._gaps(part, 0)
+            wide = gaps > self.gap[0]
+            if wide.any():
+                self.doubtful |= bool((gaps[wide] < 1.5 * self.gap[0]).any())
+                parts += np.split(along, np.flatnonzero(wide) + 1)[::-1]
+                continue
+            self.doubtful |= bool(gaps.max() > 0.2 * self.gap[0])
+            along, gaps = self._gaps(part, 1)
+            if (gaps > self.gap[1]).any():
+                k = int((gaps > self.gap[1]).argmax()) + 1
+                parts += [along[k:], along[:k]]
             else:
-                out += sorted(part, key=lambda r: (r.y1, r.x1, r.region_id))
-        return out
-
-    def _cut(self, rows):
-        for lo, hi, least in (("x1", "x2", self.gap), ("y1", "y2", 1.0)):
-            row = sorted(rows, key=lambda r: (getattr(r, lo), r.region_id))
-            reach, widest = getattr(row[0], hi), float("-inf")
-            for k, r in enumerate(row[1:], 1):
-                gap = getattr(r, lo) - reach
-                if gap > least:
-                    self.doubtful |= lo == "x1" and gap < 1.5 * least
-                    return row[:k], row[k:]
-                widest, reach = max(widest, gap), max(reach, getattr(r, hi))
-            self.doubtful |= lo == "x1" and widest > 0.2 * least
-        return None
-
-    def by_columns(self):
-        """The body in another order: columns of like centres from left to right, wide regions as columns of their own."""
-        columns: list[list] = []
-        for r in sorted(self.body, key=lambda r: ((r.x1 + r.x2) / 2, r.region_id)):
-            first = columns[-1][0] if columns else None
-            wide = lambda x: x.x2 - x.x1 > 0.6 * self.width
-            if first is not None and not wide(r) and not wide(first) and abs((r.x1 + r.x2 - first.x1 - first.x2) / 2) < 0.15 * self.width:
-                columns[-1].append(r)
-            else:
-                columns.append([r])
-        return [r for c in columns for r in sorted(c, key=lambda r: (r.y1, r.region_id))]
+                done.append(np.sort(part))
+        return np.concatenate([np.zeros(0, int), *done]).astype(int)
+
+    def _captioned(self, order: np.ndarray, captions: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Each caption behind the anchor whose edge is nearest, later captions of an anchor in front of earlier ones."""
+        anchors = order[anchor[order]]
+        if not len(anchors):
+            return np.concatenate([order, captions])
+        top, bottom = self.lo[captions, 1][:, None], self.hi[captions, 1][:, None]
+        far = np.where(self.hi[anchors, 1] <= top + 5, np.abs(top - self.hi[anchors, 1]), np.abs(self.lo[anchors, 1] - bottom))
+        host = anchors[far.argmin(1)] if len(captions) else np.zeros(0, int)
+        rank = {int(b): k for k, b in enumerate(order)}
+        behind = np.array([rank[int(h)] for h in host], int)
+        keys = np.concatenate([np.arange(len(order)) * 1.0, behind + 0.5])
+        late = np.concatenate([np.zeros(len(order), int), -np.arange(len(captions))])
+        return np.concatenate([order, captions])[np.lexsort((late, keys))]
+
+    def _columns(self) -> np.ndarray:
+        """The body by columns: boxes whose centres lie near that of a column's first box; wide boxes stand alone."""
+        span = self.hi[self.body, 0] - self.lo[self.body, 0]
+        centre = self.lo[self.body, 0] + span / 2
+        along = np.lexsort((self.page["region_id"].to_numpy()[self.body], centre))
+        centre, wide = centre[along], span[along] > 0.6 * self.width
+        starts, k = [], 0
+        stops = np.append(np.flatnonzero(wide), len(along))
+        while k < len(along):
+            starts.append(k)
+            k = k + 1 if wide[k] else min(int(np.searchsorted(centre, centre[k] + 0.15 * self.width)), int(stops[np.searchsorted(stops, k)]))
+            k = max(k, starts[-1] + 1)
+        column = np.zeros(len(along), int)
+        column[starts] = 1
+        boxes = self.body[along]
+        return boxes[np.lexsort((boxes, np.cumsum(column)))]
+
+    def _like_first(self, order: np.ndarray, captions: set) -> np.ndarray:
+        """`order` with the captions where the first order has them, behind the same box."""
+        out: list[int] = []
+        first = self.first.tolist()
+        at = {b: k for k, b in enumerate(first)}
+        for b in order.tolist():
+            k = at[b]
+            out.append(b)
+            while (k := k + 1) < len(first) and first[k] in captions:
+                out.append(first[k])
+        return np.array(out + [c for c in first if c in captions and c not in out], int)
 
     def confidence(self) -> float:
-        """One less the share of body pairs that the two orders see differently; 0.7 of that where columns are in doubt."""
-        place = {r.region_id: k for k, r in enumerate(self.by_columns())}
-        seq = [place[r.region_id] for r in self.rows if r.region_id in place]
-        n = len(seq)
-        turned = sum(seq[i] > seq[j] for i in range(n) for j in range(i + 1, n))
-        same = 1.0 if n < 2 else 1 - turned / (n * (n - 1) / 2)
+        """One less the share of pairs that the two orders see differently; 0.7 of that where columns are in doubt."""
+        place = np.empty(len(self.second), int)
+        place[self.second] = np.arange(len(self.second))
+        n = len(place)
+        same = 1.0 if n < 2 else 1 - inversions(place[self.first]) / (n * (n - 1) / 2)
         return round(same * (0.7 if self.doubtful else 1.0), 4)
 
 
@@ -130,40 +204,36 @@ def reading_order(regions: DataFrame, margin: float = 72.0) -> DataFrame:
     with captions after their anchors, footers last. A page is as wide as its regions and a margin."""
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
-        o = _Order(list(page.itertuples(index=False)), float(page.x2.max()) + margin)
-        sure = o.confidence()
-        return pd.DataFrame([(r.source_id, r.page_number, r.region_id, k, sure) for k, r in enumerate(o.rows)], columns=["source_id", "page_number", "region_id", "position", "confidence"])
-
-    return regions.groupBy("source_id", "page_number").applyInPandas(run, "source_id long, page_number long, region_id long, position long, confidence double")
-
+        o = PageOrder(page, float(page["x2"].max()) + margin)
+        out = o.page.iloc[o.first][[*PAGE, "region_id"]]
+        return out.assign(position=np.arange(len(out)), confidence=o.confidence())
 
-def vote(texts: list[str], weights: list[float], alike: float = 85.0) -> tuple[int, str, float]:
-    """(winner, agreement, mean similarity) of candidate texts. A text joins the first group whose first text it is
-    `alike`; the heaviest group wins, and in it the heaviest text; equal weights go to the earlier one."""
-    groups: list[list[int]] = []
-    for k, t in enumerate(texts):
-        home = next((g for g in groups if ratio(texts[g[0]], t) >= alike), None)
-        groups.append([k]) if home is None else home.append(k)
-    best = max(groups, key=lambda g: (sum(weights[i] for i in g), -g[0]))
-    share = sum(weights[i] for i in best) / max(sum(weights), 1e-12)
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
-    mean = sum(ratio(texts[i], texts[j]) for i, j in pairs) / len(pairs) / 100 if pairs else 1.0
-    return max(best, key=lambda i: (weights[i], -i)), "unanimous" if len(groups) == 1 else "majority" if share > 0.5 else "split", mean
+    return regions.groupBy(*PAGE).applyInPandas(run, "source_id long, page_number long, region_id long, position long, confidence double")
 
 
-def fuzzy_vote(candidates: DataFrame) -> DataFrame:
+def fuzzy_vote(candidates: DataFrame, alike: float = 85.0) -> DataFrame:
     """winner, agreement and similarity of each line from what all extractors read (source_id, page_number, line_no,
-    extractor, text, weight), a page a group."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for line, f in page.sort_values(["line_no", "extractor"]).groupby("line_no"):
-            texts = [" ".join(unicodedata.normalize("NFKC", t or "").split()) for t in f["text"]]
-            k, agreement, mean = vote(texts, [max(w, 1e-6) for w in f["weight"]])
-            rows.append((f["source_id"].iloc[0], f["page_number"].iloc[0], line, f["text"].iloc[k], agreement, round(mean, 6)))
-        return pd.DataFrame(rows, columns=["source_id", "page_number", "line_no", "winner", "agreement", "similarity"])
-
-    return candidates.groupBy("source_id", "page_number").applyInPandas(run, "source_id long, page_number long, line_no long, winner string, agreement string, similarity double")
+    extractor, text, weight).
+
+    A candidate speaks for the first earlier one that speaks for itself and is `alike` it, else for itself. The candidates
+    with the greatest common weight win, the heaviest of them is the winner; equal weights go to the earlier one. Pairs of
+    candidates of a line are compared in Arrow batches, all else are columns."""
+    line = [*PAGE, "line_no"]
+    n = F.row_number().over(Window.partitionBy(*line).orderBy("extractor")) - 1
+    c = candidates.select(*line, "text", nfkc(F.coalesce("text", F.lit(""))).alias("norm"), F.greatest("weight", F.lit(1e-6)).alias("w"), n.alias("k"))
+    a, b = c.alias("a"), c.alias("b")
+    pairs = a.join(b, line).where("a.k < b.k").select(*line, F.col("a.k").alias("i"), F.col("b.k").alias("j"), similarity("a.norm", "b.norm").alias("s"))
+    near = pairs.groupBy(*line).agg(F.avg("s").alias("mean"), F.collect_list(F.when(F.col("s") >= alike, F.struct("i", "j"))).alias("near"))
+    lines = c.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("k", "text", "w"))).alias("c")).join(near, line, "left")
+    first = lambda own, k: F.array_min(F.transform(F.filter("near", lambda p: (p["j"] == k) & (F.element_at(own, p["i"] + 1) == p["i"])), lambda p: p["i"]))
+    speaks = F.aggregate("c", F.array().cast("array<int>"), lambda own, x: F.concat(own, F.array(F.coalesce(first(own, x["k"]), x["k"]))))
+    lines = lines.withColumn("own", speaks)
+    of = lambda k: F.aggregate(F.filter("c", lambda x: F.element_at("own", x["k"] + 1) == k), F.lit(0.0), lambda s, x: s + x["w"])
+    weighed = F.transform(F.array_distinct("own"), lambda k: F.struct(of(k).alias("w"), (-k).alias("k")))
+    lines = lines.withColumn("best", F.array_max(weighed)).withColumn("total", F.aggregate("c", F.lit(0.0), lambda s, x: s + x["w"]))
+    lead = F.array_max(F.transform(F.filter("c", lambda x: F.element_at("own", x["k"] + 1) == -F.col("best.k")), lambda x: F.struct(x["w"].alias("w"), (-x["k"]).alias("k"))))
+    agreement = F.when(F.size(F.array_distinct("own")) == 1, "unanimous").when(F.col("best.w") > 0.5 * F.col("total"), "majority").otherwise("split")
+    return lines.withColumn("lead", lead).select(*line, F.element_at("c", 1 - F.col("lead.k"))["text"].alias("winner"), agreement.alias("agreement"), F.round(F.coalesce(F.col("mean") / 100, F.lit(1.0)), 6).alias("similarity"))
 
 
 def as_candidates(spans: DataFrame, ocr: DataFrame) -> DataFrame:

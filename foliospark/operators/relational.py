@@ -94,8 +94,22 @@ operator("a05_consensus_vote", "spans ocr_spans", """WITH t AS (SELECT source_id
 g AS (SELECT source_id, page_number, line_no, text, sum(w) AS w, count(*) AS n FROM t GROUP BY source_id, page_number, line_no, text), k AS (SELECT source_id, page_number, line_no, max_by(text, struct_pack_w) AS winner, count(*) AS groups, max(w) AS best, sum(w) AS total FROM (SELECT *, w * 10 + CASE WHEN n > 1 THEN 1 ELSE 0 END AS struct_pack_w FROM g) q GROUP BY source_id, page_number, line_no)
 SELECT source_id, page_number, line_no, winner, CASE WHEN groups = 1 THEN 'unanimous' WHEN best > 0.5 * total THEN 'majority' ELSE 'split' END AS agreement FROM k""")
 operator("a06_escalations", "blocks", "SELECT source_id, page_number, count_if(coalesce(agreement, 1) < 0.5) AS escalated, count_if(coalesce(engine, 0) < 0.6) AS needs_review FROM blocks GROUP BY source_id, page_number")
-operator("a07_coverage", "spans regions", """WITH tile AS (SELECT DISTINCT source_id, page_number, UNROLL(sequence(cast(floor(y1 / 16) AS int), cast(floor(y2 / 16) AS int)) AS t) FROM spans), seen AS (SELECT DISTINCT source_id, page_number, UNROLL(sequence(cast(floor(y1 / 16) AS int), cast(floor(y2 / 16) AS int)) AS t) FROM (SELECT * FROM regions WHERE type <> 'footer') r)
-SELECT t.source_id, t.page_number, count(*) AS tiles, count(s.t) AS covered, round(count(s.t) / DOUBLED(count(*)), 8) AS coverage FROM tile t LEFT JOIN seen s ON t.source_id = s.source_id AND t.page_number = s.page_number AND t.t = s.t GROUP BY t.source_id, t.page_number""")
+# area of text (spans) and of its part inside regions: strips between neighbouring left and right edges, in each the union of
+# heights; tiles of 16 units in both directions that text touches and no region does
+_AREA = """e{0} AS (SELECT DISTINCT source_id, page_number, x FROM (SELECT source_id, page_number, x1 AS x FROM {1} UNION ALL SELECT source_id, page_number, x2 FROM {1}) u),
+s{0} AS (SELECT source_id, page_number, x AS lo, lead(x) OVER (PARTITION BY source_id, page_number ORDER BY x) AS hi FROM e{0}),
+i{0} AS (SELECT s.source_id, s.page_number, s.lo, s.hi, b.y1, b.y2, max(b.y2) OVER (PARTITION BY s.source_id, s.page_number, s.lo ORDER BY b.y1, b.y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM s{0} s JOIN {1} b ON s.source_id = b.source_id AND s.page_number = b.page_number AND b.x1 <= s.lo AND b.x2 >= s.hi),
+a{0} AS (SELECT source_id, page_number, sum((hi - lo) * greatest(0e0, y2 - greatest(y1, coalesce(reach, y1)))) AS area FROM i{0} GROUP BY source_id, page_number)"""
+_TILES = "SELECT source_id, page_number, tx, UNROLL(sequence(cast(floor(y1 / 16) AS int), cast(floor((y2 - 1e-9) / 16) AS int)) AS ty) FROM (SELECT source_id, page_number, y1, y2, UNROLL(sequence(cast(floor(x1 / 16) AS int), cast(floor((x2 - 1e-9) / 16) AS int)) AS tx) FROM {0}) v"
+operator("a07_coverage", "spans regions", f"""WITH r AS (SELECT * FROM regions WHERE type <> 'footer' AND region_id % 6 <> 4), t AS (SELECT * FROM spans WHERE x2 > x1 AND y2 > y1),
+p AS (SELECT t.source_id, t.page_number, greatest(t.x1, r.x1) AS x1, greatest(t.y1, r.y1) AS y1, least(t.x2, r.x2) AS x2, least(t.y2, r.y2) AS y2 FROM t JOIN r ON t.source_id = r.source_id AND t.page_number = r.page_number WHERE least(t.x2, r.x2) > greatest(t.x1, r.x1) AND least(t.y2, r.y2) > greatest(t.y1, r.y1)),
+{_AREA.format(1, "t")}, {_AREA.format(2, "p")},
+q AS (SELECT DISTINCT * FROM ({_TILES.format("t")}) w), c AS (SELECT DISTINCT * FROM ({_TILES.format("r")}) w),
+n AS (SELECT q.source_id, q.page_number, count(*) AS tiles, count_if(c.tx IS NULL) AS uncovered, coalesce(STRAGG(CASE WHEN c.tx IS NULL THEN q.tx || ':' || q.ty END BY q.ty * 100000 + q.tx SEP ' '), '') AS where_uncovered
+  FROM q LEFT JOIN c ON q.source_id = c.source_id AND q.page_number = c.page_number AND q.tx = c.tx AND q.ty = c.ty GROUP BY q.source_id, q.page_number)
+SELECT n.source_id, n.page_number, round(a1.area, 4) AS text_area, round(coalesce(a2.area, 0e0), 4) AS covered_area, round(coalesce(a2.area, 0e0) / a1.area, 6) AS coverage, n.tiles, n.uncovered, n.where_uncovered
+FROM n JOIN a1 ON n.source_id = a1.source_id AND n.page_number = a1.page_number LEFT JOIN a2 ON n.source_id = a2.source_id AND n.page_number = a2.page_number""")
 operator("a08_document_status", "blocks", "WITH p AS (SELECT source_id, page_number, avg(CASE WHEN engine IS NULL THEN 0e0 ELSE 1e0 END) AS coverage, bool_or(block_type = 'equation' AND engine IS NULL) AS orphan FROM blocks GROUP BY source_id, page_number) SELECT source_id, CASE WHEN min(coverage) >= 0.9 AND NOT bool_or(orphan) THEN 'complete' ELSE 'partial' END AS status, round(avg(coverage), 8) AS coverage FROM p GROUP BY source_id")
 operator("a12_words_to_lines", "spans", "SELECT source_id, page_number, line_no div 3 AS line, STRAGG(text BY line_no SEP ' ') AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(CASE WHEN confidence >= 0 THEN confidence END), 8) AS confidence FROM spans GROUP BY source_id, page_number, line_no div 3")
 operator("a13_handwriting", "ocr_spans", "SELECT source_id, page_number, count(*) >= 3 AND avg(confidence) < 0.45 AS handwriting, round(avg(confidence), 8) AS mean FROM ocr_spans GROUP BY source_id, page_number")
@@ -147,11 +161,6 @@ SELECT table_id, n_rows, n_cols, 'A1:' || CASE WHEN c0 >= 702 THEN chr(cast(65 +
 operator("a11_table_confidence", "cells", "SELECT table_id, round(avg(DOUBLED(confidence)), 8) AS confidence FROM cells GROUP BY table_id")
 operator("a21_cell_cap", "cells", "SELECT table_id, row, col, raw_text, total FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row, col) AS r, count(*) OVER (PARTITION BY table_id) AS total FROM cells) q WHERE r <= 6")
 operator("f02_cell_numbers", "cells", f"SELECT table_id, row, col, CASE WHEN raw_text LIKE '%\\%' THEN try_cast(replace(raw_text, '%', '') AS bigint) ELSE {_N} END AS value, CASE WHEN regexp_like(raw_text, RE'^[0-9]+%$') THEN 'percent_strip' WHEN regexp_like(raw_text, RE'^[0-9,]*,[0-9,]*$') THEN 'strip_thousands_separator' WHEN regexp_like(raw_text, RE'^[0-9]+$') THEN 'plain_number' END AS rule FROM cells".replace("LIKE '%\\%'", "LIKE '%!%' ESCAPE '!'"))
-# ranges written as A1:B2 are read back; they meet by the rows they touch, and a pair counts in the first row both touch
-operator("j21_range_overlap", "cells", """WITH a AS (SELECT table_id, chr(cast(65 + col AS int)) || (row + 1) || ':' || chr(cast(66 + col AS int)) || (row + 2) AS ref FROM cells),
-r AS (SELECT table_id, ref, cast(regexp_extract(ref, RE'^[A-Z]+([0-9]+)', 1) AS bigint) AS r1, cast(regexp_extract(ref, RE':[A-Z]+([0-9]+)$', 1) AS bigint) AS r2, ascii(regexp_extract(ref, RE'^([A-Z]+)', 1)) - 64 AS c1, ascii(regexp_extract(ref, RE':([A-Z]+)', 1)) - 64 AS c2 FROM a),
-x AS (SELECT *, UNROLL(sequence(r1, r2) AS at) FROM r)
-SELECT a.table_id, a.ref, count(*) AS overlapping FROM x a JOIN x b ON a.table_id = b.table_id AND a.at = b.at WHERE a.at = greatest(a.r1, b.r1) AND a.c1 <= b.c2 AND b.c1 <= a.c2 GROUP BY a.table_id, a.ref""")
 operator("w06_continuation", "fragments", """WITH p AS (SELECT table_id, page_number, max(col) + 1 AS n_cols, bool_or(is_header) AS header, STRAGG(CASE WHEN is_header THEN raw_text END BY col SEP '|') AS head FROM fragments GROUP BY table_id, page_number)
 SELECT table_id, page_number, coalesce(lag(n_cols) OVER (PARTITION BY table_id ORDER BY page_number) = n_cols AND (NOT header OR lag(head) OVER (PARTITION BY table_id ORDER BY page_number) = head), false) AS continues FROM p""")
 # rows that a fragment repeats from the start of the one before, three at most, fall away

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.qs import export, intake, reasoning, relational, workers  # noqa: F401  (each fills the registry)
+from foliospark.qs import export, intake, intervals, reasoning, relational, workers  # noqa: F401  (each fills the registry)
 from foliospark.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -107,7 +107,7 @@ def test_consensus_clusters(spark, rows):
     for page, items in by_page(a + b).items():
         clusters = []
         for r in sorted(items, key=lambda r: (-r["w"], r["y1"], r["x1"], r["line_no"])):
-            open_ = [(overlap(r, c[0])[1], -k) for k, c in enumerate(clusters) if r["e"] not in [m["e"] for m in c]]
+            open_ = [(max(overlap(r, m)[1] for m in c), -k) for k, c in enumerate(clusters) if r["e"] not in [m["e"] for m in c]]
             best = max(open_, default=(0, 0))
             if best[0] >= 0.3:
                 clusters[-best[1]].append(r)
@@ -117,6 +117,59 @@ def test_consensus_clusters(spark, rows):
     assert {(k[:2], frozenset(v)) for k, v in got.items()} == want
 
 
+def test_clusters_by_any_member(spark):
+    """A box far below a cluster's first box joins by a later member; one item an extractor; the older of equal clusters wins."""
+    from foliospark.operators.pages import consensus_clusters
+
+    boxes = [("a", 1.0, 0, 0, 10, 400), ("b", 0.9, 0, 250, 10, 640), ("c", 0.8, 0, 420, 10, 640), ("b", 0.9, 100, 0, 110, 10), ("a", 1.0, 200, 0, 210, 10), ("a", 1.0, 203, 0, 213, 10), ("c", 0.8, 201.5, 0, 211.5, 10), ("c", 0.8, 300, 9, 310, 9)]
+    df = spark.createDataFrame([(1, 1, k, e, float(w), *map(float, b)) for k, (e, w, *b) in enumerate(boxes)], "source_id long, page_number long, line_no long, extractor string, reliability double, x1 double, y1 double, x2 double, y2 double")
+    got = defaultdict(set)
+    for r in consensus_clusters(df).collect():
+        got[r.cluster].add(r.line_no)
+    # 0 and 1 share 150 of 640 units (0.23): too little; 2 lies in 1
+    assert sorted(map(sorted, got.values())) == [[0], [1, 2], [3], [4, 6], [5], [7]]
+
+
+def test_inversions():
+    import numpy as np
+
+    from foliospark.operators.pages import inversions
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 7, 33, 64, 100):
+        seq = rng.permutation(n)
+        assert inversions(seq) == sum(seq[i] > seq[j] for i in range(n) for j in range(i + 1, n))
+
+
+def test_doubtful_columns_and_captions(spark):
+    """A gap between columns below one and a half times the least is in doubt; captions of one table, captions without any anchor."""
+    from foliospark.operators.pages import reading_order
+
+    kinds = "source_id long, page_number long, region_id long, type string, x1 double, y1 double, x2 double, y2 double"
+    two = [("text", 0, 0, 100, 10), ("text", 0, 20, 100, 30), ("text", 106, 0, 200, 10), ("text", 106, 20, 200, 30)]
+    tables = [("table", 0, 50, 200, 90), ("caption", 0, 92, 90, 96), ("caption", 0, 97, 90, 99), ("text", 0, 150, 200, 160)]
+    alone = [("caption", 0, 40, 50, 44), ("text", 0, 0, 50, 9), ("footer", 0, 60, 50, 66)]
+    nested = [("text", 0, 0, 200, 10), ("text", 0, 20, 80, 30), ("text", 120, 20, 200, 30), ("text", 0, 32, 80, 60), ("text", 120, 32, 200, 60), ("text", 0, 70, 200, 80)]
+    rows = [(p, 1, k, t, *map(float, b)) for p, page in enumerate((two, tables, alone, nested)) for k, (t, *b) in enumerate(page)]
+    got = {}
+    for p, page in by_page([r.asDict() for r in reading_order(spark.createDataFrame(rows, kinds), margin=0.0).collect()]).items():
+        got[p[0]] = ([r["region_id"] for r in sorted(page, key=lambda r: r["position"])], page[0]["confidence"])
+    assert got[0] == ([0, 2, 1, 3], 0.5833)  # 6 units are no column gap, but nearly: one of six pairs differs
+    assert got[1][0] == [0, 2, 1, 3] and got[2] == ([1, 0, 2], 1.0)
+    # two columns below a wide box and above another: the first line gap goes first, so does what then splits by columns
+    assert got[3][0] == [0, 1, 3, 2, 4, 5]
+
+
+def test_vote_by_weight(spark):
+    """Three readings: two alike outweigh one; equal weights go to the earlier; a null text is empty."""
+    from foliospark.operators.pages import fuzzy_vote
+
+    lines = {1: [("a", "total 1,200", 0.5), ("b", "total 1,208", 0.4), ("c", "nothing here", 0.8)], 2: [("a", "x", 0.5), ("b", "yyyy", 0.5)], 3: [("a", None, 0.2)], 4: [("a", "one", 0.1), ("b", "two", 0.1), ("c", "six", 0.1)], 5: [("a", "AB\u2460", 1.0), ("b", "AB1", 1.0)]}
+    df = spark.createDataFrame([(1, 1, n, e, t, w) for n, c in lines.items() for e, t, w in c], "source_id long, page_number long, line_no long, extractor string, text string, weight double")
+    got = {r.line_no: (r.winner, r.agreement) for r in fuzzy_vote(df).collect()}
+    assert got == {1: ("total 1,200", "majority"), 2: ("x", "split"), 3: (None, "unanimous"), 4: ("one", "split"), 5: ("AB\u2460", "unanimous")}
+
+
 def test_reading_order(spark, rows):
     """Every region once; titles, paragraphs, tables and figures of one column from top to bottom; captions and footers placed."""
     got = by_page(rows("o05_reading_order"))
