@@ -195,17 +195,48 @@ def signals(texts: DataFrame, weights: dict[str, float] | None = None, days: int
     return all_.select("a", "b", F.coalesce("n_ids", F.lit(0)).alias("n_ids"), F.coalesce("n_domains", F.lit(0)).alias("n_domains"), F.col("near").isNotNull().alias("near_dates"), F.round(conf, 4).alias("confidence"))
 
 
+def alike_names(names: DataFrame, alike: float = 90.0) -> DataFrame:
+    """(x, y), x < y: every two different names of column x whose token-set ratio is `alike` or more.
+
+    Such names either have most of the letters of one in common words, or their words, common ones first, are two strings of that
+    indel ratio. In the first case one of the rarest words of the one that make up more than (200 - 2 * alike) / (200 - alike) of
+    its length is a word of the other. In the second the strings' lengths are in that ratio too, and an edit costs one of the
+    pairs of neighbouring letters inside words that both have, so they share a number of such pairs that follows from the
+    length and the number of words: the rarest pairs of each beyond that number less one have one in common. So a word or
+    pair of letters that very many names hold brings none of them together by itself.
+    """
+    near = alike / (200 - alike)
+    n = names.select("x").distinct().withColumn("ws", F.array_sort(F.array_distinct(F.filter(F.split("x", r"\s+"), lambda w: w != "")))).where(F.size("ws") > 0)
+    n = n.withColumn("len", F.length(F.array_join("ws", " ")))
+    # pairs of letters survive in the common part of (len + other) * alike / 200 letters, less one an edit and two a gap between words
+    least = F.ceil(F.col("len") * (1 + near) * (alike / 200 - (1 - alike / 100)) - 1 - 2 * (F.size("ws") - 1) - 1e-9)
+    letters = lambda w: F.when(F.length(w) < 2, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2))))
+    n = written(n.withColumns({"least": F.greatest(least, F.lit(1)), "g": F.flatten(F.transform("ws", letters))}))
+    nth = F.row_number().over(Window.partitionBy("x", "g").orderBy(F.lit(0)))
+    grams = written(n.select("x", "len", "least", F.size("g").alias("n"), F.explode("g").alias("g")).withColumn("nth", nth))
+    often = grams.groupBy("g", "nth").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("x").orderBy("often", "g", "nth"))
+    rare = written(grams.join(often, ["g", "nth"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.col("least") + 1).select("x", "len", "least", "g", "nth"))
+    other = rare.select(F.col("x").alias("y"), F.col("len").alias("len_y"), F.col("least").alias("least_y"), "g", "nth")
+    tied = rare.join(other, ["g", "nth"]).where((F.col("x") < F.col("y")) & (F.least("len", "len_y") >= near * F.greatest("len", "len_y") - 1e-9)).select("x", "y", F.greatest("least", "least_y").alias("least")).distinct()
+    of = grams.groupBy("x").agg(F.collect_list(F.concat_ws("#", "nth", "g")).alias("all"))
+    counted = tied.join(of, "x").join(of.select(F.col("x").alias("y"), F.col("all").alias("all_y")), "y").where(F.size(F.array_intersect("all", "all_y")) >= F.col("least"))
+
+    words = written(n.select("x", "len", F.explode("ws").alias("w")))
+    known = words.groupBy("w").agg(F.count("*").alias("often"))
+    before = F.sum(F.length("w")).over(Window.partitionBy("x").orderBy("often", "w")) - F.length("w")
+    first = words.join(known, "w").withColumn("before", before).where(F.col("before") <= (1 - near) * F.col("len"))
+    held = first.select("x", "w").join(words.select(F.col("x").alias("y"), "w"), "w").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return counted.select("x", "y").unionByName(held).distinct().where(token_set("x", "y") >= alike)
+
+
 def shared_entities(texts: DataFrame, alike: float = 90.0) -> DataFrame:
     """a, b, n_entities, first: entities of a that some entity of b is alike (token-set ratio), for pairs that share any.
 
-    texts: source_id, entities array. Distinct names meet by their words: two names of several words are compared when
-    they have a word in common, each pair of names once, in Arrow batches; sources then meet by alike names."""
+    texts: source_id, entities array. Distinct names are compared once (`alike_names`); sources then meet by alike names."""
     e = written(texts.select("source_id", F.explode(F.array_distinct("entities")).alias("x")))
-    names = e.select("x").distinct()
-    words = written(names.select("x", F.explode(F.array_distinct(F.split("x", r"\s+"))).alias("w")))
-    meet = words.join(words.withColumnRenamed("x", "y"), "w").where("x < y").select("x", "y").distinct()
-    near = meet.where(token_set("x", "y") >= alike)
-    like = written(near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(names.select("x", F.col("x").alias("y"))))
+    near = written(alike_names(e, alike))
+    like = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(e.select("x", F.col("x").alias("y")).distinct())
     hits = e.withColumnRenamed("source_id", "a").join(like, "x").join(e.select(F.col("source_id").alias("b"), F.col("x").alias("y")), "y").where("a < b").select("a", "b", "x").distinct()
     return hits.groupBy("a", "b").agg(F.count("*").alias("n_entities"), F.min("x").alias("first"))
 

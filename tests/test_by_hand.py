@@ -225,12 +225,38 @@ def test_shared_entities(spark, rows):
     ids = sorted(names)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            hit = {x for x in names[a] for y in names[b] if x == y or set(x.split()) & set(y.split()) and token_set_ratio(x, y) >= 90}
+            hit = {x for x in names[a] for y in names[b] if x == y or token_set_ratio(x, y) >= 90}
             if hit:
                 want[a, b] = (len(hit), min(hit))
     assert {(r["a"], r["b"]): (r["n_entities"], r["first"]) for r in rows("j13_shared_entities")} == want and want
 
 
+def test_alike_names_are_all_pairs(spark):
+    """Names a letter or two off, moved words, hot words, single letters, against every pair; no blocking in the plain version."""
+    import numpy as np
+
+    from foliospark.functions.text import token_set_ratio
+    from foliospark.operators.reasoning import alike_names
+
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("aeinrst"), rng.integers(1, 9))).capitalize()
+    names = {"Jonathan Livingstone", "Johnathan Livingstones", "Bank", "Bank of A", "A", "B", "A B", "A B C", "Aohnathan Zeta", "Zohnathan Zeta", "  x  y ", ""}
+    base_names = [" ".join([*(word() for _ in range(rng.integers(1, 4))), *(["Bank"] if k % 3 == 0 else [])]) for k in range(110)]
+    for t in base_names:
+        names.add(t)
+        cut = list(t)
+        for _ in range(rng.integers(1, 3)):
+            k = rng.integers(0, len(cut))
+            cut[k] = rng.choice(["", "e", cut[k] + "s"])
+        names.add("".join(cut))
+        names.add(" ".join(sorted(t.split(), reverse=True)))
+    every = sorted(names)
+    for alike in (90.0, 80.0):
+        want = {(x, y) for i, x in enumerate(every) for y in every[i + 1 :] if x.split() and y.split() and token_set_ratio(x, y) >= alike}
+        assert {tuple(r) for r in alike_names(spark.createDataFrame([(t,) for t in every], "x string"), alike).collect()} == want
+        assert alike < 90 or ("Johnathan Livingstones", "Jonathan Livingstone") in want and ("Aohnathan Zeta", "Zohnathan Zeta") in want
+
+
 def test_rate_limit(spark, rows):
     want, open_ = {}, defaultdict(list)
     for e in sorted(base(spark, SF, "events").selectExpr("user_id", "event_id", "cast(ts as timestamp) as ts").collect(), key=lambda e: (e.ts, e.event_id)):
