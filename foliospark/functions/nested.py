@@ -26,12 +26,12 @@ def map_fields(c: Column, kind: T.DataType, names: tuple[str, ...], change: Call
 
 
 def drop_fields(c: Column, kind: T.DataType, names: tuple[str, ...]) -> Column:
-    """c without the fields called one of `names`, at any depth; a struct that loses all its fields stays as null."""
+    """c without the fields (and map keys) called one of `names`, at any depth, inside map values too; a struct that loses all its fields stays as null."""
     if isinstance(kind, T.StructType):
         kept = [drop_fields(c[f.name], f.dataType, names).alias(f.name) for f in kind.fields if f.name not in names]
         return F.when(c.isNotNull(), F.struct(*kept)) if kept else F.lit(None)
     if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda x: drop_fields(x, kind.elementType, names))
     if isinstance(kind, T.MapType):
-        return F.map_filter(c, lambda k, v: ~k.isin(*names))
+        return F.transform_values(F.map_filter(c, lambda k, v: ~k.isin(*names)), lambda k, v: drop_fields(v, kind.valueType, names))
     return c

@@ -42,20 +42,30 @@ j AS (SELECT q.*, r.resource IS NOT NULL AS resource_ok, c.col IS NOT NULL AS co
   LEFT JOIN vis v ON q.user_id = v.user_id AND q.resource = v.resource AND q.col = v.col LEFT JOIN p ON q.user_id = p.user_id AND q.resource = p.resource AND q.col = p.col)
 SELECT request_id, hours, CASE WHEN trim(reason) = '' THEN 'REASON_REQUIRED' WHEN NOT resource_ok THEN 'UNKNOWN_RESOURCE' WHEN NOT column_ok THEN 'UNKNOWN_COLUMN' WHEN visible THEN 'ALREADY_VISIBLE' WHEN hours IS NULL THEN 'BAD_DURATION' WHEN hours > 720 THEN 'TOO_LONG' WHEN covered THEN 'PENDING_COVERS' ELSE 'OK' END AS request_code,
  CASE WHEN status <> 'pending' THEN 'ALREADY_DECIDED' WHEN approver = user_id THEN 'SELF_APPROVAL' WHEN ends_in <= 0 THEN 'NOT_IN_FUTURE' WHEN ends_in > 720 THEN 'BEYOND_MAXIMUM' ELSE 'GRANT' END AS decision_code FROM j""")
-operator("g06_listing", "requests grants", f"WITH {_USERS} SELECT r.request_id, r.user_id AS asked_by, r.status, u.role FROM requests r JOIN u ON r.user_id = u.user_id")
+# whoever asked sees their own requests, admins see all
+operator("g06_listing", "requests grants", f"WITH {_USERS} SELECT u.user_id AS viewer, u.role, r.request_id, r.user_id AS asked_by, r.status FROM requests r JOIN u ON r.user_id = u.user_id OR u.role = 'admin'".replace("r JOIN u ON r.user_id = u.user_id OR u.role = 'admin'", "r JOIN u ON r.user_id = u.user_id WHERE u.role <> 'admin' UNION ALL SELECT a.user_id, a.role, r.request_id, r.user_id, r.status FROM requests r JOIN (SELECT user_id, role, 1 AS one FROM u WHERE role = 'admin') a ON a.one = 1"))
+# policies for viewers, a few requested columns each: one with a column that is unknown is refused, of the others the latest holds
+operator("g06_viewer_policy", "requests catalog", """WITH p AS (SELECT DISTINCT resource, request_id div CASE resource WHEN 'facts' THEN 8 ELSE 4 END AS version, col FROM requests), k AS (SELECT resource, col, pos, sensitive, true AS known FROM catalog),
+c AS (SELECT p.resource, p.version, bool_and(coalesce(k.known, false)) AS valid, STRAGG(p.col BY p.col SEP ',') AS hidden_columns FROM p LEFT JOIN k ON p.resource = k.resource AND p.col = k.col GROUP BY p.resource, p.version),
+l AS (SELECT resource, max(version) AS version FROM c WHERE valid GROUP BY resource),
+h AS (SELECT p.resource, p.col, true AS is_hidden FROM p JOIN l ON p.resource = l.resource AND p.version = l.version)
+SELECT k.resource, l.version, c.hidden_columns, coalesce(STRAGG(CASE WHEN NOT k.sensitive AND h.is_hidden IS NULL THEN k.col END BY k.pos SEP ','), '') AS viewer_columns
+FROM k JOIN l ON k.resource = l.resource JOIN c ON c.resource = l.resource AND c.version = l.version LEFT JOIN h ON h.resource = k.resource AND h.col = k.col GROUP BY k.resource, l.version, c.hidden_columns""")
 
 operator("j23_pending_covers", "requests", "SELECT DISTINCT r.request_id FROM requests r LEFT SEMI JOIN (SELECT * FROM requests WHERE status = 'pending') p ON r.user_id = p.user_id AND r.resource = p.resource AND r.col = p.col AND p.request_id < r.request_id")
 operator("t04_export_items", "sources cells", "WITH s AS (SELECT tenant_id, 'source' AS kind, cast(source_id AS string) AS item, source_id % 13 <> 0 AS owned FROM sources), t AS (SELECT 'src' || table_id % 20 AS tenant_id, 'table' AS kind, cast(table_id AS string) AS item, true AS owned FROM (SELECT DISTINCT table_id FROM cells) c), a AS (SELECT * FROM s UNION ALL SELECT * FROM t), k AS (SELECT tenant_id, bool_and(owned) AS ok FROM a GROUP BY tenant_id) SELECT a.tenant_id, a.kind, a.item FROM a JOIN k ON a.tenant_id = k.tenant_id WHERE k.ok OR a.kind = 'table'")
 operator("f26_durations", "requests", "SELECT request_id, CASE WHEN regexp_like(duration, RE'^[0-9]+ ?(h)?$') THEN cast(regexp_extract(duration, RE'^([0-9]+)', 1) AS bigint) WHEN regexp_like(duration, RE'^[0-9]+ ?d(ays)?$') THEN 24 * cast(regexp_extract(duration, RE'^([0-9]+)', 1) AS bigint) WHEN regexp_like(duration, RE'^[0-9]+w$') THEN 168 * cast(regexp_extract(duration, RE'^([0-9]+)', 1) AS bigint) END AS hours FROM requests")
 
-operator("p07_locked_blocks", "blocks", "WITH b AS (SELECT block_id, source_id % 3 = 0 AS locked, block_type, text, split(text, ' ') AS cells FROM blocks) SELECT block_id, CASE WHEN locked THEN 'locked_content' ELSE block_type END AS block_type, CASE WHEN NOT locked THEN text END AS text, array_join(CASE WHEN locked THEN transform(cells, x -> '') ELSE cells END, '|') AS cells FROM b")
+# a block is locked for a user who may not see the values of facts
+operator("p07_locked_blocks", "blocks grants catalog", f"""WITH {_VIS}, v AS (SELECT user_id, NOT bool_or(visible AND resource = 'facts' AND col = 'normalized_value') AS locked FROM vis GROUP BY user_id),
+b AS (SELECT b.block_id, v.user_id, v.locked, b.block_type, b.text, split(b.text, ' ') AS cells FROM blocks b JOIN v ON v.user_id = 'user' || 4 * (b.line_no % 15))
+SELECT block_id, user_id, CASE WHEN locked THEN 'locked_content' ELSE block_type END AS block_type, CASE WHEN NOT locked THEN text END AS text, array_join(CASE WHEN locked THEN transform(cells, x -> '') ELSE cells END, '|') AS cells FROM b""")
 operator("p11_audit_filter", "audit", "SELECT seq, actor_id, event_type, object_id FROM audit WHERE ts >= (SELECT min(ts) FROM audit) AND seq BETWEEN 100 AND 100000 AND event_type IN ('error', 'view') AND actor_id BETWEEN 1 AND 4000 AND case_id IN ('case-7', 'case-17') AND object_id LIKE 'obj-%7'")
 operator("s18_export_history", "audit", "SELECT actor_id AS owner, seq, object_id, cast(row_number() OVER (PARTITION BY actor_id ORDER BY seq DESC) AS bigint) AS newest_first FROM audit WHERE event_type = 'view'")
 
 # audit, streaks, review
 
 _CH = "SHA(cast(seq AS string) || '|' || tenant_id || '|' || event_type || '|' || coalesce(props, ''))"
-operator("w05_page_verify", "audit", f"WITH h AS (SELECT seq, event_type, {_CH} AS hash, {_CH} AS stored FROM audit), f AS (SELECT * FROM h WHERE event_type = 'error') SELECT f.seq, p.hash IS NULL AS gap, coalesce(p.hash = p.stored, false) AS linked FROM f LEFT JOIN h p ON p.seq = f.seq - 1")
 operator("j24_checkpoints", "audit", f"WITH h AS (SELECT seq, {_CH} AS hash FROM audit), c AS (SELECT seq, CASE WHEN seq % 700 = 0 THEN 'other' ELSE hash END AS anchor FROM h WHERE seq % 100 = 0 UNION ALL SELECT max(seq) + 100, 'x' FROM h) SELECT c.seq, CASE WHEN h.hash IS NULL THEN 'truncated' WHEN h.hash <> c.anchor THEN 'mismatch' ELSE 'ok' END AS result FROM c LEFT JOIN h ON c.seq = h.seq")
 operator("o03_limit_cap", "audit", "SELECT seq, event_type FROM audit ORDER BY seq LIMIT 500")
 operator("o04_keyset_page", "audit", "WITH n AS (SELECT seq, event_type FROM audit WHERE seq > 120 ORDER BY seq LIMIT 51), r AS (SELECT *, row_number() OVER (ORDER BY seq) AS r, count(*) OVER () AS n FROM n) SELECT seq, event_type, CASE WHEN n > 50 THEN max(CASE WHEN r = 50 THEN seq END) OVER () END AS next_cursor FROM r WHERE r <= 50".replace("max(CASE WHEN r = 50 THEN seq END) OVER () END", "max(seq) OVER () END"))
@@ -87,10 +97,3 @@ operator("f28_chart_or_figure", "regions spans", """WITH t AS (SELECT r.source_i
 SELECT source_id, region_id, CASE WHEN size(array_distinct(regexp_extract_all(text, RE'[0-9]+', 0))) >= 4 OR regexp_like(lower(text), RE'chart|graph') THEN 'chart' ELSE 'figure' END AS kind FROM t""")
 operator("r01_alert_dedup", "events", """WITH e AS (SELECT event_id, event_type || ':' || user_id % 10 AS k, date_trunc('hour', ts) AS hour, event_type IN ('signup', 'error') AS never FROM events), a AS (SELECT *, cast(row_number() OVER (PARTITION BY k, hour, never ORDER BY event_id) AS bigint) AS r, count(*) OVER (PARTITION BY k, hour, never) AS n FROM e)
 SELECT event_id, k, cast(hour AS string) AS hour, CASE WHEN never THEN 1 ELSE n END AS times FROM a WHERE never OR r = 1""")
-operator("g11_url_screen", "pages", """WITH x AS (SELECT page_id, CASE page_id % 16 WHEN 0 THEN 'http://10.1.2.3/a' WHEN 1 THEN 'https://[::1]:8080/' WHEN 2 THEN 'http://[fe80::1]/' WHEN 3 THEN 'http://100.64.0.9/' WHEN 4 THEN 'http://[::ffff:192.168.1.1]/' WHEN 5 THEN 'ftp://files.org/x' WHEN 6 THEN 'http://a.blocked.example/' WHEN 7 THEN 'http://203.0.113.7/' WHEN 8 THEN 'http://8.8.8.8/dns' WHEN 9 THEN 'https://[2a00:1450::1]/' WHEN 10 THEN 'http://user@224.0.0.1/' WHEN 11 THEN 'http:///nohost' ELSE url END AS url FROM pages),
-u AS (SELECT page_id, lower(regexp_extract(url, RE'^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme, lower(regexp_replace(regexp_extract(url, RE'^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/]*\\]|[^/:?#]*)', 1), RE'\\[|\\]', '', 'g')) AS host FROM x),
-m AS (SELECT *, CASE WHEN regexp_like(host, RE'^::ffff:[0-9.]+$') THEN substr(host, 8) ELSE host END AS h FROM u),
-o AS (SELECT *, CASE WHEN regexp_like(h, RE'^[0-9]{1,3}([.][0-9]{1,3}){3}$') THEN cast(regexp_extract(h, RE'^([0-9]+)', 1) AS bigint) * 16777216 + cast(regexp_extract(h, RE'^[0-9]+[.]([0-9]+)', 1) AS bigint) * 65536 + cast(regexp_extract(h, RE'^[0-9]+[.][0-9]+[.]([0-9]+)', 1) AS bigint) * 256 + cast(regexp_extract(h, RE'([0-9]+)$', 1) AS bigint) END AS ip FROM m)
-SELECT page_id, host, CASE WHEN scheme NOT IN ('http', 'https') THEN 'SCHEME' WHEN host = '' THEN 'NO_HOST' WHEN regexp_like(host, RE'(^|[.])(example[.]net|blocked[.]example)$') THEN 'DENIED' WHEN NOT regexp_like(host, RE'(^|[.])(org|com|net|example)$|:') AND ip IS NULL THEN 'NOT_ALLOWED'
- WHEN h = 'localhost' OR ip < 16777216 OR ip BETWEEN 167772160 AND 184549375 OR ip BETWEEN 1681915904 AND 1686110207 OR ip BETWEEN 2130706432 AND 2147483647 OR ip BETWEEN 2851995648 AND 2852061183 OR ip BETWEEN 2886729728 AND 2887778303 OR ip BETWEEN 3221225472 AND 3221225727 OR ip BETWEEN 3221225984 AND 3221226239
-  OR ip BETWEEN 3232235520 AND 3232301055 OR ip BETWEEN 3323068416 AND 3323199487 OR ip BETWEEN 3325256704 AND 3325256959 OR ip BETWEEN 3405803776 AND 3405804031 OR ip >= 3758096384 OR regexp_like(h, RE'^(::1?$|fe[89ab][0-9a-f]:|f[cd][0-9a-f]{2}:|ff[0-9a-f]{2}:|2001:db8:)') THEN 'NON_PUBLIC' ELSE 'OK' END AS verdict FROM o""")

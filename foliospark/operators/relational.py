@@ -160,7 +160,6 @@ operator("a10_table_dims", "cells", """WITH d AS (SELECT table_id, max(row + row
 SELECT table_id, n_rows, n_cols, 'A1:' || CASE WHEN c0 >= 702 THEN chr(cast(65 + c2 % 26 AS int)) ELSE '' END || CASE WHEN c0 >= 26 THEN chr(cast(65 + c1 % 26 AS int)) ELSE '' END || chr(cast(65 + c0 % 26 AS int)) || n_rows AS used_range FROM n""")
 operator("a11_table_confidence", "cells", "SELECT table_id, round(avg(DOUBLED(confidence)), 8) AS confidence FROM cells GROUP BY table_id")
 operator("a21_cell_cap", "cells", "SELECT table_id, row, col, raw_text, total FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY row, col) AS r, count(*) OVER (PARTITION BY table_id) AS total FROM cells) q WHERE r <= 6")
-operator("f02_cell_numbers", "cells", f"SELECT table_id, row, col, CASE WHEN raw_text LIKE '%\\%' THEN try_cast(replace(raw_text, '%', '') AS bigint) ELSE {_N} END AS value, CASE WHEN regexp_like(raw_text, RE'^[0-9]+%$') THEN 'percent_strip' WHEN regexp_like(raw_text, RE'^[0-9,]*,[0-9,]*$') THEN 'strip_thousands_separator' WHEN regexp_like(raw_text, RE'^[0-9]+$') THEN 'plain_number' END AS rule FROM cells".replace("LIKE '%\\%'", "LIKE '%!%' ESCAPE '!'"))
 operator("w06_continuation", "fragments", """WITH p AS (SELECT table_id, page_number, max(col) + 1 AS n_cols, bool_or(is_header) AS header, STRAGG(CASE WHEN is_header THEN raw_text END BY col SEP '|') AS head FROM fragments GROUP BY table_id, page_number)
 SELECT table_id, page_number, coalesce(lag(n_cols) OVER (PARTITION BY table_id ORDER BY page_number) = n_cols AND (NOT header OR lag(head) OVER (PARTITION BY table_id ORDER BY page_number) = head), false) AS continues FROM p""")
 # rows that a fragment repeats from the start of the one before, three at most, fall away

@@ -32,14 +32,20 @@ def s16j(spark, sf):
     return view(spark, sf, "cells").transform(RENDERERS["json"])
 
 
-@query("u01_registry", _GRID + """, l AS (SELECT table_id, row, '<tr>' || string_agg('<td>' || v || '</td>', '' ORDER BY col) || '</tr>' AS l FROM v GROUP BY table_id, row),
-h AS (SELECT table_id, '<table>' || string_agg(l, '' ORDER BY row) || '</table>' AS body FROM l GROUP BY table_id)
-SELECT table_id, f.format, CASE f.format WHEN 'html' THEN sha256(h.body) END AS digest FROM h CROSS JOIN (SELECT unnest(['csv', 'html', 'json', 'markdown']) AS format) f""", ("cells",))
+_LINES = {
+    "html": ("'<tr>' || string_agg('<td>' || v || '</td>', '' ORDER BY col) || '</tr>'", "'<table>' || string_agg(l, '' ORDER BY row) || '</table>'"),
+    "csv": ("string_agg(CASE WHEN contains(v, ',') OR contains(v, '\"') THEN '\"' || replace(v, '\"', '\"\"') || '\"' ELSE v END, ',' ORDER BY col)", "string_agg(l, chr(10) ORDER BY row)"),
+    "markdown": ("'| ' || string_agg(replace(v, '|', '\\|'), ' | ' ORDER BY col) || ' |' || CASE WHEN row = 0 THEN chr(10) || '|' || repeat('---|', count(*)) ELSE '' END", "string_agg(l, chr(10) ORDER BY row)"),
+    "json": ("'[' || string_agg('\"' || v || '\"', ',' ORDER BY col) || ']'", "'[' || string_agg(l, ',' ORDER BY row) || ']'"),
+}
+
+
+@query("u01_registry", _GRID + ", " + ", ".join(f"{f} AS (SELECT table_id, '{f}' AS format, sha256({whole}) AS digest FROM (SELECT table_id, row, {line} AS l FROM v GROUP BY table_id, row) GROUP BY table_id)" for f, (line, whole) in _LINES.items()) + " " + " UNION ALL ".join(f"SELECT * FROM {f}" for f in _LINES), ("cells",))
 def u01(spark, sf):
-    """Each registered renderer over the same tables; the digest shown is that of one format."""
+    """Each registered renderer over the same tables, by the digest of what it makes."""
     cells, out = view(spark, sf, "cells"), None
     for name, render in RENDERERS.items():
-        one = cells.transform(render).select("table_id", F.lit(name).alias("format"), (F.sha2("body", 256) if name == "html" else F.lit(None).cast("string")).alias("digest"))
+        one = cells.transform(render).select("table_id", F.lit(name).alias("format"), F.sha2("body", 256).alias("digest"))
         out = one if out is None else out.unionByName(one)
     return out
 

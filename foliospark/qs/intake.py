@@ -106,6 +106,19 @@ def f13(spark, sf):
     return d.select("doc_id", n.alias("digits"), F.call_function("luhn_check", n).alias("ok"))
 
 
+_SPELT = "CASE (table_id + row + col) % 6 WHEN 1 THEN '(' || raw_text || ')' WHEN 2 THEN '-' || raw_text WHEN 3 THEN raw_text || '.25' WHEN 4 THEN ' (' || raw_text || '.5)' WHEN 5 THEN '$' || raw_text ELSE raw_text END"
+
+
+@query("f02_cell_numbers", f"""WITH c AS (SELECT table_id, row, col, raw_text AS raw, (table_id + row + col) % 6 AS k, {_SPELT} AS text FROM cells),
+n AS (SELECT *, CASE WHEN regexp_matches(raw, '^[0-9,]+$') THEN replace(raw, ',', '')::DECIMAL(38,10) WHEN regexp_matches(raw, '^[0-9]+%$') AND k NOT IN (1, 3, 4) THEN replace(raw, '%', '')::DECIMAL(38,10) END AS v FROM c)
+SELECT table_id, row, col, text, CASE k WHEN 1 THEN -v WHEN 2 THEN -v WHEN 3 THEN v + 0.25 WHEN 4 THEN -(v + 0.5) WHEN 5 THEN NULL ELSE v END::DECIMAL(38,10) AS value,
+ CASE WHEN v IS NULL OR k = 5 THEN NULL WHEN raw LIKE '%!%' ESCAPE '!' THEN 'percent_strip' WHEN k IN (1, 4) THEN 'parentheses_negative' WHEN raw LIKE '%,%' THEN 'strip_thousands_separator' ELSE 'plain_number' END AS rule FROM n""".replace("'%!%' ESCAPE '!'", "'%!%' ESCAPE '!'"), ("cells",))
+def f02(spark, sf):
+    """Cells spelt plainly, in parentheses, with a minus, with decimals, and with a currency sign, which makes them no number."""
+    c = view(spark, sf, "cells").withColumn("text", F.expr(_SPELT))
+    return c.withColumn("n", S.cell_number(F.col("text"))).select("table_id", "row", "col", "text", "n.value", "n.rule")
+
+
 @query("f21_cell_names", "SELECT table_id, row, col * 9 AS col, CASE WHEN col * 9 >= 26 THEN chr(64 + (col * 9 // 26)::INT) ELSE '' END || chr(65 + (col * 9 % 26)::INT) || (row + 1) AS name, col * 9 AS back FROM cells", ("cells",))
 def f21(spark, sf):
     c = view(spark, sf, "cells").select("table_id", "row", (F.col("col") * 9).alias("col"))

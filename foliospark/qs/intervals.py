@@ -1,10 +1,11 @@
-"""Queries over ranges of cells and periods of grants, against SQL that compares all pairs of a table or user."""
+"""Queries over ranges of cells, periods of grants and address ranges, against SQL that compares all pairs or lists the answers."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliospark.derive import view
+from foliospark.derive import base, view
+from foliospark.functions import addresses
 from foliospark.operators import intervals as I
 from foliospark.registry import query
 
@@ -45,3 +46,23 @@ def j22(spark, sf):
     """Active and expired grants of each user and resource at 125 times."""
     g = view(spark, sf, "grants").withColumn("valid_from", F.col("valid_until") - F.col("grant_id") % 400)
     return I.active_at(g, spark.range(0, 1000, 8).select(F.col("id").alias("as_of")), who=["user_id", "resource"], item="col", start="valid_from", end="valid_until")
+
+
+#: What every second page links to, and what is to be said of it.
+LINKS = (
+    ("http://10.1.2.3/a", "NON_PUBLIC"), ("https://[::1]:8080/", "NON_PUBLIC"), ("http://[0:0:0:0:0:0:0:1]/", "NON_PUBLIC"), ("http://[::ffff:7f00:1]/", "NON_PUBLIC"), ("http://[::ffff:192.168.1.1]/", "NON_PUBLIC"), ("http://127.1/", "NON_PUBLIC"),
+    ("http://2130706433/x", "NON_PUBLIC"), ("http://0x7f.0.0.1/", "NON_PUBLIC"), ("http://017700000001/", "NON_PUBLIC"), ("http://[fe80::1%25eth0]/", "NON_PUBLIC"), ("http://100.64.0.9/", "NON_PUBLIC"), ("http://user@224.0.0.1/", "NON_PUBLIC"),
+    ("http://[64:FF9B:1::5]/", "NON_PUBLIC"), ("http://192.0.0.8/", "NON_PUBLIC"), ("http://192.0.0.9/", "OK"), ("http://8.8.8.8/dns", "OK"), ("https://[2a00:1450::1]/", "OK"), ("http://134744072/", "OK"), ("http://[2001:20::7]/", "OK"), ("http://[::ffff:808:808]/", "OK"),
+    ("http://256.1.1.1/", "BAD_ADDRESS"), ("http://[1::2::3]/", "BAD_ADDRESS"), ("http://1.2.3.4.5/", "BAD_ADDRESS"), ("ftp://files.org/x", "SCHEME"), ("http://a.blocked.example/", "DENIED"), ("http:///nohost", "NO_HOST"), ("http://intranet/", "NOT_ALLOWED"), ("http://a.localhost./", "NOT_ALLOWED"),
+)
+_HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1))"
+
+
+@query("g11_url_screen", f"""WITH l AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{u}', '{v}')" for k, (u, v) in enumerate(LINKS))}) AS v(k, url, verdict))
+SELECT page_id, l.url, l.verdict FROM pages JOIN l ON page_id % {2 * len(LINKS)} = 2 * l.k UNION ALL
+SELECT page_id, url, CASE WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'SCHEME' WHEN {_HOST} = '' THEN 'NO_HOST' WHEN regexp_matches({_HOST}, '(^|[.])(example[.]net|blocked[.]example)$') THEN 'DENIED' WHEN NOT regexp_matches({_HOST}, '(^|[.])(org|com|net|example)$') THEN 'NOT_ALLOWED' ELSE 'OK' END FROM pages WHERE page_id % 2 = 1""")
+def g11(spark, sf):
+    """URLs of pages, every other one replaced by a link in some spelling of an address."""
+    at = F.element_at(F.array(*[F.lit(u) for u, _ in LINKS]), (F.col("page_id") % (2 * len(LINKS)) / 2 + 1).cast("int"))
+    pages = base(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, at).otherwise(F.col("url")).alias("url"))
+    return pages.withColumn("verdict", addresses.screen(F.col("url"), ("example.net", "blocked.example"), ("org", "com", "net", "example"))[1])

@@ -14,7 +14,9 @@ from foliospark.functions import nested as N
 from foliospark.functions import scalars as S
 from foliospark.functions.text import nfkc, partial, similarity, token_set
 from foliospark.operators import pages as P
+from foliospark.operators import governance_sql, relational  # noqa: F401  (the first fills the table of operators)
 from foliospark.operators import reasoning as R
+from foliospark.operators.relational import duckdb
 from foliospark.operators.review import TRANSITIONS, fold_actions
 from foliospark.plans.governed import analyse, decide, run_governed
 from foliospark.qs.reasoning import ENTITY, FACTS, findings_sql
@@ -75,19 +77,25 @@ def s12(spark, sf):
     return D.emails(c.select(F.concat_ws("-", "conv_id", "turn").alias("message_id"), raw.alias("raw")), "message_id", "raw")
 
 
-_SEEN = "length(metric) % 4 <> 0"
+_TITLE, _SURE = "list_contains(string_split(coalesce(v.columns, ''), ','), 'statement')", "list_contains(string_split(coalesce(v.columns, ''), ','), 'severity')"
 
 
-@query("p06_redacted_findings", findings_sql(f"SELECT finding_id, CASE WHEN {_SEEN} THEN severity ELSE 'hidden' END AS severity, CASE WHEN {_SEEN} THEN title ELSE 'Potential discrepancy' END AS title, CASE WHEN {_SEEN} THEN abs_diff END AS abs_diff, CASE WHEN {_SEEN} THEN pct_diff END AS pct_diff, CASE WHEN {_SEEN} THEN explanations ELSE '' END AS explanations, CASE WHEN length(metric) % 3 <> 0 THEN confidence ELSE 0 END AS confidence"), ("statements",))
+@query("p06_redacted_findings", f"""WITH v AS (SELECT * FROM ({duckdb("p02_visible_columns")}) WHERE resource = 'findings'), f AS ({findings_sql("SELECT *")})
+SELECT finding_id, 'user' || 4 * (line % 15) AS user_id, CASE WHEN {_TITLE} THEN severity ELSE 'hidden' END AS severity, CASE WHEN {_TITLE} THEN title ELSE 'Potential discrepancy' END AS title, CASE WHEN {_TITLE} THEN abs_diff END AS abs_diff, CASE WHEN {_TITLE} THEN pct_diff END AS pct_diff,
+ CASE WHEN {_TITLE} THEN explanations ELSE '' END AS explanations, CASE WHEN {_SURE} THEN confidence ELSE 0 END AS confidence FROM (SELECT *, cast(regexp_extract(fact_a || fact_b, '[0-9]+') AS HUGEINT) % 1000003 AS line FROM f) f LEFT JOIN v ON v.user_id = 'user' || 4 * (line % 15)""", ("statements", "grants", "catalog"))
 def p06(spark, sf):
-    """What is left of a finding for someone who may not see its title, or not its confidence: by metric, here."""
+    """What is left of a finding for a user who may not see its statement, or not its severity, by the columns visible to them."""
     f = R.findings(R.pairs(written(R.line_facts(view(spark, sf, "statements")))))
-    return redacted_findings(f, F.length("metric") % 4 != 0, F.length("metric") % 3 != 0)
+    f = f.withColumn("user_id", F.concat(F.lit("user"), 4 * (F.regexp_extract(F.concat("fact_a", "fact_b"), "[0-9]+", 0).cast("decimal(38,0)") % 1000003 % 15).cast("int")))
+    seen = relational.apply("p02_visible_columns", spark, grants=view(spark, sf, "grants"), catalog=view(spark, sf, "catalog")).where("resource = 'findings'").select("user_id", F.split("columns", ",").alias("columns"))
+    has = lambda c: F.coalesce(F.array_contains("columns", c), F.lit(False))
+    f = f.join(seen, "user_id", "left").withColumns({"__title": has("statement"), "__sure": has("severity")})
+    return redacted_findings(f, F.col("__title"), F.col("__sure"))
 
 
 def redacted_findings(f, title, confidence):
     """Findings with general words for hidden titles; without a title there are no figures or explanations either."""
-    return f.select("finding_id", F.when(title, F.col("severity")).otherwise("hidden").alias("severity"), F.when(title, F.col("title")).otherwise("Potential discrepancy").alias("title"), F.when(title, F.col("abs_diff")).alias("abs_diff"),
+    return f.select("finding_id", "user_id", F.when(title, F.col("severity")).otherwise("hidden").alias("severity"), F.when(title, F.col("title")).otherwise("Potential discrepancy").alias("title"), F.when(title, F.col("abs_diff")).alias("abs_diff"),
                     F.when(title, F.col("pct_diff")).alias("pct_diff"), F.when(title, F.col("explanations")).otherwise("").alias("explanations"), F.when(confidence, F.col("confidence")).otherwise(0.0).alias("confidence"))
 
 
@@ -169,17 +177,49 @@ f AS (SELECT tenant_id, seq, n - lag(n, 1, 0) OVER w <> 1 AS gap, prev_hash <> l
 SELECT tenant_id, seq, gap, broken_link, hash_mismatch, CASE WHEN gap OR broken_link OR hash_mismatch THEN array_to_string(list_filter([CASE WHEN gap THEN 'gap' END, CASE WHEN broken_link THEN 'broken_link' END, CASE WHEN hash_mismatch THEN 'hash_mismatch' END], lambda x: x IS NOT NULL), ',') ELSE 'ok' END AS problem FROM f"""
 
 
-def _verified(spark, sf):
-    """Every row of every tenant's chain, some rows tampered with, relinked or taken out after the log was written."""
+def _tampered(spark, sf):
+    """Every tenant's log, some rows tampered with, relinked or taken out after it was written."""
     log = J.audit_log(view(spark, sf, "audit").select("tenant_id", "seq", "event_type"))
     hurt = {"hash": F.when(F.col("seq") % 211 == 5, "tampered").otherwise(F.col("hash")), "prev_hash": F.when(F.col("seq") % 401 == 7, "relinked").otherwise(F.col("prev_hash"))}
-    return J.verify_chain(log.withColumns(hurt).where("seq % 307 <> 11"))
+    return log.withColumns(hurt).where("seq % 307 <> 11")
+
+
+def _verified(spark, sf):
+    """Every row of every tenant's chain."""
+    return J.verify_chain(_tampered(spark, sf))
 
 
 query("w03_chain_verify", _VERIFIED, ("audit",))(_verified)
 query("w03_chain_verify_all", _VERIFIED, ("audit",))(_verified)
 
 
+@query("w05_page_verify", _VERIFIED[: _VERIFIED.index("f AS (SELECT tenant_id, seq, n - lag")].rstrip().rstrip(",") + """,
+f AS (SELECT * FROM t WHERE event_type = 'error')
+SELECT f.tenant_id, f.seq, f.n > 1 AND p.n IS NULL AS gap, f.prev_hash = CASE WHEN f.n = 1 THEN repeat('0', 64) ELSE coalesce(p.hash, '') END AS linked, f.hash = sha256(f.prev_hash || f.seq || '|' || f.event_type) AS intact
+FROM f LEFT JOIN t p ON p.tenant_id = f.tenant_id AND p.n = f.n - 1""", ("audit",))
+def w05(spark, sf):
+    """The errors of a log that was tampered with, each against its true predecessor, whatever its type."""
+    log = written(_tampered(spark, sf))
+    return J.verify_page(log.where("event_type = 'error'"), log)
+
+
+@query("r04_sliding_counters", """WITH e AS (SELECT event_type, time_bucket(INTERVAL 15 minutes, ts::TIMESTAMP, TIMESTAMP '1970-01-01') AS b FROM events)
+SELECT strftime(b - k * INTERVAL 15 minutes, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM e, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY ALL""")
+def r04_sliding(spark, sf):
+    """Events of each type in windows of an hour that start every quarter of an hour."""
+    w = J.window_counts(base(spark, sf, "events"), "1 hour", "15 minutes")
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("r04_session_counters", """WITH e AS (SELECT user_id, ts::TIMESTAMP AS ts, coalesce(ts::TIMESTAMP >= lag(ts::TIMESTAMP) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 hours, true) AS fresh FROM events),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 hours, '%Y-%m-%d %H:%M:%S') AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+def r04_session(spark, sf):
+    """Events of each user in sessions that six idle hours end."""
+    w, f = J.session_counts(base(spark, sf, "events"), "6 hours"), "yyyy-MM-dd HH:mm:ss"
+    return w.select("user_id", F.date_format("session_window.start", f).alias("start"), F.date_format("session_window.end", f).alias("stop"), "n")
+
+
 @query("r05_audit_chain", _CHAINED + " SELECT tenant_id, seq, prev_hash, hash FROM c", ("audit",))
 def r05(spark, sf):
     """The chain that the stream job appends, from its batch twin."""

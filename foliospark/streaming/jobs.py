@@ -118,6 +118,19 @@ def audit_log(events: DataFrame) -> DataFrame:
     return events.groupBy("tenant_id").applyInPandas(run, f"{_CHAIN}, n long, event_type string")
 
 
+def verify_page(page: DataFrame, log: DataFrame) -> DataFrame:
+    """tenant_id, seq, gap, linked, intact of some rows of an `audit_log`, each against the row before it in the whole log.
+
+    The predecessor is joined by its number in the tenant's chain, not taken from the page, so a page of one event type or one
+    actor is verified as it would be within the log. gap: the predecessor is missing; linked: the stored previous hash is its
+    stored hash (or the genesis hash of a first row); intact: the stored hash is that of the row."""
+    before = log.select("tenant_id", (F.col("n") + 1).alias("n"), F.col("hash").alias("before"))
+    p = page.join(before, ["tenant_id", "n"], "left")
+    linked = F.col("prev_hash") == F.when(F.col("n") == 1, F.lit(_GENESIS)).otherwise(F.coalesce("before", F.lit("")))
+    intact = F.col("hash") == F.sha2(F.concat("prev_hash", F.col("seq").cast("string"), F.lit("|"), "event_type"), 256)
+    return p.select("tenant_id", "seq", ((F.col("n") > 1) & F.col("before").isNull()).alias("gap"), linked.alias("linked"), intact.alias("intact"))
+
+
 def verify_chain(log: DataFrame) -> DataFrame:
     """tenant_id, seq, gap, broken_link, hash_mismatch, problem (those that hold, or 'ok') for every row of an `audit_log`.
 

@@ -277,6 +277,8 @@ def test_nested_changes(spark):
     kind = df.schema["d"].dataType
     got = [r[0] for r in df.select(F.to_json(N.map_fields(F.col("d"), kind, N.MASKED, F.upper), {"ignoreNullFields": "false"})).collect()]
     assert got == ['{"text":"A","n":1,"more":[{"body":"B","kept":"c","evidence":"d"},null],"m":{"subject":"E","x":"f","evidence":"g"},"location":{"p":1}}', None]
+    inner = spark.sql("SELECT map('k', named_struct('evidence', 1, 'v', array(named_struct('location', 2, 'w', 3))), 'evidence', null) AS m")
+    assert inner.select(F.to_json(N.drop_fields(F.col("m"), inner.schema["m"].dataType, N.EVIDENCE))).first()[0] == '{"k":{"v":[{"w":3}]}}'
     got = [r[0] for r in df.select(F.to_json(N.drop_fields(F.col("d"), kind, N.EVIDENCE), {"ignoreNullFields": "false"})).collect()]
     assert got == ['{"text":"a","n":1,"more":[{"body":"b","kept":"c"},null],"m":{"subject":"e","x":"f"}}', None]
 
