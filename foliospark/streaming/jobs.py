@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
 
@@ -53,34 +54,112 @@ def rate_limit(hits: DataFrame, width: float = 60.0, most: int = 10) -> DataFram
     return hits.groupBy("host").applyInPandas(run, "host string, event_id long, admitted boolean")
 
 
-def rate_limit_stream(hits: DataFrame, width: float = 60.0, most: int = 10) -> DataFrame:
-    """The same as a stream; the admitted times of a host are its state, and leave it with the window."""
+def stateful(keyed, processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
+    """A grouped stream through a processor. Its state lives in RocksDB, on disk beside the executor and in the checkpoint, so it
+    may outgrow memory; that store is what the session's later stateful queries use, too."""
+    keyed._df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return keyed.transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=time)
 
-    def run(key, frames, state):
-        times = list(state.get[0]) if state.exists else []
-        out = []
-        for r in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples(index=False):
-            times, ok = _admit(times, r.ts.timestamp(), width, most)
+
+class RateLimiter(StatefulProcessor):
+    """A host's admitted times are a list; a timer lets them go when the watermark has passed the last one's window."""
+
+    def __init__(self, width: float, most: int):
+        self.width, self.most = width, most
+
+    def init(self, handle) -> None:
+        self.handle, self.times = handle, handle.getListState("times", "t double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        times, out = [t for (t,) in self.times.get()] if self.times.exists() else [], []
+        for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
+            times, ok = _admit(times, r.ts.timestamp(), self.width, self.most)
             out.append((key[0], r.event_id, ok))
-        state.update((times,))
+        self.times.put([(t,) for t in times])
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if times:
+            self.handle.registerTimer(int((max(times) + self.width) * 1000))
         yield pd.DataFrame(out, columns=["host", "event_id", "admitted"])
 
-    return hits.groupBy("host").applyInPandasWithState(run, "host string, event_id long, admitted boolean", "times array<double>", "append", "NoTimeout")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.times.clear()
+        yield pd.DataFrame({"host": pd.Series(dtype=str), "event_id": pd.Series(dtype="int64"), "admitted": pd.Series(dtype=bool)})
 
+    def close(self) -> None:
+        pass
 
-def login_streaks_stream(logins: DataFrame, at: int = 5) -> DataFrame:
-    """username, seq, streak of failures since the last success, alert from `at` on."""
 
-    def run(key, frames, state):
-        n, out = (state.get[0] if state.exists else 0), []
-        for r in pd.concat(frames).sort_values(["ts", "seq"]).itertuples(index=False):
+def rate_limit_stream(hits: DataFrame, width: float = 60.0, most: int = 10, late: str = "10 minutes") -> DataFrame:
+    """The same as a stream; hits later than `late` are dropped."""
+    return stateful(hits.withWatermark("ts", late).groupBy("host"), RateLimiter(width, most), "host string, event_id long, admitted boolean", "EventTime")
+
+
+class Streaks(StatefulProcessor):
+    """A user's failures since the last success are one value."""
+
+    def __init__(self, at: int):
+        self.at = at
+
+    def init(self, handle) -> None:
+        self.run = handle.getValueState("run", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, out = (self.run.get()[0] if self.run.exists() else 0), []
+        for r in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples(index=False):
             n = 0 if r.success else n + 1
             if n:
-                out.append((key[0], r.seq, n, n >= at))
-        state.update((n,))
+                out.append((key[0], r.seq, n, n >= self.at))
+        self.run.update((n,))
         yield pd.DataFrame(out, columns=["username", "seq", "streak", "alert"])
 
-    return logins.groupBy("username").applyInPandasWithState(run, "username string, seq long, streak long, alert boolean", "n long", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def login_streaks_stream(logins: DataFrame, at: int = 5) -> DataFrame:
+    """username, seq, streak of failures since the last success, alert from `at` on."""
+    return stateful(logins.groupBy("username"), Streaks(at), "username string, seq long, streak long, alert boolean")
+
+
+class PendingAlerts(StatefulProcessor):
+    """A user's pending alerts are a map from event type to their count and first time; a timer an alert sends it."""
+
+    def __init__(self, pending_ms: int):
+        self.pending_ms = pending_ms
+
+    def init(self, handle) -> None:
+        self.handle, self.open = handle, handle.getMapState("open", "event_type string", "n long, first long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for r in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
+            at = int(r.ts.timestamp() * 1000)
+            n, first = self.open.getValue((r.event_type,)) if self.open.containsKey((r.event_type,)) else (0, at)
+            self.open.updateValue((r.event_type,), (n + 1, first))
+            if not n:
+                self.handle.registerTimer(at + self.pending_ms)
+        yield self._sent([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        due = expiredTimerInfo.getExpiryTimeInMs() - self.pending_ms
+        out = [(key[0], t, n, pd.Timestamp(first, unit="ms")) for (t,), (n, first) in list(self.open.iterator()) if first <= due]
+        for _, t, _, _ in out:
+            self.open.removeKey((t,))
+        yield self._sent(out)
+
+    @staticmethod
+    def _sent(rows):
+        f = pd.DataFrame(rows, columns=["user_id", "event_type", "n", "first"])
+        return f.astype({"user_id": "int64", "n": "int64", "first": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
+
+
+def pending_alerts_stream(events: DataFrame, pending: float = 3600.0, late: str = "10 minutes") -> DataFrame:
+    """user_id, event_type, n, first: one alert for all events of a type within `pending` seconds of the first one, sent once the
+    watermark passes that; types of a user never collapse."""
+    return stateful(events.withWatermark("ts", late).groupBy("user_id"), PendingAlerts(int(pending * 1000)), "user_id long, event_type string, n long, first timestamp", "EventTime")
 
 
 def _chain(f: pd.DataFrame, prev: str) -> tuple[list[tuple], str]:
@@ -150,33 +229,58 @@ def verify_chain(log: DataFrame) -> DataFrame:
     return log.select("tenant_id", "seq", *[c.alias(k) for k, c in tests.items()]).withColumn("problem", problem)
 
 
+class Chain(StatefulProcessor):
+    """A tenant's last hash is one value."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "hash string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        out, last = _chain(pd.concat(list(rows)), self.last.get()[0] if self.last.exists() else _GENESIS)
+        self.last.update((last,))
+        yield pd.DataFrame(out, columns=["tenant_id", "seq", "prev_hash", "hash"])
+
+    def close(self) -> None:
+        pass
+
+
 def audit_chain_stream(events: DataFrame) -> DataFrame:
     """The same as a stream; a tenant's last hash is its state."""
+    return stateful(events.groupBy("tenant_id"), Chain(), _CHAIN)
 
-    def run(key, frames, state):
-        out, last = _chain(pd.concat(frames), state.get[0] if state.exists else "0" * 64)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["tenant_id", "seq", "prev_hash", "hash"])
 
-    return events.groupBy("tenant_id").applyInPandasWithState(run, _CHAIN, "last string", "append", "NoTimeout")
+class Expiry(StatefulProcessor):
+    """A grant's end is one value, and a timer at it; a later end takes its place, a grant that was sent stays sent."""
+
+    def init(self, handle) -> None:
+        self.handle, self.until = handle, handle.getValueState("until", "ms long, sent boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        until = int(max(f["valid_until"].max() for f in rows).timestamp() * 1000)
+        known, sent = self.until.get() if self.until.exists() else (None, False)
+        if not sent and (known is None or until > known):
+            if known is not None:
+                self.handle.deleteTimer(known)
+            self.until.update((until, False))
+            self.handle.registerTimer(until)
+        yield self._sent([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        self.until.update((until, True))
+        yield self._sent([(key[0], pd.Timestamp(until, unit="ms"))])
+
+    @staticmethod
+    def _sent(rows):
+        return pd.DataFrame(rows, columns=["grant_id", "expired_at"]).astype({"grant_id": "int64", "expired_at": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
 
 
 def expired_grants_stream(grants: DataFrame) -> DataFrame:
     """grant_id, expired_at once the watermark passes valid_until; each grant once."""
-
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            out = [(key[0], state.get[0])]
-            state.remove()
-        else:
-            until = max(f["valid_until"].max() for f in frames)
-            state.update((until.to_pydatetime(),))
-            state.setTimeoutTimestamp(int(until.timestamp() * 1000))
-            out = []
-        yield pd.DataFrame(out, columns=["grant_id", "expired_at"])
-
-    g = grants.withWatermark("ts", "0 seconds")
-    return g.groupBy("grant_id").applyInPandasWithState(run, "grant_id long, expired_at timestamp", "until timestamp", "append", "EventTimeTimeout")
+    return stateful(grants.withWatermark("ts", "0 seconds").groupBy("grant_id"), Expiry(), "grant_id long, expired_at timestamp", "EventTime")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str):

@@ -248,6 +248,38 @@ def test_chain_and_expiry_streams(spark, tmp_path):
     assert [r.grant_id for r in got] == [1]
 
 
+def test_state_survives_a_restart(spark, tmp_path):
+    """Files that arrive one run after another, each run a new query from the checkpoint; rows behind the watermark are dropped."""
+    t0 = dt.datetime(2024, 1, 1)
+    hit = lambda i, s: ("h", i, t0 + dt.timedelta(seconds=s))
+    parts = [[hit(i, i) for i in range(8)], [hit(100 + i, 30 + i) for i in range(6)], [hit(200, 5000)], [hit(300, 5001), hit(301, 20)]]
+    kinds = "host string, event_id long, ts timestamp"
+    for rows in parts:
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "hits"))
+        s = spark.readStream.schema(kinds).parquet(str(tmp_path / "hits"))
+        jobs.ingest(jobs.rate_limit_stream(s, late="60 seconds"), str(tmp_path / "admitted"), str(tmp_path / "ck-restart")).awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "admitted")).collect()
+    got = {r.event_id: r.admitted for r in rows}
+    assert len(rows) == len(got)
+    on_time = [r for rows in parts for r in rows if r[1] != 301]
+    batch = {r.event_id: r.admitted for r in jobs.rate_limit(spark.createDataFrame(on_time, kinds)).collect()}
+    assert got == batch and 301 not in got and not all(batch.values())
+
+
+def test_pending_alerts(spark, tmp_path):
+    """Types of one user apart, counted while pending, sent once; an event after that opens a new alert."""
+    t0 = dt.datetime(2024, 1, 1)
+    ev = lambda u, kind, m: (u, kind, t0 + dt.timedelta(minutes=m))
+    kinds = "user_id long, event_type string, ts timestamp"
+    parts = [[ev(1, "login", 0), ev(1, "error", 1), ev(1, "login", 5), ev(2, "login", 3)], [ev(1, "login", 50), ev(1, "error", 59)], [ev(9, "tick", 300)], [ev(1, "login", 310)], [ev(9, "tick", 900)], [ev(9, "tick", 901)]]
+    for rows in parts:
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+        s = spark.readStream.schema(kinds).parquet(str(tmp_path / "ev"))
+        jobs.ingest(jobs.pending_alerts_stream(s), str(tmp_path / "sent"), str(tmp_path / "ck-pending")).awaitTermination(120)
+    got = [(r.user_id, r.event_type, r.n) for r in spark.read.parquet(str(tmp_path / "sent")).collect()]
+    assert sorted(g for g in got if g[0] != 9) == [(1, "error", 2), (1, "login", 1), (1, "login", 3), (2, "login", 1)]
+
+
 def test_ingest_twice_adds_nothing(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "src"))
     for _ in range(2):
