@@ -141,7 +141,7 @@ def duck(sql: str, views: tuple[str, ...] = ()) -> str:
         add(v)
     if not need:
         return sql
-    ctes = ",\n".join(f"{n} AS ({_text(n, _DUCK)})" for n in need)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({_text(n, _DUCK)})" for n in need)
     recursive = "RECURSIVE " if sql.startswith("WITH RECURSIVE ") else ""
     rest = sql.removeprefix("WITH RECURSIVE ").removeprefix("WITH ") if sql.startswith("WITH ") else None
     return f"WITH {recursive}{ctes}" + (f",\n{rest}" if rest is not None else f"\n{sql}")

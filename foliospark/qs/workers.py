@@ -41,10 +41,16 @@ def s08(spark, sf):
     return base(spark, sf, "events").select("event_id", D.json_value(F.col("props"), "$.k", "int").alias("k"))
 
 
-@query("s09_xml_values", "SELECT source_id, uploaded_by AS who, size_bytes FROM sources", ("sources",))
+@query("s09_xml_values", """WITH n AS (SELECT source_id, uploaded_by, size_bytes, unnest(range(0, source_id % 3 + 1)) AS seq FROM sources WHERE source_id % 13 <> 5)
+SELECT source_id, seq::INT AS seq, uploaded_by || '&<' AS who, CASE WHEN source_id % 7 <> 3 OR seq <> 1 THEN size_bytes + seq END AS size_bytes, 'b' AS unit, false AS is_corrupt FROM n UNION ALL
+SELECT source_id, NULL, NULL, NULL, NULL, true FROM sources WHERE source_id % 13 = 5""", ("sources",))
 def s09(spark, sf):
-    x = F.concat(F.lit("<file><by>"), "uploaded_by", F.lit("</by><size unit='b'>"), "size_bytes", F.lit("</size></file>"))
-    return view(spark, sf, "sources").withColumn("x", x).select("source_id", F.xpath_string("x", F.lit("file/by")).alias("who"), F.xpath_long("x", F.lit("file/size")).alias("size_bytes"))
+    """Files of one to three entries; sizes that are no number, and files cut short."""
+    one = lambda i: F.concat(F.lit("<entry unit='b'><by>"), "uploaded_by", F.lit("&amp;&lt;</by><size>"), F.when((F.col("source_id") % 7 == 3) & (i == 1), "many").otherwise((F.col("size_bytes") + i).cast("string")), F.lit("</size></entry>"))
+    entries = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("source_id") % 3).cast("int")), one), " ")
+    x = F.concat(F.lit("<?xml version='1.0'?><file><note>kept out</note>"), entries, F.when(F.col("source_id") % 13 == 5, "<entry>").otherwise("</file>"))
+    got = D.xml_rows(view(spark, sf, "sources").select("source_id", x.alias("x")), "x", "entry", "_unit string, by string, size long")
+    return got.select("source_id", "seq", F.col("by").alias("who"), F.col("size").alias("size_bytes"), F.col("_unit").alias("unit"), "is_corrupt")
 
 
 @query("s10_html_blocks")

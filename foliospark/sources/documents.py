@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Elements whose text is no content, marks of such regions, elements that form a block, and those without an end. Fixed values.
@@ -223,3 +224,20 @@ def flatten_blocks(documents: DataFrame) -> DataFrame:
     keys = [c for c in documents.columns if c != "pages"]
     pages = documents.select(*keys, F.explode("pages").alias("p"))
     return pages.select(*keys, "p.page_number", F.explode("p.blocks").alias("b")).select(*keys, "page_number", "b.*")
+
+
+def xml_rows(df: DataFrame, text: str, row: str, fields: str) -> DataFrame:
+    """df with one row for each element `row` of its XML texts: seq from 0, the `fields` (DDL; `_x` is an attribute x), is_corrupt.
+
+    A text that is no XML gives one row without seq that is_corrupt, one with no such
+    element none; a value of another type is null. Read by Spark's own parser against the schema, one text at a time."""
+    made = T.StructType.fromDDL(fields)
+    # read as text and cast then, so that a value of another type does not make its whole text corrupt
+    plain = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, (T.StructType, T.ArrayType)) else T.StringType()) for f in made.fields])
+    schema = T.StructType([T.StructField(row, T.ArrayType(plain)), T.StructField("_corrupt", T.StringType())])
+    keep = [F.col(f"`{c}`") for c in df.columns if c != text]
+    got = df.withColumn("__x", F.from_xml(F.col(f"`{text}`"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    whole = F.col("__x._corrupt").isNull() & F.col("__x").isNotNull()
+    none = F.array(F.lit(None).cast(plain))
+    rows = got.select(*keep, (~whole).alias("is_corrupt"), F.posexplode(F.when(whole, F.col(f"__x.`{row}`")).otherwise(none)).alias("__n", "__r"))
+    return rows.select(*keep, F.when(~F.col("is_corrupt"), F.col("__n")).alias("seq"), *[F.col(f"__r.`{f.name}`").try_cast(f.dataType).alias(f.name) for f in made.fields], "is_corrupt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OFFICE = "application/vnd.openxmlformats-officedocument."
@@ -67,6 +67,17 @@ def sniff(content: Column, ext: Column) -> Column:
     return out
 
 
+def read_files(spark: SparkSession, path: str, glob: str | None = None, deep: bool = True) -> DataFrame:
+    """One row a file below path: path, display_name, modified, size_bytes, content. Listed and read by Spark, so a folder of any
+    store; a column that is not used is not read, and filters on size and time skip files unread. Spark leaves out empty files."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(deep).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    # a path is a URI: its last part, decoded
+    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return reader.load(path).select("path", name.alias("display_name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size_bytes"), "content")
+
+
 def manifest(df: DataFrame, content: str = "content", name: str = "display_name", pages: str | None = None) -> DataFrame:
     """df with detected_mime, status, code and warning: the first rule that fails rejects a file.
 

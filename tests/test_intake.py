@@ -42,3 +42,27 @@ def test_manifest_takes_the_first_rule_that_fails(spark):
 def test_text_checks(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert [f"{c['name']}:{c['status']}" for c in df.select(text_checks(F.col("t"))).first()[0]] == want
+
+
+def test_folder_through_the_manifest(spark, tmp_path):
+    """Real files, read with their metadata, in folders below; a broken type, an empty file (which Spark leaves out), a name with blanks and a plus."""
+    from foliospark.sources import intake
+
+    (tmp_path / "deep").mkdir()
+    files = {"a b+c.txt": b"plain words", "deep/x.pdf": b"%PDF-1.7 x", "empty.csv": b"", "deep/wrong.md": b"\x7fELF\x02\x01", "t.csv": b"a,b\n1,2\n"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    rows = {r.display_name: r for r in intake.manifest(intake.read_files(spark, str(tmp_path))).collect()}
+    assert {n: (r.size_bytes, r.detected_mime, r.status, r.code) for n, r in rows.items()} == {
+        "a b+c.txt": (11, "text/plain", "accepted", None), "x.pdf": (10, "application/pdf", "accepted", None), 
+        "wrong.md": (6, "application/x-executable", "rejected", "UNSUPPORTED_FORMAT"), "t.csv": (8, "text/csv", "accepted", None)}
+    assert all(r.modified is not None for r in rows.values())
+    assert sorted(r.display_name for r in intake.read_files(spark, str(tmp_path), "*.csv").select("display_name").collect()) == ["t.csv"]
+
+
+def test_xml_rows(spark):
+    from foliospark.sources.documents import xml_rows
+
+    texts = ["<f><e k='1'><n>2</n></e><e><n>x</n></e></f>", "<f><e k='1'>", "<f/>", None, "no xml", "<f><e k='7'/></f>"]
+    got = xml_rows(spark.createDataFrame(list(enumerate(texts)), "i int, x string"), "x", "e", "_k int, n long")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(0, 0, 1, 2, False), (0, 1, None, None, False), (1, None, None, None, True), (3, None, None, None, True), (4, None, None, None, True), (5, 0, 7, None, False)], key=repr)
