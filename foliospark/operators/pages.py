@@ -102,6 +102,27 @@ def inversions(seq: np.ndarray) -> int:
     return count
 
 
+def grid_rows(lines: DataFrame, share: float = 0.6) -> DataFrame:
+    """(page, line_no, grid_row, grid_col): lines from top to bottom form a row while their centre lies less than `share` of their
+    height from the mean centre of the row so far; columns count from left to right.
+
+    A fold over a page's sorted lines, whose state is the row's number, sum and count; lines of one row may lie ever lower, as
+    the mean follows them."""
+    line = F.struct("y1", "x1", "line_no", ((F.col("y1") + F.col("y2")) / 2).alias("c"), (F.col("y2") - F.col("y1")).alias("h"))
+    start = F.struct(F.lit(-1).cast("long").alias("row"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<line_no:bigint,x1:double,row:bigint>>").alias("out"))
+
+    def step(s, x):
+        stays = F.coalesce((s["n"] > 0) & (F.abs(x["c"] - s["sum"] / F.nullif(s["n"], F.lit(0))) < share * x["h"]), F.lit(False))
+        row = s["row"] + F.when(stays, 0).otherwise(1)
+        placed = F.struct(x["line_no"].cast("long").alias("line_no"), x["x1"].alias("x1"), row.alias("row"))
+        return F.struct(row.alias("row"), (F.when(stays, s["sum"]).otherwise(0.0) + x["c"]).alias("sum"), (F.when(stays, s["n"]).otherwise(0) + 1).alias("n"), F.concat(s["out"], F.array(placed)).alias("out"))
+
+    page = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    rows = page.select(*PAGE, F.inline(F.aggregate("l", start, step)["out"]))
+    col = F.row_number().over(Window.partitionBy(*PAGE, "row").orderBy("x1", "line_no")) - 1
+    return rows.select(*PAGE, "line_no", F.col("row").alias("grid_row"), col.cast("long").alias("grid_col"))
+
+
 ANCHORS = ("figure", "table", "chart")
 
 

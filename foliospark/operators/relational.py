@@ -123,8 +123,6 @@ FROM p LEFT JOIN c ON p.source_id = c.source_id AND p.page_number = c.page_numbe
 operator("w02_reading_index", "blocks", "SELECT block_id, cast(row_number() OVER (PARTITION BY source_id ORDER BY page_number, y1, x1, line_no) - 1 AS bigint) AS reading_order_index FROM blocks")
 operator("w13_paragraphs", "spans", """WITH g AS (SELECT *, CASE WHEN y1 - lag(y2) OVER (PARTITION BY source_id, page_number ORDER BY y1, line_no) > 1.5 * (y2 - y1) THEN 1 ELSE 0 END AS brk FROM spans), i AS (SELECT *, sum(brk) OVER (PARTITION BY source_id, page_number ORDER BY y1, line_no ROWS UNBOUNDED PRECEDING) AS island FROM g)
 SELECT source_id, page_number, cast(island AS bigint) AS paragraph, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_lines FROM i GROUP BY source_id, page_number, island""")
-operator("w14_rows_of_boxes", "ocr_spans", """WITH g AS (SELECT *, CASE WHEN (y1 + y2) / 2 - lag((y1 + y2) / 2) OVER (PARTITION BY source_id, page_number ORDER BY (y1 + y2) / 2, line_no) >= 0.6 * (y2 - y1) THEN 1 ELSE 0 END AS brk FROM ocr_spans)
-SELECT source_id, line_no, cast(sum(brk) OVER (PARTITION BY source_id, page_number ORDER BY (y1 + y2) / 2, line_no ROWS UNBOUNDED PRECEDING) AS bigint) AS grid_row FROM g""")
 operator("o01_line_order", "ocr_spans", "SELECT source_id, line_no, cast(row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 5, 0), x1, line_no) AS bigint) AS native_pos, cast(row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 10, 0), x1, line_no) AS bigint) AS ocr_pos FROM ocr_spans")
 operator("o06_order_agreement", "regions", """WITH r AS (SELECT source_id, page_number, region_id, row_number() OVER (PARTITION BY source_id, page_number ORDER BY y1, x1, region_id) AS a, row_number() OVER (PARTITION BY source_id, page_number ORDER BY floor(x2 / 200), y1, region_id) AS b FROM regions)
 SELECT p.source_id, p.page_number, count(*) AS pairs, count_if(p.b > q.b) AS inversions, round(1 - count_if(p.b > q.b) / DOUBLED(count(*)), 8) AS agreement FROM r p JOIN r q ON p.source_id = q.source_id AND p.page_number = q.page_number AND p.a < q.a GROUP BY p.source_id, p.page_number""")

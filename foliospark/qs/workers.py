@@ -15,6 +15,7 @@ from foliospark.functions import scalars as S
 from foliospark.functions.text import nfkc, partial, similarity, token_set
 from foliospark.operators import pages as P
 from foliospark.operators import governance_sql, relational  # noqa: F401  (the first fills the table of operators)
+from foliospark.operators import grounding as G
 from foliospark.operators import reasoning as R
 from foliospark.operators.relational import duckdb
 from foliospark.operators.review import TRANSITIONS, fold_actions
@@ -149,6 +150,19 @@ def j03(spark, sf):
     return P.consensus_clusters(P.as_candidates(view(spark, sf, "spans"), view(spark, sf, "ocr_spans")))
 
 
+_CLOSE = "SELECT source_id, page_number, line_no, x1 + 100 * (line_no * 7 % 3) AS x1, y1 - 9 * (line_no % 40) AS y1, y2 - 9 * (line_no % 40) AS y2 FROM {0}"
+
+
+@query("w14_rows_of_boxes", f"""WITH RECURSIVE b AS ({_CLOSE.format("ocr_spans")}), n AS (SELECT *, (y1 + y2) / 2 AS c, y2 - y1 AS h, row_number() OVER (PARTITION BY source_id, page_number ORDER BY y1, x1, line_no) AS n FROM b),
+f AS (SELECT source_id, page_number, line_no, x1, n, 0::BIGINT AS row, c AS total, 1::BIGINT AS k FROM n WHERE n = 1
+  UNION ALL SELECT n.source_id, n.page_number, n.line_no, n.x1, n.n, CASE WHEN abs(n.c - f.total / f.k) < 0.6 * n.h THEN f.row ELSE f.row + 1 END, CASE WHEN abs(n.c - f.total / f.k) < 0.6 * n.h THEN f.total + n.c ELSE n.c END, CASE WHEN abs(n.c - f.total / f.k) < 0.6 * n.h THEN f.k + 1 ELSE 1 END
+  FROM f JOIN n ON n.source_id = f.source_id AND n.page_number = f.page_number AND n.n = f.n + 1)
+SELECT source_id, page_number, line_no, row AS grid_row, row_number() OVER (PARTITION BY source_id, page_number, row ORDER BY x1, line_no) - 1 AS grid_col FROM f""", ("ocr_spans",))
+def w14(spark, sf):
+    """Lines that lie 7 units below each other, 12 high: the mean of a row decides which of them start a new one."""
+    return P.grid_rows(spark.sql(_CLOSE.format("{o}"), o=view(spark, sf, "ocr_spans")))
+
+
 @query("a05_fuzzy_vote")
 def a05(spark, sf):
     parts = [view(spark, sf, n).select("source_id", "page_number", "line_no", F.lit(n).alias("extractor"), "text", (F.lit(w) * F.col("confidence")).alias("weight")) for n, w in (("spans", 1.0), ("ocr_spans", 0.7))]
@@ -456,35 +470,36 @@ def a19(spark, sf):
     return view(spark, sf, "sources").select("source_id", F.sha2(F.to_json(F.struct(name.alias("name"), F.col("size_bytes").alias("size"))), 256).alias("content_hash"))
 
 
-_CLAIM = "CASE WHEN source_id LIKE 'B-%' THEN text || CASE line_no % 7 WHEN 0 THEN ' on 2031-01-01' WHEN 1 THEN ' \"never said here at all\"' WHEN 2 THEN ' \"Order\"' ELSE '' END ELSE text END"
-_NUM = "(?:^|[^\\w.])(\\d[\\d,]*(?:\\.\\d+)?)"
+_CLAIM = "CASE WHEN source_id LIKE 'B-%' THEN text || CASE line_no % 7 WHEN 0 THEN ' on 2031-01-01' WHEN 1 THEN ' \"never said here at all\"' WHEN 2 THEN ' \"order\"' WHEN 3 THEN ' \"12-31 Order\"' WHEN 4 THEN ' \"-31 order ' || (line_no - 2) || '\"' ELSE '' END ELSE text END"
+_SIDES = f"""s AS (SELECT substr(source_id, 1, 1) AS side, substr(source_id, 3) AS claim, line_no, block_id, {_CLAIM} AS text FROM statements)"""
+_WORDS = "' ' || array_to_string(regexp_extract_all(lower({}), '\\w+|[^\\w\\s]'), ' ') || ' '"
+_GROUNDED = f"""{_SIDES}, ev AS (SELECT claim, {_WORDS.format("string_agg(text, chr(10) ORDER BY line_no)")} AS ctx FROM s WHERE side = 'A' GROUP BY claim),
+en AS (SELECT DISTINCT claim, 'number' AS kind, replace(unnest(regexp_extract_all(text, '{G.NUMBER}', 1)), ',', '') AS v FROM s WHERE side = 'A' UNION ALL SELECT DISTINCT claim, 'date', unnest(regexp_extract_all(text, '{G.DATE}')) FROM s WHERE side = 'A'),
+t AS (SELECT block_id, claim, 'number' AS kind, replace(unnest(list_distinct(regexp_extract_all(text, '{G.NUMBER}', 1))), ',', '') AS v FROM s WHERE side = 'B' UNION ALL SELECT block_id, claim, 'date', unnest(list_distinct(regexp_extract_all(text, '{G.DATE}'))) FROM s WHERE side = 'B' UNION ALL SELECT block_id, claim, 'quote', unnest(list_distinct(regexp_extract_all(text, '{G.QUOTE}', 1))) FROM s WHERE side = 'B'),
+j AS (SELECT DISTINCT t.block_id, t.claim, t.kind, t.v, CASE WHEN t.kind = 'quote' THEN coalesce(contains(ev.ctx, {_WORDS.format("t.v")}), false) ELSE en.v IS NOT NULL END AS ok FROM t LEFT JOIN en ON t.claim = en.claim AND t.kind = en.kind AND t.v = en.v LEFT JOIN ev ON t.claim = ev.claim),
+g AS (SELECT block_id, string_agg(CASE WHEN NOT ok THEN kind || ':' || v END, ',' ORDER BY kind, v) AS issues, round(count_if(ok) / count(*)::DOUBLE, 4) AS score, bool_and(ok) AS grounded FROM j GROUP BY block_id)"""
 
 
-@query("g05_grounding", f"""WITH s AS (SELECT substr(source_id, 1, 1) AS side, substr(source_id, 3) AS claim, line_no, block_id, {_CLAIM} AS text FROM statements), ev AS (SELECT claim, string_agg(text, chr(10) ORDER BY line_no) AS ctx FROM s WHERE side = 'A' GROUP BY claim),
-en AS (SELECT DISTINCT claim, replace(unnest(regexp_extract_all(text, '{_NUM}', 1)), ',', '') AS n FROM s WHERE side = 'A'),
-t AS (SELECT block_id, claim, 'number' AS kind, replace(unnest(list_distinct(regexp_extract_all(text, '{_NUM}', 1))), ',', '') AS v FROM s WHERE side = 'B' UNION ALL SELECT block_id, claim, 'date', unnest(list_distinct(regexp_extract_all(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}'))) FROM s WHERE side = 'B' UNION ALL SELECT block_id, claim, 'quote', unnest(list_distinct(regexp_extract_all(text, '"([^"]+)"', 1))) FROM s WHERE side = 'B'),
-j AS (SELECT DISTINCT t.block_id, t.kind, t.v, CASE WHEN t.kind = 'number' THEN en.n IS NOT NULL ELSE coalesce(contains(ev.ctx, t.v), false) END AS ok FROM t LEFT JOIN en ON t.claim = en.claim AND t.v = en.n LEFT JOIN ev ON t.claim = ev.claim)
-SELECT block_id, string_agg(CASE WHEN NOT ok THEN kind || ':' || v END, ',' ORDER BY kind, v) AS issues, round(count_if(ok) / count(*)::DOUBLE, 4) AS score, bool_and(ok) AS grounded FROM j GROUP BY block_id""", ("statements",))
-def g05(spark, sf):
-    """Numbers, dates and quotes that a line of source B states and source A, its evidence, does not hold; with the share that it does."""
+def _sides(spark, sf):
     s = view(spark, sf, "statements").select(F.substring("source_id", 1, 1).alias("side"), F.expr("substr(source_id, 3)").alias("claim"), "line_no", "block_id", F.expr(_CLAIM).alias("text"))
-    return ground(s.where("side = 'B'"), s.where("side = 'A'"))
-
-
-def ground(claims, evidence):
-    """block_id, issues, score, grounded of claim lines against all evidence lines of the same claim. Quotes and dates
-    must stand in the evidence as they are; numbers may be grouped otherwise. One evidence text a claim, not a corpus."""
-    number = lambda c: F.transform(F.regexp_extract_all(c, F.lit(_NUM), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
-    ctx = evidence.groupBy("claim").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("ctx"))
-    known = evidence.select("claim", F.explode(number("text")).alias("v")).distinct().withColumn("known", F.lit(True))
-    as_rows = lambda kind, c: F.transform(F.array_distinct(c), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
-    said = F.concat(as_rows("number", number("text")), as_rows("date", F.regexp_extract_all("text", F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0))), as_rows("quote", F.regexp_extract_all("text", F.lit('"([^"]+)"'), F.lit(1))))
-    t = claims.select("block_id", "claim", F.explode(said).alias("t")).select("block_id", "claim", "t.*").distinct()
-    ok = F.when(F.col("kind") == "number", F.col("known").isNotNull()).otherwise(F.coalesce(F.contains("ctx", "v"), F.lit(False)))
-    j = t.join(known, ["claim", "v"], "left").join(ctx, "claim", "left").withColumn("ok", ok)
-    issue = F.when(~F.col("ok"), F.struct("kind", "v"))
-    bad = F.transform(F.array_sort(F.collect_list(issue)), lambda x: F.concat(x["kind"], F.lit(":"), x["v"]))
-    return j.groupBy("block_id").agg(F.when(F.size(bad) > 0, F.array_join(bad, ",")).alias("issues"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("score"), F.bool_and("ok").alias("grounded"))
+    return s.where("side = 'B'"), s.where("side = 'A'")
+
+
+@query("g05_grounding", f"WITH {_GROUNDED} SELECT block_id, issues, score, grounded FROM g", ("statements",))
+def g05(spark, sf):
+    """Numbers, dates and quotes that a line of source B states and source A, its evidence, does not hold; quotes over the ends of lines."""
+    return G.ground(*_sides(spark, sf))
+
+
+@query("g05_answers", f"""WITH {_GROUNDED}, b AS (SELECT s.claim, s.block_id, s.line_no, coalesce(g.grounded, true) AS ok, coalesce(g.score, 1) AS score FROM s LEFT JOIN g ON s.block_id = g.block_id WHERE side = 'B'),
+c AS (SELECT DISTINCT b.claim, 'A' || substr(block_id, 2) AS id FROM b UNION SELECT claim, 'X-' || line_no % 3 FROM b WHERE line_no % 5 = 0),
+v AS (SELECT c.claim, string_agg(CASE WHEN a.block_id IS NOT NULL THEN c.id END, ',' ORDER BY c.id) AS citations, count_if(a.block_id IS NULL) AS dropped FROM c LEFT JOIN s a ON a.block_id = c.id AND a.claim = c.claim AND a.side = 'A' GROUP BY c.claim)
+SELECT b.claim, count_if(ok)::BIGINT AS kept, bool_or(NOT ok) AS rejected, (sum(round(score * 10000)::BIGINT) // count(*))::DOUBLE / 10000 AS score, coalesce(any_value(v.citations), '') AS citations, any_value(v.dropped)::BIGINT AS dropped FROM b JOIN v ON b.claim = v.claim GROUP BY b.claim""", ("statements",))
+def g05_answers(spark, sf):
+    """Source B of a claim as an answer: fields kept, whether it is rejected as a whole, and its citations of source A that exist."""
+    said, evidence = _sides(spark, sf)
+    cites = F.array_compact(F.array(F.concat(F.lit("A"), F.expr("substr(block_id, 2)")), F.when(F.col("line_no") % 5 == 0, F.concat(F.lit("X-"), F.col("line_no") % 3))))
+    return G.answers(said.withColumn("cites", cites), evidence, evidence.select("claim", F.col("block_id").alias("id")))
 
 
 _T = "CASE h.state || '|' || e.decision " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TRANSITIONS.items()) + " END"
