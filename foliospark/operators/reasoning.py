@@ -241,6 +241,22 @@ def shared_entities(texts: DataFrame, alike: float = 90.0) -> DataFrame:
     return hits.groupBy("a", "b").agg(F.count("*").alias("n_entities"), F.min("x").alias("first"))
 
 
+def case_view(sources: DataFrame, links: DataFrame, facts: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row a case of `sources`: case_id and its legs, each an array of structs in order (empty where a case has none).
+
+    Every leg is collected by case before they meet, so no leg multiplies another; rejected links stay, as a reviewer sees them."""
+
+    def leg(df, name, *columns):
+        return df.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    comparison = [F.array_sort(F.array("a.fact_id", "b.fact_id")).alias("fact_ids"), F.col("metric")]
+    legs = [leg(links, "links", "source_id", "status"), leg(facts, "facts", "fact_id", "source_id", "metric", "normalized_value"), leg(pairs, "comparisons", *comparison), leg(found, "findings", "finding_id", "severity", "title")]
+    out = leg(sources.select("case_id", "source_id").distinct(), "sources", "source_id")
+    for df in legs:
+        out = out.join(df, "case_id", "left")
+    return out.select("case_id", "sources", *[F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c) for df in legs for c in df.columns if c != "case_id"])
+
+
 def best_link(sig: DataFrame, least: float = 0.3) -> DataFrame:
     """Per new source (b) the earlier one with the greatest unweighted strength, kept from a weighted confidence on."""
     strength = F.col("n_ids") / 2 + F.col("n_domains") + F.when(F.col("near_dates"), 1).otherwise(0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.derive import view
 from foliospark.registry import query
-from foliospark.sources.export import RENDERERS, document_markdown
+from foliospark.sources.export import RENDERERS, document_markdown, source_csv, source_json
 
 # every cell of the grid, empty where the table has none
 _GRID = """WITH d AS (SELECT table_id, max(row) AS last_row, max(col) AS last_col FROM cells GROUP BY table_id),
@@ -50,6 +50,19 @@ def u01(spark, sf):
     return out
 
 
+@query("s16_export_source", """WITH p AS (SELECT source_id, page_number, list({'block_id': block_id, 'type': block_type, 'text': text} ORDER BY line_no) AS blocks FROM blocks GROUP BY ALL),
+d AS (SELECT source_id, list({'page_number': page_number, 'blocks': blocks} ORDER BY page_number) AS pages FROM p GROUP BY source_id)
+SELECT s.source_id, to_json({'source_id': s.source_id, 'title': s.display_name, 'pages': coalesce(d.pages, [])})::VARCHAR AS body FROM sources s LEFT JOIN d ON s.source_id = d.source_id""", ("blocks", "sources"))
+def s16_source(spark, sf):
+    return source_json(view(spark, sf, "blocks"), view(spark, sf, "sources").select("source_id", "display_name"))
+
+
+@query("s16_export_source_csv", """WITH l AS (SELECT source_id, page_number, line_no, page_number || ',' || line_no || ',' || block_type || ',' || CASE WHEN regexp_matches(text, '[",\r\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS r FROM blocks)
+SELECT source_id, 'page,line,type,text' || chr(10) || string_agg(r, chr(10) ORDER BY page_number, line_no) AS body FROM l GROUP BY source_id""", ("blocks",))
+def s16_source_csv(spark, sf):
+    return source_csv(view(spark, sf, "blocks"))
+
+
 @query("s15_markdown", """WITH b AS (SELECT source_id, page_number, line_no, trim(text) AS t, block_type FROM blocks),
 l AS (SELECT *, CASE block_type WHEN 'title' THEN '# ' || t WHEN 'heading' THEN '## ' || t WHEN 'equation' THEN '$$' || chr(10) || t || chr(10) || '$$' ELSE nullif(t, '') END AS b FROM b),
 p AS (SELECT source_id, page_number, '<!-- page ' || page_number || ' -->' || coalesce(chr(10) || chr(10) || string_agg(b, chr(10) || chr(10) ORDER BY line_no), '') AS t FROM l GROUP BY source_id, page_number)

@@ -183,6 +183,9 @@ def j16(spark, sf):
     return c.join(f, "pair", "left").select("pair", "comparable", F.col("found").isNotNull().alias("has_finding"), "pct_diff")
 
 
+_LINKS_OF = "SELECT 'case-' || c_custkey AS case_id, 'src-' || c_custkey % 400 AS source_id, CASE c_custkey % 7 WHEN 0 THEN 'rejected' WHEN 1 THEN 'confirmed' ELSE 'suggested' END AS status FROM customer"
+
+
 @query("j25_case_rollup", f"""WITH {PAIRS}, s AS (SELECT case_id, count(DISTINCT source_id) AS sources, count(*) AS lines FROM statements GROUP BY case_id), l AS (SELECT 'case-' || c_custkey AS case_id, count(*) AS links FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1),
 ff AS (SELECT case_id, count(*) AS facts FROM facts GROUP BY case_id), cc AS (SELECT case_id, count(*) AS comparisons FROM k GROUP BY case_id), dd AS (SELECT case_id, count(*) AS findings, max(CASE WHEN pct_diff >= 20 THEN 3 WHEN pct_diff >= 5 THEN 2 ELSE 1 END) AS worst FROM e WHERE pct_diff > 0.5 GROUP BY case_id)
 SELECT s.case_id, s.sources, s.lines, coalesce(links, 0) AS links, coalesce(facts, 0) AS facts, coalesce(comparisons, 0) AS comparisons, coalesce(findings, 0) AS findings, CASE worst WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS worst FROM s LEFT JOIN l USING (case_id) LEFT JOIN ff USING (case_id) LEFT JOIN cc USING (case_id) LEFT JOIN dd USING (case_id)""", V)
@@ -200,6 +203,21 @@ def j25(spark, sf):
     return out.select("case_id", "sources", "lines", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "facts", "comparisons", "findings")], F.when(F.col("w") == 3, "high").when(F.col("w") == 2, "medium").when(F.col("w") == 1, "low").alias("worst"))
 
 
+@query("j25_case_view", f"""WITH {PAIRS}, s AS (SELECT case_id, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources FROM statements GROUP BY case_id), l AS (SELECT case_id, string_agg(source_id || ':' || status, ',' ORDER BY source_id, status) AS links FROM ({_LINKS_OF}) GROUP BY case_id),
+ff AS (SELECT case_id, sha256(string_agg(fact_id || coalesce(normalized_value, ''), ',' ORDER BY fact_id)) AS facts FROM facts GROUP BY case_id), cc AS (SELECT case_id, count(*) AS comparisons FROM k GROUP BY case_id), dd AS (SELECT case_id, string_agg(finding_id, ',' ORDER BY finding_id) AS findings FROM ({findings_sql("SELECT case_id, finding_id").replace("WITH ", "WITH ", 1)}) GROUP BY case_id)
+SELECT s.case_id, s.sources, coalesce(l.links, '') AS links, coalesce(ff.facts, '') AS facts, coalesce(cc.comparisons, 0) AS comparisons, coalesce(dd.findings, '') AS findings FROM s LEFT JOIN l USING (case_id) LEFT JOIN ff USING (case_id) LEFT JOIN cc USING (case_id) LEFT JOIN dd USING (case_id)""", V)
+def j25_view(spark, sf):
+    """The collected legs of each case, written short: facts by a digest, pairs by their number."""
+    fs = written(facts(spark, sf))
+    p = R.pairs(fs)
+    own = spark.sql(_LINKS_OF.replace("FROM customer", "FROM {c}"), c=base(spark, sf, "customer"))
+    v = R.case_view(view(spark, sf, "statements"), own, fs, p, R.findings(p))
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    said = text("facts", lambda x: F.concat(x["fact_id"], F.coalesce(x["normalized_value"], F.lit(""))))
+    return v.select("case_id", text("sources", lambda x: x["source_id"]).alias("sources"), text("links", lambda x: F.concat(x["source_id"], F.lit(":"), x["status"])).alias("links"), F.when(F.size("facts") > 0, F.sha2(said, 256)).otherwise("").alias("facts"),
+                    F.size("comparisons").cast("bigint").alias("comparisons"), text("findings", lambda x: x["finding_id"]).alias("findings"))
+
+
 @query("j26_finding_status", findings_sql("SELECT finding_id, CASE WHEN finding_id < '4' THEN 'dismissed' WHEN finding_id < '8' THEN 'acknowledged' ELSE 'open' END AS status"), V)
 def j26f(spark, sf):
     """Findings computed anew keep the status that a review gave the same ones before."""

@@ -60,6 +60,24 @@ def html(cells: DataFrame) -> DataFrame:
     return _rows(cells).select("table_id", F.concat(F.lit("<table>"), _join(F.transform("rows", line), ""), F.lit("</table>")).alias("body"))
 
 
+def source_json(blocks: DataFrame, title: DataFrame) -> DataFrame:
+    """source_id, body: each source of `title` (source_id, display_name) as JSON, its pages in order, their blocks in order of lines.
+
+    A source without blocks has no pages; a null text is null."""
+    page = blocks.groupBy("source_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line_no", "block_id", "block_type", "text"))).alias("l"))
+    page = page.withColumn("blocks", F.transform("l", lambda x: F.struct(x["block_id"].alias("block_id"), x["block_type"].alias("type"), x["text"].alias("text"))))
+    pages = page.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "blocks"))).alias("pages"))
+    body = F.struct("source_id", F.col("display_name").alias("title"), F.coalesce("pages", F.array().cast(pages.schema["pages"].dataType)).alias("pages"))
+    return title.join(pages, "source_id", "left").select("source_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+
+
+def source_csv(blocks: DataFrame) -> DataFrame:
+    """source_id, body: a heading, then page, line, type and text of each block."""
+    row = F.array_join(F.array(*[_csv_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("page_number", "line_no", "block_type", "text")]), ",")
+    lines = blocks.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "line_no", row.alias("r")))).alias("l"))
+    return lines.select("source_id", F.array_join(F.concat(F.array(F.lit("page,line,type,text")), F.transform("l", lambda x: x["r"])), "\n").alias("body"))
+
+
 #: Format -> renderer of cells. More may be added; `df.transform(RENDERERS[name])` applies one.
 RENDERERS: dict[str, Callable[[DataFrame], DataFrame]] = {"csv": csv, "markdown": markdown, "json": json, "html": html}
 
