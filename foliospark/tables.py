@@ -21,7 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back. It stays until the folder is cleared."""
+    """df as a Parquet table in the shared folder, read back. It stays until `release`, as results read it when they are run."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession._foliospark_written = [*getattr(df.sparkSession, "_foliospark_written", ()), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes every table that `written` made in this session, once the results that read them are written; returns how many."""
+    paths, spark._foliospark_written = getattr(spark, "_foliospark_written", []), []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)

@@ -66,3 +66,16 @@ def test_xml_rows(spark):
     texts = ["<f><e k='1'><n>2</n></e><e><n>x</n></e></f>", "<f><e k='1'>", "<f/>", None, "no xml", "<f><e k='7'/></f>"]
     got = xml_rows(spark.createDataFrame(list(enumerate(texts)), "i int, x string"), "x", "e", "_k int, n long")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(0, 0, 1, 2, False), (0, 1, None, None, False), (1, None, None, None, True), (3, None, None, None, True), (4, None, None, None, True), (5, 0, 7, None, False)], key=repr)
+
+
+def test_written_tables_go(spark, tmp_path):
+    """Nothing that a query wrote for itself is left once its result is out and the session's tables are released."""
+    import os
+
+    from foliospark import tables
+    from foliospark.registry import QUERIES
+
+    tables.release(spark)
+    QUERIES["t02_shared_sets"](spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "out"))
+    made = [p for p in spark._foliospark_written if os.path.isdir(p)]
+    assert made and tables.release(spark) == len(made) and not any(os.path.isdir(p) for p in made)
