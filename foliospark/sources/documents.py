@@ -99,7 +99,7 @@ def page_blocks(html: str) -> list[tuple[str, int, str]]:
             holder = next((e for e in reversed(stack) if e["tag"] in BLOCKS or e["tag"] in ("td", "th")), None)
             if name in VOID:
                 if not hidden and not hides and name == "img":
-                    out.append(("figure", 0, attrs.get("alt") or attrs.get("title") or "Embedded image"))
+                    out.append(("figure", 0, attrs.get("alt") or attrs.get("title") or "(picture without a text)"))
                 elif name == "br" and holder:
                     holder["text"].append(" ")
                 continue
