@@ -232,6 +232,19 @@ def reading_order(regions: DataFrame, margin: float = 72.0) -> DataFrame:
     return regions.groupBy(*PAGE).applyInPandas(run, "source_id long, page_number long, region_id long, position long, confidence double")
 
 
+def order_agreement(regions: DataFrame, margin: float = 72.0) -> DataFrame:
+    """(page, regions, inversions, agreement) of the body from top to bottom and by columns; 1 for a single region."""
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        o = PageOrder(page, float(page["x2"].max()) + margin)
+        rank = {b: k for k, b in enumerate(o._columns().tolist())}
+        n, turned = len(rank), inversions(np.array([rank[b] for b in o.body.tolist()], int))
+        share = 1.0 if n < 2 else round(1 - turned / (n * (n - 1) / 2), 8)
+        return pd.DataFrame([(page["source_id"].iloc[0], page["page_number"].iloc[0], n, turned, share)], columns=[*PAGE, "regions", "inversions", "agreement"])
+
+    return regions.groupBy(*PAGE).applyInPandas(run, "source_id long, page_number long, regions long, inversions long, agreement double")
+
+
 def fuzzy_vote(candidates: DataFrame, alike: float = 85.0) -> DataFrame:
     """winner, agreement and similarity of each line from what all extractors read (source_id, page_number, line_no,
     extractor, text, weight).

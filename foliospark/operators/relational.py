@@ -124,8 +124,6 @@ operator("w02_reading_index", "blocks", "SELECT block_id, cast(row_number() OVER
 operator("w13_paragraphs", "spans", """WITH g AS (SELECT *, CASE WHEN y1 - lag(y2) OVER (PARTITION BY source_id, page_number ORDER BY y1, line_no) > 1.5 * (y2 - y1) THEN 1 ELSE 0 END AS brk FROM spans), i AS (SELECT *, sum(brk) OVER (PARTITION BY source_id, page_number ORDER BY y1, line_no ROWS UNBOUNDED PRECEDING) AS island FROM g)
 SELECT source_id, page_number, cast(island AS bigint) AS paragraph, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS n_lines FROM i GROUP BY source_id, page_number, island""")
 operator("o01_line_order", "ocr_spans", "SELECT source_id, line_no, cast(row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 5, 0), x1, line_no) AS bigint) AS native_pos, cast(row_number() OVER (PARTITION BY source_id, page_number ORDER BY bround(y1 / 10, 0), x1, line_no) AS bigint) AS ocr_pos FROM ocr_spans")
-operator("o06_order_agreement", "regions", """WITH r AS (SELECT source_id, page_number, region_id, row_number() OVER (PARTITION BY source_id, page_number ORDER BY y1, x1, region_id) AS a, row_number() OVER (PARTITION BY source_id, page_number ORDER BY floor(x2 / 200), y1, region_id) AS b FROM regions)
-SELECT p.source_id, p.page_number, count(*) AS pairs, count_if(p.b > q.b) AS inversions, round(1 - count_if(p.b > q.b) / DOUBLED(count(*)), 8) AS agreement FROM r p JOIN r q ON p.source_id = q.source_id AND p.page_number = q.page_number AND p.a < q.a GROUP BY p.source_id, p.page_number""")
 # a narrow region right of a wide one that it overlaps in height; every fifth region is moved to the margin of a page 800 wide
 operator("o07_sidebars", "regions", """WITH r AS (SELECT source_id, page_number, region_id, type, CASE WHEN region_id % 5 = 4 THEN 700e0 ELSE x1 END AS x1, CASE WHEN region_id % 5 = 4 THEN 780e0 ELSE least(x2, 690e0) END AS x2, CASE WHEN region_id % 5 = 4 THEN y1 - 60 ELSE y1 END AS y1, y2 FROM regions WHERE type = 'paragraph' OR type = 'table')
 SELECT a.source_id, a.page_number, a.region_id FROM r a LEFT SEMI JOIN r b ON a.source_id = b.source_id AND a.page_number = b.page_number AND a.x2 - a.x1 < 0.25 * 800 AND 0.25 * 800 < 0.5 * (b.x2 - b.x1) AND a.y1 < b.y2 AND a.y2 > b.y1 AND a.x1 >= b.x2 - 1""")

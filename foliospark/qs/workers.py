@@ -175,6 +175,24 @@ def j13(spark, sf):
     return R.shared_entities(d.select(F.col("doc_id").alias("source_id"), F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ENTITY), F.lit(1))).alias("entities")))
 
 
+_COLUMNS = "SELECT source_id, page_number, region_id, type, x1 + 170 * (region_id * 5 % 3) AS x1, y1, x1 + 170 * (region_id * 5 % 3) + CASE WHEN region_id % 4 = 1 THEN 400 ELSE 90 + x2 * 7 % 60 END AS x2, y2, confidence FROM {0}"
+
+
+@query("o06_order_agreement", f"""WITH RECURSIVE r AS ({_COLUMNS.format("regions")}), w AS (SELECT source_id, page_number, max(x2) + 72 AS w FROM r GROUP BY ALL),
+b AS (SELECT r.source_id, r.page_number, region_id, x1, y1, (x2 - x1) / 2 + x1 AS c, w, x2 - x1 > 0.6 * w AS wide FROM r JOIN w ON r.source_id = w.source_id AND r.page_number = w.page_number WHERE type NOT IN ('header', 'footer', 'caption')),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id, page_number ORDER BY c, region_id) AS n, row_number() OVER (PARTITION BY source_id, page_number ORDER BY y1, x1, region_id) AS first FROM b),
+f AS (SELECT source_id, page_number, n, first, c AS lead, wide AS lead_wide, 0 AS col FROM n WHERE n = 1 UNION ALL
+  SELECT n.source_id, n.page_number, n.n, n.first, CASE WHEN n.wide OR f.lead_wide OR n.c >= f.lead + 0.15 * n.w THEN n.c ELSE f.lead END, CASE WHEN n.wide OR f.lead_wide OR n.c >= f.lead + 0.15 * n.w THEN n.wide ELSE f.lead_wide END, CASE WHEN n.wide OR f.lead_wide OR n.c >= f.lead + 0.15 * n.w THEN f.col + 1 ELSE f.col END
+  FROM f JOIN n ON n.source_id = f.source_id AND n.page_number = f.page_number AND n.n = f.n + 1),
+s AS (SELECT source_id, page_number, first, row_number() OVER (PARTITION BY source_id, page_number ORDER BY col, first) AS second FROM f),
+p AS (SELECT a.source_id, a.page_number, count(*) AS pairs, count_if(a.second > b.second)::BIGINT AS inversions FROM s a JOIN s b ON a.source_id = b.source_id AND a.page_number = b.page_number AND a.first < b.first GROUP BY ALL),
+k AS (SELECT r.source_id, r.page_number, count(*) FILTER (type NOT IN ('header', 'footer', 'caption')) AS regions FROM r GROUP BY ALL)
+SELECT k.source_id, k.page_number, regions, coalesce(inversions, 0) AS inversions, coalesce(round(1 - inversions / pairs::DOUBLE, 8), 1) AS agreement FROM k LEFT JOIN p ON k.source_id = p.source_id AND k.page_number = p.page_number""", ("regions",))
+def o06(spark, sf):
+    """Pages of three columns with wide regions between them."""
+    return P.order_agreement(spark.sql(_COLUMNS.format("{r}"), r=view(spark, sf, "regions")))
+
+
 @query("o05_reading_order")
 def o05(spark, sf):
     return P.reading_order(view(spark, sf, "regions"))
