@@ -197,6 +197,13 @@ def test_decisions_and_approvals(spark):
     assert done[0] == "EXECUTED" and done[1].count() == 5
 
 
+def test_a_limit_below_common_table_expressions_is_the_statements_own(spark):
+    t = {"t": spark.createDataFrame([(k,) for k in range(5)], "a int")}
+    said = lambda sql: decide(spark, sql, t, {}, large=4)[0]
+    assert said("WITH x AS (SELECT a FROM t) SELECT a, count(*) AS n FROM x GROUP BY a LIMIT 3") == "ALLOW"
+    assert said("WITH x AS (SELECT a FROM t LIMIT 3) SELECT a FROM x") == "CONFIRM"  # not the statement's own
+
+
 def stream(spark, df, tmp_path, name):
     path = str(tmp_path / "in")
     df.write.mode("overwrite").parquet(path)
