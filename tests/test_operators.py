@@ -204,6 +204,15 @@ def test_a_limit_below_common_table_expressions_is_the_statements_own(spark):
     assert said("WITH x AS (SELECT a FROM t LIMIT 3) SELECT a FROM x") == "CONFIRM"  # not the statement's own
 
 
+def test_only_statements_without_their_own_limit_or_with_locked_columns_need_approval(spark):
+    from foliospark.qs.workers import ASKED
+
+    t = {"findings": spark.createDataFrame([(k, "low", "s") for k in range(5)], "finding_id int, severity string, statement string")}
+    asked = next(s for s in ASKED if s.startswith("WITH "))
+    assert analyse(spark, asked, t).limit == 3
+    assert decide(spark, asked, t, {"findings": {"statement"}}, large=4)[0] == "ALLOW" and decide(spark, asked.replace("severity", "statement"), t, {"findings": {"statement"}}, large=4)[0] == "CONFIRM"
+
+
 def stream(spark, df, tmp_path, name):
     path = str(tmp_path / "in")
     df.write.mode("overwrite").parquet(path)
