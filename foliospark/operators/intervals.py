@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +18,10 @@ COLUMNS, ROWS = 16384, 1048576
 def letters_to_number(letters: Column) -> Column:
     """A is 1, Z 26, AA 27, XFD 16384; null for no letters."""
     up = F.upper(letters)
+    nth = lambda i: F.ascii(F.substring(up, i, 1)) - 64
     n = F.aggregate(F.sequence(F.lit(1), F.length(up)), F.lit(0), lambda s, i: s * 26 + F.ascii(F.substring(up, i, F.lit(1))) - 64)
-    return F.when(F.length(up) > 0, n)
+    short = F.when(F.length(up) == 1, nth(1)).when(F.length(up) == 2, nth(1) * 26 + nth(2)).when(F.length(up) == 3, (nth(1) * 26 + nth(2)) * 26 + nth(3))
+    return F.when(F.length(up) > 3, n).otherwise(short)
 
 
 def bounds(ref: Column) -> dict[str, Column]:
@@ -28,6 +33,19 @@ def bounds(ref: Column) -> dict[str, Column]:
     return {f"{d}{k}": f(*ends[d]) for d in "cr" for k, f in ((1, F.least), (2, F.greatest))}
 
 
+def with_bounds(ranges: DataFrame, ref: str) -> DataFrame:
+    """ranges with c1, r1, c2, r2 of the reference in column `ref`, as `bounds` gives them; each end is read once."""
+    ends = F.split(F.replace(ref, F.lit("$"), F.lit("")), ":")
+    parts = ranges.select("*", F.explode(F.array(F.struct(F.element_at(ends, 1).alias("a"), F.element_at(ends, -1).alias("b")))).alias("__e"))
+    read = lambda k, what: F.regexp_extract(f"__e.{k}", what, 0)
+    col, row = (lambda k: letters_to_number(read(k, "^[A-Za-z]+"))), (lambda k: F.nullif(read(k, "[0-9]+$"), F.lit("")).cast("int"))
+    found = F.struct(F.coalesce(col("a"), F.lit(1)).alias("ca"), F.coalesce(col("b"), F.lit(COLUMNS)).alias("cb"), F.coalesce(row("a"), F.lit(1)).alias("ra"), F.coalesce(row("b"), F.lit(ROWS)).alias("rb"))
+    parts = parts.select(*ranges.columns, F.explode(F.array(found)).alias("__f"))
+    return parts.select(*ranges.columns, *[f(f"__f.{d}a", f"__f.{d}b").alias(f"{d}{k}") for d in "cr" for k, f in ((1, F.least), (2, F.greatest))])
+
+
+#: Ranges of a table of at most this many are compared with each other; those of larger tables meet by levels.
+SMALL = 128
 #: A level's stretch is so many powers of two longer than that of the level below.
 STEP = 4
 
@@ -38,17 +56,52 @@ def _level(n: Column) -> Column:
     return (F.ceil(bits / STEP) * STEP).cast("int")
 
 
+def _sized(ranges: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
+    """Ranges with how many ranges their table has, written once, as bounds may be parsed from text: a generator keeps the
+    optimiser from copying that into every use."""
+    ranges = ranges.select(*on, "id", *keep, F.inline(F.array(F.struct("r1", "r2", "c1", "c2"))))
+    return written(ranges.withColumn("of", F.count("*").over(Window.partitionBy(*on))))
+
+
+def _over(x: str, y: str) -> Column:
+    c = lambda s, n: F.col(f"{s}.{n}")
+    return (c(x, "r1") <= c(y, "r2")) & (c(y, "r1") <= c(x, "r2")) & (c(x, "c1") <= c(y, "c2")) & (c(y, "c1") <= c(x, "c2"))
+
+
+def _in_small_tables(sized: DataFrame, on: list[str]) -> DataFrame:
+    """Rows x and y of tables of at most SMALL ranges that overlap: one equi-join on the table, whose rows are shuffled once."""
+    few = sized.where(F.col("of") <= SMALL)
+    same = reduce(and_, [F.col(f"x.{n}") == F.col(f"y.{n}") for n in on])
+    return few.alias("x").join(few.alias("y"), same).where(_over("x", "y"))
+
+
 def overlapping_ranges(ranges: DataFrame, on: list[str]) -> DataFrame:
-    """(on, a, b): the ids of ranges of one `on` that overlap, both ways and each with itself. ranges: on, id, r1, r2, c1, c2.
+    """(on, a, b): the ids of ranges of one `on` that overlap, both ways and each with itself. ranges: on, id, r1, r2, c1, c2."""
+    sized = _sized(ranges, on, [])
+    few = _in_small_tables(sized, on).select(*[F.col(f"x.{n}").alias(n) for n in on], F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return few.unionByName(_by_levels(sized.where(F.col("of") > SMALL), on))
+
+
+def overlap_counts(ranges: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
+    """(on, id, keep, overlapping): how many ranges of its table each range overlaps, itself included.
+
+    Overlaps of small tables are counted where they meet; no pair is written or shuffled."""
+    sized = _sized(ranges, on, keep)
+    few = _in_small_tables(sized, on).groupBy(*[F.col(f"x.{n}").alias(n) for n in (*on, "id", *keep)]).agg(F.count("*").alias("overlapping"))
+    many = sized.where(F.col("of") > SMALL)
+    counts = _by_levels(many, on).groupBy(*on, F.col("a").alias("id")).agg(F.count("*").alias("overlapping"))
+    return few.unionByName(many.select(*on, "id", *keep).join(counts, [*on, "id"]))
+
+
+def _by_levels(ranges: DataFrame, on: list[str]) -> DataFrame:
+    """Overlaps as in `overlapping_ranges`, for tables of any number of ranges.
 
     A range of n rows has the level of the least power of 16 that holds n, and touches two stretches of that length at
     most; so it does at every higher level. Of two ranges one is at least as large in rows and columns (it then stands with its own
     levels, the other with every level from its own up), or one is larger in rows and the other in columns. They count in the
     first stretch that both touch. A range has four entries at most for each pair of levels that ranges of the table have (6
     times 5 at most, so those are broadcast): a whole column is two entries, not a million."""
-    # written once, as bounds may be parsed from text: a generator keeps the optimiser from copying that into every use
-    ranges = ranges.select(*on, "id", F.inline(F.array(F.struct("r1", "r2", "c1", "c2"))))
-    sized = written(ranges.select(*on, "id", "r1", "r2", "c1", "c2", _level(F.col("r2") - F.col("r1") + 1).alias("lr"), _level(F.col("c2") - F.col("c1") + 1).alias("lc")))
+    sized = ranges.select(*on, "id", "r1", "r2", "c1", "c2", _level(F.col("r2") - F.col("r1") + 1).alias("lr"), _level(F.col("c2") - F.col("c1") + 1).alias("lc"))
     rows, cols = sized.select(F.col("lr").alias("at_r")).distinct(), sized.select(F.col("lc").alias("at_c")).distinct()
 
     def entries(own_r: bool, own_c: bool, strict: bool = False) -> DataFrame:
@@ -62,8 +115,7 @@ def overlapping_ranges(ranges: DataFrame, on: list[str]) -> DataFrame:
     def met(x: DataFrame, y: DataFrame, both_ways) -> DataFrame:
         c = lambda s, n: F.col(f"{s}.{n}")
         here = (c("x", "br") == F.greatest(c("x", "fr"), c("y", "fr"))) & (c("x", "bc") == F.greatest(c("x", "fc"), c("y", "fc")))
-        over = (c("x", "r1") <= c("y", "r2")) & (c("y", "r1") <= c("x", "r2")) & (c("x", "c1") <= c("y", "c2")) & (c("y", "c1") <= c("x", "c2"))
-        found = x.alias("x").join(y.alias("y"), [c("x", n) == c("y", n) for n in (*on, "at_r", "at_c", "br", "bc")]).where(here & over)
+        found = x.alias("x").join(y.alias("y"), [c("x", n) == c("y", n) for n in (*on, "at_r", "at_c", "br", "bc")]).where(here & _over("x", "y"))
         pair = lambda p, q: F.struct(c(p, "id").alias("a"), c(q, "id").alias("b"))
         return found.select(*[c("x", n).alias(n) for n in on], F.inline(F.when(both_ways, F.array(pair("x", "y"), pair("y", "x"))).otherwise(F.array(pair("x", "y")))))
 

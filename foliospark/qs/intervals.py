@@ -35,8 +35,7 @@ SELECT a.table_id, a.id, a.ref, count(*) AS overlapping FROM r a JOIN r b ON a.t
 def j21(spark, sf):
     """How many ranges of its table each range overlaps; bounds are read off the written references."""
     refs = view(spark, sf, "cells").select("table_id", (F.col("row") * 10 + F.col("col")).alias("id"), F.expr(_refs("div")).alias("ref"))
-    pairs = I.overlapping_ranges(refs.withColumns(I.bounds(F.col("ref"))), ["table_id"])
-    return refs.join(pairs.groupBy("table_id", F.col("a").alias("id")).agg(F.count("*").alias("overlapping")), ["table_id", "id"])
+    return I.overlap_counts(I.with_bounds(refs, "ref"), ["table_id"], ["ref"])
 
 
 @query("j22_active_grants", """WITH g AS (SELECT user_id, resource, col, valid_until - grant_id % 400 AS valid_from, valid_until FROM grants), t AS (SELECT unnest(range(0, 1000, 8)) AS as_of),

@@ -27,6 +27,34 @@ def test_ranges_meet_like_all_pairs(spark):
     assert got == want and len(got) == len(set(got))
 
 
+def test_overlaps_are_counted_alike_in_small_and_large_tables(spark):
+    """Sheets of 5, SMALL and more ranges; references read as `bounds` reads them, each overlap counted where it lies."""
+    rng = np.random.default_rng(5)
+    rows = [(sheet, k, f"{'ABCZ'[k % 4]}{int(rng.integers(1, 40))}:A{'BX'[k % 2]}{int(rng.integers(1, 40))}" if k % 9 else "C:D") for sheet, n in ((1, 5), (2, I.SMALL), (3, I.SMALL + 40)) for k in range(n)]
+    df = spark.createDataFrame(rows, "sheet int, id int, ref string")
+    ends = {(r.sheet, r.id): r for r in df.withColumns(I.bounds(F.col("ref"))).collect()}
+    assert {(r.sheet, r.id): r for r in I.with_bounds(df, "ref").select("sheet", "id", "ref", "c1", "r1", "c2", "r2").collect()} == {k: tuple(r[c] for c in ("sheet", "id", "ref", "c1", "r1", "c2", "r2")) for k, r in ends.items()}
+    meet = lambda a, b: a.sheet == b.sheet and a.r1 <= b.r2 and b.r1 <= a.r2 and a.c1 <= b.c2 and b.c1 <= a.c2
+    want = sorted((a.sheet, a.id, a.ref, sum(meet(a, b) for b in ends.values())) for a in ends.values())
+    assert sorted(tuple(r) for r in I.overlap_counts(I.with_bounds(df, "ref"), ["sheet"], ["ref"]).collect()) == want
+
+
+def test_derived_tables_read_their_source_once(spark):
+    """Statements and cells come from one scan of orders and lineitem, as the rows of the united branches."""
+    from foliospark import derive as D
+
+    for name, source in (("statements", "o_orderkey"), ("cells", "l_orderkey")):
+        one = D.view(spark, "/root/testdata/sf0.001", name)
+        kept = D._ONE_PASS.pop(name)
+        try:
+            many = D.view(spark, "/root/testdata/sf0.001", name)
+        finally:
+            D._ONE_PASS[name] = kept
+        scans = [p for p in one._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" in p and source in p]
+        assert len(scans) == 1 and one.schema.simpleString() == many.schema.simpleString()
+        assert one.exceptAll(many).isEmpty() and many.exceptAll(one).isEmpty()
+
+
 def test_active_at_many_times(spark):
     rng = np.random.default_rng(6)
     grants = [(f"u{rng.integers(3)}", "abc"[rng.integers(3)], int(s := rng.integers(0, 50)), int(s + rng.integers(-2, 30))) for _ in range(60)] + [("u0", "a", 5, None)]
