@@ -79,3 +79,10 @@ def test_written_tables_go(spark, tmp_path):
     QUERIES["t02_shared_sets"](spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "out"))
     made = [p for p in spark._foliospark_written if os.path.isdir(p)]
     assert made and tables.release(spark) == len(made) and not any(os.path.isdir(p) for p in made)
+
+
+def test_text_checks_read_a_text_once(spark):
+    """The text is an expression of its own, which must not be copied into every check."""
+    text = F.concat(F.lit("on "), F.col("id").cast("string"), F.lit("/2/2020"))
+    plan = spark.range(3).select(text_checks(text).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/2/2020") == 1
