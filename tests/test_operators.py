@@ -334,3 +334,14 @@ def test_chain_verify_query_keeps_every_tenant(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     assert got.count() == events.where("event_id % 307 <> 11").count()
     assert {"ok", "gap,broken_link", "broken_link,hash_mismatch"} <= {r.problem for r in got.select("problem").distinct().collect()}
+
+
+def test_pairs_read_a_value_once_a_fact(spark):
+    """Days, numbers and sorted digits are read before facts meet, not for each pair; findings filter on what was computed once."""
+    from foliospark import derive as D
+    from foliospark.operators import reasoning as R
+
+    facts = R.line_facts(D.view(spark, "/root/testdata/sf0.001", "statements"))
+    plan = R.findings(R.pairs(facts))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Inner")]
+    assert "sort_array" not in above and above.count("round(") <= 4
