@@ -71,3 +71,15 @@ def test_python_text(one):
     for a, b in (("abcdef", "xxabdefyy"), ("kitten", "sitting"), ("aaaa", "b"), ("night", "nacht")):
         s, l = sorted((a, b), key=len)
         assert X.partial_ratio(a, b) == max(X.ratio(s, l[max(0, k) : k + len(s)]) for k in range(1 - len(s), len(l)))
+
+
+def test_partial_ratio_of_a_long_line_keeps_one_stretch():
+    """All stretches of a line of 5000 letters hold 25 million letters; one at a time they take no more than a few lines."""
+    import tracemalloc
+
+    line = "".join(chr(97 + k * k % 23) for k in range(5000))
+    tracemalloc.start()
+    got = X.partial_ratio(line, "X" + line[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == pytest.approx(200 * 4999 / 9999) and peak < 2_000_000
