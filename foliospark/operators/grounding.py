@@ -10,6 +10,8 @@ from foliospark.tables import written
 
 NUMBER, DATE, QUOTE = r"(?:^|[^\w.])(\d[\d,]*(?:\.\d+)?)", r"\d{4}-\d{2}-\d{2}", '"([^"]+)"'
 TOKEN = r"\w+|[^\w\s]"
+#: Letters of evidence that a claim may hold in one row; more of them are looked up by joins.
+IN_ROW = 1 << 16
 
 
 def tokens(text: Column) -> Column:
@@ -40,22 +42,53 @@ def quotes_found(quotes: DataFrame, evidence: DataFrame) -> DataFrame:
     return held.groupBy("claim", "v", "start", "n").agg(F.count("*").alias("held")).where("held = n").select("claim", "v").distinct()
 
 
-def ground(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """block_id, issues, score, grounded of claim texts (block_id, claim, text) against all evidence lines (claim, line_no, text).
+def _kinds(kind: str, values: Column) -> Column:
+    return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
 
-    Dates and numbers must be among the evidence's dates and numbers, however numbers are grouped; quotes must stand there word
-    by word. The score is the share that does; a text that states none of these gives no row."""
-    number = lambda c: F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
-    dates = lambda c: F.regexp_extract_all(c, F.lit(DATE), F.lit(0))
-    as_rows = lambda kind, c: F.transform(F.array_distinct(c), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
-    said = F.concat(as_rows("number", number("text")), as_rows("date", dates("text")), as_rows("quote", F.regexp_extract_all("text", F.lit(QUOTE), F.lit(1))))
-    t = claims.select("block_id", "claim", F.explode(said).alias("t")).select("block_id", "claim", "t.*").distinct()
-    t = written(t)
-    known = evidence.select("claim", F.explode(F.concat(as_rows("number", number("text")), as_rows("date", dates("text")))).alias("t")).select("claim", "t.*")
+
+def _figures(text: Column) -> Column:
+    """Numbers, without the commas that group their digits, and dates of a text."""
+    number = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")))
+    return F.concat(_kinds("number", number), _kinds("date", F.regexp_extract_all(text, F.lit(DATE), F.lit(0))))
+
+
+def _held_in_row(said: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(block_id, j): what is said and whether it is ok, where all evidence of a claim is one row: its words in one string."""
+    lines = evidence.groupBy("claim").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    whole = lines.select("claim", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+    held = whole.select("claim", F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" ")).alias("words"), F.array_distinct(_figures(F.col("text"))).alias("known"))
+    quote = lambda v: (F.size(tokens(v)) > 0) & F.contains("words", F.concat(F.lit(" "), F.array_join(tokens(v), " "), F.lit(" ")))
+    ok = lambda x: F.coalesce(F.when(x["kind"] == "quote", quote(x["v"])).otherwise(F.array_contains("known", x)), F.lit(False))
+    rows = F.transform("said", lambda x: F.struct("claim", x["kind"].alias("kind"), x["v"].alias("v"), ok(x).alias("ok")))
+    return said.join(held, "claim", "left").select("block_id", rows.alias("j"))
+
+
+def _held_by_index(said: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The same by joins alone, whatever the evidence of a claim comes to."""
+    t = written(said.select("block_id", "claim", F.explode("said").alias("t")).select("block_id", "claim", "t.*").distinct())
+    known = evidence.select("claim", F.explode(_figures(F.col("text"))).alias("t")).select("claim", "t.*")
     known = known.unionByName(quotes_found(t.where("kind = 'quote'"), evidence).withColumn("kind", F.lit("quote"))).distinct().withColumn("ok", F.lit(True))
     j = t.join(known, ["claim", "kind", "v"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    bad = F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("kind", "v")))), lambda x: F.concat(x["kind"], F.lit(":"), x["v"]))
-    return j.groupBy("block_id").agg(F.when(F.size(bad) > 0, F.array_join(bad, ",")).alias("issues"), F.round(F.avg(F.col("ok").cast("int")), 4).alias("score"), F.bool_and("ok").alias("grounded"))
+    return j.groupBy("block_id").agg(F.collect_list(F.struct("claim", "kind", "v", "ok")).alias("j"))
+
+
+def ground(claims: DataFrame, evidence: DataFrame, most: int = IN_ROW) -> DataFrame:
+    """block_id, issues, score, grounded of claim texts (block_id, claim, text) against all evidence lines (claim, line_no, text).
+
+    Dates and numbers must be among the evidence's dates and numbers, however numbers are grouped; quotes must stand there word
+    by word. The score is the share that does; a text that states none of these gives no row. Claims whose evidence has
+    `most` letters or fewer hold it as a row; those with more are looked up in an index of positions."""
+    said = claims.select("block_id", "claim", F.concat(_figures(F.col("text")), _kinds("quote", F.regexp_extract_all("text", F.lit(QUOTE), F.lit(1)))).alias("said")).where(F.size("said") > 0)
+    large = written(evidence.groupBy("claim").agg(F.sum(F.length("text")).alias("n")).where((F.col("n") > most) & F.col("claim").isNotNull()).select("claim"))
+    if large.isEmpty():
+        held = _held_in_row(said, evidence)
+    else:
+        part = lambda df, how: df.join(large, "claim", how)
+        held = _held_in_row(part(said, "left_anti"), part(evidence, "left_anti")).unionByName(_held_by_index(part(said, "left_semi"), part(evidence, "left_semi")))
+    j = held.groupBy("block_id").agg(F.array_distinct(F.flatten(F.collect_list("j"))).alias("j"))
+    bad = F.transform(F.array_sort(F.transform(F.filter("j", lambda x: ~x["ok"]), lambda x: F.struct(x["kind"], x["v"]))), lambda x: F.concat(x["kind"], F.lit(":"), x["v"]))
+    j = j.select("block_id", F.size("j").alias("n"), bad.alias("bad"))
+    return j.select("block_id", F.when(F.size("bad") > 0, F.array_join("bad", ",")).alias("issues"), F.round((F.col("n") - F.size("bad")) / F.col("n"), 4).alias("score"), (F.size("bad") == 0).alias("grounded"))
 
 
 def answers(fields: DataFrame, evidence: DataFrame, citable: DataFrame) -> DataFrame:

@@ -500,6 +500,7 @@ g AS (SELECT block_id, string_agg(CASE WHEN NOT ok THEN kind || ':' || v END, ',
 
 def _sides(spark, sf):
     s = view(spark, sf, "statements").select(F.substring("source_id", 1, 1).alias("side"), F.expr("substr(source_id, 3)").alias("claim"), "line_no", "block_id", F.expr(_CLAIM).alias("text"))
+    s = written(s)  # both sides, and the answers' fields and citations, come of one pass over the orders
     return s.where("side = 'B'"), s.where("side = 'A'")
 
 
