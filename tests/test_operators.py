@@ -345,3 +345,14 @@ def test_pairs_read_a_value_once_a_fact(spark):
     plan = R.findings(R.pairs(facts))._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join Inner")]
     assert "split(" not in above and "try_cast(a" not in above
+
+
+def test_facts_are_united_in_one_pass(spark):
+    """Every table is read once, nothing is sorted before ids are dealt, and parts of statements and cells are not drawn together."""
+    from foliospark.operators import reasoning as R
+
+    plan = QUERIES["t01_fact_union"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3 and "WindowGroupLimit" not in plan and plan.count("REPARTITION_BY_NUM") == 2
+    old = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x")], "fact_id string, unit string")
+    new = spark.createDataFrame([("b", None), ("c", "y"), ("c", "y")], "fact_id string, unit string")
+    assert sorted(map(tuple, R.union_facts(old, new).collect())) == [("a", "x"), ("b", None), ("c", "y")]
