@@ -330,3 +330,45 @@ def test_folded_actions(spark):
     df = spark.createDataFrame(rows, "action_id string, seq long, ts timestamp, actor string, drafter string, decision string, content_hash string, idempotency_key string")
     got = {r.action_id: (r.state, r.refused, r.ran) for r in fold_actions(df).collect()}
     assert got == {"ok": ("executed", 0, True), "self": ("in_review", 2, False), "edited": ("in_review", 1, False), "same": ("approved", 1, False), "late": ("approved", 1, False), "twice": ("approved", 0, False), "stranger": ("cancelled", 2, False)}
+
+
+def test_long_names_are_all_pairs(spark):
+    """Names of up to nine words and seventy letters with up to five edits, moved and common words, against every pair."""
+    import numpy as np
+
+    from foliospark.functions.text import token_set_ratio
+    from foliospark.operators.reasoning import alike_names
+
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("aeinrst"), rng.integers(1, 12))).capitalize()
+    names = set()
+    for k in range(60):
+        ws = [word() for _ in range(rng.integers(1, 10))] + (["Of", "The"] if k % 4 == 0 else [])
+        names.add(" ".join(ws))
+        for _ in range(3):
+            cut = list(" ".join(ws[::-1] if k % 3 == 0 else ws))
+            for at in rng.integers(0, len(cut), rng.integers(1, 6)):
+                cut[at] = rng.choice(["", "e", cut[at] + "s", " "])
+            names.add("".join(cut))
+    every = sorted(names)
+    for alike in (90.0, 75.0):
+        want = {(x, y) for i, x in enumerate(every) for y in every[i + 1 :] if x.split() and y.split() and token_set_ratio(x, y) >= alike}
+        assert {tuple(r) for r in alike_names(spark.createDataFrame([(t,) for t in every], "x string"), alike).collect()} == want
+        assert any(len(x.split()) > 7 for x, _ in want) and any(25 < len(x) < 40 and len(x.split()) < 5 for x, _ in want)
+
+
+def test_names_of_few_syllables_meet_few_others():
+    """Names of two words out of a few syllables: what brings them together is rarer than the pairs of letters that all share."""
+    from collections import Counter
+
+    import numpy as np
+
+    from foliospark.functions.text import places_of, stretches_of
+
+    rng = np.random.default_rng(5)
+    syllables = ["th", "en", "he", "er", "in", "on", "re", "an", "ti", "es", "nd", "or"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(2, 5))).capitalize()
+    names = sorted({" ".join(sorted([word(), word()])) for _ in range(2000)})
+    long = Counter(k for x in names for k, _ in set(stretches_of(x.split(), 90.0)))
+    short = Counter(k for x in names for k, _ in set(places_of(x.split(), 90.0)))
+    assert sum(n * short[k] for k, n in long.items()) < 200 * len(names)
