@@ -7,6 +7,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliospark.llm.common import runs_by_bytes, small_batches, stored
-from foliospark.llm.tokens import Encoder, size_of
+from foliospark.llm.tokens import Encoder
 
 
 def token_bytes(path: str) -> list[bytes]:
@@ -142,30 +143,42 @@ class Aligner:
 
 
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_pairs")
+#: Packs are stored in row groups of so many: a reader holds a whole group at once, however long the table's files are.
+ROW_GROUP = {"parquet.block.row.count.limit": 8}
+
+
+def narrow(v: np.ndarray) -> bytes:
+    """Numbers of 0 or more as bytes, each as wide as the greatest needs."""
+    return v.astype(f"<{np.min_scalar_type(int(v.max(initial=0))).str[1:]}").tobytes()
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that `narrow` wrote."""
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
 
 
 def packs(df: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", text: str = "text", pack_bytes: int = 2 << 20, work: int = 1 << 15, with_groups: bool = False) -> DataFrame:
     """One row a run of texts of about `pack_bytes` (one text, if longer): their figures, and the pack's pairs with counts.
 
     A pair is a's id in the high and b's in the low 32 bits. What leaves a pack is its different pairs, so a pair that every
-    text holds counts once a pack in whatever is shuffled."""
+    text holds counts once a pack in whatever is shuffled. Which pairs a text holds and how often (`at`, `times`) are bytes, which
+    the JVM passes on without an element, level or copy for each of them."""
     small_batches(df.sparkSession)
     doc = [T.StructField("id", df.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in _FIGURES], T.StructField("sha256", T.StringType())] + [T.StructField("groups", T.StringType())] * with_groups
-    lists = [("at", T.IntegerType()), ("times", T.LongType()), ("pairs", T.LongType()), ("total", T.LongType())]
-    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("docs", T.ArrayType(T.StructType(doc))), *[T.StructField(c, T.ArrayType(t)) for c, t in lists]])
+    schema = T.StructType([T.StructField("pack", T.LongType()), T.StructField("docs", T.ArrayType(T.StructType(doc))), *[T.StructField(c, T.BinaryType()) for c in ("at", "times")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("pairs", "total")]])
 
     def run(batches):
         aligner, base, count = None, TaskContext.get().partitionId() << 32, 0
         for b in batches:
             aligner = aligner or Aligner(path_a, path_b, work)
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for x, y in runs_by_bytes([size_of(t) for t in texts], pack_bytes):
-                got = aligner.pack(texts[x:y])
-                said = [g.decode() for g in got["groups"]]
+            for x, y in runs_by_bytes(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist(), pack_bytes):
+                got = aligner.pack([t or "" for t in b.column(1).slice(x, y - x).to_pylist()])
                 figures = [b.column(0).slice(x, y - x), *[pa.array(got[c].astype(np.int64)) for c in _FIGURES], pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in got["groups"]])]
-                docs = pa.StructArray.from_arrays(figures + [pa.array(said)] * with_groups, names=[f.name for f in doc])
+                if with_groups:
+                    figures.append(pa.array([g.decode() for g in got["groups"]]))
+                docs = pa.StructArray.from_arrays(figures, names=[f.name for f in doc])
                 whole = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-                yield pa.RecordBatch.from_arrays([pa.array([base + count]), whole(docs), *[whole(pa.array(got[c])) for c, _ in lists]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([base + count]), whole(docs), *[pa.array([narrow(got[c])], pa.binary()) for c in ("at", "times")], *[whole(pa.array(got[c])) for c in ("pairs", "total")]], names=schema.names)
                 count += 1
 
     return df.select(df[f"`{id_col}`"].alias("id"), df[f"`{text}`"].cast("string").alias("text")).mapInArrow(run, schema)
@@ -192,7 +205,7 @@ def align(df: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", te
     Encoding and merging are one pass over the texts, stored; the pairs' counts are an aggregation of the packs' pairs, which
     go back to their packs by a join on the pair and one on the pack.
     """
-    packed = stored(packs(df, path_a, path_b, id_col=id_col, text=text, pack_bytes=pack_bytes, work=work, with_groups=with_groups))
+    packed = stored(packs(df, path_a, path_b, id_col=id_col, text=text, pack_bytes=pack_bytes, work=work, with_groups=with_groups), **ROW_GROUP)
     asked = packed.select("pack", F.explode("pairs").alias("pair"))
     answers = asked.join(pair_counts(packed).select("pair", "count", "best"), "pair").groupBy("pack").agg(F.collect_list(F.struct("pair", "count", "best")).alias("found"))
     doc = packed.schema["docs"].dataType.elementType
@@ -203,14 +216,14 @@ def align(df: DataFrame, path_a: str, path_b: str, *, id_col: str = "doc_id", te
         for b in batches:
             columns = {c: b.column(c) for c in b.schema.names}
             for r in range(b.num_rows):
-                docs, at, times = (columns[c][r].values for c in ("docs", "at", "times"))
-                at, times = at.to_numpy(zero_copy_only=False), times.to_numpy(zero_copy_only=False)
+                docs = columns["docs"][r].values
+                upto = np.append(0, np.cumsum(docs.field("n_pairs").to_numpy(zero_copy_only=False)))
+                at, times = (widened(columns[c][r].as_buffer(), int(upto[-1])) for c in ("at", "times"))
                 count = best = np.zeros(0, np.int64)
                 if columns["found"][r].is_valid:
                     found = columns["found"][r].values
                     order = np.argsort(found.field(0).to_numpy(zero_copy_only=False))
                     count, best = (found.field(k).to_numpy(zero_copy_only=False)[order].astype(np.int64) for k in (1, 2))
-                upto = np.append(0, np.cumsum(docs.field("n_pairs").to_numpy(zero_copy_only=False)))
                 sums = [np.append(0, np.cumsum(v[at] * times))[upto] for v in (best, count)]
                 out = [docs.field("id"), *[docs.field(c) for c in _FIGURES[:4]], *[pa.array(np.diff(s)) for s in sums], docs.field("sha256"), *([docs.field("groups")] if with_groups else [])]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)

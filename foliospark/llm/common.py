@@ -24,13 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+def stored(df: DataFrame, **options: int) -> DataFrame:
+    """df written as Parquet (with the writer's `options`) in the shared folder and read back: cuts lineage, survives lost executors.
 
     The table stays until `discard` or `release`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     spark._foliospark_tables = {*getattr(spark, "_foliospark_tables", ()), path}
     got = spark.read.schema(df.schema).parquet(path)
     got._foliospark_path = path

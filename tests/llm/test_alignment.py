@@ -81,6 +81,26 @@ def test_awkward_texts(spark, docs, none):
     assert all(hashlib.sha256(r.groups.encode()).hexdigest() == r.groups_sha256 for r in said) and len(said) > 10
 
 
+def test_stored_packs_are_read_in_small_groups(spark):
+    """A reader holds a row group at once: eight packs at most, and of a pack's texts bytes, no element a pair."""
+    import pyarrow.dataset as ds
+
+    before = set(getattr(spark, "_foliospark_tables", ()))
+    rows = [(i, f"one two {i} three " * 3) for i in range(50)]
+    got = alignment.align(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A, B, pack_bytes=1)
+    (path,) = spark._foliospark_tables - before
+    stored = ds.dataset(path.removeprefix("file:"), format="parquet")
+    assert max(g.num_rows for f in stored.get_fragments() for g in f.row_groups) <= 8 and stored.count_rows() == 50
+    assert {str(stored.schema.field(c).type) for c in ("at", "times")} == {"binary"}
+    assert key(got.collect()) == key(plain(rows))
+
+
+def test_numbers_as_narrow_bytes():
+    for v, width in (([], 1), ([0, 255], 1), ([256, 0], 2), ([65536], 4), ([1 << 40, 3], 8)):
+        data = alignment.narrow(np.array(v, np.int64))
+        assert len(data) == width * len(v) and alignment.widened(data, len(v)).tolist() == v
+
+
 def test_registered_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
