@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliospark.functions import scalars as S
@@ -83,3 +85,22 @@ def test_partial_ratio_of_a_long_line_keeps_one_stretch():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got == pytest.approx(200 * 4999 / 9999) and peak < 2_000_000
+
+
+@given(st.text(st.sampled_from("abcdefz uvvvvé日"), max_size=30), st.text(st.sampled_from("abcdefz uvvvvé日"), max_size=30))
+def test_letters_counted_by_bits_are_no_more_than_edits(a, b):
+    """Two rests whose bags differ by more bits than edits are allowed are turned away unread; no alike rest may be."""
+    from foliospark.functions.text import bag_of, lcs
+
+    assert 0 <= bag_of(a) < 1 << 63 and (bag_of(a) ^ bag_of(b)).bit_count() <= len(a) + len(b) - 2 * lcs(a, b)
+
+
+def test_a_rest_is_written_once_with_its_keys(spark):
+    from foliospark.functions.text import bag_of, places, places_of, stretches, stretches_of
+
+    names = [["Ada", "Lovelace"], ["x"], [], ["Grace", "Hopper", "Murray"]]
+    df = spark.createDataFrame([(w,) for w in names], "ws array<string>")
+    for column, plain in ((stretches, stretches_of), (places, places_of)):
+        for r in df.select("ws", column(90.0)("ws").alias("k")).collect():
+            assert len({x.rest for x in r.k}) == len(r.k) == max(0, 2 ** len(r.ws) - 1) and all(x.bag == bag_of(x.rest) for x in r.k)
+            assert sorted((k, x.rest) for x in r.k for k in x["keys"]) == sorted(plain(r.ws, 90.0))
