@@ -19,7 +19,9 @@ def letters_to_number(letters: Column) -> Column:
     """A is 1, Z 26, AA 27, XFD 16384; null for no letters."""
     up = F.upper(letters)
     nth = lambda i: F.ascii(F.substring(up, i, 1)) - 64
-    n = F.aggregate(F.sequence(F.lit(1), F.length(up)), F.lit(0), lambda s, i: s * 26 + F.ascii(F.substring(up, i, F.lit(1))) - 64)
+    # with A as 0 a number of base 26, to which every place adds one; no lambda, which would keep the whole from being compiled
+    places = F.conv(F.translate(up, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOP"), 26, 10).cast("decimal(38,0)")
+    n = (places + ((F.pow(F.lit(26.0), F.length(up)) - 1) / 25).cast("decimal(38,0)")).cast("int")
     short = F.when(F.length(up) == 1, nth(1)).when(F.length(up) == 2, nth(1) * 26 + nth(2)).when(F.length(up) == 3, (nth(1) * 26 + nth(2)) * 26 + nth(3))
     return F.when(F.length(up) > 3, n).otherwise(short)
 
@@ -34,14 +36,19 @@ def bounds(ref: Column) -> dict[str, Column]:
 
 
 def with_bounds(ranges: DataFrame, ref: str) -> DataFrame:
-    """ranges with c1, r1, c2, r2 of the reference in column `ref`, as `bounds` gives them; each end is read once."""
+    """ranges with c1, r1, c2, r2 of the reference in column `ref`, as `bounds` gives them; each end is read once.
+
+    Ends, their letters and digits, and their numbers are steps behind generators: in one expression the patterns would be
+    matched again for every letter, and the code of it would be too long to be compiled."""
+    own = ranges.columns
+    once = lambda df, name, **of: df.select(*own, F.explode(F.array(F.struct(*[c.alias(n) for n, c in of.items()]))).alias(name))
     ends = F.split(F.replace(ref, F.lit("$"), F.lit("")), ":")
-    parts = ranges.select("*", F.explode(F.array(F.struct(F.element_at(ends, 1).alias("a"), F.element_at(ends, -1).alias("b")))).alias("__e"))
-    read = lambda k, what: F.regexp_extract(f"__e.{k}", what, 0)
-    col, row = (lambda k: letters_to_number(read(k, "^[A-Za-z]+"))), (lambda k: F.nullif(read(k, "[0-9]+$"), F.lit("")).cast("int"))
-    found = F.struct(F.coalesce(col("a"), F.lit(1)).alias("ca"), F.coalesce(col("b"), F.lit(COLUMNS)).alias("cb"), F.coalesce(row("a"), F.lit(1)).alias("ra"), F.coalesce(row("b"), F.lit(ROWS)).alias("rb"))
-    parts = parts.select(*ranges.columns, F.explode(F.array(found)).alias("__f"))
-    return parts.select(*ranges.columns, *[f(f"__f.{d}a", f"__f.{d}b").alias(f"{d}{k}") for d in "cr" for k, f in ((1, F.least), (2, F.greatest))])
+    parts = once(ranges, "__e", a=F.element_at(ends, 1), b=F.element_at(ends, -1))
+    read = {f"{d}{k}": F.regexp_extract(f"__e.{k}", what, 0) for d, what in (("c", "^[A-Za-z]+"), ("r", "[0-9]+$")) for k in "ab"}
+    parts = once(parts, "__s", **read)
+    number = lambda k, edge: F.coalesce(letters_to_number(F.col(f"__s.{k}")) if k[0] == "c" else F.nullif(f"__s.{k}", F.lit("")).cast("int"), F.lit(edge))
+    parts = once(parts, "__f", ca=number("ca", 1), cb=number("cb", COLUMNS), ra=number("ra", 1), rb=number("rb", ROWS))
+    return parts.select(*own, *[f(f"__f.{d}a", f"__f.{d}b").alias(f"{d}{k}") for d in "cr" for k, f in ((1, F.least), (2, F.greatest))])
 
 
 #: Ranges of a table of at most this many are compared with each other; those of larger tables meet by levels.
@@ -85,10 +92,23 @@ def overlapping_ranges(ranges: DataFrame, on: list[str]) -> DataFrame:
 def overlap_counts(ranges: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
     """(on, id, keep, overlapping): how many ranges of its table each range overlaps, itself included.
 
-    Overlaps of small tables are counted where they meet; no pair is written or shuffled."""
-    sized = _sized(ranges, on, keep)
-    few = _in_small_tables(sized, on).groupBy(*[F.col(f"x.{n}").alias(n) for n in (*on, "id", *keep)]).agg(F.count("*").alias("overlapping"))
-    many = sized.where(F.col("of") > SMALL)
+    Ranges of a small table are counted beside each other in the windows that tell its size, so their table is shuffled once, and what
+    is written of them is the result; only ranges of larger tables are written with their bounds, to meet by levels. Ranges alike in id
+    and `keep` count as one, with the sum."""
+    edges = ["r1", "r2", "c1", "c2"]
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_range = Window.partitionBy(*on, "id", *keep).orderBy(F.lit(0))
+    ranges = ranges.select(*on, "id", *keep, F.inline(F.array(F.struct(*edges)))).where(reduce(and_, [F.col(n).isNotNull() for n in on]))
+    # in the order of the last window, so that one sort serves all
+    every = whole(Window.partitionBy(*on).orderBy("id", *keep))
+    sized = ranges.withColumn("of", F.count("*").over(every))
+    small = F.col("of") <= SMALL
+    beside = sized.withColumn("beside", F.collect_list(F.when(small, F.struct(*edges))).over(every))
+    over = lambda y: (F.col("c1") <= y["c2"]) & (y["c1"] <= F.col("c2")) & (F.col("r1") <= y["r2"]) & (y["r1"] <= F.col("r2"))
+    n = beside.select(*on, "id", *keep, "of", *edges, F.size(F.filter("beside", over)).cast("bigint").alias("n"))
+    summed = n.withColumns({"sum": F.sum("n").over(whole(of_range)), "nth": F.row_number().over(of_range)}).where(~small | ((F.col("nth") == 1) & (F.col("sum") > 0)))
+    counted = written(summed.select(*on, "id", *keep, F.when(small, F.col("sum")).alias("overlapping"), *[F.when(~small, F.col(c)).alias(c) for c in edges]))
+    few, many = counted.where("overlapping is not null").select(*on, "id", *keep, "overlapping"), counted.where("overlapping is null")
     counts = _by_levels(many, on).groupBy(*on, F.col("a").alias("id")).agg(F.count("*").alias("overlapping"))
     return few.unionByName(many.select(*on, "id", *keep).join(counts, [*on, "id"]))
 

@@ -20,8 +20,13 @@ def _letters(n: str) -> str:
     return f"(CASE WHEN {n} > 702 THEN {c(f'(({n}) - 703) {{div}} 676')} ELSE '' END || CASE WHEN {n} > 26 THEN {c(f'((({n}) - 27) {{div}} 26) % 26')} ELSE '' END || {c(f'(({n}) - 1) % 26')})"
 
 
+#: The column number of a cell's range, and that of its other end.
+_COLUMN = "(1 + (col * 25 + (table_id % 3) * 350) * (1 + table_id % 5))"
+_SECOND = "(n + 1 + row % 40)"
+
+
 def _refs(div: str) -> str:
-    n = "(1 + (col * 25 + (table_id % 3) * 350) * (1 + table_id % 5))"
+    n = _COLUMN
     return _REF.format(l1=_letters(n), l2=_letters(f"({n} + 1 + row % 40)")).replace("{div}", div)
 
 
@@ -34,7 +39,10 @@ r AS (SELECT c.table_id, a.id, a.ref, CASE WHEN (c.table_id + row + col) % 7 = 0
 SELECT a.table_id, a.id, a.ref, count(*) AS overlapping FROM r a JOIN r b ON a.table_id = b.table_id AND a.r1 <= b.r2 AND b.r1 <= a.r2 AND a.c1 <= b.c2 AND b.c1 <= a.c2 GROUP BY a.table_id, a.id, a.ref""", ("cells",))
 def j21(spark, sf):
     """How many ranges of its table each range overlaps; bounds are read off the written references."""
-    refs = view(spark, sf, "cells").select("table_id", (F.col("row") * 10 + F.col("col")).alias("id"), F.expr(_refs("div")).alias("ref"))
+    cells = view(spark, sf, "cells").select("table_id", "row", "col", F.expr(_COLUMN).alias("n"))
+    # letters are spelled once, behind a generator, as `_refs` names them eight times
+    cells = cells.select("table_id", "row", "col", F.inline(F.array(F.struct(F.expr(_letters("n").replace("{div}", "div")).alias("l1"), F.expr(_letters(_SECOND).replace("{div}", "div")).alias("l2")))))
+    refs = cells.select("table_id", (F.col("row") * 10 + F.col("col")).alias("id"), F.expr(_REF.format(l1="l1", l2="l2")).alias("ref"))
     return I.overlap_counts(I.with_bounds(refs, "ref"), ["table_id"], ["ref"])
 
 

@@ -1,6 +1,7 @@
 """Ranges and periods against comparisons of all pairs."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.operators import intervals as I
@@ -39,6 +40,23 @@ def test_overlaps_are_counted_alike_in_small_and_large_tables(spark):
     assert sorted(tuple(r) for r in I.overlap_counts(I.with_bounds(df, "ref"), ["sheet"], ["ref"]).collect()) == want
 
 
+def test_ranges_of_small_tables_are_written_counted(spark):
+    """What is written of a small table is its counts, no bounds to be shuffled and joined again; repeats add up, and what lacks a table or
+    a bound meets nothing."""
+    rows = [(1, 1, 1, 2, 1, 2), (1, 2, 2, 3, 2, 3), (1, 2, 2, 3, 2, 3), (1, 3, 9, 9, None, 9), (None, 4, 1, 2, 1, 2), (2, 5, 1, 1, 1, 1)]
+    before = len(getattr(spark, "_foliospark_written", ()))
+    got = I.overlap_counts(spark.createDataFrame(rows, "sheet int, id int, r1 int, r2 int, c1 int, c2 int"), ["sheet"], [])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 3), (1, 2, 6), (2, 5, 1)]
+    (path,) = spark._foliospark_written[before:]
+    kept = spark.read.parquet(path)
+    assert kept.where("overlapping is null or r1 is not null or c2 is not null").isEmpty()
+
+
+@pytest.mark.parametrize("name, number", [("a", 1), ("Z", 26), ("AA", 27), ("XFD", 16384), ("ABCD", 19010), ("ZZZZZ", 12356630), ("", None)])
+def test_letters_to_number(spark, name, number):
+    assert spark.range(1).select(I.letters_to_number(F.lit(name)).alias("n")).first().n == number
+
+
 def test_derived_tables_read_their_source_once(spark):
     """Statements and cells come from one scan of orders and lineitem, as the rows of the united branches."""
     from foliospark import derive as D
