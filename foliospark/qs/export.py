@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliospark.derive import view
 from foliospark.registry import query
-from foliospark.sources.export import RENDERERS, document_markdown, source_csv, source_json
+from foliospark.sources.export import RENDERERS, document_markdown, rendered, source_csv, source_json
 
 # every cell of the grid, empty where the table has none
 _GRID = """WITH d AS (SELECT table_id, max(row) AS last_row, max(col) AS last_col FROM cells GROUP BY table_id),
@@ -43,11 +43,7 @@ _LINES = {
 @query("u01_registry", _GRID + ", " + ", ".join(f"{f} AS (SELECT table_id, '{f}' AS format, sha256({whole}) AS digest FROM (SELECT table_id, row, {line} AS l FROM v GROUP BY table_id, row) GROUP BY table_id)" for f, (line, whole) in _LINES.items()) + " " + " UNION ALL ".join(f"SELECT * FROM {f}" for f in _LINES), ("cells",))
 def u01(spark, sf):
     """Each registered renderer over the same tables, by the digest of what it makes."""
-    cells, out = view(spark, sf, "cells"), None
-    for name, render in RENDERERS.items():
-        one = cells.transform(render).select("table_id", F.lit(name).alias("format"), F.sha2("body", 256).alias("digest"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return rendered(view(spark, sf, "cells"), RENDERERS, lambda body: F.sha2(body, 256)).withColumnRenamed("value", "digest")
 
 
 @query("s16_export_source", """WITH p AS (SELECT source_id, page_number, list({'block_id': block_id, 'type': block_type, 'text': text} ORDER BY line_no) AS blocks FROM blocks GROUP BY ALL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,21 +13,26 @@ def _join(items: Column, sep: str) -> Column:
     return F.array_join(items, sep)
 
 
-def _rows(cells: DataFrame) -> DataFrame:
+def grid(cells: DataFrame) -> DataFrame:
     """table_id, rows: an array of rows, each an array of texts from column 0 on; gaps are empty.
 
-    One shuffle, by table; a table bounds the group. Of repeated cells the greatest text stays.
-    """
-    one = cells.repartition("table_id").groupBy("table_id", "row", "col").agg(F.max(F.coalesce("raw_text", F.lit(""))).alias("v"))
-    rows = one.groupBy("table_id", F.col("row").cast("int").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), "v"))).alias("m"), F.max(F.col("col").cast("int")).alias("c"))
-    t = rows.groupBy("table_id").agg(F.max("row").alias("last_row"), F.max("c").alias("last_col"), F.array_sort(F.collect_list(F.struct("row", F.map_entries("m").alias("e")))).alias("l"))
-    # rows in order, a gap before each as long as what its number skips
-    width = F.sequence(F.lit(0), "last_col")
-    full = lambda e: F.transform(width, lambda c: F.coalesce(F.try_element_at(F.map_from_entries(e), c), F.lit("")))
-    before = lambda i: F.coalesce(F.try_element_at(F.col("l"), i)["row"], F.lit(-1))
-    blank = F.transform(width, lambda _: F.lit(""))
-    gap = lambda x, i: F.array_repeat(blank, x["row"] - F.when(i == 0, -1).otherwise(before(i)) - 1)
-    return t.select("table_id", F.flatten(F.transform("l", lambda x, i: F.concat(gap(x, i), F.array(full(x["e"]))))).alias("rows"))
+    One shuffle and one aggregation, by table; a table bounds the group. Of repeated cells the greatest text stays. Cells in order
+    are laid out end to end, the gaps before each filled by what its place skips, and cut into rows."""
+    number = lambda c: F.coalesce(F.col(c).cast("int"), F.raise_error(F.lit(f"a cell names no {c}")).cast("int")).alias(c)
+    cell = F.struct(number("row"), number("col"), F.coalesce("raw_text", F.lit("")).alias("v"))
+    t = cells.repartition("table_id").groupBy("table_id").agg(F.collect_list(cell).alias("l")).select("table_id", F.explode(F.array(F.sort_array("l"))).alias("l"))
+    last = lambda x, i: (i == F.size("l") - 1) | (x["row"] != F.get("l", i + 1)["row"]) | (x["col"] != F.get("l", i + 1)["col"])
+    t = t.select("table_id", F.explode(F.array(F.struct(F.filter("l", last).alias("l"), (F.array_max(F.transform("l", lambda x: x["col"])) + 1).alias("width"), (F.element_at("l", -1)["row"] + 1).alias("height")))).alias("t")).select("table_id", "t.*")
+    place = lambda x: x["row"].cast("bigint") * F.col("width") + x["col"]
+    gap = lambda here, before: F.array_repeat(F.lit(""), (here - before - 1).cast("int"))
+    before = lambda i: F.when(i == 0, F.lit(-1).cast("bigint")).otherwise(place(F.get("l", i - 1)))
+    laid = F.flatten(F.transform("l", lambda x, i: F.concat(gap(place(x), before(i)), F.array(x["v"]))))
+    rest = gap(F.col("height").cast("bigint") * F.col("width"), place(F.element_at("l", -1)))
+    # behind generators, as the optimiser would copy into a lambda what it names and have it made anew for each of its elements
+    t = t.select("table_id", "width", "height", F.explode(F.array(F.concat(laid, rest))).alias("laid"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = F.transform(upto("height"), lambda r: F.transform(upto("width"), lambda c: F.get("laid", r * F.col("width") + c)))
+    return t.select("table_id", F.explode(F.array(rows)).alias("rows"))
 
 
 def _csv_cell(v: Column) -> Column:
@@ -39,25 +45,43 @@ def _escaped(v: Column) -> Column:
     return v
 
 
-def csv(cells: DataFrame) -> DataFrame:
-    line = lambda r: _join(F.transform(r, _csv_cell), ",")
-    return _rows(cells).select("table_id", _join(F.transform("rows", line), "\n").alias("body"))
+class Renderer:
+    """cells to (table_id, body); `body` makes it of the rows of a table's grid."""
 
+    def __init__(self, body: Callable[[Column], Column]):
+        self.body = body
+
+    def __call__(self, cells: DataFrame) -> DataFrame:
+        return grid(cells).select("table_id", self.body(F.col("rows")).alias("body"))
 
-def markdown(cells: DataFrame) -> DataFrame:
-    line = lambda r: F.concat(F.lit("| "), _join(F.transform(r, lambda v: F.replace(v, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-    lines = F.transform("rows", line)
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.get("rows", F.lit(0)))))
-    return _rows(cells).select("table_id", _join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n").alias("body"))
 
+def _csv(rows: Column) -> Column:
+    return _join(F.transform(rows, lambda r: _join(F.transform(r, _csv_cell), ",")), "\n")
 
-def json(cells: DataFrame) -> DataFrame:
-    return _rows(cells).select("table_id", F.to_json("rows").alias("body"))
 
+def _markdown(rows: Column) -> Column:
+    line = lambda r: F.concat(F.lit("| "), _join(F.transform(r, lambda v: F.replace(v, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.get(rows, F.lit(0)))))
+    return _join(F.flatten(F.transform(rows, lambda r, i: F.when(i == 0, F.array(line(r), rule)).otherwise(F.array(line(r))))), "\n")
 
-def html(cells: DataFrame) -> DataFrame:
+
+def _html(rows: Column) -> Column:
     line = lambda r: F.concat(F.lit("<tr>"), _join(F.transform(r, lambda v: F.concat(F.lit("<td>"), _escaped(v), F.lit("</td>"))), ""), F.lit("</tr>"))
-    return _rows(cells).select("table_id", F.concat(F.lit("<table>"), _join(F.transform("rows", line), ""), F.lit("</table>")).alias("body"))
+    return F.concat(F.lit("<table>"), _join(F.transform(rows, line), ""), F.lit("</table>"))
+
+
+csv, markdown, json, html = Renderer(_csv), Renderer(_markdown), Renderer(F.to_json), Renderer(_html)
+
+
+def rendered(cells: DataFrame, renderers: dict[str, Callable[[DataFrame], DataFrame]], of: Callable[[Column], Column]) -> DataFrame:
+    """table_id, format, value: `of` the body that each renderer makes of each table.
+
+    The grid is laid out once for all that are made of it; others are applied to the cells one by one."""
+    shared = {name: r for name, r in renderers.items() if isinstance(r, Renderer)}
+    each = [F.struct(F.lit(name).alias("format"), of(r.body(F.col("rows"))).alias("value")) for name, r in shared.items()]
+    parts = [grid(cells).select("table_id", F.inline(F.array(*each)))] if shared else []
+    parts += [cells.transform(r).select("table_id", F.lit(name).alias("format"), of(F.col("body")).alias("value")) for name, r in renderers.items() if name not in shared]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def source_json(blocks: DataFrame, title: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Renderers on micro-tables: gaps, repeated cells, quotes, bars and nulls; merged fragments."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.operators.relational import apply
 from foliospark.sources.export import RENDERERS, document_markdown
@@ -24,6 +25,19 @@ def test_renderers(cells, name, one, two):
     assert RENDERERS[name](cells.where("table_id > 9")).count() == 0
 
 
+def test_all_renderers_share_one_grid(spark, cells):
+    """Tables are read and laid out once for all renderers of a grid; a renderer of another kind is applied to the cells."""
+    from foliospark.sources.export import rendered
+
+    more = {**RENDERERS, "n": lambda df: df.groupBy("table_id").agg(F.count("*").cast("string").alias("body"))}
+    got = rendered(cells, more, F.upper)
+    want = {(r.table_id, name, r.body.upper()) for name, render in more.items() for r in render(cells).collect()}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) == 10 and set(rows) == want
+    plan = rendered(cells, RENDERERS, F.upper)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
+
+
 def test_document_markdown(spark):
     rows = [(1, 1, 0, "title", " T "), (1, 1, 1, "equation", "x=1"), (1, 2, 2, "paragraph", None), (1, 2, 3, "paragraph", "end")]
     df = spark.createDataFrame(rows, "source_id long, page_number long, line_no long, block_type string, text string")
