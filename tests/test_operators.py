@@ -356,3 +356,23 @@ def test_facts_are_united_in_one_pass(spark):
     old = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x")], "fact_id string, unit string")
     new = spark.createDataFrame([("b", None), ("c", "y"), ("c", "y")], "fact_id string, unit string")
     assert sorted(map(tuple, R.union_facts(old, new).collect())) == [("a", "x"), ("b", None), ("c", "y")]
+
+
+def test_comparisons_meet_their_findings_where_they_are_made(spark):
+    """Repeated facts give every comparison with every finding, as a join on the pair would; facts are shuffled once for both sides."""
+    from foliospark.operators import reasoning as R
+
+    facts = [("f1", "c", "s1", "n", "m", "10", None), ("f1", "c", "s1", "n", "m", "10", None), ("f2", "c", "s2", "N", "m", "12", None), ("f2", "c", "s2", "N", "m", "10", None), ("f3", "c", "s3", "n", "m", "12", "USD"),
+             ("f4", "c", "s4", "n", "m", "2020-01-02", None), ("f5", "c", "s5", "n", "m", None, None), ("f6", "d", "s2", "n", "m", "10", None)]
+    df = spark.createDataFrame(facts, "fact_id string, case_id string, source_id string, subject string, metric string, normalized_value string, currency string")
+    df = df.selectExpr("*", "if(normalized_value like '%-%', 'date', null) as unit", "cast(null as string) as frequency", "cast(null as date) as period_start", "cast(null as date) as period_end", "'net' as basis", "'x' as category", "0.9 as confidence")
+    p = R.pairs(df)
+    pair = lambda x, y: F.array_join(F.array_sort(F.array(x, y)), "|").alias("pair")
+    c = R.checked(p).select(pair("a.fact_id", "b.fact_id"), (F.size("failed") == 0).alias("comparable"))
+    f = R.findings(p).select(pair("fact_b", "fact_a"), "pct_diff", F.lit(True).alias("found"))
+    want = c.join(f, "pair", "left").select("pair", "comparable", F.col("found").isNotNull().alias("has_finding"), "pct_diff")
+    got = R.comparison_findings(p)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and not got.isEmpty()
+    plan = R.comparison_findings(p)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == 2
