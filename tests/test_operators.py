@@ -376,3 +376,15 @@ def test_comparisons_meet_their_findings_where_they_are_made(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and not got.isEmpty()
     plan = R.comparison_findings(p)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_case_view_keeps_what_is_read_of_facts(spark):
+    """What no comparison reads is not written with the facts of the case view and the comparisons."""
+    from foliospark.operators import reasoning as R
+    from foliospark.queries import QUERIES
+
+    for name in ("j16_comparison_finding", "j25_case_view"):
+        before = len(getattr(spark, "_foliospark_written", ()))
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        (path,) = spark._foliospark_written[before:]
+        assert not set(spark.read.parquet(path).columns) & set(R.UNCOMPARED)
